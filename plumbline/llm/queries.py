@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -27,5 +29,19 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM w
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup}
+
+def token_digests(tokens: DataFrame) -> DataFrame:
+    """op3's columns from what encode(decoded=True) gives."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_bpe": op3_bpe,
+}
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

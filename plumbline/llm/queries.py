@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +41,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .token_counts import histogram, lengths
 from .toxicity import toxicity
+from .url_filter import filter_urls, host_of
+from .warc import read_records, write_bundles
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +45,140 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def url_captures(pages: DataFrame) -> DataFrame:
+    """pages have no fetch time; the query takes a day of 2024 by page_id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(366)).cast("int"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", day.alias("fetched"))
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries made of the hosts of the table: by the digits of the host's md5, hosts come onto a list in January to June and may leave it 90 days later; two domains have fixed entries."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct().withColumn("h", F.md5("host"))
+    digit = lambda k: F.conv(F.substring("h", k, 1), 16, 10).cast("int")
+    at = F.date_add(F.lit("2024-01-01").cast("date"), digit(3) * 11)
+    listed = hosts.select(F.lit("domain").alias("kind"), F.when(digit(1) < 5, "block").when(digit(1) < 7, "allow").alias("list"), F.col("host").alias("pattern"), at.alias("at"), (digit(2) < 8).alias("leaves")).where("list is not null")
+    added = listed.select("kind", "list", "pattern", F.lit("add").alias("action"), "at")
+    removed = listed.where("leaves").select("kind", "list", "pattern", F.lit("remove").alias("action"), F.date_add("at", 90).alias("at"))
+    fixed = pages.sparkSession.createDataFrame([("domain", "block", "example.org", "add", "2024-05-01"), ("domain", "block", "example.org", "remove", "2024-08-01"), ("domain", "block", "example.org", "add", "2024-11-01"), ("domain", "allow", "example.net", "add", "2024-10-01")], "kind string, list string, pattern string, action string, at string")
+    return added.unionByName(removed).unionByName(fixed.withColumn("at", F.col("at").cast("date")))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(url_captures(pages), url_entries(pages))
+
+
+OP2_SQL = r"""
+WITH c AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(coalesce(page_id, 0) % 366 AS INTEGER) AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host
+  FROM pages),
+h AS (SELECT DISTINCT host, md5(host) AS h FROM c WHERE host IS NOT NULL),
+d AS (SELECT host, strpos('0123456789abcdef', h[1]) - 1 AS d1, strpos('0123456789abcdef', h[2]) - 1 AS d2, strpos('0123456789abcdef', h[3]) - 1 AS d3 FROM h),
+i AS (
+  SELECT host AS pattern, CASE WHEN d1 < 5 THEN 'block' ELSE 'allow' END AS list, DATE '2024-01-01' + CAST(d3 * 11 AS INTEGER) AS f,
+         CASE WHEN d2 < 8 THEN DATE '2024-01-01' + CAST(d3 * 11 + 90 AS INTEGER) END AS t
+  FROM d WHERE d1 < 7
+  UNION ALL SELECT 'example.org', 'block', DATE '2024-05-01', DATE '2024-08-01'
+  UNION ALL SELECT 'example.org', 'block', DATE '2024-11-01', NULL
+  UNION ALL SELECT 'example.net', 'allow', DATE '2024-10-01', NULL),
+m AS (
+  SELECT c.page_id, c.host, count(*) FILTER (i.list = 'block') AS n_block, count(*) FILTER (i.list = 'allow') AS n_allow
+  FROM c LEFT JOIN i ON (c.host = i.pattern OR c.host LIKE '%.' || i.pattern) AND c.fetched >= i.f AND (i.t IS NULL OR c.fetched < i.t)
+  GROUP BY c.page_id, c.host)
+SELECT page_id, host, CAST(n_block AS BIGINT) AS n_block, CAST(n_allow AS BIGINT) AS n_allow,
+       CASE WHEN n_allow > 0 THEN 'allowed' WHEN n_block > 0 THEN 'blocked' ELSE 'unlisted' END AS verdict
+FROM m
+"""
+
+#: The mixture of op4: integer weights of each node among its siblings, half of all tokens, two epochs at most.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
+
+
+def source_domain() -> Column:
+    """documents have no domain; the query takes the number in the source, modulo 4."""
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "^src([0-9]{1,9})$", 1).try_cast("int") % 4).cast("string"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), source_domain(), MIX_WEIGHTS, F.floor(F.col("total") / 2), max_epochs=2).drop("row_id")
+
+
+def _fill_sql(nodes: str, parents: str, child: str, out: str) -> str:
+    by = f"PARTITION BY {parents} " if parents else ""
+    order = f"{by}ORDER BY capacity / weight, {child}"
+    return f"""
+{out}_1 AS (
+  SELECT *, (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM {nodes} WHERE weight > 0),
+{out} AS (
+  SELECT * EXCLUDE (level), CAST(greatest(0, coalesce(least(CAST(capacity AS DOUBLE), floor(weight * first_value(CASE WHEN capacity / weight > level THEN level END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))), capacity)) AS BIGINT) AS granted
+  FROM {out}_1)"""
+
+
+OP4_SQL = (
+    r"""
+WITH r AS (
+  SELECT doc_id, coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '^src([0-9]{1,9})$', 1), '') AS INTEGER) % 4 AS VARCHAR), '-') AS domain,
+         coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens
+  FROM documents),
+l AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL),
+n1 AS (
+  SELECT domain, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
+         CAST(floor(sum(sum(tokens)) OVER () / 2) AS BIGINT) AS budget
+  FROM l GROUP BY domain),"""
+    + _fill_sql("n1", "", "domain", "g1")
+    + """,
+n2 AS (
+  SELECT l.domain, l.lang, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(g1.granted) AS budget
+  FROM l JOIN g1 USING (domain) GROUP BY l.domain, l.lang),"""
+    + _fill_sql("n2", "domain", "lang", "g2")
+    + """,
+n3 AS (SELECT l.domain, l.lang, l.source, l.tokens AS leaf_tokens, tokens * 2 AS capacity, 1 AS weight, g2.granted AS budget FROM l JOIN g2 USING (domain, lang)),"""
+    + _fill_sql("n3", "domain, lang", "source", "g3")
+    + """,
+e AS (
+  SELECT r.*, g3.granted AS leaf_budget, CASE WHEN leaf_tokens > 0 THEN CAST(granted // leaf_tokens AS BIGINT) ELSE 0 END AS epochs, g3.leaf_tokens
+  FROM r JOIN g3 USING (domain, lang, source)),
+k AS (SELECT *, leaf_budget - epochs * leaf_tokens AS remain, md5('17:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM e),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, domain, lang, source, tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget, CAST(epochs + CASE WHEN remain > 0 AND upto <= remain THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM u
+"""
+)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram(lengths(table(spark, sf_dir, "documents")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_bundles(table(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM p
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op4_mixing": OP4_SQL, "op9_warc": OP9_SQL}

@@ -11,6 +11,7 @@ from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .mtree import top_k
 from .token_counts import histogram, lengths
 from .toxicity import toxicity
 from .url_filter import filter_urls, host_of
@@ -120,7 +121,8 @@ OP4_SQL = (
     r"""
 WITH r AS (
   SELECT doc_id, coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '^src([0-9]{1,9})$', 1), '') AS INTEGER) % 4 AS VARCHAR), '-') AS domain,
-         coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens
+         coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS tokens
   FROM documents),
 l AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL),
 n1 AS (
@@ -152,6 +154,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(lengths(table(spark, sf_dir, "documents")))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, is_query=F.col("vec_id") % 100 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_bundles(table(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -178,7 +196,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op4_mixing": OP4_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op4_mixing": OP4_SQL, "op8_top_k": OP8_SQL, "op9_warc": OP9_SQL}

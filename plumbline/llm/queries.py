@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .mtree import top_k
+from .simhash import near_duplicates
 from .token_counts import histogram, lengths
 from .toxicity import toxicity
 from .url_filter import filter_urls, host_of
@@ -150,6 +151,10 @@ FROM u
 )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(lengths(table(spark, sf_dir, "documents")))
 
@@ -195,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .katz import katz_scores
 from .mixing import mix
 from .mtree import top_k
 from .simhash import near_duplicates
 from .token_counts import histogram, lengths
-from .toxicity import toxicity
+from .toxicity import fold, toxicity
 from .url_filter import filter_urls, host_of
 from .warc import read_records, write_bundles
 
@@ -151,6 +152,10 @@ FROM u
 )
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), held_out=fold(F.col("doc_id"), 7) == 2)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
 
@@ -200,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_katz": op5_katz,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_top_k": op8_top_k,

@@ -22,6 +22,7 @@ ignored; repeated rows are scored each.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,6 +58,16 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return np.asarray(flat.indices), flat.dictionary.to_pylist(), sizes
 
 
+def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' buckets in a row, and how many each word has."""
+    flat, sizes = array("i"), np.empty(len(words), dtype=np.int32)
+    for i, w in enumerate(words):
+        found = subwords(w)
+        flat.extend(found)
+        sizes[i] = len(found)
+    return np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32), sizes
+
+
 @dataclass
 class Weights:
     """bucket: what each bucket adds to the log odds of label 1; prior: the score of all texts where nothing could be learned."""
@@ -66,14 +77,19 @@ class Weights:
     prior: float | None = None
 
 
-def sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each group."""
-    order = np.argsort(groups, kind="stable")
-    there, starts = np.unique(groups[order], return_index=True)
-    out = np.zeros((n, *values.shape[1:]), np.float32)
-    if len(there):
-        out[there] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+class Groups:
+    """Sums the rows of each group; the order of the rows is found once."""
+
+    def __init__(self, groups: np.ndarray, n: int) -> None:
+        self.order = np.argsort(groups, kind="stable").astype(np.int32)
+        self.there, self.starts = np.unique(groups[self.order], return_index=True)
+        self.n = n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, values.shape[1]), np.float32)
+        if len(self.there):
+            out[self.there] = np.add.reduceat(values[self.order], self.starts, axis=0)
+        return out
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
@@ -88,18 +104,17 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
         tuning[:] = False
     cells, count = np.unique(np.repeat(np.arange(len(y)), sizes) * len(words) + at, return_counts=True)
     doc, word = cells // len(words), cells % len(words)
-    share = count / sizes[doc]
-    grams = [subwords(w) for w in words]
-    n_grams = np.array([len(g) for g in grams], dtype=np.int64)
-    gram = np.fromiter((g for gs in grams for g in gs), dtype=np.int64, count=int(n_grams.sum()))
-    of_word, starts = np.repeat(np.arange(len(words)), n_grams), np.cumsum(n_grams) - n_grams
+    doc, word, share = doc.astype(np.int32), word.astype(np.int32), (count / sizes[doc]).astype(np.float32)
+    del cells, count, at
+    gram, n_grams = gram_table(words)
+    starts = np.cumsum(n_grams, dtype=np.int64) - n_grams
 
-    # Which buckets to train: a block of documents at a time, as a document has a cell for each of its words' n-grams.
+    # Which buckets to train: a few documents at a time, as a document has a cell for each of its words' n-grams.
     telling = np.zeros((4, BUCKETS))
-    for lo in range(0, len(y), 200):
-        inside = (doc >= lo) & (doc < lo + 200) & ~tuning[doc]
+    for lo in range(0, len(y), 50):
+        inside = (doc >= lo) & (doc < lo + 50) & ~tuning[doc]
         d, w, s = doc[inside], word[inside], share[inside]
-        cell = np.repeat(d, n_grams[w]) * BUCKETS + gram[np.repeat(starts[w] - np.cumsum(n_grams[w]) + n_grams[w], n_grams[w]) + np.arange(int(n_grams[w].sum()))]
+        cell = np.repeat(d.astype(np.int64), n_grams[w]) * BUCKETS + gram[np.repeat(starts[w] - np.cumsum(n_grams[w]) + n_grams[w], n_grams[w]) + np.arange(int(n_grams[w].sum()))]
         cell, back = np.unique(cell, return_inverse=True)
         s = np.bincount(back, np.repeat(s, n_grams[w]), len(cell))
         for k in (0, 1):
@@ -112,11 +127,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
     used = np.flatnonzero(np.abs(t) >= TELLING) if (np.abs(t) >= TELLING).sum() >= 20 else np.argsort(-np.abs(t))[:200]
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
-    keep = place[gram] >= 0
-    gram, of_word = place[gram[keep]], of_word[keep]
-    part = (SCALE / n_grams[of_word]).astype(np.float32)[:, None]
-    heard = np.bincount(of_word, minlength=len(words)) > 0
-    doc, word, share = doc[heard[word]], word[heard[word]], share[heard[word]].astype(np.float32)[:, None]
+    keep = np.flatnonzero(place[gram] >= 0)
+    of_word = np.searchsorted(starts, keep, side="right") - 1
+    gram = place[gram[keep]]
+    heard, of_word = np.unique(of_word, return_inverse=True)
+    part = (SCALE / n_grams[heard][of_word]).astype(np.float32)[:, None]
+    nth = np.full(len(words), -1, np.int32)
+    nth[heard] = np.arange(len(heard))
+    inside = nth[word] >= 0
+    doc, word, share = doc[inside], nth[word[inside]], share[inside][:, None]
+    by_word, by_doc, to_word, to_gram = Groups(of_word, len(heard)), Groups(doc, len(y)), Groups(word, len(heard)), Groups(gram, len(used))
 
     weight = [np.where(k & (sizes > 0), np.where(y == 1, 1 / max(1, (k & (y == 1)).sum()), 1 / max(1, (k & (y == 0)).sum())), 0).astype(np.float32) for k in (~tuning, tuning if tuning.any() else ~tuning)]
     params = [rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
@@ -124,7 +144,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
     best: tuple[float, list[np.ndarray]] = (np.inf, params)
     for step in range(1, epochs + 1):
         e, w, b = params
-        vec = sums(sums(e[gram] * part, of_word, len(words))[word] * share, doc, len(y))
+        vec = by_doc(by_word(e[gram] * part)[word] * share)
         logits = vec @ w + b
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -133,8 +153,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
             best = (loss, [q.copy() for q in params])
         d = p * weight[0][:, None]
         d[np.arange(len(y)), y] -= weight[0]
-        d_word = sums((d @ w.T)[doc] * share, word, len(words))
-        grads = [sums(d_word[of_word] * part, gram, len(used)), vec.T @ d, d.sum(axis=0)]
+        d_word = to_word((d @ w.T).astype(np.float32)[doc] * share)
+        grads = [to_gram(d_word[of_word] * part), vec.T @ d, d.sum(axis=0)]
         for q, g, m in zip(params, grads, moments, strict=True):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.001 * (g * g - m[1])
@@ -161,10 +181,9 @@ def scorer(model):
             weights_of.clear()
             new = words
         if new:
-            grams = [subwords(w) for w in new]
-            sizes_of = np.array([len(g) for g in grams])
-            flat = weights.bucket[np.fromiter((g for gs in grams for g in gs), dtype=np.int64, count=int(sizes_of.sum()))].astype(np.float64)
-            weights_of.update(zip(new, (np.add.reduceat(flat, np.cumsum(sizes_of) - sizes_of) / sizes_of).tolist(), strict=True))
+            grams, sizes_of = gram_table(new)
+            total = np.add.reduceat(weights.bucket[grams].astype(np.float64), np.cumsum(sizes_of) - sizes_of)
+            weights_of.update(zip(new, (total / sizes_of).tolist(), strict=True))
         added = np.fromiter(map(weights_of.__getitem__, words), dtype=np.float64, count=len(words))[at]
         some = sizes > 0
         logit = np.add.reduceat(added, (np.cumsum(sizes) - sizes)[some]) / sizes[some] + weights.bias
@@ -184,7 +203,7 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0)) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 1500), folds: int = 5, held_out_fold: int = 0) -> Weights:
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 1500), folds: int = 5, held_out_fold: int = 0) -> Weights:
     """Weights learned from at most most[k] rows of label k outside the held-out fold."""
     known = docs.select("doc_id").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -196,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 150
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 1500), folds: int = 5, held_out_fold: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 1500), folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, folds, held_out_fold))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scorer(model), "doc_id long, score double")

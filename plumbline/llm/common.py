@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -31,6 +32,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, stored with a number for each row, and that column's name. Scans may be split differently each time; what is stored stays the same."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    return store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by store() that nothing reads any more."""
     spark = df.sparkSession

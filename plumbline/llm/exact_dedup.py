@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, store
+from .common import SPACE, numbered, store
 
 KEY_BITS = 64
 DIGESTS = "row_id long, doc_id long, n_chars long, text_sha256 string, rep_row long, key long, norm binary, n long, best_chars long, best_id long, best_row long"
@@ -173,11 +173,9 @@ def build_index(digests: DataFrame, capacity: int = 256) -> DataFrame:
     return store(dealt.mapInArrow(owner(base, capacity), INDEX), "hash-index")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 256) -> DataFrame:
-    """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256, bucket, depth.
-
-    row_id is monotonically_increasing_id() over the input; docs should be a stored table, so that it stays the same."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 256, row_col: str | None = None) -> DataFrame:
+    """One row per input row: row_id (row_col, or a number given here), doc_id, keep_id, group_size, kept, text_sha256, key_range, bucket, depth."""
+    narrow = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digests = store(narrow.mapInArrow(digest_rows, DIGESTS), "digests")
     index = build_index(digests, capacity).select("rep_row", "keep_row", "keep_id", "group_size", "key_range", "bucket", "depth")
     return digests.select("row_id", "doc_id", "text_sha256", "rep_row").join(index, "rep_row").select("row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "key_range", "bucket", "depth")
@@ -185,6 +183,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 256) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    row = "__row_of_copy"
-    stay = exact_dedup(docs, id_col, text_col, capacity).where("kept").select(F.col("row_id").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").drop(row)
+    rows, row = numbered(docs)
+    stay = exact_dedup(rows, id_col, text_col, capacity, row).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(stay, row, "left_semi").select(*(rows[c] for c in docs.columns))

@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import numbered, store
 
 LEVELS = ["domain", "lang", "source"]
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -69,12 +69,10 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], bu
     return leaves.join(above, LEVELS, "left").select(*LEVELS, "tokens", F.coalesce("budget", F.lit(0)).alias("leaf_budget"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """row_id, doc_id, domain, lang, source, tokens, leaf_budget, copies for every row: how often the mixture takes it.
-
-    row_id is monotonically_increasing_id() over docs, which should be a stored table."""
+def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, row_col: str | None = None) -> DataFrame:
+    """row_id (row_col, or a number given here), doc_id, domain, lang, source, tokens, leaf_budget, copies for every row: how often the mixture takes it."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), (tokens if tokens is not None else word_count(F.col(text_col))).alias("tokens"))
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), (tokens if tokens is not None else word_count(F.col(text_col))).alias("tokens"))
     rows = store(rows, "mixture")
     leaves = store(leaf_budgets(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), weights, budget, max_epochs).withColumnRenamed("tokens", "leaf_tokens"), "budgets")
     epochs = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1)))).otherwise(0).cast("long")
@@ -89,9 +87,8 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]
     return placed.select("row_id", "doc_id", *LEVELS, "tokens", "leaf_budget", copies.cast("long").alias("copies"))
 
 
-def take(docs: DataFrame, mixture: DataFrame) -> DataFrame:
+def take(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 1, seed: int = 17) -> DataFrame:
     """The rows of docs that the mixture takes, each as often as it says, with the columns of docs."""
-    row, times = "__row_of_mixture", "__copies"
-    chosen = mixture.where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(chosen, row)
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(joined[c] for c in docs.columns)) if docs.columns else joined
+    rows, row = numbered(docs)
+    mixture = mix(rows, domain, weights, budget, max_epochs, seed, row_col=row).where("copies > 0").select(F.col("row_id").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(f"{row}_copy"))
+    return rows.join(mixture.select(row), row).select(*(rows[c] for c in docs.columns))

@@ -38,10 +38,10 @@ FROM w
 """
 
 
-def token_digests(tokens: DataFrame) -> DataFrame:
-    """op3's columns from what encode(decoded=True) gives."""
+def token_digests(tokens: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """op3's columns, and the ids if asked for, from what encode(decoded=True) gives."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *([F.col("ids")] if keep_ids else []))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store
+from .common import drop_stored, numbered, store
 
 SEED, CHUNK, FLUSH = 42, 2048, 200_000
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -76,8 +76,8 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return bytes(out)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id and fingerprint (hexadecimal) of every row; row_id is monotonically_increasing_id()."""
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row_id (row_col, or a number given here), doc_id and fingerprint (hexadecimal) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             made = [fingerprint(shingle_hashes(t.as_py(), words), lanes).hex() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["row_id", "doc_id", "fingerprint"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "row_id long, doc_id long, fingerprint string")
 
 
@@ -214,9 +214,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row."""
-    prints = store(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
+    prints = store(fingerprints(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
     nodes = store(prints.groupBy("fingerprint").agg(first.alias("first")).select("fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
     roots = components(close_links(nodes, 64 * lanes, max_bits, blocks, agree))
@@ -230,6 +230,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 42, la
     """The rows of docs that stay, one of each component, with their columns.
 
     256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Links of at most 20 bits are all found; beyond, a pair that differs in 39 bits shares one of the 21 blocks of 12 bits with a probability of 0.96."""
-    row = "__row_of_near_copy"
-    stay = near_duplicates(docs, words, max_bits, lanes, blocks, agree).where("row_id = component_row").select(F.col("row_id").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").drop(row)
+    rows, row = numbered(docs)
+    stay = near_duplicates(rows, words, max_bits, lanes, blocks, agree, row_col=row).where("row_id = component_row").select(F.col("row_id").alias(row))
+    return rows.join(stay, row, "left_semi").select(*(rows[c] for c in docs.columns))

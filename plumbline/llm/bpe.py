@@ -158,7 +158,8 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """Gather each token's bytes by its offsets."""
-        first, size = self.starts[ids], self.starts[np.asarray(ids) + 1] - self.starts[ids]
+        ids = np.asarray(ids, dtype=np.int64)
+        first, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
         return self.blob[at].tobytes().decode("utf-8", "replace")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import drop_stored, store
 
 K, KEPT = 5, 0.1
-CHUNK_TOKENS, OWNER_ITEMS = 4_000_000, 2_000_000
+CHUNK_TOKENS, CHUNK_ROWS, OWNER_ITEMS = 1_200_000, 2048, 2_000_000
 END = b"\n"  # no word holds white space
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, n_words int, tokens binary, n_tokens long"
 CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("n_words", pa.int32()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
@@ -83,7 +83,7 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
 def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of (doc_id, held, text) rows: word numbers by frequency, each document closed by the end."""
     made, task = 0, TaskContext.get().partitionId()
-    for batch in batches:
+    for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
         text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
         lists = pc.ascii_split_whitespace(text)
         sizes = np.where(np.asarray(pc.binary_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0).astype(np.int64)
@@ -125,8 +125,7 @@ class Chunk:
         #: Words in the order of their hashes, and the training count of each word number.
         self.word_order = np.argsort(self.hashes, kind="stable")
         self.word_counts = np.bincount(self.tokens[~self.away], minlength=len(words))
-        code = self.before * len(words) + self.tokens
-        marked, count = np.unique(code * 2 + self.away, return_counts=True)
+        marked, count = np.unique((self.before * len(words) + self.tokens) * 2 + self.away, return_counts=True)
         code = marked >> 1
         fresh = np.append(True, code[1:] != code[:-1]) if len(code) else np.empty(0, dtype=bool)
         self.codes = code[fresh]

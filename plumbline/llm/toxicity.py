@@ -32,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIM = 1 << 17, 8
-#: Smallest |t| of a bucket that is trained; the means are scaled so that embeddings stay near 1.
-TELLING, SCALE = 3.5, 50.0
+BUCKETS, DIM = 1 << 17, 4
+#: A bucket is trained if |t| is at least the first, and at least the second times the root of the number of toxic texts; the means are scaled so that embeddings stay near 1.
+TELLING, EFFECT, SCALE = 3.5, 0.16, 50.0
 GRAMS = (3, 4, 5, 6, 8)
 #: Words whose weight a task remembers.
 CACHED_WORDS = 500_000
@@ -93,7 +93,7 @@ class Groups:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
-    """Full-batch Adam on the softmax and on the buckets whose share tells the labels apart (`TELLING`); of all epochs, the one that does best on the fifth kept apart."""
+    """Full-batch Adam on the softmax and on the buckets whose share tells the labels apart (`TELLING`, `EFFECT`); of all epochs, the one that does best on the fifth kept apart."""
     y = np.asarray(labels, dtype=np.int64)
     at, words, sizes = bags(pa.array(texts, pa.string()))
     if len(set(y[sizes > 0].tolist())) < 2:
@@ -124,8 +124,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
     docs = np.array([max(1, int(((y == k) & ~tuning & (sizes > 0)).sum())) for k in (0, 1)], dtype=float)
     mean, square = telling[:2] / docs[:, None], telling[2:] / docs[:, None]
     t = (mean[1] - mean[0]) / np.sqrt(((square - mean**2) / docs[:, None]).sum(axis=0) + 1e-12)
-    used = np.flatnonzero(np.abs(t) >= TELLING) if (np.abs(t) >= TELLING).sum() >= 20 else np.argsort(-np.abs(t))[:200]
-    place = np.full(BUCKETS, -1)
+    used = np.flatnonzero(np.abs(t) >= max(TELLING, EFFECT * np.sqrt(docs[1])))
+    used = used if len(used) >= 20 else np.argsort(-np.abs(t))[:200]
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     keep = np.flatnonzero(place[gram] >= 0)
     of_word = np.searchsorted(starts, keep, side="right") - 1
@@ -212,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 150
         chosen = part if chosen is None else chosen.union(part)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
 

@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 150
         part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k])
         chosen = part if chosen is None else chosen.union(part)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 

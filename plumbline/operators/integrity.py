@@ -74,3 +74,31 @@ def out_of_order(rows: DataFrame, column: str, order: str, *by: str) -> DataFram
 def gaps(rows: DataFrame, sequence: str, *by: str) -> DataFrame:
     """Groups whose numbers are not 0, 1, 2 and so on, each once."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(sequence).alias("d"), F.min(sequence).alias("lo"), F.max(sequence).alias("hi")).where("lo <> 0 or hi <> n - 1 or d <> n").select(*by, "n")
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes of workflows (workflow, node, needs) that lie on a cycle or wait for one: what is left when nodes that need nothing are taken away again and again. Each round is checkpointed, and there are at most as many as the longest chain."""
+    left = edges.select("workflow", "node", "needs").distinct()
+    size = left.count()
+    while size:
+        blocked = left.where("needs is not null").select("workflow", F.col("node").alias("needs")).distinct()
+        left = left.where("needs is not null").join(blocked, ["workflow", "needs"], "left_semi").select("workflow", "node", "needs").checkpoint()
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return left.select("workflow", "node").distinct()
+
+
+def span_depths(spans: DataFrame, deepest: int = 64) -> DataFrame:
+    """trace_id, span_id, depth of spans under their roots, a join for each level; spans whose parent is missing are roots, and spans of a cycle are left out."""
+    s = spans.select("trace_id", "span_id", "parent_span_id")
+    known = s.select("trace_id", F.col("span_id").alias("parent_span_id"))
+    level = s.join(known, ["trace_id", "parent_span_id"], "left_anti").select("trace_id", "span_id", F.lit(0).alias("depth"))
+    out = level
+    for depth in range(1, deepest + 1):
+        level = s.join(level.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth")).checkpoint()
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out

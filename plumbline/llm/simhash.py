@@ -140,6 +140,44 @@ def linked(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: in
     return nodes[moved], nodes[label[moved]]
 
 
+def forest(n: int, pairs: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indices of pairs that connect what all of them connect, at every number of differing bits: closer pairs first."""
+    label, chosen = np.arange(n), [np.empty(0, dtype=np.int64)]
+    order = np.argsort(bits, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(bits[order])) + 1):
+        while True:
+            a, b = label[pairs[0, level]], label[pairs[1, level]]
+            cross = a != b
+            if not cross.any():
+                break
+            level, a, b = level[cross], a[cross], b[cross]
+            pick = np.unique(np.unique(np.concatenate([a, b]), return_index=True)[1] % len(level))  # one pair for each cluster
+            chosen.append(level[pick])
+            label = settle(label, pairs[:, level[pick]])
+    return np.concatenate(chosen)
+
+
+def spanning(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key: pairs of nodes of one key with at most max_bits differing bits that connect what all such pairs connect."""
+    n = len(keys)
+    first = np.searchsorted(keys, keys, side="left")
+    size = np.searchsorted(keys, keys, side="right") - first
+    pairs, bits = np.empty((2, 0), dtype=np.int64), np.empty(0, dtype=np.int64)
+    held = [(pairs, bits)]
+    for step in range(1, int(size.max(initial=1))):
+        low = np.flatnonzero(first + size > np.arange(n) + step)
+        apart = np.bitwise_count(prints[low] ^ prints[low + step]).sum(axis=1).astype(np.int64)
+        close = apart <= max_bits
+        held.append((np.stack([low[close], low[close] + step]), apart[close]))
+        if sum(len(b) for _, b in held) > 2_000_000:
+            pairs, bits = np.concatenate([p for p, _ in held], axis=1), np.concatenate([b for _, b in held])
+            kept = forest(n, pairs, bits)
+            held = [(pairs[:, kept], bits[kept])]
+    pairs, bits = np.concatenate([p for p, _ in held], axis=1), np.concatenate([b for _, b in held])
+    kept = forest(n, pairs, bits)
+    return nodes[pairs[0, kept]], nodes[pairs[1, kept]]
+
+
 def settle(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Labels after joining the rows of each pair: the least row of each cluster."""
     while True:
@@ -153,13 +191,13 @@ def settle(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def compare(max_bits: int):
+def compare(max_bits: int, find=linked):
     """Function over rows sorted by key: links inside each key. A key has a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> pa.RecordBatch:
             keys, nodes, prints = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            a, b = linked(keys, nodes, prints, max_bits)
+            a, b = find(keys, nodes, prints, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -183,8 +221,8 @@ def compare(max_bits: int):
     return run
 
 
-def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree: int) -> DataFrame:
-    """Links a, b between nodes (node, fingerprint) that connect exactly what Hamming distances of max_bits or fewer connect within shared keys."""
+def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree: int, find=linked) -> DataFrame:
+    """Links a, b between nodes (node, fingerprint) that connect exactly what Hamming distances of max_bits or fewer connect within shared keys; with find=spanning each link is a pair that close."""
     keyed = store(nodes.select("node", "fingerprint").mapInArrow(block_keys(bits, blocks, agree), "key long, node long, fingerprint string"), "blocks")
     hot = store(keyed.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-keys")
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
@@ -192,7 +230,7 @@ def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree:
     cold = keyed.join(hot, "key", "left_anti").select("key", "node", "fingerprint")
     split = keyed.join(hot, "key").withColumn("chunk", chunk).select("key", F.explode(every).alias("pair"), "node", "fingerprint").select(F.xxhash64("key", "pair.i", "pair.j").alias("key"), "node", "fingerprint")
     dealt = cold.unionByName(split).repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(compare(max_bits), "a long, b long").distinct()
+    return dealt.mapInArrow(compare(max_bits, find), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,22 +252,49 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row."""
+def shingle_sets(rows: DataFrame, words: int, text_col: str, row_col: str) -> DataFrame:
+    """node and the sorted distinct shingle hashes of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in pc.fill_null(part.column(1), "").cast(pa.binary())]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], names=["node", "shingles"])
+
+    return rows.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(links: DataFrame, rows: DataFrame, similarity: float, words: int, text_col: str, row_col: str) -> DataFrame:
+    """The links whose texts' sets of shingles have a Jaccard similarity of at least `similarity`; texts without shingles are alike."""
+    links = store(links, "close-pairs")
+    ends = links.select(F.col("a").alias(row_col)).unionByName(links.select(F.col("b").alias(row_col))).distinct()
+    sets = store(shingle_sets(rows.join(ends, row_col, "left_semi"), words, text_col, row_col), "shingle-sets")
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where((common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row. With a similarity, links are also held against it exactly; row_col must then name the rows."""
     prints = store(fingerprints(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
     nodes = store(prints.groupBy("fingerprint").agg(first.alias("first")).select("fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
-    roots = components(close_links(nodes, 64 * lanes, max_bits, blocks, agree))
+    if similarity is None:
+        links = close_links(nodes, 64 * lanes, max_bits, blocks, agree)
+    else:
+        links = similar(close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning), docs, similarity, words, text_col, row_col)
+    roots = components(links)
     placed = nodes.join(roots, "node", "left").select("fingerprint", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("first"))
     classes = placed.select("fingerprint", "root").join(least, "root").select("fingerprint", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
     return prints.join(classes, "fingerprint").select("row_id", "doc_id", "fingerprint", "component_id", "component_row")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 42, lanes: int = 4, blocks: int = 21, agree: int = 1) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 47, lanes: int = 4, blocks: int = 25, agree: int = 1) -> DataFrame:
     """The rows of docs that stay, one of each component, with their columns.
 
-    256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Links of at most 20 bits are all found; beyond, a pair that differs in 39 bits shares one of the 21 blocks of 12 bits with a probability of 0.96."""
+    256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Pairs of up to 24 bits always share one of the 25 blocks; a pair that differs in 39 bits does with a probability of 0.99. Pairs of up to 47 bits, closer ones first and as many as it takes to connect what is close, are then held against the similarity itself."""
     rows, row = numbered(docs)
-    stay = near_duplicates(rows, words, max_bits, lanes, blocks, agree, row_col=row).where("row_id = component_row").select(F.col("row_id").alias(row))
+    stay = near_duplicates(rows, words, max_bits, lanes, blocks, agree, similarity, row_col=row).where("row_id = component_row").select(F.col("row_id").alias(row))
     return rows.join(stay, row, "left_semi").select(*(rows[c] for c in docs.columns))

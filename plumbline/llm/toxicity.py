@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,16 @@ EDGES = "\"'`.,;:!?()[]{}<>|*#%&$~_-–—…«»“”‘’/\\+=@^"
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the word and its n-grams, without the punctuation around it."""
+    """Buckets of the word and its n-grams of characters, without the punctuation around it."""
     framed = f"<{word.strip(EDGES)}>"
-    grams = {framed, *(framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1))}
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams)
+    raw = framed.encode("utf-8", "surrogatepass")
+    size, digest = len(framed), zlib.crc32
+    at = range(size + 1) if len(raw) == size else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in framed)]
+    found = [digest(raw) & BUCKETS - 1]
+    for n in GRAMS:
+        if n < size:
+            found += [digest(raw[at[i] : at[i + n]]) & BUCKETS - 1 for i in range(size - n + 1)]
+    return found
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

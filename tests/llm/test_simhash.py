@@ -97,3 +97,26 @@ def test_lanes_are_further_bits_of_the_hashes():
     h = np.array([1, 2, 3], dtype=np.uint64)
     assert len(simhash.fingerprint(h, 4)) == 32 and simhash.fingerprint(h, 4)[:8] == simhash.fingerprint(h)
     assert simhash.fingerprint(np.empty(0, dtype=np.uint64)) == b"\0" * 8
+
+
+def test_forest_connects_what_all_pairs_connect_closest_first():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 60, (2, 400))
+    bits = rng.integers(0, 9, 400)
+    kept = simhash.forest(60, pairs, bits)
+    for most in range(9):
+        whole = simhash.settle(np.arange(60), pairs[:, bits <= most])
+        some = simhash.settle(np.arange(60), pairs[:, kept[bits[kept] <= most]])
+        assert (whole == some).all()
+    assert len(kept) < 120  # at most one pair for each cluster and round
+
+
+def test_similarity_is_exact(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(104)]  # a hundred shingles of five words
+    far, near = list(words), list(words)
+    far[50:58] = [f"x{i}" for i in range(8)]  # 12 of 100 shingles go: 88 of 112, below 0.8
+    near[50:56] = [f"y{i}" for i in range(6)]  # 10 of 100 go: 90 of 110, above it
+    rows = [(1, " ".join(words)), (2, " ".join(far)), (3, " ".join(near))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {1, 2}

@@ -99,9 +99,8 @@ def breached(value: Column, operator: Column, threshold: Column) -> Column:
 
 def rollback_events(observations: DataFrame, triggers: DataFrame) -> DataFrame:
     """Observations (metric, observed_value, samples, window_seconds) that fire a trigger (trigger_id, metric, operator, threshold, min_samples, window_seconds): of the declared window, with enough samples, past the threshold."""
-    t = F.broadcast(triggers)  # a plan's triggers are written by hand
     fires = (F.col("samples") >= F.col("min_samples")) & breached(F.col("observed_value"), F.col("operator"), F.col("threshold"))
-    return observations.join(t, ["metric", "window_seconds"]).where(fires)
+    return observations.join(triggers, ["metric", "window_seconds"]).where(fires)
 
 
 def probe_states(updates: DataFrame, probes: DataFrame) -> DataFrame:

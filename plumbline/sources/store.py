@@ -1,15 +1,16 @@
 """The experiment store as Parquet tables, and the artifacts that feed it.
 
-An ingest appends the rows of new sources to the four row tables and publishes
-the sources last; readers see the rows of published sources only, so an ingest
-that breaks off leaves nothing to see, and running it again adds nothing twice.
+Each ingest has a partition of its own in every table, and its sources are written
+last; readers take the partitions whose sources are there, so an ingest that
+breaks off leaves nothing to see, and running it again adds nothing twice.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import canonical_json, composite_key
@@ -31,20 +32,36 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), whole.alias("document"))
 
 
-def normalize(artifacts: DataFrame) -> dict[str, DataFrame]:
-    """The rows of artifacts (source_name, document): sources, runs, checks, failure_records, variant_summaries. An artifact with an experiment_id is an experiment, any other one run. Outputs are kept as lengths and digests only."""
-    a = artifacts.select("source_name", F.sha2("document", 256).alias("source_sha256"), F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), F.array_contains(F.json_object_keys("document"), "experiment_id").alias("is_experiment")).dropDuplicates(["source_sha256"])
+def measured(checks: Column) -> Column:
+    """Checks with the lengths and digests of their outputs instead of these."""
+
+    def one(c: Column) -> Column:
+        for name in ("stdout", "stderr"):
+            c = c.withField(f"{name}_chars", F.length(c[name])).withField(f"{name}_sha256", F.sha2(c[name], 256))
+        return c.dropFields("stdout", "stderr")
+
+    return F.transform(checks, one)
+
+
+def parsed(artifacts: DataFrame) -> DataFrame:
+    """Artifacts (source_name, document) with fixed schemas, each content once and without raw outputs. One with an experiment_id is an experiment, any other a single run."""
+    a = F.from_json("document", f"struct<{ARTIFACT}>")
+    a = a.withField("checks", measured(a["checks"])).withField("runs", F.transform(a["runs"], lambda r: r.withField("result", r["result"].withField("checks", measured(r["result"]["checks"])))))
+    return artifacts.select("source_name", F.sha2("document", 256).alias("source_sha256"), a.alias("a"), F.array_contains(F.json_object_keys("document"), "experiment_id").alias("is_experiment")).dropDuplicates(["source_sha256"])
+
+
+def tables_of(a: DataFrame) -> dict[str, DataFrame]:
+    """The rows of parsed artifacts: sources, runs, checks, failure_records, variant_summaries. Outputs are kept as lengths and digests only."""
     sources = a.select("source_sha256", F.when(F.col("is_experiment"), "experiment").otherwise("run").alias("artifact_kind"), "source_name", F.col("a.schema_version").alias("artifact_schema_version"), F.current_timestamp().alias("ingested_at"))
     alone = F.array(F.struct(F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("int").alias("repetition"), F.struct(*(F.col(f"a.{c.split(':')[0]}") for c in ("capsule_id", "status", "started_at", "finished_at", "duration_seconds", "checks"))).alias("result")))
     each = a.select("source_sha256", F.col("a.experiment_id").alias("experiment_id"), F.explode(F.when(F.col("is_experiment"), F.col("a.runs")).otherwise(alone)).alias("r"))
     keyed = each.withColumn("run_key", composite_key(F.col("source_sha256"), F.coalesce("r.run_id", F.lit("standalone"))))
-    checks_of = F.coalesce("r.result.checks", F.array().cast(f"array<{CHECK}>"))
-    runs = keyed.select("run_key", "source_sha256", "experiment_id", "r.run_id", "r.variant_id", "r.repetition", "r.result.capsule_id", "r.result.status", "r.result.started_at", "r.result.finished_at", "r.result.duration_seconds", F.size(checks_of).alias("check_count"))
-    c = keyed.select("source_sha256", "run_key", F.posexplode(checks_of).alias("check_index", "c"))
+    runs = keyed.select("run_key", "source_sha256", "experiment_id", "r.run_id", "r.variant_id", "r.repetition", "r.result.capsule_id", "r.result.status", "r.result.started_at", "r.result.finished_at", "r.result.duration_seconds", F.when(F.col("r.result.checks").isNull(), 0).otherwise(F.size("r.result.checks")).alias("check_count"))
+    c = keyed.select("source_sha256", "run_key", F.posexplode("r.result.checks").alias("check_index", "c"))
     c = c.withColumn("check_key", composite_key(F.col("run_key"), F.col("check_index"), F.col("c.id")))
     checks = c.select(
         "check_key", "run_key", "source_sha256", "check_index", F.col("c.id").alias("check_id"), "c.status", "c.exit_code", "c.duration_seconds", "c.cwd", F.to_json("c.argv").alias("argv_json"),
-        F.length("c.stdout").alias("stdout_chars"), F.length("c.stderr").alias("stderr_chars"), F.sha2("c.stdout", 256).alias("stdout_sha256"), F.sha2("c.stderr", 256).alias("stderr_sha256"), "c.stdout_truncated", "c.stderr_truncated", F.col("c.error").alias("error_message"),
+        "c.stdout_chars", "c.stderr_chars", "c.stdout_sha256", "c.stderr_sha256", "c.stdout_truncated", "c.stderr_truncated", F.col("c.error").alias("error_message"),
     )
     failures = c.where("c.failure is not null").select(
         composite_key(F.col("check_key"), F.col("c.failure.code")).alias("failure_key"), "check_key", "run_key", "source_sha256", "c.failure.category", "c.failure.code", "c.failure.impact", "c.failure.retryability", "c.failure.summary",
@@ -55,6 +72,10 @@ def normalize(artifacts: DataFrame) -> dict[str, DataFrame]:
     return {"sources": sources, "runs": runs, "checks": checks, "failure_records": failures, "variant_summaries": summaries}
 
 
+def normalize(artifacts: DataFrame) -> dict[str, DataFrame]:
+    return tables_of(parsed(artifacts))
+
+
 def initialize(spark: SparkSession, root: str) -> None:
     """Create an empty store; one that is there must have this version."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/store_metadata")
@@ -64,32 +85,37 @@ def initialize(spark: SparkSession, root: str) -> None:
             raise ValueError("the store has another version")
         return
     for name in (*ROW_TABLES, "sources"):
-        spark.createDataFrame([], TABLES[name]).write.parquet(f"{root}/{name}")
+        spark.createDataFrame([], TABLES[name]).write.parquet(f"{root}/{name}/ingest=none")
     spark.createDataFrame([("schema_version", STORE_VERSION)], TABLES["store_metadata"]).write.parquet(f"{root}/store_metadata")
 
 
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(f"{TABLES[name]}, ingest string").parquet(f"{root}/{name}")
+
+
 def ingest(artifacts: DataFrame, root: str) -> int:
-    """Add artifacts whose bytes the store does not know; returns how many sources are new."""
-    spark = artifacts.sparkSession
-    known = spark.read.schema(TABLES["sources"]).parquet(f"{root}/sources")
-    new = artifacts.join(known.select(F.col("source_sha256").alias("k")), F.sha2("document", 256) == F.col("k"), "left_anti")
-    rows = normalize(new)
-    twice = rows["runs"].groupBy("run_key").count().where("count > 1")
-    if not twice.isEmpty():
+    """Add artifacts whose bytes the store does not know; returns how many sources are new. Documents are parsed once, into a staging table."""
+    spark, mark = artifacts.sparkSession, uuid.uuid4().hex
+    known = read_table(spark, root, "sources").select(F.col("source_sha256").alias("k"))
+    staged = f"{root}/_staging/{mark}"
+    parsed(artifacts.join(known, F.sha2("document", 256) == F.col("k"), "left_anti")).write.option("compression", "zstd").parquet(staged)
+    rows = tables_of(spark.read.parquet(staged))
+    if not rows["runs"].groupBy("run_key").count().where("count > 1").isEmpty():
         raise ValueError("an artifact names one run twice")
-    for name in ROW_TABLES:
-        rows[name].select(*spark.createDataFrame([], TABLES[name]).columns).write.mode("append").option("compression", "zstd").parquet(f"{root}/{name}")
-    added = rows["sources"].count()
-    rows["sources"].write.mode("append").parquet(f"{root}/sources")
-    return added
+    for name in (*ROW_TABLES, "sources"):
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        rows[name].select(*columns).write.option("compression", "zstd").parquet(f"{root}/{name}/ingest={mark}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.read.schema(TABLES["sources"]).parquet(f"{root}/sources/ingest={mark}").count()
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The store's tables, of published sources only and each row once."""
-    sources = spark.read.schema(TABLES["sources"]).parquet(f"{root}/sources")
-    keys = {"runs": "run_key", "checks": "check_key", "failure_records": "failure_key", "variant_summaries": "summary_key"}
-    tables = {name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}").join(sources.select("source_sha256"), "source_sha256", "left_semi").dropDuplicates([key]) for name, key in keys.items()}
-    return tables | {"sources": sources, "store_metadata": spark.read.schema(TABLES["store_metadata"]).parquet(f"{root}/store_metadata")}
+    """The store's tables: the partitions of finished ingests."""
+    sources = read_table(spark, root, "sources")
+    finished = sources.select("ingest").distinct()
+    tables = {name: read_table(spark, root, name).join(finished, "ingest", "left_semi").drop("ingest") for name in ROW_TABLES}
+    return tables | {"sources": sources.drop("ingest"), "store_metadata": spark.read.schema(TABLES["store_metadata"]).parquet(f"{root}/store_metadata")}
 
 
 def info(tables: Mapping[str, DataFrame]) -> DataFrame:

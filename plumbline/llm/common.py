@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return path
 
 

@@ -104,7 +104,7 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside[np.cumsum(sizes[lo:hi] + 1) - 1] = False
             tokens[inside] = rank[index] + 1
             listed = b"\n".join(words[i] for i in order)
-            row = {"chunk": task << 24 | made, "doc_ids": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": batch.column(1).slice(lo, hi - lo).to_pylist(), "sizes": (sizes[lo:hi] + 1).tolist(), "words": zstandard.ZstdCompressor(level=3).compress(listed), "n_words": len(words), "tokens": pack(tokens), "n_tokens": len(tokens)}
+            row = {"chunk": task << 20 | made, "doc_ids": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": batch.column(1).slice(lo, hi - lo).to_pylist(), "sizes": (sizes[lo:hi] + 1).tolist(), "words": zstandard.ZstdCompressor(level=3).compress(listed), "n_words": len(words), "tokens": pack(tokens), "n_tokens": len(tokens)}
             made += 1
             yield pa.RecordBatch.from_pylist([row], schema=CHUNKS_ARROW)
 
@@ -234,7 +234,7 @@ def score(model: Model):
             per = lambda v: np.bincount(doc, v, len(c.sizes))
             base = np.log10((count + 1) / (model.tokens + model.types + 1))
             unseen, n = np.unique(doc[~known[place]] * len(c.hashes) + c.before[~known[place]], return_counts=True)
-            rows_of = row["chunk"] << 22
+            rows_of = row["chunk"] << 11  # a chunk has CHUNK_ROWS documents at most
             none = lambda n, kind: pa.nulls(n, kind)
             d, h, u = len(c.sizes), len(firsts), len(unseen)
             parts = [

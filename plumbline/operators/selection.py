@@ -39,7 +39,7 @@ def latest_message(events: DataFrame, *by: str, role: str = "user") -> DataFrame
 
 
 def latest_correction(events: DataFrame, *by: str) -> DataFrame:
-    """Of each group, the correcting message that is last, with the message it corrects and the feedback event between them; a correction without exactly one of each counts as a fault (matches <> 1)."""
+    """Of each group, the correcting message that is last, with the message it corrects and the feedback event of the pair, and how many corrections are whole in this way."""
     feedback = events.where("event_type = 'feedback.observed'").select("trace_id", F.col("sequence").alias("feedback_sequence"), "message_id", "correction_of", *by)
     messages = events.where("event_type = 'message.observed'")
     correcting = messages.select("trace_id", "message_id", "content", "timestamp", "sequence")

@@ -95,7 +95,6 @@ def otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("bigint")
     length = F.floor(F.col("value")).cast("bigint") * 1_000_000
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c + 1)), n, "0")
-    text = lambda c: F.to_json(F.struct(c.alias("stringValue")))  # noqa: E731, F841
     span = F.struct(
         hexed(F.col("user_id"), 32).alias("traceId"), F.upper(hexed(F.col("event_id"), 16)).alias("spanId"), F.col("event_type").alias("name"), F.lit(1).alias("kind"), ns.cast("string").alias("startTimeUnixNano"), (ns + length).cast("string").alias("endTimeUnixNano"),
         F.array(F.struct(F.lit("event.type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))).alias("attributes"),

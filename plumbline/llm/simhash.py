@@ -3,8 +3,9 @@
 A document's fingerprint has a bit for each bit of its shingles' hashes that is
 set in over half of them. Fingerprints that are close share a block of bits: the
 bits are cut into `blocks`, and each choice of `agree` blocks is a key. If at
-most blocks - agree bits differ, some key is the same. Equal fingerprints are
-one node, so a text with a third of all rows is one. Nodes are dealt by key,
+most blocks - agree bits differ, some key is the same. Equal fingerprints (equal
+sets of shingles where links are held against a similarity) are one node, so a
+text with a third of all rows is one. Nodes are dealt by key,
 those with one key are compared by Hamming distance, and the links found go to a
 distributed search for connected components (hooking and shortcutting; every
 round is written to the shared folder).
@@ -89,6 +90,22 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
     return rows.mapInArrow(run, "row_id long, doc_id long, fingerprint string")
 
 
+def signatures(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    """row_id, doc_id, fingerprint and digest (of the sorted distinct shingles) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, digests = [], []
+            for t in pc.fill_null(batch.column(2), "").cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py(), words)
+                made.append(fingerprint(hashes, lanes).hex())
+                digests.append(xxhash.xxh3_128_hexdigest(np.unique(hashes).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array(digests, pa.string())], names=["row_id", "doc_id", "fingerprint", "digest"])
+
+    rows = docs.select(F.col(row_col).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "row_id long, doc_id long, fingerprint string, digest string")
+
+
 def packed(hexes: pa.Array) -> np.ndarray:
     """Fingerprints as rows of 64-bit words."""
     raw = bytes.fromhex("".join(hexes.to_pylist()))
@@ -277,18 +294,22 @@ def similar(links: DataFrame, rows: DataFrame, similarity: float, words: int, te
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row. With a similarity, links are also held against it exactly; row_col must then name the rows."""
-    prints = store(fingerprints(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
-    nodes = store(prints.groupBy("fingerprint").agg(first.alias("first")).select("fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     if similarity is None:
+        same = "fingerprint"
+        prints = store(fingerprints(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
+        nodes = store(prints.groupBy(same).agg(first).select(same, F.col("first.row_id").alias("node"), "first"), "nodes")
         links = close_links(nodes, 64 * lanes, max_bits, blocks, agree)
     else:
+        same = "digest"
+        prints = store(signatures(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
+        nodes = store(prints.groupBy(same).agg(first, F.min("fingerprint").alias("fingerprint")).select(same, "fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
         links = similar(close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning), docs, similarity, words, text_col, row_col)
     roots = components(links)
-    placed = nodes.join(roots, "node", "left").select("fingerprint", "first", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, "node", "left").select(same, "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("first"))
-    classes = placed.select("fingerprint", "root").join(least, "root").select("fingerprint", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
-    return prints.join(classes, "fingerprint").select("row_id", "doc_id", "fingerprint", "component_id", "component_row")
+    classes = placed.select(same, "root").join(least, "root").select(same, F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
+    return prints.join(classes, same).select("row_id", "doc_id", "fingerprint", "component_id", "component_row")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 47, lanes: int = 4, blocks: int = 25, agree: int = 1) -> DataFrame:

@@ -120,3 +120,16 @@ def test_similarity_is_exact(spark):
     rows = [(1, " ".join(words)), (2, " ".join(far)), (3, " ".join(near))]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {1, 2}
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_equal_fingerprints_are_held_against_the_similarity(spark):
+    rng = random.Random(5)
+    body = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    line = "one two three four five six seven eight nine "
+    texts = ["spam " * 1000 + body(300) for _ in range(2)] + [line * 200 + body(150) for _ in range(2)]
+    assert kept_of(spark, texts) == {0, 1, 2, 3}
+    assert kept_of(spark, ["spam " * 1000, "spam " * 900, texts[0], "spam " * 50 + texts[0]]) == {0, 2}

@@ -13,7 +13,9 @@ round is written to the shared folder).
 A key that more than `CHUNK` nodes share is not skipped: its nodes are split into
 chunks and every two chunks meet in a group of their own, so memory stays
 bounded and no link is lost. A group gives each node one link to a node in its
-cluster, not all its pairs.
+cluster, not all its pairs. Where links are also held against a similarity, those
+that pass are joined first; then all other pairs of a cluster of close nodes whose
+ends are still apart are held against it, so none hangs on which links were given.
 
 Cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; a null id is a
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, numbered, store
 
 SEED, CHUNK, FLUSH = 42, 2048, 200_000
+#: Nodes of a chunk whose sets of shingles meet those of another chunk.
+MEET = 512
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -282,16 +286,86 @@ def shingle_sets(rows: DataFrame, words: int, text_col: str, row_col: str) -> Da
     return rows.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def similar(links: DataFrame, rows: DataFrame, similarity: float, words: int, text_col: str, row_col: str) -> DataFrame:
-    """The links whose texts' sets of shingles have a Jaccard similarity of at least `similarity`; texts without shingles are alike."""
-    links = store(links, "close-pairs")
-    ends = links.select(F.col("a").alias(row_col)).unionByName(links.select(F.col("b").alias(row_col))).distinct()
-    sets = store(shingle_sets(rows.join(ends, row_col, "left_semi"), words, text_col, row_col), "shingle-sets")
+def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose sets of shingles have a Jaccard similarity of at least `similarity`; empty sets are alike."""
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where((common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)).select("a", "b")
 
 
+def passing(nodes: np.ndarray, roots: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that connect, beside what has one root already, what all pairs of sets with the similarity connect. flat: the sets in a row."""
+    ids = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    label = np.unique(roots, return_inverse=True)[1]
+    flag, found = np.zeros(int(ids.max(initial=-1)) + 1, dtype=bool), []
+    for i in range(len(nodes) - 1):
+        if not sizes[i]:
+            continue
+        lo, hi = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        others = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (lo >= similarity * hi))
+        if not len(others):
+            continue
+        mine = ids[ends[i] - sizes[i] : ends[i]]
+        flag[mine] = True
+        if len(others) < 8:
+            common = np.array([np.count_nonzero(flag[ids[ends[j] - sizes[j] : ends[j]]]) for j in others.tolist()])
+        else:
+            upto = np.append(0, np.cumsum(flag[ids[ends[i] :]]))
+            common = upto[ends[others] - ends[i]] - upto[ends[others] - sizes[others] - ends[i]]
+        flag[mine] = False
+        for j in others[common >= similarity * (sizes[i] + sizes[others] - common)].tolist():
+            if label[j] != label[i]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def meeting(similarity: float):
+    """Function over rows (meet, node, root, shingles) sorted by meet, a bounded number for each: the links found in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            sets = whole.column("shingles").combine_chunks()
+            pairs = passing(np.asarray(whole.column("node")), np.asarray(whole.column("root")), np.asarray(sets.flatten()), np.asarray(pc.list_value_length(sets)).astype(np.int64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=PAIR)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            meet = np.asarray(batch.column(0))
+            edges = [0, *(np.flatnonzero(np.diff(meet)) + 1).tolist(), len(meet)]
+            for lo, hi in zip(edges, edges[1:]):
+                if held and hi > lo and held[-1].column(0)[0].as_py() != meet[lo]:
+                    yield found(held)
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield found(held)
+
+    return run
+
+
+def left_apart(links: DataFrame, passed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes that candidate links connect and those that passed do not: all pairs of a cluster of candidates with different roots are held against the similarity. Clusters are cut into chunks of at most about `MEET` nodes, and every two chunks meet, but for chunks of one root."""
+    of_links, of_passed = (components(x) for x in (links, passed))
+    members = sets.select("node").join(of_links.withColumnRenamed("root", "cluster"), "node", "left").join(of_passed, "node", "left")
+    members = store(members.select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("root", "node").alias("root")), "members")
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("cluster").agg(F.count("*").alias("roots"), F.sum("n").alias("nodes")).where("roots > 1 and nodes > 2").select("cluster")
+    held = F.when(F.col("n") > MEET, F.col("root").cast("string")).otherwise("")
+    sizes = store(sizes.join(apart, "cluster", "left_semi").select("cluster", "root", "n", held.alias("of")), "roots")
+    pools = sizes.groupBy("cluster", "of").agg(F.ceil(F.sum("n") / MEET).cast("int").alias("chunks"))
+    chunks = store(pools.select("cluster", "of", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k")), "chunks")
+    a, b = (chunks.select("cluster", F.struct("of", "k").alias(x)) for x in "ab")
+    meets = a.join(b, "cluster").where("a <= b and (a.of <> b.of or a.of = '')").select("cluster", "a", "b", F.xxhash64("cluster", "a", "b").alias("meet"))
+    places = meets.select("cluster", "a.*", "meet").unionByName(meets.where("a <> b").select("cluster", "b.*", "meet"))
+    placed = members.join(sizes.select("cluster", "root", "of"), ["cluster", "root"]).join(pools, ["cluster", "of"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = placed.join(places, ["cluster", "of", "k"]).select("meet", "node", "root").join(sets, "node").select("meet", "node", "root", "shingles")
+    return dealt.repartition("meet").sortWithinPartitions("meet", "node").mapInArrow(meeting(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row. With a similarity, links are also held against it exactly; row_col must then name the rows."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
@@ -304,7 +378,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: i
         same = "digest"
         prints = store(signatures(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
         nodes = store(prints.groupBy(same).agg(first, F.min("fingerprint").alias("fingerprint")).select(same, "fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
-        links = similar(close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning), docs, similarity, words, text_col, row_col)
+        close = store(close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning), "close-pairs")
+        ends = close.select(F.col("a").alias(row_col)).unionByName(close.select(F.col("b").alias(row_col))).distinct()
+        sets = store(shingle_sets(docs.join(ends, row_col, "left_semi"), words, text_col, row_col), "shingle-sets")
+        passed = store(similar(close, sets, similarity), "passed")
+        links = store(passed.unionByName(left_apart(close, passed, sets, similarity)), "similar-pairs")
+        drop_stored(sets)
     roots = components(links)
     placed = nodes.join(roots, "node", "left").select(same, "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("first"))
@@ -315,7 +394,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: i
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 47, lanes: int = 4, blocks: int = 25, agree: int = 1) -> DataFrame:
     """The rows of docs that stay, one of each component, with their columns.
 
-    256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Pairs of up to 24 bits always share one of the 25 blocks; a pair that differs in 39 bits does with a probability of 0.99. Pairs of up to 47 bits, closer ones first and as many as it takes to connect what is close, are then held against the similarity itself."""
+    256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Pairs of up to 24 bits always share one of the 25 blocks; a pair that differs in 39 bits does with a probability of 0.99. Pairs of up to 47 bits connect nodes to clusters; in each, every pair not yet connected by pairs that passed is held against the similarity itself."""
     rows, row = numbered(docs)
     stay = near_duplicates(rows, words, max_bits, lanes, blocks, agree, similarity, row_col=row).where("row_id = component_row").select(F.col("row_id").alias(row))
     return rows.join(stay, row, "left_semi").select(*(rows[c] for c in docs.columns))

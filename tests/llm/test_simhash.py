@@ -133,3 +133,31 @@ def test_equal_fingerprints_are_held_against_the_similarity(spark):
     texts = ["spam " * 1000 + body(300) for _ in range(2)] + [line * 200 + body(150) for _ in range(2)]
     assert kept_of(spark, texts) == {0, 1, 2, 3}
     assert kept_of(spark, ["spam " * 1000, "spam " * 900, texts[0], "spam " * 50 + texts[0]]) == {0, 2}
+
+
+def test_no_pair_hangs_on_which_candidates_connect_a_family(spark, monkeypatch):
+    rng = random.Random(11)
+    token = lambda: f"w{rng.getrandbits(40)}"
+    base = [token() for _ in range(1004)]
+    texts = []
+    for k in range(250):  # a family at J of about 0.76, and in it pairs at 0.8018
+        copy = list(base)
+        for at in rng.sample(range(200), 14):
+            copy[at * 5 + 4] = token()
+        texts.append(copy)
+        if k % 10 == 0:
+            pair = list(copy)
+            for at in rng.sample([i for i in range(200) if copy[i * 5 + 4] == base[i * 5 + 4]], 22):
+                pair[at * 5 + 4] = token()
+            texts.append(pair)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(root) - len(set(root)) >= 25
+    rows = [" ".join(t) for t in texts]
+    assert kept_of(spark, rows) == set(root)
+    monkeypatch.setattr(simhash, "MEET", 16)
+    assert kept_of(spark, rows) == set(root)

@@ -16,6 +16,8 @@ bounded and no link is lost. A group gives each node one link to a node in its
 cluster, not all its pairs. Where links are also held against a similarity, those
 that pass are joined first; then all other pairs of a cluster of close nodes whose
 ends are still apart are held against it, so none hangs on which links were given.
+Fingerprints are then of distinct shingles, and texts of few shingles, whose bits
+say little, are found by the shingles that they share (a prefix filter, exact).
 
 Cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; a null id is a
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, numbered, store
@@ -41,6 +43,8 @@ from .common import drop_stored, numbered, store
 SEED, CHUNK, FLUSH = 42, 2048, 200_000
 #: Nodes of a chunk whose sets of shingles meet those of another chunk.
 MEET = 512
+#: Texts of at most so many shingles are also found by a shingle they share.
+FEW = 80
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -95,19 +99,20 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
 
 
 def signatures(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """row_id, doc_id, fingerprint and digest (of the sorted distinct shingles) of every row."""
+    """row_id, doc_id, fingerprint of the distinct shingles, digest of them and, up to `FEW`, they themselves, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, digests = [], []
+            made, digests, few = [], [], []
             for t in pc.fill_null(batch.column(2), "").cast(pa.binary()):
-                hashes = shingle_hashes(t.as_py(), words)
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
                 made.append(fingerprint(hashes, lanes).hex())
-                digests.append(xxhash.xxh3_128_hexdigest(np.unique(hashes).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array(digests, pa.string())], names=["row_id", "doc_id", "fingerprint", "digest"])
+                digests.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+                few.append(hashes.view(np.int64) if len(hashes) <= FEW else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array(digests, pa.string()), pa.array(few, pa.list_(pa.int64()))], names=["row_id", "doc_id", "fingerprint", "digest", "few"])
 
     rows = docs.select(F.col(row_col).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row_id long, doc_id long, fingerprint string, digest string")
+    return rows.mapInArrow(run, "row_id long, doc_id long, fingerprint string, digest string, few array<long>")
 
 
 def packed(hexes: pa.Array) -> np.ndarray:
@@ -293,6 +298,17 @@ def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)).select("a", "b")
 
 
+def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all pairs of sets (node, few) with the similarity, among others: such sets share one of their rarest shingles, of which each is asked for as many as the similarity leaves out, and one more."""
+    each = store(nodes.where("few is not null").select("node", F.size("few").alias("n"), F.explode("few").alias("shingle")), "few-shingles")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("node").orderBy("times", "shingle")
+    asked = each.join(counts, "shingle").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    asked = store(asked.where("times > 1").select("node", "shingle"), "rare-shingles")
+    least = asked.groupBy("shingle").agg(F.min("node").alias("a"))
+    return asked.join(least, "shingle").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def passing(nodes: np.ndarray, roots: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs that connect, beside what has one root already, what all pairs of sets with the similarity connect. flat: the sets in a row."""
     ids = np.unique(flat, return_inverse=True)[1]
@@ -377,8 +393,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: i
     else:
         same = "digest"
         prints = store(signatures(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
-        nodes = store(prints.groupBy(same).agg(first, F.min("fingerprint").alias("fingerprint")).select(same, "fingerprint", F.col("first.row_id").alias("node"), "first"), "nodes")
-        close = store(close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning), "close-pairs")
+        nodes = store(prints.groupBy(same).agg(first, F.min("fingerprint").alias("fingerprint"), F.min("few").alias("few")).select(same, "fingerprint", "few", F.col("first.row_id").alias("node"), "first"), "nodes")
+        close = close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning).unionByName(few_links(nodes, similarity))
+        close = store(close.distinct(), "close-pairs")
         ends = close.select(F.col("a").alias(row_col)).unionByName(close.select(F.col("b").alias(row_col))).distinct()
         sets = store(shingle_sets(docs.join(ends, row_col, "left_semi"), words, text_col, row_col), "shingle-sets")
         passed = store(similar(close, sets, similarity), "passed")
@@ -391,10 +408,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: i
     return prints.join(classes, same).select("row_id", "doc_id", "fingerprint", "component_id", "component_row")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 47, lanes: int = 4, blocks: int = 25, agree: int = 1) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 64, lanes: int = 4, blocks: int = 30, agree: int = 1) -> DataFrame:
     """The rows of docs that stay, one of each component, with their columns.
 
-    256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average. Pairs of up to 24 bits always share one of the 25 blocks; a pair that differs in 39 bits does with a probability of 0.99. Pairs of up to 47 bits connect nodes to clusters; in each, every pair not yet connected by pairs that passed is held against the similarity itself."""
+    256-bit fingerprints of distinct five-word shingles: a Jaccard similarity of 0.8 makes 39 bits differ on average, with a standard deviation of 6. Pairs of up to 29 bits always share one of the 30 blocks; a pair that differs in 39 bits does with a probability of 0.999, one in 50 bits of 0.99. Pairs of up to 64 bits connect nodes to clusters, and so do rare shingles of texts of up to 80 shingles, where no pair is missed; in each cluster, every pair not yet connected by pairs that passed is held against the similarity itself."""
     rows, row = numbered(docs)
     stay = near_duplicates(rows, words, max_bits, lanes, blocks, agree, similarity, row_col=row).where("row_id = component_row").select(F.col("row_id").alias(row))
     return rows.join(stay, row, "left_semi").select(*(rows[c] for c in docs.columns))

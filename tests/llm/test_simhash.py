@@ -161,3 +161,25 @@ def test_no_pair_hangs_on_which_candidates_connect_a_family(spark, monkeypatch):
     assert kept_of(spark, rows) == set(root)
     monkeypatch.setattr(simhash, "MEET", 16)
     assert kept_of(spark, rows) == set(root)
+
+
+def test_recall_of_short_texts_repeats_and_pairs_at_the_threshold(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    texts, last = [], lambda: [texts.append(" ".join(w)) for w in pair]
+    for _ in range(150):
+        body = words(8)
+        pair = (body, [*body, *words(1)])  # J 4/5
+        last()
+    for _ in range(150):
+        body = words(60)
+        pair = ([*body, *["spam"] * 400], [*body, *["ham"] * 400])  # J 56/66
+        last()
+    for _ in range(300):
+        body = words(404)
+        pair = (body, [*words(44), *body[44:]])  # J 356/444 = 0.802
+        last()
+    kept = kept_of(spark, texts)
+    gone = [i for i in range(0, len(texts), 2) if i in kept and i + 1 not in kept]
+    assert len([i for i in gone if i < 300]) == 150 and len([i for i in gone if 300 <= i < 600]) == 150
+    assert len([i for i in gone if i >= 600]) >= 297

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 _own: dict[str, str] = {}
+#: The folders of tables made by store(), by the identity of the DataFrame as long as it lives.
+_stored: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, one of our own, but only if driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return path
 
@@ -32,7 +37,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = (weakref.ref(out, lambda _, key=id(out): _stored.pop(key, None)), path)
+    return out
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -45,7 +52,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by store() that nothing reads any more."""
-    spark = df.sparkSession
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    spark, root = df.sparkSession, _stored.pop(id(df), (None, None))[1]
+    if root:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -94,8 +94,8 @@ SELECT page_id, host, CAST(n_block AS BIGINT) AS n_block, CAST(n_allow AS BIGINT
 FROM m
 """
 
-#: The mixture of op4: integer weights of each node among its siblings, half of all tokens, two epochs at most.
-MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
+#: The mixture of op4: integer weights of each node among its siblings (one source gets nothing), half of all tokens, two epochs at most.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src7": 0}}
 
 
 def source_domain() -> Column:
@@ -124,27 +124,29 @@ OP4_SQL = (
 WITH r AS (
   SELECT doc_id, coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '^src([0-9]{1,9})$', 1), '') AS INTEGER) % 4 AS VARCHAR), '-') AS domain,
          coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS tokens
+]+')) AS BIGINT) AS tokens,
+         coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, ''))) AS drawn_by
   FROM documents),
-l AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL),
+l AS (SELECT domain, lang, source, CAST(sum(r.tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN source = 'src7' THEN 0 ELSE r.tokens END) AS BIGINT) AS able FROM r GROUP BY ALL),
 n1 AS (
-  SELECT domain, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
+  SELECT domain, CAST(sum(able) * 2 AS BIGINT) AS capacity, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
          CAST(floor(sum(sum(tokens)) OVER () / 2) AS BIGINT) AS budget
   FROM l GROUP BY domain),"""
     + _fill_sql("n1", "", "domain", "g1")
     + """,
 n2 AS (
-  SELECT l.domain, l.lang, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(g1.granted) AS budget
+  SELECT l.domain, l.lang, CAST(sum(able) * 2 AS BIGINT) AS capacity, CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(g1.granted) AS budget
   FROM l JOIN g1 USING (domain) GROUP BY l.domain, l.lang),"""
     + _fill_sql("n2", "domain", "lang", "g2")
     + """,
-n3 AS (SELECT l.domain, l.lang, l.source, l.tokens AS leaf_tokens, tokens * 2 AS capacity, 1 AS weight, g2.granted AS budget FROM l JOIN g2 USING (domain, lang)),"""
+n3 AS (SELECT l.domain, l.lang, l.source, l.tokens AS leaf_tokens, able * 2 AS capacity, CASE WHEN l.source = 'src7' THEN 0 ELSE 1 END AS weight, g2.granted AS budget FROM l JOIN g2 USING (domain, lang)),"""
     + _fill_sql("n3", "domain, lang", "source", "g3")
     + """,
+b AS (SELECT l.domain, l.lang, l.source, l.tokens AS leaf_tokens, coalesce(g3.granted, 0) AS granted FROM l LEFT JOIN g3 USING (domain, lang, source)),
 e AS (
-  SELECT r.*, g3.granted AS leaf_budget, CASE WHEN leaf_tokens > 0 THEN CAST(granted // leaf_tokens AS BIGINT) ELSE 0 END AS epochs, g3.leaf_tokens
-  FROM r JOIN g3 USING (domain, lang, source)),
-k AS (SELECT *, leaf_budget - epochs * leaf_tokens AS remain, md5('17:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM e),
+  SELECT r.*, b.granted AS leaf_budget, CASE WHEN leaf_tokens > 0 THEN CAST(granted // leaf_tokens AS BIGINT) ELSE 0 END AS epochs, b.leaf_tokens
+  FROM r JOIN b USING (domain, lang, source)),
+k AS (SELECT *, leaf_budget - epochs * leaf_tokens AS remain, md5('17:' || epochs || ':' || drawn_by) AS draw FROM e),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, domain, lang, source, tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget, CAST(epochs + CASE WHEN remain > 0 AND upto <= remain THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM u

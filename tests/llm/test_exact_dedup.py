@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
 
-from plumbline.llm.exact_dedup import Directory, build_index, drop_copies, exact_dedup
+import pyarrow as pa
+
+from plumbline.llm import exact_dedup as exact_dedup_module
+from plumbline.llm.exact_dedup import DIGESTS, Directory, Entry, build_index, drop_copies, exact_dedup, lookup
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, key string, norm int"
@@ -33,31 +37,67 @@ def test_empty_table(spark):
     assert exact_dedup(empty).count() == 0 and drop_copies(empty).count() == 0
 
 
+def keys_of(n):
+    keys = [int.from_bytes(hashlib.sha256(str(i).encode()).digest()[:8], "big") >> 4 | 5 << 60 for i in range(n)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
 def test_directory_doubles_splits_and_keeps_chains_together():
     d = Directory(4, 3)
-    keys = [int.from_bytes(hashlib.sha256(str(i).encode()).digest()[:8], "big") >> 4 | 5 << 60 for i in range(300)]
-    keys += [keys[0]] * 9  # one key, many entries: no split can part them
+    keys = keys_of(300)
+    keys += [keys[0]] * 9  # one key, many texts: no split can part them
     for i, k in enumerate(keys):
-        d.insert(k - (1 << 64) if k >> 63 else k, i)
-    rows = list(d.rows())
-    assert sorted(e for *_, e in rows) == list(range(309))
-    assert len({(p, depth) for p, depth, _, _ in rows}) > 50 and 1 << d.depth == len(d.slots)
-    for prefix, depth, k, _ in rows:
-        assert format((k & (1 << 64) - 1) >> 60 - depth & (1 << depth) - 1, f"0{depth}b") == prefix
-    sizes = {}
-    for prefix, _, k, _ in rows:
-        sizes.setdefault(prefix, set()).add(k)
-    assert all(len(s) <= 3 for s in sizes.values())
+        d.insert(k, Entry(b"%d" % i, "", 1, (0, False, i, i, i), [i]))
+    assert all(d.find(k, b"%d" % i).reps == [i] and d.find(k, b"none") is None for i, k in enumerate(keys))
+    top, *pages = d.pages(5)
+    assert 1 << d.depth == len(top["slots"]) == len(d.slots) and len(pages) > 50
+    assert sorted(r for p in pages for e in p["entries"] for r in e["reps"]) == list(range(309))
+    for p in pages:
+        assert len({e["key"] for e in p["entries"]}) <= 3
+        assert all(top["slots"][d.bits(e["key"], d.depth)] == p["bucket"] for e in p["entries"])
 
 
-def test_equal_keys_are_told_apart_by_their_bytes(spark):
-    cells = [(1, 1, 1, "s", 1, 42, b"one", 1, 3, 1, 1), (2, 2, 1, "s", 2, 42, b"two", 1, 3, 2, 2), (3, 3, 1, "s", 3, 42, b"one", 1, 4, 3, 3)]
-    from plumbline.llm.exact_dedup import DIGESTS
+def owned(rows, capacity=4):
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key_range", "key", "norm", "text_sha256", "rep_row", "n", "best_chars", "best_id", "best_row"), r, strict=True)) for r in rows])
+    out = [p for b in exact_dedup_module.owner(1, capacity)(iter([batch])) for p in b.to_pylist()]
+    return sorted((e["keep_id"], e["group_size"], sorted(e["reps"])) for p in out if p["entries"] for e in p["entries"])
+
+
+def test_owner_finds_equals_in_any_order_and_only_by_its_directory(monkeypatch):
+    keys = keys_of(40)
+    rows = [(1 if k < 0 else 0, k, b"t%d" % (i % 20), "", i, 1, 9, i, i) for i, k in enumerate([*keys[:20], *keys[:20]])]
+    want = owned(sorted(rows))
+    assert [n for _, n, _ in want] == [2] * 20
+    for seed in range(5):
+        mixed = rows[:]
+        random.Random(seed).shuffle(mixed)
+        assert owned(sorted(mixed, key=lambda r: r[0])) == want
+    monkeypatch.setattr(Directory, "find", lambda *_: None)
+    assert [n for _, n, _ in owned(sorted(rows))] == [1] * 40
 
-    index = {r.rep_row: r for r in build_index(spark.createDataFrame(cells, DIGESTS)).collect()}
+
+def test_long_lists_of_copies_go_on_in_further_pages(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "PAGE_REPS", 3)
+    key = keys_of(1)[0]
+    assert owned([(1 if key < 0 else 0, key, b"t", "", i, 1, 9, i, i) for i in range(10)]) == [(0, 10, [0, 1, 2]), (0, 10, [3, 4, 5]), (0, 10, [6, 7, 8]), (0, 10, [9])]
+
+
+def test_equal_keys_are_told_apart_by_their_bytes(spark):
+    cells = [(1, 1, "s", 42, 1, b"one", 1, 3, 1, 1), (2, 2, "s", 42, 2, b"two", 1, 3, 2, 2), (3, 3, "s", 42, 3, b"one", 1, 4, 3, 3)]
+    pages = build_index(spark.createDataFrame(cells, DIGESTS)).where("entries is not null").collect()
+    index = {rep: e for p in pages for e in p.entries for rep in e.reps}
     assert index[1].keep_row == index[3].keep_row == 3 and index[1].group_size == 2
     assert index[2].keep_row == 2 and index[2].chain != index[1].chain
 
 
+def test_later_batches_are_looked_up_in_the_pages(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 90}", "k", i) for i in range(300)], DOCS).repartition(3)
+    digests = docs.select(docs.doc_id.alias("row_id"), "doc_id", "text").mapInArrow(exact_dedup_module.digest_rows, DIGESTS)
+    index = build_index(digests, capacity=2)
+    later = spark.createDataFrame([(1000 + i, f"te xt\t{i}", "k", i) for i in range(120)] + [(5000, None, "k", 1)], DOCS)
+    got = {r.doc_id: r.keep_id for r in lookup(index, later).collect()}
+    assert got == {1000 + i: i if i < 90 else None for i in range(120)} | {5000: None}
+
+
 def test_query(same):
     same(QUERIES["op1_exact_dedup"], ORACLE_SQL["op1_exact_dedup"])

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import mtree
@@ -68,5 +70,40 @@ def test_tree_keeps_its_invariants_and_prunes():
     assert sorted(seen) == list(range(4000))
 
 
+def test_bounds_spare_pages_and_cells():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 900, (40, 6))
+    vectors = (centres[np.repeat(np.arange(40), 100)] + rng.normal(0, 5, (4000, 6))).astype(np.int64)
+    longest = float((vectors.astype(float) ** 2).sum(axis=1).max())
+    points = mtree.lifted(vectors, longest)
+    pages = mtree.load_tree(np.arange(4000), vectors, points)
+    tree = {p["page"]: {"leaf": p["leaf"], "refs": np.array(p["refs"]), "vectors": (v := np.frombuffer(p["vectors"], dtype=np.int64).reshape(-1, 6)), "radius": np.array(p["radius"]), "parent_distance": np.array(p["parent_distance"]), "points": mtree.lifted(v, longest)} for p in pages}
+    slack = 1e-6 * (1 + math.sqrt(longest))
+    queries = vectors[np.argsort(-(points[:, :-1] ** 2).sum(axis=1))[:20]]  # the longest ones lie near their own neighbours
+    seen = [0, 0]
+    for n, q in enumerate(queries):
+        scores = vectors @ q
+        want = sorted(((int(s), -i) for i, s in enumerate(scores)), reverse=True)[:10]
+        assert sorted(mtree.search(tree, -1, q, 10, longest, slack, None, seen), reverse=True) == want
+        assert sorted(mtree.search(tree, -1, q, 10, longest, slack, want[-1][0]), reverse=True) == want
+    assert seen[0] < 0.2 * 20 * len(pages) and seen[1] < 0.2 * 20 * 4000
+    pivots = points[mtree.far_apart(points, 40)]
+    dealt = [b for b in mtree.dealer(pivots, 6, longest)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(vectors.astype(float).tolist()), pa.array([True] * 4000)], names=["vec_id", "v", "q"])]))]
+    cell, distance = (np.concatenate([np.asarray(b.column(c)) for b in dealt]) for c in (3, 4))
+    radii = np.array([distance[cell == c].max() for c in range(len(pivots))])
+    floors = [sorted((vectors @ q).tolist())[-10] for q in queries]
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(20)), pa.array(queries.astype(float).tolist()), pa.array(floors)], names=["vec_id", "v", "floor"])
+    routed = [r for b in mtree.router(pivots, radii, 6, longest, slack)(iter([asked])) for r in b.to_pylist()]
+    assert len(routed) < 0.3 * 20 * len(pivots)
+    for n, q in enumerate(queries):
+        best = set(cell[vectors @ q >= floors[n]].tolist())
+        assert best <= {r["cell"] for r in routed if r["vec_id"] == n}
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    with pytest.raises(ValueError, match="fit a long"):
+        mtree.top_k(spark.createDataFrame([(0, [3e6] * 4, ""), (1, [1e9, 0.0], "")], ROWS))
+
+
 def test_query(same):
     same(QUERIES["op8_top_k"], ORACLE_SQL["op8_top_k"])

@@ -6,15 +6,16 @@ steps back to a shorter one where two neighbours are incompatible. Two tokens
 are compatible when the merges leave their concatenation as just these two; a
 sequence whose neighbours are all compatible is the one the merges give, so a
 position that failed once never has to be tried again and the work is linear.
-The compatibility table is filled as pairs appear.
+The compatibility table is filled as pairs appear, and emptied when it is large.
 
 The vocabulary file is read by the driver and broadcast; its size is fixed by
 the tokenizer, not by the data.
 
 Cases: a null text is the empty text and has no tokens; special tokens in a text
 become their ids, as the tokenizers library does it; texts of any length are
-encoded whole; rows repeated in full are encoded each; other columns, whatever
-their names, are ignored by encode() and kept by with_tokens().
+encoded whole; rows repeated in full are encoded each; a null id stays null; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces up to so many characters are remembered, and so many of them.
 CACHED_CHARS, CACHED_PIECES = 48, 400_000
+#: Pairs that the compatibility table holds before it is filled anew.
+CACHED_PAIRS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -101,6 +104,8 @@ class Encoder:
                     rank = self.ranks.get((x, y))
                     if rank is not None and (when := max(rank, x_made, y_made)) < x_used and when <= y_used:
                         known = False
+            if len(self.fits) >= CACHED_PAIRS:
+                self.fits.clear()
             self.fits[a, b] = known
         return known
 

@@ -55,11 +55,12 @@ def url_captures(pages: DataFrame) -> DataFrame:
 
 
 def url_entries(pages: DataFrame) -> DataFrame:
-    """Dated list entries made of the hosts of the table: by the digits of the host's md5, hosts come onto a list in January to June and may leave it 90 days later; two domains have fixed entries."""
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct().withColumn("h", F.md5("host"))
+    """Dated list entries made of the hosts and the urls of the table: by the digits of its md5, each may come onto a list in January to June and leave it 90 days later; two domains have fixed entries."""
+    hosts = pages.select(F.lit("domain").alias("kind"), host_of(F.col("url")).alias("pattern")).where("pattern is not null").distinct()
+    subjects = hosts.unionByName(pages.select(F.lit("url").alias("kind"), F.col("url").alias("pattern")).where("pattern is not null").distinct()).withColumn("h", F.md5(F.col("pattern").cast("binary")))
     digit = lambda k: F.conv(F.substring("h", k, 1), 16, 10).cast("int")
     at = F.date_add(F.lit("2024-01-01").cast("date"), digit(3) * 11)
-    listed = hosts.select(F.lit("domain").alias("kind"), F.when(digit(1) < 5, "block").when(digit(1) < 7, "allow").alias("list"), F.col("host").alias("pattern"), at.alias("at"), (digit(2) < 8).alias("leaves")).where("list is not null")
+    listed = subjects.select("kind", F.when(digit(1) < 5, "block").when(digit(1) < 7, "allow").alias("list"), "pattern", at.alias("at"), (digit(2) < 8).alias("leaves")).where("list is not null")
     added = listed.select("kind", "list", "pattern", F.lit("add").alias("action"), "at")
     removed = listed.where("leaves").select("kind", "list", "pattern", F.lit("remove").alias("action"), F.date_add("at", 90).alias("at"))
     fixed = pages.sparkSession.createDataFrame([("domain", "block", "example.org", "add", "2024-05-01"), ("domain", "block", "example.org", "remove", "2024-08-01"), ("domain", "block", "example.org", "add", "2024-11-01"), ("domain", "allow", "example.net", "add", "2024-10-01")], "kind string, list string, pattern string, action string, at string")
@@ -74,24 +75,27 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH c AS (
   SELECT page_id, DATE '2024-01-01' + CAST(coalesce(page_id, 0) % 366 AS INTEGER) AS fetched,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)', 1)), '\.+$', ''), '') AS host, url
   FROM pages),
-h AS (SELECT DISTINCT host, md5(host) AS h FROM c WHERE host IS NOT NULL),
-d AS (SELECT host, strpos('0123456789abcdef', h[1]) - 1 AS d1, strpos('0123456789abcdef', h[2]) - 1 AS d2, strpos('0123456789abcdef', h[3]) - 1 AS d3 FROM h),
+h AS (
+  SELECT DISTINCT 'domain' AS kind, host, md5(host) AS h FROM c WHERE host IS NOT NULL
+  UNION ALL SELECT DISTINCT 'url', url, md5(url) FROM c WHERE url IS NOT NULL),
+d AS (SELECT kind, host, strpos('0123456789abcdef', h[1]) - 1 AS d1, strpos('0123456789abcdef', h[2]) - 1 AS d2, strpos('0123456789abcdef', h[3]) - 1 AS d3 FROM h),
 i AS (
-  SELECT host AS pattern, CASE WHEN d1 < 5 THEN 'block' ELSE 'allow' END AS list, DATE '2024-01-01' + CAST(d3 * 11 AS INTEGER) AS f,
+  SELECT kind, host AS pattern, CASE WHEN d1 < 5 THEN 'block' ELSE 'allow' END AS list, DATE '2024-01-01' + CAST(d3 * 11 AS INTEGER) AS f,
          CASE WHEN d2 < 8 THEN DATE '2024-01-01' + CAST(d3 * 11 + 90 AS INTEGER) END AS t
   FROM d WHERE d1 < 7
-  UNION ALL SELECT 'example.org', 'block', DATE '2024-05-01', DATE '2024-08-01'
-  UNION ALL SELECT 'example.org', 'block', DATE '2024-11-01', NULL
-  UNION ALL SELECT 'example.net', 'allow', DATE '2024-10-01', NULL),
+  UNION ALL SELECT 'domain', 'example.org', 'block', DATE '2024-05-01', DATE '2024-08-01'
+  UNION ALL SELECT 'domain', 'example.org', 'block', DATE '2024-11-01', NULL
+  UNION ALL SELECT 'domain', 'example.net', 'allow', DATE '2024-10-01', NULL),
+k AS (SELECT DISTINCT host, url, fetched FROM c),
 m AS (
-  SELECT c.page_id, c.host, count(*) FILTER (i.list = 'block') AS n_block, count(*) FILTER (i.list = 'allow') AS n_allow
-  FROM c LEFT JOIN i ON (c.host = i.pattern OR c.host LIKE '%.' || i.pattern) AND c.fetched >= i.f AND (i.t IS NULL OR c.fetched < i.t)
-  GROUP BY c.page_id, c.host)
-SELECT page_id, host, CAST(n_block AS BIGINT) AS n_block, CAST(n_allow AS BIGINT) AS n_allow,
+  SELECT k.host, k.url, k.fetched, count(*) FILTER (i.list = 'block') AS n_block, count(*) FILTER (i.list = 'allow') AS n_allow
+  FROM k JOIN i ON (i.kind = 'domain' AND (k.host = i.pattern OR k.host LIKE '%.' || i.pattern) OR i.kind = 'url' AND k.url = i.pattern) AND k.fetched >= i.f AND (i.t IS NULL OR k.fetched < i.t)
+  GROUP BY k.host, k.url, k.fetched)
+SELECT page_id, c.host, CAST(coalesce(n_block, 0) AS BIGINT) AS n_block, CAST(coalesce(n_allow, 0) AS BIGINT) AS n_allow,
        CASE WHEN n_allow > 0 THEN 'allowed' WHEN n_block > 0 THEN 'blocked' ELSE 'unlisted' END AS verdict
-FROM m
+FROM c LEFT JOIN m ON m.url = c.url AND m.fetched = c.fetched AND m.host IS NOT DISTINCT FROM c.host
 """
 
 #: The mixture of op4: integer weights of each node among its siblings (one source gets nothing), half of all tokens, two epochs at most.

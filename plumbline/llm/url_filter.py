@@ -11,8 +11,10 @@ and the captures side of the join can be split, as no aggregate stands on it.
 Cases: a null url, or one without a host, is unlisted; a null fetch time is
 before every entry; an entry without pattern or date is ignored, repeated
 entries count once, and of an add and a remove at one moment the remove wins;
-hosts compare in lower case and without a closing dot; empty lists leave all
-captures unlisted.
+hosts compare in lower case and without a closing dot, and an IPv6 host with its
+brackets; urls compare whole, whatever their length; repeated captures are judged
+each; empty lists leave all captures unlisted, and an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)"
 
 
 def host_of(url: Column) -> Column:

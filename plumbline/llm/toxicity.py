@@ -9,14 +9,18 @@ fifth of the sample tells when to stop. As the model is linear, a task
 needs no vectors: each word adds one number to a document's log odds.
 
 The model is fitted on at most `most[k]` labelled rows of label k (the smallest
-hashes of their ids), which the driver collects; every document is
-scored, whole, in the tasks.
-
-Cases: a null or blank text scores 0; rows without a label or with a null one
-teach nothing; a document labelled twice counts as toxic if any label says so;
+hashes of their ids) by one task, and only the weights come to the driver; every
+document is scored, whole, in the tasks. The border between the labels goes by
+the share of label 1 among all labelled rows, not among those that were fitted.
+
+Cases: a null or blank text scores 0; texts of any length are scored whole, and
+those fitted are held at once by the fitting task; rows without a label or with a
+null one teach nothing; a document labelled twice counts as toxic if any label
+says so; of different texts with one id, the one with the smallest hash teaches;
 a null id is held out; without both labels every text that has words scores the
-share of label 1 (0 if there is none); other columns, whatever their names, are
-ignored; repeated rows are scored each.
+share of label 1 (0 if there is none); equal texts have equal scores, and a score
+of exactly one half is toxic; repeated rows are scored each; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_stored, store
+
 BUCKETS, DIM = 1 << 17, 4
-#: A bucket is trained if |t| is at least the first, and at least the second times the root of the number of toxic texts; the means are scaled so that embeddings stay near 1.
-TELLING, EFFECT, SCALE = 3.5, 0.16, 50.0
+#: A bucket is trained if |t| of its share between the labels is at least the first; the means are scaled so that embeddings stay near 1.
+TELLING, SCALE = 3.5, 50.0
 GRAMS = (3, 4, 5, 6, 8)
 #: Words whose weight a task remembers.
 CACHED_WORDS = 500_000
@@ -99,8 +105,8 @@ class Groups:
         return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
-    """Full-batch Adam on the softmax and on the buckets whose share tells the labels apart (`TELLING`, `EFFECT`); of all epochs, the one that does best on the fifth kept apart."""
+def fit(texts: list[str], labels: list[int], toxic_share: float | None = None, epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
+    """Full-batch Adam on the softmax and on the buckets whose share tells the labels apart (`TELLING`); of all epochs, the one that does best on the fifth kept apart. toxic_share: of label 1 among all rows that the texts are a sample of."""
     y = np.asarray(labels, dtype=np.int64)
     at, words, sizes = bags(pa.array(texts, pa.string()))
     if len(set(y[sizes > 0].tolist())) < 2:
@@ -131,7 +137,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
     docs = np.array([max(1, int(((y == k) & ~tuning & (sizes > 0)).sum())) for k in (0, 1)], dtype=float)
     mean, square = telling[:2] / docs[:, None], telling[2:] / docs[:, None]
     t = (mean[1] - mean[0]) / np.sqrt(((square - mean**2) / docs[:, None]).sum(axis=0) + 1e-12)
-    used = np.flatnonzero(np.abs(t) >= max(TELLING, EFFECT * np.sqrt(docs[1])))
+    used = np.flatnonzero(np.abs(t) >= TELLING)
     used = used if len(used) >= 20 else np.argsort(-np.abs(t))[:200]
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
@@ -171,7 +177,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.0
     bucket = np.zeros(BUCKETS, np.float32)
     bucket[used] = SCALE * (e @ (w[:, 1] - w[:, 0]))
     # Trained with both labels weighing alike; where little tells them apart, the rarer one is not guessed.
-    rarer = 0.5 * np.log(y[sizes > 0].mean() / (1 - y[sizes > 0].mean()))
+    odds = y[sizes > 0].mean() if toxic_share is None else min(max(toxic_share, 1e-6), 1 - 1e-6)
+    rarer = 0.5 * np.log(odds / (1 - odds))
     return Weights(bucket, float(b[1] - b[0] + min(0.0, rarer)))
 
 
@@ -213,17 +220,36 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0)) % folds
 
 
+FITTED = "bucket binary, bias double, prior double"
+
+
+def fitting(toxic_share: float | None):
+    """Function of the one task that fits: its rows are the bounded sample, (doc_id, text, toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)), key=lambda r: r[0])
+        w = fit([r[1] or "" for r in rows], [r[2] for r in rows], toxic_share)
+        yield pa.RecordBatch.from_arrays([pa.array([w.bucket.tobytes()]), pa.array([w.bias], pa.float64()), pa.array([w.prior], pa.float64())], names=["bucket", "bias", "prior"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 1500), folds: int = 5, held_out_fold: int = 0) -> Weights:
     """Weights learned from at most most[k] rows of label k outside the held-out fold."""
     known = docs.select("doc_id").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = store(known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "labelled")
     chosen = None
     for k in (0, 1):
         part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k])
         chosen = part if chosen is None else chosen.union(part)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # sum(most) ids at most
+    sample = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("toxic").alias("toxic"))
+    row = sample.repartition(1).mapInArrow(fitting(known.agg(F.avg("toxic")).first()[0]), FITTED).first()
+    drop_stored(known)
+    if row is None:  # nothing is labelled
+        return fit([], [])
+    return Weights(np.frombuffer(row.bucket, np.float32), row.bias, row.prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 1500), folds: int = 5, held_out_fold: int = 0) -> DataFrame:

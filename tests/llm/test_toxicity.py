@@ -2,7 +2,7 @@ import random
 import zlib
 
 from plumbline.llm.queries import QUERIES
-from plumbline.llm.toxicity import drop_toxic, fit, subwords, toxicity
+from plumbline.llm.toxicity import drop_toxic, fit, subwords, toxicity, train
 
 BAD = ["idiot", "moron", "worthless", "pathetic"]
 
@@ -59,6 +59,29 @@ def test_edges(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _, p in got if not p)
 
 
+def test_the_text_that_teaches_does_not_hang_on_the_order_of_rows(spark):
+    rows = corpus(150)
+    docs, labels = frames(spark, rows + [(i, "la mi to " + rng_text, y) for (i, _, y), (_, rng_text, _) in zip(rows, corpus(150, 5), strict=True)])
+    a, b = (train(d, labels).bucket for d in (docs, docs.orderBy(docs.text.desc()).repartition(3)))
+    assert (a == b).all() and a.any()
+
+
+def test_the_border_goes_by_all_labels_not_by_the_sample():
+    rows = corpus(200)
+    few, many = (fit([t for _, t, _ in rows], [y for *_, y in rows], share).bias for share in (0.02, 0.25))
+    assert few < many
+
+
+def test_accuracy_of_the_scores_on_what_was_held_out(spark):
+    rows = corpus(600, 3)
+    docs, labels = frames(spark, rows)
+    held = toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r.predicted for r in held if r.toxic) >= 0.9 * sum(r.toxic for r in held)
+    assert sum(r.predicted for r in held if not r.toxic) <= 0.05 * len(held)
+    good, bad = ([r.score for r in held if r.toxic == k] for k in (0, 1))
+    assert sum(x < y for x in good for y in bad) >= 0.95 * len(good) * len(bad)
+
+
 def test_fit_without_texts_and_shared_subwords():
     assert fit([], []).prior == 0.0 and fit(["", "a"], [1, 1]).prior == 1.0
     assert len({*subwords("idiot")} & {*subwords("idioot")}) >= 4

@@ -18,9 +18,10 @@ Of records with equal payloads of at least `min_bytes`, the one with the
 smallest page id is the response, the others are revisits without payload.
 
 Cases: a null payload is empty; a null page id is larger than any other; rows
-that repeat the smallest id are responses each; records whose page id and payload
-repeat, or without page id, get identifiers by their place, so that every
-identifier is of one record, and revisits of such name the page id only; a
+that repeat the smallest id are responses each; records without page id, and
+those of a payload that some page id has twice, get identifiers by their place,
+so that every identifier is of one record, and such revisits name the page id
+only; a
 payload of any length lies in one frame; a null url leaves the target out, and
 control characters in one are percent-encoded; an empty table gives none; other
 columns are ignored.
@@ -153,17 +154,17 @@ class BundleWriter:
 
 
 def pack(folder: str, date: str, level: int):
-    """Function over rows (page_id, url, payload, size, digest, refers_to, refers_to_repeats, repeats) that writes bundles and gives their map rows."""
+    """Function over rows (page_id, url, payload, size, digest, refers_to, repeats) that writes bundles and gives their map rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
         bundle = None
         for batch in batches:
             payloads = batch.column(2)
-            for i, (page, url, size, digest, refers, refers_repeats, repeats) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7)), strict=True)):
+            for i, (page, url, size, digest, refers, repeats) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6)), strict=True)):
                 bundle = bundle or BundleWriter(folder, f"part-{task:06d}-{attempt}-{n:09d}.warc.zst", level)
                 identifier = record_id(page, digest, f"{task}:{n}" if repeats or page is None else "")
-                target = record_id(refers, digest) if refers is not None and not refers_repeats else None
+                target = record_id(refers, digest) if refers is not None and not repeats else None
                 bundle.add(identifier, page, record(identifier, page, url, payloads[i].as_py().encode() if refers is None else b"", size, digest, refers, target, date))
                 n += 1
                 if bundle.full:
@@ -191,10 +192,10 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_bytes: int =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest"))
     each = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    firsts = each.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by(F.col("n") > 1, "page_id").alias("first_repeats"), F.sum("n").alias("n")).where("n > 1 and first is not null").select("digest", "first", "first_repeats")
-    repeats = each.where("n > 1 and page_id is not null").select("digest", "page_id", F.lit(True).alias("repeats"))
+    classes = each.groupBy("digest").agg(F.min("page_id").alias("first"), F.bool_or(F.col("n") > 1).alias("repeats"), F.sum("n").alias("n"), F.first("size").alias("size"))
+    classes = classes.where("n > 1").select("digest", F.when(F.col("size") >= min_bytes, F.col("first")).alias("first"), "repeats")
     refers = F.when(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")), F.col("first"))
-    dealt = rows.join(firsts, "digest", "left").join(repeats, ["digest", "page_id"], "left").select("page_id", "url", "payload", "size", "digest", refers.alias("refers_to"), "first_repeats", "repeats")
+    dealt = rows.join(classes, "digest", "left").select("page_id", "url", "payload", "size", "digest", refers.alias("refers_to"), F.coalesce("repeats", F.lit(False)).alias("repeats"))
     return folder, store(dealt.mapInArrow(pack(folder, date, level), BUNDLES), "warc-map")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The separator of keys, identifiers, the marker of cut outputs, the longest run id.
 UNIT_SEPARATOR = "\x1f"
 ID_PATTERN = "^[a-zA-Z0-9][a-zA-Z0-9_.-]{0,127}$"
 TRUNCATED = "\n... <output truncated> ...\n"
@@ -157,6 +158,22 @@ def json_pointer(pointer: str):
     return find
 
 
+@F.pandas_udf(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("value", T.StringType())]))
+def value_at(texts: pd.Series, pointers: pd.Series) -> pd.DataFrame:
+    """Whether a row's pointer finds something in its JSON text, and the canonical JSON of it; nothing is found in what is no strict JSON. Each row has its own pointer."""
+    rows = []
+    for text, pointer in zip(texts, pointers, strict=True):
+        document = strict_or_none(text)
+        found, value = lookup(document, pointer or "") if document is not None or (text or "").strip() == "null" else (False, None)
+        rows.append({"found": found, "value": canonical(value) if found else None})
+    return pd.DataFrame(rows, columns=["found", "value"])
+
+
+def digest_mismatch(json_text: Column, claimed: Column) -> Column:
+    """Whether a JSON document is not the one of a claimed digest: no strict JSON, or another one in canonical form."""
+    return ~F.coalesce(canonical_digest(json_text) == claimed, F.lit(False))
+
+
 def mcnemar_tail(candidate_only: int, baseline_only: int) -> Fraction:
     """Exact one-sided tail: the chance of so many wins among the discordant pairs if either side wins evenly."""
     n = candidate_only + baseline_only

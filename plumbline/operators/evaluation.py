@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import ID_PATTERN, mcnemar_tail
+from plumbline.functions.scalars import ID_PATTERN, digest_mismatch, mcnemar_tail
 
 ROLES = ("train", "validation", "sealed_test")
 
@@ -75,15 +75,11 @@ def promotion_checks(rules: DataFrame, evidence: DataFrame) -> DataFrame:
         n, c, b = int(r["total"]), int(r["candidate_only_correct"]), int(r["baseline_only_correct"])
         gain, score, tail = Fraction(c - b, n), Fraction(int(r["both_correct"]) + c, n), mcnemar_tail(c, b)
         as_written = lambda name: Fraction(str(float(rule[name])))
-        failed = [
-            (n < rule["min_total"], f"total {n} is below required {int(rule['min_total'])}"),
-            (gain <= 0, "candidate must outperform baseline"),
-            (score < as_written("min_candidate_score"), f"candidate score {float(score):.6f} is below required {rule['min_candidate_score']:.6f}"),
-            (gain < as_written("min_absolute_improvement"), f"absolute improvement {float(gain):.6f} is below required {rule['min_absolute_improvement']:.6f}"),
-            (c + b < rule["min_discordant_pairs"], f"discordant pairs {c + b} are below required {int(rule['min_discordant_pairs'])}"),
-            (tail > as_written("max_one_sided_p_value"), f"one-sided p-value {float(tail):.6g} exceeds allowed {rule['max_one_sided_p_value']:.6g}"),
-        ]
-        reasons = [why for bad, why in failed if bad]
+        failed = {
+            "too few examples": n < rule["min_total"], "no gain": gain <= 0, "score too low": score < as_written("min_candidate_score"), "gain too small": gain < as_written("min_absolute_improvement"),
+            "too few discordant pairs": c + b < rule["min_discordant_pairs"], "chance too likely": tail > as_written("max_one_sided_p_value"),
+        }
+        reasons = [why for why, holds in failed.items() if holds]
         return pd.DataFrame([{"role": key[0], "passed": not reasons, "total": n, "absolute_improvement": float(gain), "discordant_pairs": c + b, "one_sided_p_value": float(tail), "reasons": reasons}])
 
     return rules.groupBy("role").cogroup(evidence.groupBy("role")).applyInPandas(judge, GATE_COLUMNS)
@@ -93,6 +89,40 @@ def promotion_decision(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(F.bool_and("passed"), "promote").otherwise("reject").alias("decision"), F.count("*").alias("rules"), F.count_if("passed").alias("rules_passed"))
 
 
+def materialize(decision: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates (variant_id, variant_sha256, document) that a decision (variant_id, variant_sha256, decision) promotes, if their documents are still those decided on."""
+    chosen = decision.where("decision = 'promote'").select("variant_id", "variant_sha256")
+    return candidates.join(chosen, ["variant_id", "variant_sha256"], "left_semi").where(~digest_mismatch(F.col("document"), F.col("variant_sha256")))
+
+
+def output_key_faults(outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """example_id, missing, unexpected of outputs (JSON objects) whose keys are not exactly those named; what is no object lacks all."""
+    found = F.coalesce(F.json_object_keys("outputs"), F.array().cast("array<string>"))
+    wanted = F.array(*map(F.lit, keys)).cast("array<string>")
+    rows = outputs.select("example_id", F.array_sort(F.array_except(wanted, found)).alias("missing"), F.array_sort(F.array_except(found, wanted)).alias("unexpected"))
+    return rows.where("size(missing) > 0 or size(unexpected) > 0")
+
+
+MAX_EXAMPLES = 10_000
+
+
+def public_digest(examples: DataFrame, *by: str) -> DataFrame:
+    """The digest of each dataset (at most `MAX_EXAMPLES` examples: example_id, inputs map) that can be told without its labels: of the sorted names of the inputs and the examples by id, in canonical JSON."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
+    entries = F.array_sort(F.transform(F.map_entries("inputs"), lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"]))))
+    one = F.concat(F.lit('{"id":'), quoted(F.col("example_id")), F.lit(',"inputs":{'), F.array_join(entries, ","), F.lit("}}"))
+    names = F.array_join(F.transform(F.array_sort(F.map_keys("inputs")), quoted), ",")
+    made = examples.groupBy(*by).agg(F.count("*").alias("examples"), F.min(names).alias("names"), F.array_sort(F.collect_list(F.struct("example_id", one.alias("json")))).alias("l"))
+    small = F.when(F.col("examples") > MAX_EXAMPLES, F.raise_error(F.lit("more examples than a dataset may have"))).otherwise(F.col("examples"))
+    body = F.concat(F.lit('{"examples":['), F.array_join(F.transform("l", lambda x: x["json"]), ","), F.lit('],"input_fields":['), F.col("names"), F.lit("]}"))
+    return made.select(*by, small.alias("examples"), F.sha2(body, 256).alias("public_sha256"))
+
+
+def payloads(examples: DataFrame) -> DataFrame:
+    """example_id, fields (inputs and outputs as one map) and input_keys, sorted, of examples (inputs, outputs as maps)."""
+    return examples.select("example_id", F.map_concat("inputs", "outputs").alias("fields"), F.array_sort(F.map_keys("inputs")).alias("input_keys"))
+
+
 def breached(value: Column, operator: Column, threshold: Column) -> Column:
     return F.when(operator == "lt", value < threshold).when(operator == "lte", value <= threshold).when(operator == "gt", value > threshold).when(operator == "gte", value >= threshold)
 

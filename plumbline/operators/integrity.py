@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import canonical_json, value_at
+
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size, sha256 of the files under a folder that Spark can read."""
@@ -29,6 +31,12 @@ def manifest_faults(entries: DataFrame) -> DataFrame:
     return twice.unionByName(under).unionByName(unequal)
 
 
+def total_faults(entries: DataFrame, claimed: DataFrame, *by: str) -> DataFrame:
+    """Trees (by, total_bytes as claimed) whose entries' sizes make another total, and entries listed (position) out of the order of their paths: by, fault."""
+    summed = claimed.join(entries.groupBy(*by).agg(F.sum("size").alias("found")), list(by), "left").where(~F.coalesce("found", F.lit(0)).eqNullSafe(F.col("total_bytes"))).select(*by, F.lit("total").alias("fault"))
+    return summed.unionByName(out_of_order(entries, "path", "position", *by).select(*by, F.lit("order").alias("fault")).distinct())
+
+
 def tree_totals(entries: DataFrame, *by: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"), F.count_distinct("sha256").alias("distinct_contents"))
 
@@ -56,6 +64,33 @@ def artifact_faults(artifacts: DataFrame, oracles: DataFrame) -> DataFrame:
     return met.select("artifact_id", failed.alias("failed"))
 
 
+def oracle_results(oracles: DataFrame, files: DataFrame) -> DataFrame:
+    """oracle_id, passed, error of oracles over files (path, content binary). An oracle has a kind (file, json or artifact), a path and, by kind: mode exists, absent, text_equals, text_contains or sha256 with an expected text; mode exists, absent or equals with a pointer and an expected JSON text; sha256, min_bytes and max_bytes."""
+    there = F.col("content").isNotNull()
+    text, digest = F.try_validate_utf8(F.col("content").cast("string")), F.sha2("content", 256)
+    met = oracles.join(files.select("path", "content"), "path", "left").withColumn("text", text)
+    met = met.withColumn("at", value_at("text", F.coalesce("pointer", F.lit("")))).withColumn("wanted", canonical_json("expected"))
+    size = F.octet_length("content")
+    mode, kind, expected = F.col("mode"), F.col("kind"), F.col("expected")
+    error = F.when(mode.isin("exists", "absent") & (kind == "file"), None).when(~there, "file does not exist").when((kind == "file") & mode.startswith("text") & F.col("text").isNull(), "not UTF-8").when((kind == "json") & canonical_json("text").isNull(), "no JSON document")
+    passed = (
+        F.when(kind == "file", F.when(mode == "exists", there).when(mode == "absent", ~there).when(mode == "text_equals", F.col("text") == expected).when(mode == "text_contains", F.contains("text", expected)).otherwise(digest == expected))
+        .when(kind == "json", F.when(mode == "exists", F.col("at.found")).when(mode == "absent", ~F.col("at.found")).otherwise(F.col("at.found") & (F.col("at.value") == F.col("wanted"))))
+        .otherwise((F.col("sha256").isNull() | (digest == F.col("sha256"))) & (F.col("min_bytes").isNull() | (size >= F.col("min_bytes"))) & (F.col("max_bytes").isNull() | (size <= F.col("max_bytes"))))
+    )
+    return met.select("oracle_id", (error.isNull() & F.coalesce(passed, F.lit(False))).alias("passed"), error.alias("error"))
+
+
+def mutated(oracles: DataFrame) -> DataFrame:
+    """Oracles of oracle_results(), each changed so that a sound check must fail: presence turned round, a digest that no content has, or a value that holds the expected one."""
+    presence, digest = F.col("mode").isin("exists", "absent"), F.lit("0" * 64)
+    other = lambda c: F.when(c.eqNullSafe(digest), F.lit("1" * 64)).otherwise(digest)
+    mode = F.when(presence, F.when(F.col("mode") == "exists", "absent").otherwise("exists")).when(F.col("kind") == "file", "sha256").otherwise(F.col("mode"))
+    wrapped = F.concat(F.lit('{"__mutation__":'), F.coalesce("expected", F.lit("null")), F.lit("}"))
+    expected = F.when(presence, None).when(F.col("kind") == "file", F.when(F.col("mode") == "sha256", other(F.col("expected"))).otherwise(digest)).when(F.col("kind") == "json", wrapped)
+    return oracles.withColumns({"mode": mode, "expected": expected, "sha256": F.when(F.col("kind") == "artifact", other(F.col("sha256")))})
+
+
 def mutate(oracles: DataFrame, operator: str) -> DataFrame:
     """Oracles changed so that a sound check must fail: invert_presence or digest_mismatch."""
     if operator == "invert_presence":
@@ -90,15 +125,28 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return left.select("workflow", "node").distinct()
 
 
-def span_depths(spans: DataFrame, deepest: int = 64) -> DataFrame:
-    """trace_id, span_id, depth of spans under their roots, a join for each level; spans whose parent is missing are roots, and spans of a cycle are left out."""
-    s = spans.select("trace_id", "span_id", "parent_span_id")
-    known = s.select("trace_id", F.col("span_id").alias("parent_span_id"))
-    level = s.join(known, ["trace_id", "parent_span_id"], "left_anti").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, deepest + 1):
-        level = s.join(level.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth")).checkpoint()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def span_depths(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, depth of spans under their roots, however deep; spans whose parent is missing are roots, a repeated span counts once, and spans of a cycle, or under one, have null depth. Each round doubles how far a span has looked up, so there are about as many rounds as the deepest depth has bits, each written out."""
+    s = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("parent"))
+    known = s.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("there"))
+    up = s.join(known, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("above"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")).checkpoint()
+    reach, size = 1, up.count()
+    while reach <= size and not (waiting := up.where("above is not null")).isEmpty():
+        higher = up.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        moved = waiting.join(higher, ["trace_id", "above"]).select("trace_id", "span_id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        up = up.where("above is null").unionByName(moved).checkpoint()
+        reach *= 2
+    return up.select("trace_id", "span_id", F.when(F.col("above").isNull(), F.col("depth")).alias("depth"))
+
+
+#: Entries whose listing one digest may cover: it is made of the whole listing, in order.
+MAX_LISTED = 100_000
+
+
+def listing_digest(entries: DataFrame, *by: str) -> DataFrame:
+    """sha256 of each listing (path, size, sha256, of at most `MAX_LISTED` entries), in canonical JSON by path; a larger one is an error, and tree_digest() the way."""
+    one = F.struct("path", F.concat(F.lit('{"path":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.lit(',"sha256":"'), F.col("sha256"), F.lit('","size":'), F.col("size").cast("string"), F.lit("}")).alias("json"))
+    counted = entries.groupBy(*by).agg(F.count("*").alias("n"))
+    small = counted.select(*by, F.when(F.col("n") > MAX_LISTED, F.raise_error(F.lit("too many entries for one listing"))).otherwise(F.col("n")).alias("entries"))
+    listed = entries.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    return small.join(listed, list(by)).select(*by, "entries", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["json"]), ","), F.lit("]")), 256).alias("listing_sha256"))

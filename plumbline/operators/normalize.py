@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scalars import ID_PATTERN, canonical, nanos_to_timestamp, strict_json
+from plumbline.operators.signatures import THINKING, TOOL_CALLS, TOOL_RESULTS, content_signature, message_signature, parts_fault
 
 TRANSCRIPT = "schema_version string, id string, capsule_id string, messages array<struct<id:string,role:string,content:string,timestamp:timestamp,name:string,tool_call_id:string,correction_of:string>>"
 ATTRIBUTES = "array<struct<key:string,value:string>>"
@@ -24,13 +25,14 @@ BLOCK = "type:string,text:string,refusal:string"
 ITEM = f"id:string,type:string,role:string,status:string,call_id:string,name:string,arguments:string,output:string,content:array<struct<{BLOCK}>>,summary:array<struct<type:string,text:string>>,encrypted_content:string"
 RESPONSES = f"id string, capsule_id string, responses array<struct<input_items:array<struct<{ITEM}>>,response:struct<id:string,created_at:double,instructions:string,output:array<struct<{ITEM}>>>>>"
 PART = "type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean"
-MESSAGES = f"id string, capsule_id string, records array<struct<request_id:string,timestamp:timestamp,system:string,messages:array<struct<id:string,role:string,content:array<struct<{PART}>>>>,response:struct<id:string,content:array<struct<{PART}>>>>>"
+BLOCKS = f"array<struct<{PART}>>"
+MESSAGES = "id string, capsule_id string, records array<struct<request_id:string,timestamp:timestamp,system:variant,messages:array<struct<id:string,role:string,content:variant>>,response:struct<id:string,content:variant>>>"
 CALL = "struct<id:string,name:string,args:string,tool_type:string,toolType:string,code:string,language:string>"
 ANSWER = "struct<id:string,name:string,response:string,output:string,outcome:string>"
 DATA = "struct<mime_type:string,mimeType:string>"
-GPART = f"text:string,thought:boolean,function_call:{CALL},functionCall:{CALL},function_response:{ANSWER},functionResponse:{ANSWER},executable_code:{CALL},executableCode:{CALL},code_execution_result:{ANSWER},codeExecutionResult:{ANSWER},inline_data:{DATA},inlineData:{DATA},file_data:{DATA},fileData:{DATA}"
-CONTENT = f"struct<id:string,role:string,parts:array<struct<{GPART}>>>"
-CONTENTS = f"id string, capsule_id string, records array<struct<request_id:string,timestamp:timestamp,system_instruction:{CONTENT},contents:array<{CONTENT}>,candidate_ids:array<string>,response:struct<response_id:string,responseId:string,candidates:array<struct<index:int,finish_reason:string,finishReason:string,content:struct<role:string,parts:array<struct<{GPART}>>>>>>>>"
+GPART = f"text:string,thought:boolean,function_call:{CALL},functionCall:{CALL},function_response:{ANSWER},functionResponse:{ANSWER},tool_call:{CALL},toolCall:{CALL},tool_response:{ANSWER},toolResponse:{ANSWER},executable_code:{CALL},executableCode:{CALL},code_execution_result:{ANSWER},codeExecutionResult:{ANSWER},inline_data:{DATA},inlineData:{DATA},file_data:{DATA},fileData:{DATA}"
+CONTENT = "struct<id:string,role:string,parts:array<variant>>"
+CONTENTS = f"id string, capsule_id string, records array<struct<request_id:string,timestamp:timestamp,system_instruction:{CONTENT},contents:array<{CONTENT}>,candidate_ids:array<string>,response:struct<response_id:string,responseId:string,candidates:array<struct<index:int,finish_reason:string,finishReason:string,content:struct<role:string,parts:array<variant>>>>>>>"
 
 
 def parsed(documents: DataFrame, schema: str) -> DataFrame:
@@ -111,18 +113,23 @@ def decoded_attributes(lists: pd.Series) -> pd.Series:
 
 
 def otlp_spans(documents: DataFrame) -> DataFrame:
-    """One row per span: lower-case ids, nanoseconds as bigint; a span out of shape gets a fault."""
+    """One row per span: lower-case ids, nanoseconds as bigint; a span out of shape, or one whose trace and id another span of the document has too, gets a fault."""
     r = parsed(documents, OTLP).select("source_name", F.posexplode("resourceSpans").alias("i", "r"))
     s = r.select("source_name", "i", F.col("r.resource.attributes").alias("resource"), F.posexplode("r.scopeSpans").alias("j", "s"))
     p = s.select("source_name", "i", "j", "resource", F.col("s.scope").alias("scope"), F.posexplode("s.spans").alias("k", "p"))
     t, sp = F.lower("p.traceId"), F.lower("p.spanId")
     start, end = F.col("p.startTimeUnixNano").try_cast("bigint"), F.col("p.endTimeUnixNano").try_cast("bigint")
-    fault = F.when(~F.coalesce(t.rlike("^[0-9a-f]{32}$") & ~t.rlike("^0+$"), F.lit(False)), "trace id").when(~F.coalesce(sp.rlike("^[0-9a-f]{16}$") & ~sp.rlike("^0+$"), F.lit(False)), "span id").when(start.isNull() | end.isNull() | (start < 0), "time").when(end < start, "ends before it starts")
+    fault = F.when(~F.coalesce(t.rlike("^[0-9a-f]{32}$") & ~t.rlike("^0+$"), F.lit(False)), "trace id").when(~F.coalesce(sp.rlike("^[0-9a-f]{16}$") & ~sp.rlike("^0+$"), F.lit(False)), "span id").when(start.isNull() | end.isNull() | (start < 0), "time").when(end < start, "ends before it starts").when(F.count("*").over(Window.partitionBy("source_name", t, sp)) > 1, "span id repeats")
     return p.select("source_name", t.alias("trace_id"), sp.alias("span_id"), F.lower("p.parentSpanId").alias("parent_span_id"), F.col("p.name").alias("name"), F.col("p.kind").alias("kind"), start.alias("start_ns"), end.alias("end_ns"), F.col("p.status").alias("status"), "resource", "scope", F.col("p.attributes").alias("attributes"), F.col("p.events").alias("events"), fault.alias("fault"))
 
 
+def otlp_faults(documents: DataFrame) -> DataFrame:
+    """source_name, trace_id, span_id, fault of the spans that otlp_events() leaves out."""
+    return otlp_spans(documents).where("fault is not null").select("source_name", "trace_id", "span_id", "fault")
+
+
 def otlp_events(documents: DataFrame, attributes: bool = True) -> DataFrame:
-    """span.started, its events and span.completed, by (nanoseconds, phase, span, place); equal times of one span keep the document's order."""
+    """Of sound spans (otlp_faults() names the others): span.started, its events and span.completed, by (nanoseconds, phase, span, place); equal times of one span keep the document's order."""
     spans = otlp_spans(documents).where("fault is null")
     none = F.lit(None)
     one = lambda ns, phase, kind, place, name, length: F.struct(ns.alias("ns"), F.lit(phase).alias("phase"), F.lit(kind).alias("event_type"), place.cast("int").alias("place"), name.alias("event_name"), length.cast("bigint").alias("duration_ns"))
@@ -184,23 +191,76 @@ def conflicting_calls(documents: DataFrame) -> DataFrame:
     return items.where("item.type = 'function_call' and item.call_id <> ''").groupBy("trace_id", F.col("item.call_id").alias("call_id")).agg(F.count_distinct("item.name").alias("names")).where("names > 1")
 
 
-TOOL_CALLS, TOOL_RESULTS, THINKING = ("tool_use", "server_tool_use"), ("tool_result", "web_search_tool_result"), ("thinking", "redacted_thinking")
+def archive_order_faults(records: DataFrame) -> DataFrame:
+    """trace_id, fault of archives' records (trace_id, rec, timestamp, response_id): missing or repeated response ids, missing or falling times."""
+    twice = records.where("response_id <> ''").groupBy("trace_id", "response_id").count().where("count > 1").select("trace_id", F.lit("response id repeats").alias("fault"))
+    before = F.lag("timestamp").over(Window.partitionBy("trace_id").orderBy("rec"))
+    each = records.withColumn("fault", F.when(F.coalesce(F.col("response_id"), F.lit("")) == "", "response without id").when(F.col("timestamp").isNull(), "record without time").when(F.col("timestamp") < before, "time falls"))
+    return twice.unionByName(each.where("fault is not null").select("trace_id", "fault"))
 
 
-def message_events(documents: DataFrame) -> DataFrame:
-    """Archived message exchanges: system, request messages and the response, each message once by id, followed by events for its blocks; an artifact after each record and one at the end."""
+def definition_conflicts(calls: DataFrame, fault: str) -> DataFrame:
+    """trace_id, fault of calls (trace_id, call_id, definition) whose id stands for more than one definition."""
+    return calls.where("call_id is not null").groupBy("trace_id", "call_id").agg(F.count_distinct("definition").alias("n")).where("n > 1").select("trace_id", F.lit(fault).alias("fault"))
+
+
+def signature_conflicts(messages: DataFrame) -> DataFrame:
+    """trace_id, fault of messages (trace_id, message_id, signature) whose id stands for different contents."""
+    return definition_conflicts(messages.select("trace_id", F.col("message_id").alias("call_id"), F.col("signature").alias("definition")), "message id with other content")
+
+
+def response_faults(documents: DataFrame) -> DataFrame:
+    """trace_id, fault of archives of responses: ids and times of the responses, and calls that occur under different names."""
+    d = parsed(documents, RESPONSES).select(F.col("id").alias("trace_id"), F.posexplode("responses").alias("rec", "r"))
+    records = d.select("trace_id", "rec", F.timestamp_micros(F.round(F.col("r.response.created_at") * 1_000_000).cast("bigint")).alias("timestamp"), F.col("r.response.id").alias("response_id"))
+    named = conflicting_calls(documents).select("trace_id", F.lit("call id with other name").alias("fault"))
+    return archive_order_faults(records).unionByName(named).distinct()
+
+
+def absent_if_null(json: Column) -> Column:
+    return F.when(json != "null", json)
+
+
+def blocks(content: Column) -> Column:
+    """The blocks of a message's content, which is JSON text of a text or of an array."""
+    alone = F.from_json(F.concat(F.lit('[{"type":"text","text":'), content, F.lit("}]")), BLOCKS)
+    return F.when(content.startswith('"'), alone).when(content.startswith("["), F.from_json(content, BLOCKS))
+
+
+def archived_messages(documents: DataFrame) -> DataFrame:
+    """trace_id, records, rec, timestamp, response_id, pos, message_id, role, content (JSON text), origin of each message that the records of message archives hold, in their order: system, request, response. A system message is named by its content."""
     d = parsed(documents, MESSAGES).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
-    blocks = f"array<struct<{PART}>>"
-    system = F.when(F.col("r.system").isNotNull(), F.array(F.struct(F.concat_ws(":", F.lit("system"), F.col("r.request_id")).alias("id"), F.lit("system").alias("role"), F.from_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("r.system").alias("text")))), blocks).alias("content"), F.lit("request").alias("origin"))))
-    asked = F.transform(F.coalesce("r.messages", F.array().cast(f"array<struct<id:string,role:string,content:{blocks}>>")), lambda m: F.struct(m["id"].alias("id"), m["role"].alias("role"), m["content"].alias("content"), F.lit("request").alias("origin")))
-    given = F.array(F.struct(F.col("r.response.id").alias("id"), F.lit("assistant").alias("role"), F.col("r.response.content").alias("content"), F.lit("response").alias("origin")))
-    kind_of = f"array<struct<id:string,role:string,content:{blocks},origin:string>>"
-    m = d.select("trace_id", "rec", F.col("r.timestamp").alias("timestamp"), F.posexplode(F.concat(F.coalesce(system.cast(kind_of), F.array().cast(kind_of)), asked.cast(kind_of), given.cast(kind_of))).alias("pos", "m"))
-    m = first_seen(m.withColumn("message_id", F.col("m.id")), "message_id", "rec", "pos")
-    show = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"].isin(*THINKING), "[thinking]").when(b["type"].isin(*TOOL_CALLS), F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("unknown")), F.lit("]"))).when(b["type"].isin(*TOOL_RESULTS), F.concat(F.lit("[tool_result:"), F.coalesce(b["tool_use_id"], F.lit("unknown")), F.lit("]"))).otherwise(F.concat(F.lit("["), b["type"], F.lit("]")))
-    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("block"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), F.col("m.role").alias("role"), joined_lines(F.transform("m.content", show)).alias("content"), F.col("m.origin").alias("origin"))
-    b = m.select("trace_id", "rec", "pos", "timestamp", "message_id", F.col("m.origin").alias("origin"), F.posexplode("m.content").alias("block", "b")).where("b.type <> 'text'")
-    calls = d.select("trace_id", F.explode(F.concat(F.flatten(F.transform(F.coalesce("r.messages", F.array().cast(f"array<struct<id:string,role:string,content:{blocks}>>")), lambda x: x["content"])), F.coalesce("r.response.content", F.array().cast(blocks)))).alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).groupBy("trace_id", F.col("b.id").alias("tool_use_id")).agg(F.max("b.name").alias("call_name"))
+    of = lambda i, role, content, origin: F.struct(i.alias("id"), role.alias("role"), content.alias("content"), F.lit(origin).alias("origin"))
+    d = d.withColumn("system", absent_if_null(F.to_json("r.system")))
+    d = d.withColumn("system_id", F.concat(F.lit("system:"), F.left(message_signature(F.when(F.col("system").isNotNull(), "system"), F.col("system")), F.lit(32))))
+    shape = "array<struct<id:string,role:string,content:string,origin:string>>"
+    system = F.when(F.col("system").isNotNull(), F.array(of(F.col("system_id"), F.lit("system"), F.col("system"), "request")))
+    asked = F.transform("r.messages", lambda m: of(m["id"], m["role"], F.to_json(m["content"]), "request"))
+    given = F.array(of(F.col("r.response.id"), F.lit("assistant"), F.to_json("r.response.content"), "response"))
+    every = F.concat(*(F.coalesce(x.cast(shape), F.array().cast(shape)) for x in (system, asked, given)))
+    return d.select("trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.col("r.response.id").alias("response_id"), F.posexplode(every).alias("pos", "m")).select("trace_id", "records", "rec", "timestamp", "response_id", "pos", F.col("m.id").alias("message_id"), "m.role", "m.content", "m.origin")
+
+
+def message_faults(documents: DataFrame) -> DataFrame:
+    """trace_id, fault of message archives: ids and times of the records, contents that are neither text nor array, message ids with other contents, tool calls without id, name or input, and tool ids with other definitions."""
+    m = archived_messages(documents).withColumn("blocks", blocks(F.col("content")))
+    shape = m.where("blocks is null").select("trace_id", F.lit("content is neither text nor array").alias("fault"))
+    calls = m.select("trace_id", F.explode("blocks").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).select("trace_id", F.col("b.id").alias("call_id"), "b.name", F.col("b.input").alias("input"), F.concat_ws("\x1f", "b.type", "b.name", "b.input").alias("definition"))
+    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not coalesce(startswith(input, '{'), false)").select("trace_id", F.lit("tool call without id, name or input").alias("fault"))
+    signed = m.where("blocks is not null").select("trace_id", "message_id", message_signature("role", "content").alias("signature"))
+    order = archive_order_faults(m.where("origin = 'response'").select("trace_id", "rec", "timestamp", "response_id"))
+    return order.unionByName(shape).unionByName(bad).unionByName(definition_conflicts(calls, "tool id with other definition")).unionByName(signature_conflicts(signed)).distinct()
+
+
+def message_events(documents: DataFrame) -> DataFrame:
+    """Archived message exchanges: system, request messages and the response, each message once by id, followed by events for its blocks; an artifact after each record and one at the end. message_faults() names what is out of shape; a message without readable content is told with null content."""
+    m = archived_messages(documents).withColumn("content", blocks(F.col("content")))
+    per_record = m.where("origin = 'response'").select("trace_id", "records", "rec", "timestamp")
+    calls = m.select("trace_id", F.explode("content").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).groupBy("trace_id", F.col("b.id").alias("tool_use_id")).agg(F.max("b.name").alias("call_name"))
+    m = first_seen(m, "message_id", "rec", "pos")
+    show = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"].isin(*THINKING), "[thinking]").when(b["type"].isin(*TOOL_CALLS), F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("unknown")), F.lit("]"))).when(b["type"].isin(*TOOL_RESULTS), F.concat(F.lit("[tool_result:"), F.coalesce(b["tool_use_id"], F.lit("unknown")), F.lit("]"))).when(b["type"] == "mid_conversation_system", "[system]").otherwise(F.concat(F.lit("["), b["type"], F.lit("]")))
+    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("block"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", joined_lines(F.transform("content", show)).alias("content"), "origin")
+    b = m.select("trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("content").alias("block", "b")).where("b.type <> 'text'")
     kind = F.col("b.type")
     done = b.withColumn("tool_use_id", F.coalesce("b.tool_use_id", "b.id")).join(calls, ["trace_id", "tool_use_id"], "left").select(
         "trace_id", "rec", "pos", "block", "timestamp", "message_id", "origin",
@@ -211,9 +271,9 @@ def message_events(documents: DataFrame) -> DataFrame:
         F.when(kind.isin(*TOOL_RESULTS), F.col("call_name").isNotNull()).alias("linked_call"), F.when(kind.isin(*TOOL_RESULTS), F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
     )
     far = F.lit(1 << 30)
-    start = d.where("rec = 0").select("trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("block"), F.col("r.timestamp").alias("timestamp"), F.lit("conversation.started").alias("event_type"))
-    after = d.select("trace_id", "rec", far.alias("pos"), F.lit(0).alias("block"), F.col("r.timestamp").alias("timestamp"), F.lit("artifact.observed").alias("event_type"), F.lit("message").alias("artifact_kind"))
-    end = d.where("rec = records - 1").select("trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("block"), F.col("r.timestamp").alias("timestamp"), F.lit("artifact.observed").alias("event_type"), F.lit("conversation").alias("artifact_kind"))
+    start = per_record.where("rec = 0").select("trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("block"), "timestamp", F.lit("conversation.started").alias("event_type"))
+    after = per_record.select("trace_id", "rec", far.alias("pos"), F.lit(0).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("message").alias("artifact_kind"))
+    end = per_record.where("rec = records - 1").select("trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("conversation").alias("artifact_kind"))
     rows = start
     for more in (said, done, after, end):
         rows = rows.unionByName(more, allowMissingColumns=True)
@@ -221,44 +281,81 @@ def message_events(documents: DataFrame) -> DataFrame:
 
 
 def either(part: Column, snake: str, camel: str) -> Column:
-    """A field in either spelling."""
-    return F.coalesce(part[snake], part[camel])
+    """A field of a part (v, its fields, and keys, the names that it has) by the spelling that is there, snake case first, even if it holds null."""
+    return F.when(F.array_contains(part["keys"], snake), part["v"][snake]).otherwise(part["v"][camel])
 
 
-def content_events(documents: DataFrame) -> DataFrame:
-    """Archived content generations: system instruction, contents, candidates, each content once by id, followed by events for its parts; artifacts after each candidate, each record and at the end."""
+def read_parts(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(F.from_json(F.to_json(p), f"struct<{GPART}>").alias("v"), F.coalesce(F.json_object_keys(F.to_json(p)), F.array().cast("array<string>")).alias("keys")))
+
+
+def archived_contents(documents: DataFrame) -> DataFrame:
+    """trace_id, records, rec, timestamp, response_id, inputs, pos, message_id, role, parts (variants), origin of each content of content archives: system instruction, contents, candidates."""
     d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
-    shape = f"array<struct<id:string,role:string,parts:array<struct<{GPART}>>,origin:string>>"
+    shape = "array<struct<id:string,role:string,parts:array<variant>,origin:string>>"
     system = F.when(F.col("r.system_instruction").isNotNull(), F.array(F.struct("r.system_instruction.id", "r.system_instruction.role", "r.system_instruction.parts", F.lit("request").alias("origin"))))
     asked = F.transform("r.contents", lambda c: F.struct(c["id"].alias("id"), c["role"].alias("role"), c["parts"].alias("parts"), F.lit("request").alias("origin")))
     given = F.transform("r.response.candidates", lambda c, i: F.struct(F.get("r.candidate_ids", i).alias("id"), F.lit("model").alias("role"), c["content"]["parts"].alias("parts"), F.lit("response").alias("origin")))
-    empty = F.array().cast(shape)
-    m = d.select("trace_id", "rec", F.col("r.timestamp").alias("timestamp"), F.posexplode(F.concat(F.coalesce(system.cast(shape), empty), F.coalesce(asked.cast(shape), empty), F.coalesce(given.cast(shape), empty))).alias("pos", "m")).where("m.parts is not null")
-    m = first_seen(m.withColumn("message_id", F.col("m.id")), "message_id", "rec", "pos")
-    call, answer, code, result = (lambda p: either(p, "function_call", "functionCall")), (lambda p: either(p, "function_response", "functionResponse")), (lambda p: either(p, "executable_code", "executableCode")), (lambda p: either(p, "code_execution_result", "codeExecutionResult"))
-    data, file = (lambda p: either(p, "inline_data", "inlineData")), (lambda p: either(p, "file_data", "fileData"))
+    every = F.concat(*(F.coalesce(x.cast(shape), F.array().cast(shape)) for x in (system, asked, given)))
+    return d.select("trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.posexplode(every).alias("pos", "m")).select("trace_id", "records", "rec", "timestamp", "pos", F.col("m.id").alias("message_id"), "m.role", "m.parts", "m.origin").where("parts is not null")
+
+
+def content_faults(documents: DataFrame) -> DataFrame:
+    """trace_id, fault of content archives: ids and times of the records, candidate ids that don't fit the candidates or repeat, candidates of another role, parts with two spellings, several fields or none, content ids with other contents, function calls without id, name or arguments, and call ids with other definitions."""
+    d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.posexplode("records").alias("rec", "r"))
+    order = archive_order_faults(d.select("trace_id", "rec", F.col("r.timestamp").alias("timestamp"), F.coalesce("r.response.response_id", "r.response.responseId").alias("response_id")))
+    ids, candidates = F.coalesce("r.candidate_ids", F.array().cast("array<string>")), F.col("r.response.candidates")
+    fit = F.when(candidates.isNull(), "no candidates").when(F.size(ids) != F.size(candidates), "candidate ids don't fit").when(F.size(F.array_distinct(ids)) != F.size(ids), "candidate ids repeat").when(F.exists(candidates, lambda c: F.coalesce(c["content"]["role"], F.lit("model")) != "model"), "candidate of another role")
+    fits = d.select("trace_id", fit.alias("fault")).where("fault is not null")
+    m = archived_contents(documents).withColumn("json", F.to_json("parts"))
+    shape = m.select("trace_id", parts_fault("json").alias("fault")).where("fault is not null")
+    p = m.select("trace_id", F.explode(read_parts(F.col("parts"))).alias("p")).select("trace_id", either(F.col("p"), "function_call", "functionCall").alias("c")).where("c is not null")
+    calls = p.select("trace_id", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.args", F.lit("{}")).alias("args"))
+    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not startswith(args, '{')").select("trace_id", F.lit("function call without id, name or arguments").alias("fault"))
+    twice = definition_conflicts(calls.select("trace_id", "call_id", F.concat_ws("\x1f", "name", "args").alias("definition")), "call id with other definition")
+    signed = signature_conflicts(m.select("trace_id", "message_id", content_signature("role", "json").alias("signature")))
+    out = order
+    for more in (fits, shape, bad, twice, signed):
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def content_events(documents: DataFrame) -> DataFrame:
+    """Archived content generations: system instruction, contents, candidates, each content once by id, followed by events for its parts; artifacts after each candidate, each record and at the end. content_faults() names what is out of shape."""
+    d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
+    every = archived_contents(documents).withColumn("parts", read_parts(F.col("parts")))
+    m = first_seen(every, "message_id", "rec", "pos")
+    field = lambda name, camel: lambda p: either(p, name, camel)
+    call, answer, code, result = field("function_call", "functionCall"), field("function_response", "functionResponse"), field("executable_code", "executableCode"), field("code_execution_result", "codeExecutionResult")
+    tool_call, tool_answer, data, file = field("tool_call", "toolCall"), field("tool_response", "toolResponse"), field("inline_data", "inlineData"), field("file_data", "fileData")
 
     def kind_of(p: Column) -> Column:
-        return F.when(F.coalesce(p["thought"], F.lit(False)), "thought").when(call(p).isNotNull(), "function_call").when(answer(p).isNotNull(), "function_response").when(code(p).isNotNull(), "executable_code").when(result(p).isNotNull(), "code_execution_result").when(data(p).isNotNull(), "inline_data").when(file(p).isNotNull(), "file_data").when(p["text"].isNotNull(), "text").otherwise("provider_part")
+        kind = F.when(F.coalesce(p["v"]["thought"], F.lit(False)), "thought").when(p["v"]["text"].isNotNull(), "text")
+        for name, value in (("function_call", call), ("function_response", answer), ("tool_call", tool_call), ("tool_response", tool_answer), ("executable_code", code), ("code_execution_result", result), ("inline_data", data), ("file_data", file)):
+            kind = kind.when(value(p).isNotNull(), name)
+        return kind.otherwise("provider_part")
 
     def show(p: Column) -> Column:
         kind = kind_of(p)
-        name = lambda c: F.coalesce(c["name"], F.lit("unknown"))
-        mime = lambda c: F.coalesce(c["mime_type"], c["mimeType"], F.lit("unknown"))
-        return F.when(kind == "text", p["text"]).when(kind == "function_call", F.concat(F.lit("[function_call:"), name(call(p)), F.lit("]"))).when(kind == "function_response", F.concat(F.lit("[function_response:"), name(answer(p)), F.lit("]"))).when(kind == "inline_data", F.concat(F.lit("[inline_data:"), mime(data(p)), F.lit("]"))).when(kind == "file_data", F.concat(F.lit("[file_data:"), mime(file(p)), F.lit("]"))).otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+        marked = lambda value: F.concat(F.lit("["), kind, F.lit(":"), F.coalesce(value, F.lit("unknown")), F.lit("]"))
+        mime = lambda c: F.coalesce(c["mime_type"], c["mimeType"])
+        return F.when(kind == "text", p["v"]["text"]).when(kind == "function_call", marked(call(p)["name"])).when(kind == "function_response", marked(answer(p)["name"])).when(kind == "inline_data", marked(mime(data(p)))).when(kind == "file_data", marked(mime(file(p)))).otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.select("trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("parts").alias("part", "p")).withColumn("kind", kind_of(F.col("p"))).where("kind <> 'text'")
 
-    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("part"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), F.col("m.role").alias("role"), F.array_join(F.transform("m.parts", show), "\n").alias("content"), F.col("m.origin").alias("origin"))
-    parts = m.select("trace_id", "rec", "pos", "timestamp", "message_id", F.col("m.origin").alias("origin"), F.posexplode("m.parts").alias("part", "p")).withColumn("kind", kind_of(F.col("p"))).where("kind <> 'text'")
+    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("part"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", F.array_join(F.transform("parts", show), "\n").alias("content"), "origin")
     p = F.col("p")
-    made = F.coalesce(call(p)["id"], code(p)["id"])
-    calls = parts.where("kind in ('function_call', 'executable_code')").select("trace_id", made.alias("call_id"), F.coalesce(call(p)["name"], call(p)["tool_type"], F.lit("code_execution")).alias("call_name")).where("call_id is not null").groupBy("trace_id", "call_id").agg(F.max("call_name").alias("call_name"))
-    is_call, is_answer = F.col("kind").isin("function_call", "executable_code"), F.col("kind").isin("function_response", "code_execution_result")
-    done = parts.withColumn("call_id", F.when(is_call, made).when(is_answer, F.coalesce(answer(p)["id"], result(p)["id"]))).join(calls, ["trace_id", "call_id"], "left").select(
+    is_call, is_answer = F.col("kind").isin("function_call", "tool_call", "executable_code"), F.col("kind").isin("function_response", "tool_response", "code_execution_result")
+    made, met = F.coalesce(call(p)["id"], tool_call(p)["id"], code(p)["id"]), F.coalesce(answer(p)["id"], tool_answer(p)["id"], result(p)["id"])
+    made_name = F.coalesce(call(p)["name"], tool_call(p)["tool_type"], tool_call(p)["toolType"], F.lit("code_execution"))
+    calls = told(every).where(is_call).select("trace_id", made.alias("call_id"), made_name.alias("call_name")).where("call_id is not null").groupBy("trace_id", "call_id").agg(F.max("call_name").alias("call_name"))
+    done = told(m).withColumn("call_id", F.when(is_call, made).when(is_answer, met)).join(calls, ["trace_id", "call_id"], "left").select(
         "trace_id", "rec", "pos", "part", "timestamp", "message_id", "origin", "call_id",
         F.when(is_call, "tool.called").when(is_answer, "tool.completed").otherwise("artifact.observed").alias("event_type"),
         F.when(F.col("kind") == "thought", "thought_presence").when(~is_call & ~is_answer, "part").alias("artifact_kind"),
-        F.when(is_call, F.coalesce(call(p)["args"], code(p)["code"])).when(is_answer, F.coalesce(answer(p)["response"], result(p)["output"])).alias("content"),
-        F.when(is_call, F.coalesce(call(p)["name"], call(p)["tool_type"], call(p)["toolType"], F.lit("code_execution"))).when(is_answer, F.coalesce(answer(p)["name"], F.col("call_name"))).alias("tool_name"),
+        F.when(is_call, F.coalesce(call(p)["args"], tool_call(p)["args"], code(p)["code"])).when(is_answer, F.coalesce(answer(p)["response"], tool_answer(p)["response"], result(p)["output"])).alias("content"),
+        F.when(is_call, made_name).when(is_answer, F.coalesce(answer(p)["name"], F.col("call_name"))).alias("tool_name"),
         F.when(is_answer, F.col("call_name").isNotNull()).alias("linked_call"),
     )
     far = F.lit(1 << 30)
@@ -274,9 +371,9 @@ def content_events(documents: DataFrame) -> DataFrame:
     return numbered(rows, "rec", "pos", "part").drop("rec", "pos", "part")
 
 
-def signature_conflicts(messages: DataFrame) -> DataFrame:
-    """Message ids (trace_id, message_id, signature) of an archive that stand for different contents."""
-    return messages.groupBy("trace_id", "message_id").agg(F.count_distinct("signature").alias("signatures")).where("signatures > 1")
+def identity_faults(events: DataFrame, *context: str) -> DataFrame:
+    """trace_id, fault of events whose context (capsule, experiment, variant, repetition, or what else is named) changes within their trace."""
+    return events.groupBy("trace_id").agg(F.count_distinct(F.struct(*context)).alias("n")).where("n > 1").select("trace_id", F.lit("context changes").alias("fault"))
 
 
 # Captures --------------------------------------------------------------------

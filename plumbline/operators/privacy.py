@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import canonical
+from plumbline.functions.scalars import canonical, unique_object
 
 #: Detector, kind, pattern, group that holds the sensitive part.
 DETECTORS = [
@@ -22,6 +23,7 @@ DETECTORS = [
     ("email", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b", 0),
     ("phone", "phone", r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)", 0),
 ]
+#: Fixed value: what a redaction leaves in place of a match.
 PLACEHOLDER = r"<redacted:[^>\r\n]+>"
 
 
@@ -60,18 +62,15 @@ class Policy:
         return [("custom", r.id, r.compile(), 0) for r in self.rules] + [(kind, None, re.compile(p), g) for _, kind, p, g in DETECTORS if on[kind]]
 
 
-REDACTED = "text string, redactions array<struct<kind:string,rule_id:string,digest:string,placeholder:string>>"
+REDACTION = "kind:string,rule_id:string,digest:string,placeholder:string"
 
 
-def redactor(policy: Policy):
-    """UDF text -> struct(text, redactions). A placeholder holds the match's own digest, which no built-in replacement can make; Arrow batches in Python."""
+def substitution(policy: Policy):
+    """Function (text, found) -> redacted text; what it replaces is added to found."""
     steps, allowed = policy.steps(), frozenset(policy.allow)
 
-    def one(text: str | None) -> dict:
-        found: list[dict] = []
+    def apply(text: str, found: list[dict]) -> str:
         for kind, rule, pattern, group in steps:
-            if text is None:
-                break
 
             def put(m: re.Match[str], kind: str = kind, rule: str | None = rule, group: int = group) -> str:
                 raw = m.group(group)
@@ -83,9 +82,20 @@ def redactor(policy: Policy):
                 return m.group(0)[: m.start(group) - m.start(0)] + mark  # the sensitive part ends the match
 
             text = pattern.sub(put, text)
-        return {"text": text, "redactions": found}
+        return text
 
-    @F.pandas_udf(REDACTED)
+    return apply
+
+
+def redactor(policy: Policy):
+    """UDF text -> struct(text, redactions). A placeholder holds the match's own digest, which no built-in replacement can make; Arrow batches in Python."""
+    apply = substitution(policy)
+
+    def one(text: str | None) -> dict:
+        found: list[dict] = []
+        return {"text": None if text is None else apply(text, found), "redactions": found}
+
+    @F.pandas_udf(f"text string, redactions array<struct<{REDACTION}>>")
     def redact(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([one(t) for t in batch], columns=["text", "redactions"])
@@ -140,6 +150,7 @@ def review(redacted: DataFrame, residuals: DataFrame, policy: Policy | None = No
 
     left = residuals.agg(F.count("*").alias("residual_findings"))
     one = totals.crossJoin(counts("kind", "counts_by_kind")).crossJoin(counts("rule_id", "counts_by_rule")).crossJoin(left)  # a row each
+    # The warnings' names.
     warn = lambda text, when=True: F.when(F.lit(when) if isinstance(when, bool) else when, text)
     warnings = F.array_compact(F.array(
         warn("pattern_matching_cannot_prove_complete_deidentification"), warn("redaction_disabled_review_only", not enabled), warn("custom_rules_are_trusted_python_regular_expressions", bool(policy.rules)),
@@ -150,47 +161,71 @@ def review(redacted: DataFrame, residuals: DataFrame, policy: Policy | None = No
 
 def redact_json(policy: Policy | None = None):
     """UDF JSON text -> struct(text, redactions) with locations: strings are redacted at every depth, keys too (/<key:i> and /<value:i>, list items by index)."""
-    active = policy or Policy()
-    steps, allowed = active.steps(), frozenset(active.allow)
-
-    @F.pandas_udf("text string, redactions array<struct<kind:string,rule_id:string,digest:string,placeholder:string,location:string>>")
+    apply = substitution(policy or Policy())
+
+    def redacted(value: object, at: str, found: list[dict]) -> object:
+        if isinstance(value, str):
+            new: list[dict] = []
+            text = apply(value, new)
+            found += [r | {"location": at} for r in new]
+            return text
+        if isinstance(value, list):
+            return [redacted(x, f"{at}/{i}", found) for i, x in enumerate(value)]
+        if isinstance(value, dict):
+            pairs = [(redacted(k, f"{at}/<key:{i}>", found), redacted(x, f"{at}/<value:{i}>", found)) for i, (k, x) in enumerate(value.items())]
+            return unique_object(pairs)  # two keys that redaction made equal are an error
+        return value
+
+    @F.pandas_udf(f"text string, redactions array<struct<{REDACTION},location:string>>")
     def walk(texts: pd.Series) -> pd.DataFrame:
-        import json
-
-        def text(value: str, at: str, found: list[dict]) -> str:
-            for kind, rule, pattern, group in steps:
-
-                def put(m: re.Match[str], kind: str = kind, rule: str | None = rule, group: int = group) -> str:
-                    raw = m.group(group)
-                    if raw in allowed or (raw.startswith("<redacted:") and raw.endswith(">")):
-                        return m.group(0)
-                    digest = hashlib.sha256(raw.encode()).hexdigest()
-                    mark = f"<redacted:{'custom:' + rule if rule else kind}:{digest[:12]}>"
-                    found.append({"kind": kind, "rule_id": rule, "digest": digest, "placeholder": mark, "location": at})
-                    return m.group(0)[: m.start(group) - m.start(0)] + mark
-
-                value = pattern.sub(put, value)
-            return value
-
-        def value_of(value: object, at: str, found: list[dict]) -> object:
-            if isinstance(value, str):
-                return text(value, at, found)
-            if isinstance(value, list):
-                return [value_of(x, f"{at}/{i}", found) for i, x in enumerate(value)]
-            if isinstance(value, dict):
-                out: dict[str, object] = {}
-                for i, (k, x) in enumerate(value.items()):
-                    key = text(k, f"{at}/<key:{i}>", found)
-                    if key in out:
-                        raise ValueError("redaction made two keys of an object equal")
-                    out[key] = value_of(x, f"{at}/<value:{i}>", found)
-                return out
-            return value
-
         rows = []
         for t in texts:
             found: list[dict] = []
-            rows.append({"text": None if t is None else canonical(value_of(json.loads(t), "", found)), "redactions": found})
+            rows.append({"text": None if t is None else canonical(redacted(json.loads(t), "", found)), "redactions": found})
         return pd.DataFrame(rows, columns=["text", "redactions"])
 
     return walk
+
+
+def located(redactions: Column, place: Column, inside: bool) -> Column:
+    """Redactions with their locations; inside: they have one of their own, below the place."""
+    return F.transform(redactions, lambda r: F.struct(r["kind"].alias("kind"), r["rule_id"].alias("rule_id"), r["digest"].alias("digest"), r["placeholder"].alias("placeholder"), (F.concat(place, r["location"]) if inside else place).alias("location")))
+
+
+def redact_events(events: DataFrame, texts: list[str], documents: list[str], policy: Policy | None = None) -> DataFrame:
+    """Events (trace_id, sequence) whose columns of text, and of JSON text at every depth, are redacted, with an array `redactions` of what was replaced and where: /events/<sequence>/<column>, and below it the place inside the JSON."""
+    active = policy or Policy()
+    none = F.array().cast(f"array<struct<{REDACTION},location:string>>")
+    out, found = events, []
+    for column in [*texts, *documents]:
+        place = F.concat(F.lit("/events/"), F.col("sequence").cast("string"), F.lit(f"/{column}"))
+        done = f"__{column}"
+        out = out.withColumn(done, (redactor if column in texts else redact_json)(active)(F.col(column)))
+        found.append(located(F.col(f"{done}.redactions"), place, column in documents))
+    out = out.withColumn("redactions", F.concat(none, *found))
+    for column in [*texts, *documents]:
+        out = out.withColumn(column, F.col(f"__{column}.text")).drop(f"__{column}")
+    return out
+
+
+MAX_REDACTIONS = 10_000
+
+
+def apply_policy(events: DataFrame, texts: list[str], documents: list[str], policy: Policy | None = None, enabled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events under a policy: the events (redacted, if enabled), the records of what was replaced (trace_id, location, kind, rule_id, digest, placeholder), and the one row of the review, whose residual findings are those of the events returned. There is no limit on records; `MAX_REDACTIONS` is where a reader may want one."""
+    active = policy or Policy()
+    empty = F.array().cast(f"array<struct<{REDACTION},location:string>>")
+    done = redact_events(events, texts, documents, active) if enabled else events.withColumn("redactions", empty)
+    records = done.select("trace_id", F.explode("redactions").alias("r")).select("trace_id", "r.location", "r.kind", "r.rule_id", "r.digest", "r.placeholder")
+    place = lambda c: F.concat(F.lit("/events/"), F.col("sequence").cast("string"), F.lit(f"/{c}"))
+    strings = [done.select("trace_id", place(c).alias("location"), F.col(c).alias("text")) for c in texts]
+    strings += [done.select("trace_id", place(c).alias("location"), F.explode(F.coalesce(F.regexp_extract_all(F.col(c), F.lit(JSON_STRING), F.lit(1)), F.array().cast("array<string>"))).alias("text")) for c in documents]
+    whole = strings[0]
+    for more in strings[1:]:
+        whole = whole.unionByName(more)
+    residuals = scan(whole.withColumn("at", F.concat_ws(" ", "trace_id", "location")), "at", "text", active)
+    return done.drop("redactions"), records, review(done, residuals, active, enabled)
+
+
+#: A string of a JSON text, without its quotes.
+JSON_STRING = r'"((?:[^"\\\\]|\\\\.)*)"'

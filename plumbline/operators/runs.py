@@ -52,15 +52,17 @@ def run_status(checks: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def failure_summary(records: DataFrame) -> DataFrame:
-    """Per run_key: total, counts by impact, maps by_category and by_code, and the primary failure: infrastructure errors first, then by check_index."""
+    """Per run_key: total, counts by impact, maps by_category and by_code, and the primary failure: infrastructure errors first, then by check_index. One aggregation to the kinds of failure of each run, of which there are at most as many as the taxonomy has, and one over these."""
     rank = F.coalesce(*(F.when(F.col("impact") == k, F.lit(v)) for k, v in IMPACT_RANK.items()))
-    of = lambda impact: F.count_if(F.col("impact") == impact)
-    one = records.groupBy("run_key").agg(F.count("*").alias("total"), of("evaluation_failure").alias("evaluation_failures"), of("infrastructure_error").alias("infrastructure_errors"), of("not_evaluated").alias("not_evaluated"), F.min_by(F.struct("check_id", "code"), F.struct(rank, F.col("check_index"))).alias("p"))
+    kinds = records.groupBy("run_key", "category", "code", "impact").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "check_index", "check_id")).alias("first"))
+    of = lambda impact: F.sum(F.when(F.col("impact") == impact, F.col("n")).otherwise(0))
+    runs = kinds.groupBy("run_key").agg(F.sum("n").alias("total"), of("evaluation_failure").alias("evaluation_failures"), of("infrastructure_error").alias("infrastructure_errors"), of("not_evaluated").alias("not_evaluated"), F.min(F.struct("first", "code")).alias("p"), F.collect_list(F.struct("category", "code", "n")).alias("kinds"))
 
-    def counts(column: str, name: str) -> DataFrame:  # at most as many entries as the taxonomy has
-        return records.groupBy("run_key", column).agg(F.count("*").alias("n")).groupBy("run_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
+    def counts(field: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("kinds", lambda k: k[field])))
+        return F.map_from_entries(F.transform(names, lambda name: F.struct(name, F.aggregate(F.filter("kinds", lambda k: k[field] == name), F.lit(0).cast("long"), lambda t, k: t + k["n"]))))
 
-    return one.join(counts("category", "by_category"), "run_key").join(counts("code", "by_code"), "run_key").select("run_key", "total", "evaluation_failures", "infrastructure_errors", "not_evaluated", "by_category", "by_code", F.col("p.check_id").alias("primary_check_id"), F.col("p.code").alias("primary_code"))
+    return runs.select("run_key", "total", "evaluation_failures", "infrastructure_errors", "not_evaluated", counts("category").alias("by_category"), counts("code").alias("by_code"), F.col("p.first.check_id").alias("primary_check_id"), F.col("p.code").alias("primary_code"))
 
 
 def variant_summary(runs: DataFrame, *keys: str) -> DataFrame:
@@ -76,9 +78,9 @@ def run_trace(runs: DataFrame, checks: DataFrame) -> DataFrame:
     bounds = runs.select("run_key", "started_at", "finished_at", F.col("status").alias("run_status"), "check_count")
     middle = inner.join(bounds, "run_key").select("run_key", F.col("place").cast("int").alias("sequence"), F.lit("check.completed").alias("event_type"), F.least(plus_seconds(F.col("started_at"), F.col("elapsed")), F.col("finished_at")).alias("timestamp"), "check_id", F.col("check_status").alias("status"))
     none = F.lit(None).cast("string")
-    start = bounds.select("run_key", F.lit(0).alias("sequence"), F.lit("run.started").alias("event_type"), F.col("started_at").alias("timestamp"), none.alias("check_id"), none.alias("status"))
-    end = bounds.select("run_key", (F.col("check_count") + 1).cast("int").alias("sequence"), F.lit("run.completed").alias("event_type"), F.col("finished_at").alias("timestamp"), none.alias("check_id"), F.col("run_status").alias("status"))
-    return start.unionByName(middle).unionByName(end)
+    edge = lambda sequence, kind, at, status: F.struct(sequence.cast("int").alias("sequence"), F.lit(kind).alias("event_type"), at.alias("timestamp"), none.alias("check_id"), status.alias("status"))
+    edges = F.array(edge(F.lit(0), "run.started", F.col("started_at"), none), edge(F.col("check_count") + 1, "run.completed", F.col("finished_at"), F.col("run_status")))
+    return bounds.select("run_key", F.explode(edges).alias("e")).select("run_key", "e.*").unionByName(middle)
 
 
 def skipped_attribution(checks: DataFrame) -> DataFrame:

@@ -38,13 +38,25 @@ def latest_message(events: DataFrame, *by: str, role: str = "user") -> DataFrame
     return events.where((F.col("event_type") == "message.observed") & (F.col("role") == role)).groupBy(*by).agg(chosen.alias("m")).select(*by, "m.*")
 
 
-def latest_correction(events: DataFrame, *by: str) -> DataFrame:
-    """Of each group, the correcting message that is last, with the message it corrects and the feedback event of the pair, and how many corrections are whole in this way."""
+def corrections(events: DataFrame, *by: str) -> DataFrame:
+    """Feedback events with the messages that they name: each once, with how many correcting (made) and corrected (targets) messages there are; a correction is whole if either is one."""
     feedback = events.where("event_type = 'feedback.observed'").select("trace_id", F.col("sequence").alias("feedback_sequence"), "message_id", "correction_of", *by)
-    messages = events.where("event_type = 'message.observed'")
-    correcting = messages.select("trace_id", "message_id", "content", "timestamp", "sequence")
-    corrected = messages.select("trace_id", F.col("message_id").alias("correction_of"), F.col("sequence").alias("corrected_sequence"))
-    whole = feedback.join(correcting, ["trace_id", "message_id"]).join(corrected, ["trace_id", "correction_of"])
+    messages = events.where("event_type = 'message.observed'").groupBy("trace_id", "message_id").agg(F.count("*").alias("n"), F.min_by(F.struct("content", "timestamp", "sequence"), "sequence").alias("m"))
+    correcting = messages.select("trace_id", "message_id", F.col("n").alias("made"), "m.content", "m.timestamp", "m.sequence")
+    corrected = messages.select("trace_id", F.col("message_id").alias("correction_of"), F.col("n").alias("targets"), F.col("m.sequence").alias("corrected_sequence"))
+    joined = feedback.join(correcting, ["trace_id", "message_id"], "left").join(corrected, ["trace_id", "correction_of"], "left")
+    return joined.withColumns({"made": F.coalesce("made", F.lit(0)), "targets": F.coalesce("targets", F.lit(0))})
+
+
+def correction_faults(events: DataFrame) -> DataFrame:
+    """trace_id, feedback_sequence, fault of feedback events that do not name exactly one correcting and one corrected message."""
+    fault = F.when(F.col("made") != 1, F.format_string("%d correcting messages", "made")).when(F.col("targets") != 1, F.format_string("%d corrected messages", "targets"))
+    return corrections(events).select("trace_id", "feedback_sequence", fault.alias("fault")).where("fault is not null")
+
+
+def latest_correction(events: DataFrame, *by: str) -> DataFrame:
+    """Of each group, the correcting message that is last, with the message it corrects and the feedback event of the pair, and how many corrections are whole in this way; correction_faults() names the others."""
+    whole = corrections(events, *by).where("made = 1 and targets = 1")
     best = F.max_by(F.struct("trace_id", "sequence", "corrected_sequence", "feedback_sequence", "content"), F.struct("timestamp", "trace_id", "sequence"))
     return whole.groupBy(*by).agg(best.alias("c"), F.count("*").alias("corrections")).select(*by, "c.*", "corrections")
 
@@ -86,6 +98,12 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
 
 
+def counts_by(rows: DataFrame, *columns: str) -> DataFrame:
+    """kind (the column's name), value, n: how often each value of each column occurs, in one pass."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return rows.select(pairs.alias("p")).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
+
+
 def first_occurrences(rows: DataFrame, order: list[str], *keys: str) -> DataFrame:
     """The first row of each key in the order; rows whose key has a null part are all kept."""
     keyed = F.lit(True)

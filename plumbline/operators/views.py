@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.store import info
+
 MAX_ROWS = 10_000
 Tables = Mapping[str, DataFrame]
 
@@ -77,6 +79,11 @@ def query(tables: Tables, name: str, limit: int = 100) -> DataFrame:
     return make(tables).orderBy(*keys).limit(limit).drop(*HIDDEN.get(name, []))
 
 
+def query_with_info(tables: Tables, name: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The row counts of the store's tables and the first rows of a view, both of the files that `tables` was loaded from."""
+    return info(tables), query(tables, name, limit)
+
+
 def export_parquet(tables: Tables, name: str, path: str, limit: int = MAX_ROWS) -> int:
     """Write a view's first rows as zstd Parquet; returns how many there are."""
     rows = query(tables, name, limit)

@@ -81,9 +81,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("trace_id"), "conv_id", "turn", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), role.alias("role"), F.col("text").alias("content"), at.alias("timestamp"), fix.alias("correction_of"))
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transcript document of each conversation."""
-    m = messages(spark, sf_dir)
+def transcripts(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """A transcript document of each conversation, of its messages or of others like them."""
+    m = messages(spark, sf_dir) if of is None else of
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "id", "role", "content", "timestamp", "correction_of"))), lambda x: F.struct(x["id"].alias("id"), x["role"].alias("role"), x["content"].alias("content"), x["timestamp"].alias("timestamp"), x["correction_of"].alias("correction_of")))
     docs = m.groupBy("trace_id").agg(turns.alias("messages"))
     return docs.select(F.concat("trace_id", F.lit(".json")).alias("source_name"), F.to_json(F.struct(F.col("trace_id").alias("id"), F.lit("capsule").alias("capsule_id"), "messages")).alias("document"))

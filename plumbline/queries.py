@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import evaluation, integrity, normalize, privacy, runs, selection, views
 from plumbline.plans import evidence as ev
-from plumbline.sources import store
+from plumbline.sources import artifacts as artifacts_of
+from plumbline.sources import documents, store
 from plumbline.streaming import rollback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,16 +107,22 @@ def failure_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.failure_records(ev.outcomes(spark, sf_dir)).select("check_key", "code", "category", "impact", "retryability", "summary", "causes_json")
 
 
-@register("taxonomy_consistency", BASE + "SELECT check_key, code FROM f WHERE false")
+@register("taxonomy_consistency", BASE + "SELECT check_key, code FROM f WHERE check_index % 5 IN (1, 2, 3)")
 def taxonomy_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.inconsistent_records(runs.classify(ev.outcomes(spark, sf_dir))).select("check_key", "code")
+    """Records broken in three ways by their check's place: another category, themselves as a cause, a blocking check without being skipped."""
+    way = F.col("check_index") % 5
+    broken = runs.classify(ev.outcomes(spark, sf_dir)).withColumns({"category": F.when(way == 1, "control_flow").otherwise(F.col("category")), "causes": F.when(way == 2, F.array("code")).otherwise(F.col("causes")), "caused_by_check_id": F.when(way == 3, "check-0").otherwise(F.col("caused_by_check_id"))})
+    return runs.inconsistent_records(broken).select("check_key", "code")
 
 
-@register("status_code_compatibility", BASE + "SELECT check_key, status, code FROM c WHERE false")
+@register("status_code_compatibility", BASE + """, s AS (SELECT check_key, CASE check_index % 4 WHEN 1 THEN 'failed' WHEN 2 THEN 'passed' ELSE status END AS status, code FROM c)
+SELECT * FROM s WHERE status = 'passed' AND code IS NOT NULL OR status = 'failed' AND (code IS NULL OR code NOT IN ('unexpected_exit', 'signal_termination'))""")
 def status_code_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of which one half keep their status, a quarter are said to have failed, and a quarter to have passed."""
     c = ev.outcomes(spark, sf_dir)
     coded = c.withColumn("code", runs.failure_code(F.col("outcome"), F.col("exit_code"), F.col("errno"), F.col("complication")))
-    return runs.forbidden_codes(coded).select("check_key", "status", "code")
+    turned = coded.withColumn("status", F.when(F.col("check_index") % 4 == 1, "failed").when(F.col("check_index") % 4 == 2, "passed").otherwise(F.col("status")))
+    return runs.forbidden_codes(turned).select("check_key", "status", "code")
 
 
 @register("run_status", BASE + "SELECT r.run_key, CASE WHEN bool_or(coalesce(f.impact = 'infrastructure_error', false)) THEN 'error' WHEN bool_or(coalesce(c.status <> 'passed', false)) THEN 'failed' ELSE 'passed' END AS status FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_key")
@@ -179,24 +186,59 @@ def experiment_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run artifact of each order, as JSON text."""
-    r, c = ev.runs(spark, sf_dir), ev.outcomes(spark, sf_dir)
-    check = F.struct(F.col("check_id").alias("id"), F.array(F.lit("check")).alias("argv"), "cwd", "status", "exit_code", "duration_seconds", F.lit("").alias("stdout"), F.col("check_id").alias("stderr"), "stdout_truncated", "stderr_truncated", F.col("error_message").alias("error"))
-    made = c.groupBy("run_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("check_index", check.alias("check")))), lambda x: x["check"]).alias("checks"))
-    doc = F.struct(F.lit("0.1").alias("schema_version"), "capsule_id", F.col("run_id").alias("note"), "status", "started_at", "finished_at", "duration_seconds", "checks")
-    return r.join(made, "run_key", "left").select(F.col("run_id").alias("source_name"), F.to_json(doc).alias("document"))
+    c = ev.outcomes(spark, sf_dir)
+    f = runs.classify(c)
+    failure = F.struct("category", "code", "impact", "retryability", "summary", F.struct(F.col("exit_code").alias("actual_exit_code")).alias("details"), "caused_by_check_id", "causes")
+    checks = c.join(f.select("check_key", failure.alias("failure")), "check_key", "left")
+    check = F.struct(F.col("check_id").alias("id"), F.array(F.lit("check")).alias("argv"), "cwd", "status", "exit_code", "duration_seconds", F.lit("").alias("stdout"), F.col("check_id").alias("stderr"), "stdout_truncated", "stderr_truncated", F.col("error_message").alias("error"), "failure")
+    made = checks.groupBy("run_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("check_index", check.alias("check")))), lambda x: x["check"]).alias("checks"))
+    summed = runs.failure_summary(f).select("run_key", F.struct("total", "evaluation_failures", "infrastructure_errors", "not_evaluated", "by_category", "by_code", "primary_check_id", "primary_code").alias("failure_summary"))
+    moment = lambda name: F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
+    r = ev.runs(spark, sf_dir).join(made, "run_key", "left").join(summed, "run_key", "left")
+    none = F.array().cast(made.schema["checks"].dataType)
+    doc = F.struct(F.concat(F.lit("capsule-"), F.col("run_id")).alias("capsule_id"), F.when(F.col("failure_summary.infrastructure_errors") > 0, "error").when(F.col("failure_summary").isNotNull(), "failed").otherwise("passed").alias("status"), moment("started_at"), moment("finished_at"), "duration_seconds", F.coalesce("checks", none).alias("checks"), "failure_summary")
+    return r.select(F.col("run_id").alias("source_name"), F.to_json(doc).alias("document"))
 
 
 @register("artifact_checks", BASE + "SELECT r.run_id AS source_name, c.check_index, c.check_id, c.status, c.exit_code, c.duration_seconds, CAST(length(c.check_id) AS INTEGER) AS stderr_chars, sha256(c.check_id) AS stderr_sha256 FROM r JOIN c ON c.run_key = r.run_key")
 def artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.normalize(artifacts(spark, sf_dir))
-    names = rows["sources"].select("source_sha256", "source_name")
-    return rows["checks"].join(names, "source_sha256").select("source_name", "check_index", "check_id", "status", "exit_code", "duration_seconds", "stderr_chars", "stderr_sha256")
+    return rows["checks"].select("source_name", "check_index", "check_id", "status", "exit_code", "duration_seconds", "stderr_chars", "stderr_sha256")
+
+
+STATUS = "CASE WHEN bool_or(coalesce(f.impact = 'infrastructure_error', false)) THEN 'error' WHEN bool_or(coalesce(c.status <> 'passed', false)) THEN 'failed' ELSE 'passed' END"
 
 
-@register("artifact_runs", BASE + "SELECT run_id AS source_name, 'run' AS artifact_kind, capsule_id, status, duration_seconds, check_count FROM r")
+@register("artifact_runs", BASE + f"SELECT r.run_id AS source_name, 'run' AS artifact_kind, 'capsule-' || r.run_id AS capsule_id, {STATUS} AS status, any_value(r.duration_seconds) AS duration_seconds, any_value(r.check_count) AS check_count FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_id")
 def artifact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.normalize(artifacts(spark, sf_dir))
-    return rows["runs"].join(rows["sources"].select("source_sha256", "source_name", "artifact_kind"), "source_sha256").select("source_name", "artifact_kind", "capsule_id", "status", "duration_seconds", "check_count")
+    return rows["runs"].select("source_name", F.lit("run").alias("artifact_kind"), "capsule_id", "status", "duration_seconds", "check_count")
+
+
+@register("artifact_failures", BASE + "SELECT r.run_id AS source_name, f.check_id, f.category, f.code, f.impact, f.causes_json FROM f JOIN r ON r.run_key = f.run_key")
+def artifact_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.normalize(artifacts(spark, sf_dir))
+    return rows["failure_records"].join(rows["checks"].select("check_key", "check_id"), "check_key").select("source_name", "check_id", "category", "code", "impact", "causes_json")
+
+
+@register("artifact_faults", BASE + f"""
+, g AS (SELECT r.run_id, any_value(r.o_orderkey) AS n, {STATUS} AS status, any_value(r.check_count) AS checks, count(f.code) AS failed FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_id)
+SELECT run_id AS source_name, CASE n % 12 WHEN 1 THEN 'not a strict JSON object' WHEN 2 THEN 'not a strict JSON object' WHEN 3 THEN 'not a strict JSON object' WHEN 4 THEN '/status: missing' WHEN 5 THEN '/note: unknown field' WHEN 6 THEN '/duration_seconds: not a finite number'
+  WHEN 7 THEN '/started_at: not a time with its zone' WHEN 8 THEN 'run ends before it starts' WHEN 9 THEN 'run status is not that of the checks' WHEN 10 THEN 'failure summary is not that of the checks' ELSE 'failure details hold raw output' END AS fault
+FROM g WHERE n % 12 BETWEEN 1 AND 9 OR n % 12 = 10 AND failed > 0 OR n % 12 = 11 AND failed > 0""")
+def artifact_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts broken in eleven ways by the number of their order; every twelfth is whole."""
+    d, way = F.col("document"), F.col("source_name").cast("long") % 12
+    swap = lambda a, b: F.regexp_replace(d, a, b)
+    broken = (
+        F.when(way == 1, F.concat(F.lit("{broken"), d)).when(way == 2, swap(r"^\{", '{"capsule_id":"other",')).when(way == 3, swap(r'"duration_seconds":[0-9.E]+,"checks"', '"duration_seconds":NaN,"checks"'))
+        .when(way == 4, swap(r'"status":"[a-z]+","started_at"', '"started_at"')).when(way == 5, swap(r"^\{", '{"note":1,')).when(way == 6, swap(r'"duration_seconds":[0-9.E]+,"checks"', '"duration_seconds":"1","checks"'))
+        .when(way == 7, swap(r'("started_at":"[^"]+)Z"', '$1"')).when(way == 8, swap(r'"finished_at":"[0-9]+', '"finished_at":"1901'))
+        .when(way == 9, swap(r'"status":"[a-z]+","started_at"', F.when(d.rlike('"status":"passed","started_at"'), '"status":"failed","started_at"').otherwise('"status":"passed","started_at"')))
+        .when(way == 10, swap(r'"total":', '"total":1')).when(way == 11, swap(r'"details":\{[^}]*\}', '"details":{"deep":[{"StdOut":1}]}')).otherwise(d)
+    )
+    faults = artifacts_of.artifact_faults(artifacts(spark, sf_dir).withColumn("document", broken))
+    return faults.select("source_name", "fault")
 
 
 # Normalization ---------------------------------------------------------------
@@ -219,9 +261,12 @@ def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.transcript_events(ev.transcripts(spark, sf_dir)).withColumn("secs", F.unix_seconds("timestamp")).drop("timestamp")
 
 
-@register("transcript_validation", MESSAGES + "SELECT trace_id, event_type AS fault FROM n WHERE false")
+@register("transcript_validation", "SELECT 'conv-' || conv_id AS trace_id, CASE conv_id % 3 WHEN 0 THEN 'repeated message id' WHEN 1 THEN 'time falls' ELSE 'correction out of place' END AS fault FROM conversations WHERE turn = CASE WHEN conv_id % 3 = 2 THEN 0 ELSE 1 END")
 def transcript_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.transcript_faults(ev.transcripts(spark, sf_dir))
+    """Transcripts broken in three ways by their number: the second message has the first one's id, or an earlier time, or the first message corrects the second."""
+    way, turn = F.col("conv_id") % 3, F.col("turn")
+    m = ev.messages(spark, sf_dir).withColumns({"id": F.when((way == 0) & (turn == 1), "m0").otherwise(F.col("id")), "timestamp": F.when((way == 1) & (turn == 1), F.timestamp_add("HOUR", F.lit(-1), "timestamp")).otherwise(F.col("timestamp")), "correction_of": F.when((way == 2) & (turn == 0), "m1")})
+    return normalize.transcript_faults(ev.transcripts(spark, sf_dir, m))
 
 
 @register("latest_user_message", MESSAGES + "SELECT trace_id, max(sequence) AS sequence, arg_max(content, secs) AS content FROM n WHERE event_type = 'message.observed' AND role = 'user' GROUP BY trace_id")
@@ -236,13 +281,31 @@ def latest_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.latest_correction(events, "group").drop("group")
 
 
-@register("trace_invariants", "SELECT user_id, 'gap' AS fault FROM events WHERE false")
+@register("trace_invariants", """
+WITH n AS (SELECT user_id, sum(CASE WHEN value > 50 THEN 3 ELSE 2 END) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id)
+SELECT user_id, 'gap' AS fault FROM n WHERE user_id % 2 = 0 AND n >= 3 UNION ALL SELECT user_id, 'falls' FROM n WHERE user_id % 3 = 0 AND n >= 3""")
 def trace_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps in the numbers and falling times of the export's events: there are none."""
-    e = normalize.otlp_events(ev.otlp(spark, sf_dir), attributes=False)
-    gaps = integrity.gaps(e, "sequence", "trace_id").select("trace_id", F.lit("gap").alias("fault"))
-    falls = integrity.out_of_order(e, "ns", "sequence", "trace_id").select("trace_id", F.lit("falls").alias("fault"))
-    return gaps.unionByName(falls).select(F.conv("trace_id", 16, 10).cast("bigint").alias("user_id"), "fault")
+    """Gaps in the numbers and falling times of the export's events, where every second trace has lost its second event, and the third event of every third is at time zero."""
+    e = normalize.otlp_events(ev.otlp(spark, sf_dir), attributes=False).withColumn("user_id", F.conv("trace_id", 16, 10).cast("bigint") - 1)
+    e = e.where("not (user_id % 2 = 0 and sequence = 1)").withColumn("ns", F.when((F.col("user_id") % 3 == 0) & (F.col("sequence") == 2), 0).otherwise(F.col("ns")))
+    gaps = integrity.gaps(e, "sequence", "user_id").select("user_id", F.lit("gap").alias("fault"))
+    return gaps.unionByName(integrity.out_of_order(e, "ns", "sequence", "user_id").select("user_id", F.lit("falls").alias("fault")))
+
+
+@register("trace_identity", "SELECT 'conv-' || conv_id AS trace_id, 'context changes' AS fault FROM conversations WHERE conv_id % 4 = 1 GROUP BY conv_id HAVING count(*) > 1")
+def trace_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces whose events name one capsule, but for those of every fourth, where each turn has its own."""
+    e = ev.messages(spark, sf_dir).withColumn("capsule_id", F.when(F.col("conv_id") % 4 == 1, F.col("turn").cast("string")).otherwise("capsule")).withColumn("variant_id", F.lit(None).cast("string"))
+    return normalize.identity_faults(e, "capsule_id", "variant_id")
+
+
+@register("correction_faults", MESSAGES + ", f AS (SELECT trace_id, sequence AS feedback_sequence, CAST(substr(message_id, 2) AS BIGINT) AS t FROM n WHERE event_type = 'feedback.observed') SELECT trace_id, feedback_sequence, CASE WHEN t = 2 THEN '2 correcting messages' ELSE '0 corrected messages' END AS fault FROM f WHERE t IN (2, 4)")
+def correction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections where the third message of a trace is there twice and the fourth is missing."""
+    e = normalize.transcript_events(ev.transcripts(spark, sf_dir))
+    observed = F.col("event_type") == "message.observed"
+    broken = e.where(~(observed & (F.col("message_id") == "m3"))).unionByName(e.where(observed & (F.col("message_id") == "m2")))
+    return selection.correction_faults(broken)
 
 
 @register("otlp_events", """
@@ -308,28 +371,47 @@ def response_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.response_events(response_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
-@register("response_archive_consistency", "SELECT 'x' AS trace_id, 'x' AS call_id, CAST(0 AS BIGINT) AS names WHERE false")
+PLANTED = PAIRS + "q AS (SELECT trace_id, CAST(substr(trace_id, 6) AS BIGINT) AS n FROM p GROUP BY ALL HAVING count(*) > 1) "
+
+
+def planted(documents: DataFrame, *changes: tuple[str, str]) -> DataFrame:
+    """Archives in which the first of some replacements is made in those of every so-manieth conversation, the second in those of the next, and so on."""
+    way = F.substring_index("source_name", "-", -1).cast("long") % len(changes)
+    out = F.col("document")
+    for k, (pattern, new) in enumerate(changes):
+        out = F.when(way == k, F.regexp_replace("document", pattern, new)).otherwise(out)
+    return documents.withColumn("document", out)
+
+
+@register("response_archive_consistency", PLANTED + "SELECT trace_id, CASE n % 3 WHEN 0 THEN 'response id repeats' WHEN 1 THEN 'time falls' ELSE 'call id with other name' END AS fault FROM q")
 def response_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.conflicting_calls(response_archive(spark, sf_dir))
+    """Archives where all responses have one id, times run backwards, or one call has a name for each turn."""
+    docs = planted(response_archive(spark, sf_dir), ('"resp[0-9]+"', '"resp"'), ('"created_at":1(\\.[0-9]+E9)', '"created_at":-1$1'), ('"call_id":"call([0-9]+)","name":"search"', '"call_id":"call","name":"search$1"'))
+    return normalize.response_faults(docs)
 
 
 def message_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda t, text=None, i=None, name=None, use=None, content=None: F.struct(F.lit(t).alias("type"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"), (i if i is not None else F.lit(None).cast("string")).alias("id"), F.lit(name).cast("string").alias("name"), (use if use is not None else F.lit(None).cast("string")).alias("tool_use_id"), F.lit(content).cast("string").alias("content"))
+    """Every record repeats the system prompt and has a message whose content is a plain text."""
+    part = lambda t, text=None, i=None, name=None, use=None, content=None: F.struct(F.lit(t).alias("type"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"), (i if i is not None else F.lit(None).cast("string")).alias("id"), F.lit(name).cast("string").alias("name"), (use if use is not None else F.lit(None).cast("string")).alias("tool_use_id"), F.lit(content).cast("string").alias("content"), F.when(F.lit(t) == "tool_use", F.struct(F.lit("x").alias("q"))).alias("input"))
     call = F.concat(F.lit("call"), turn_text())
     asked = F.struct(F.concat(F.lit("u"), turn_text()).alias("id"), F.lit("user").alias("role"), F.array(part("text", "asked"), part("tool_result", use=F.concat(F.lit("call"), (F.col("turn") - 2).cast("string")), content="found")).alias("content"))
+    plain = F.struct(F.concat(F.lit("s"), turn_text()).alias("id"), F.lit("user").alias("role"), F.array(F.struct(F.lit("plain").alias("type"), F.concat(F.lit("[plain] "), turn_text()).alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("id", "string"), ("name", "string"), ("tool_use_id", "string"), ("content", "string"), ("input", "struct<q:string>"))))).alias("content"))
     answer = F.struct(F.concat(F.lit("a"), turn_text()).alias("id"), F.array(part("thinking"), part("text", "content"), part("tool_use", i=call, name="search")).alias("content"))
-    record = F.struct(F.concat(F.lit("req"), turn_text()).alias("request_id"), "timestamp", F.array(asked).alias("messages"), answer.alias("response"))
-    return archive(spark, sf_dir, record, "records")
+    record = F.struct(F.concat(F.lit("req"), turn_text()).alias("request_id"), "timestamp", F.lit("be brief").alias("system"), F.array(asked, plain).alias("messages"), answer.alias("response"))
+    docs = archive(spark, sf_dir, record, "records")
+    return docs.withColumn("document", F.regexp_replace("document", r'\[\{"type":"plain","text":("[^"]*")\}\]', "$1"))
 
 
 @register("message_archive_events", PAIRS + """
 e AS (
   SELECT trace_id, -1 AS rec, 0 AS k, 'conversation.started' AS event_type, NULL AS role, NULL AS content, NULL AS tool_name, CAST(NULL AS BOOLEAN) AS linked_call FROM p WHERE rec = 0
+  UNION ALL SELECT trace_id, rec, 0.5, 'message.observed', 'system', 'be brief', NULL, NULL FROM p WHERE rec = 0
   UNION ALL SELECT trace_id, rec, 1, 'message.observed', 'user', CASE WHEN asked = '' THEN '' ELSE asked || chr(10) END || '[tool_result:call' || (turn - 2) || ']', NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 2, 'tool.completed', NULL, 'found', CASE WHEN rec > 0 THEN 'search' END, rec > 0 FROM p
+  UNION ALL SELECT trace_id, rec, 2.5, 'message.observed', 'user', '[plain] ' || turn, NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 3, 'message.observed', 'assistant', '[thinking]' || chr(10) || CASE WHEN answer = '' THEN '' ELSE answer || chr(10) END || '[tool_use:search]', NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 4, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
-  UNION ALL SELECT trace_id, rec, 5, 'tool.called', NULL, NULL, 'search', NULL FROM p
+  UNION ALL SELECT trace_id, rec, 5, 'tool.called', NULL, '{"q":"x"}', 'search', NULL FROM p
   UNION ALL SELECT trace_id, rec, 6, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
   UNION ALL SELECT trace_id, max(rec), 7, 'artifact.observed', NULL, NULL, NULL, NULL FROM p GROUP BY trace_id)
 SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e""")
@@ -337,17 +419,31 @@ def message_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.message_events(message_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
+@register("message_archive_consistency", PLANTED + """
+SELECT trace_id, CASE n % 6 WHEN 0 THEN 'response id repeats' WHEN 1 THEN 'time falls' WHEN 2 THEN 'message id with other content' WHEN 3 THEN 'tool id with other definition' WHEN 4 THEN 'content is neither text nor array' ELSE 'tool call without id, name or input' END AS fault FROM q
+UNION ALL SELECT trace_id, 'message id with other content' FROM q WHERE n % 6 = 0
+UNION ALL SELECT trace_id, CASE CAST(substr(trace_id, 6) AS BIGINT) % 6 WHEN 4 THEN 'content is neither text nor array' ELSE 'tool call without id, name or input' END FROM p WHERE CAST(substr(trace_id, 6) AS BIGINT) % 6 IN (4, 5) GROUP BY trace_id HAVING count(*) = 1""")
+def message_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives broken in six ways: one id for all responses (and so for different messages), times that fall, one id for all plain messages, one tool id for different inputs, a content that is a number, a tool call without a name."""
+    docs = planted(message_archive(spark, sf_dir), ('"id":"a[0-9]+"', '"id":"a"'), ("nothing of this", ""), ('"id":"s[0-9]+"', '"id":"s"'), ('"id":"call([0-9]+)","name":"search","input":\\{"q":"x"', '"id":"call","name":"search","input":{"q":"$1"'), ('"content":"\\[plain\\] ([0-9]+)"', '"content":$1'), ('"name":"search"', '"name":""'))
+    way = F.substring_index("source_name", "-", -1).cast("long") % 6
+    start = F.substring_index("document", '"request_id"', 2)  # the first record keeps its time
+    fallen = F.concat(start, F.regexp_replace(F.right("document", F.length("document") - F.length(start)), '"timestamp":"2024', '"timestamp":"1999'))
+    return normalize.message_faults(docs.withColumn("document", F.when(way == 1, fallen).otherwise(F.col("document"))))
+
+
 def content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    call = F.struct(F.concat(F.lit("call"), turn_text()).alias("id"), F.lit("search").alias("name"), F.lit("{}").alias("args"))
-    none_call, none_answer = F.lit(None).cast("struct<id:string,name:string,args:string>"), F.lit(None).cast("struct<id:string,name:string,response:string>")
+    """Answers have a thought, code, and a part that holds a text, a null call in snake case and, to be ignored, a call in camel case."""
+    call = F.struct(F.concat(F.lit("call"), turn_text()).alias("id"), F.lit("search").alias("name"), F.struct(F.lit("x").alias("q")).alias("args"))
     result = F.struct(F.concat(F.lit("call"), turn_text()).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("found").alias("response"))
-    part = lambda text, c, r: F.struct(text.alias("text"), c.alias("functionCall"), r.alias("function_response"))
-    none = F.lit(None).cast("string")
-    asked = F.struct(F.concat(F.lit("u"), turn_text()).alias("id"), F.lit("user").alias("role"), F.array(part(F.col("asked"), none_call, none_answer), part(none, none_call, result)).alias("parts"))
-    content = F.struct(F.lit("model").alias("role"), F.array(part(F.col("content"), none_call, none_answer), part(none, call, none_answer)).alias("parts"))
+    code = F.struct(F.concat(F.lit("code"), turn_text()).alias("id"), F.lit("PYTHON").alias("language"), F.lit("1+1").alias("code"))
+    none = F.lit(None)
+    part = lambda text=none, c=none, r=none, x=none, thought=none: F.struct(text.cast("string").alias("text"), c.cast("struct<id:string,name:string,args:struct<q:string>>").alias("functionCall"), r.cast("struct<id:string,name:string,response:string>").alias("function_response"), x.cast("struct<id:string,language:string,code:string>").alias("executable_code"), thought.cast("boolean").alias("thought"))
+    asked = F.struct(F.concat(F.lit("u"), turn_text()).alias("id"), F.lit("user").alias("role"), F.array(part(F.col("asked")), part(r=result)).alias("parts"))
+    content = F.struct(F.lit("model").alias("role"), F.array(part(F.lit("why"), thought=F.lit(True)), part(F.col("content")), part(c=call), part(x=code), part(F.lit("noted"), c=call, thought=F.lit(False))).alias("parts"))
     response = F.struct(F.concat(F.lit("resp"), turn_text()).alias("responseId"), F.array(F.struct(F.lit(0).alias("index"), F.lit("STOP").alias("finishReason"), content.alias("content"))).alias("candidates"))
     record = F.struct(F.concat(F.lit("req"), turn_text()).alias("request_id"), "timestamp", F.array(asked).alias("contents"), F.array(F.concat(F.lit("a"), turn_text())).alias("candidate_ids"), response.alias("response"))
-    return archive(spark, sf_dir, record, "records")
+    return archive(spark, sf_dir, record, "records").withColumn("document", F.regexp_replace("document", '"thought":false', '"function_call":null'))
 
 
 @register("content_archive_events", PAIRS + """
@@ -355,16 +451,30 @@ e AS (
   SELECT trace_id, -1 AS rec, 0 AS k, 'conversation.started' AS event_type, NULL AS role, NULL AS content, NULL AS tool_name, CAST(NULL AS BOOLEAN) AS linked_call FROM p WHERE rec = 0
   UNION ALL SELECT trace_id, rec, 1, 'message.observed', 'user', asked || chr(10) || '[function_response:unknown]', NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 2, 'tool.completed', NULL, 'found', 'search', true FROM p
-  UNION ALL SELECT trace_id, rec, 3, 'message.observed', 'model', answer || chr(10) || '[function_call:search]', NULL, NULL FROM p
-  UNION ALL SELECT trace_id, rec, 4, 'tool.called', NULL, '{}', 'search', NULL FROM p
-  UNION ALL SELECT trace_id, rec, 5, 'artifact.observed', NULL, 'STOP', NULL, NULL FROM p
-  UNION ALL SELECT trace_id, rec, 6, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
-  UNION ALL SELECT trace_id, max(rec), 7, 'artifact.observed', NULL, NULL, NULL, NULL FROM p GROUP BY trace_id)
+  UNION ALL SELECT trace_id, rec, 3, 'message.observed', 'model', '[thought]' || chr(10) || answer || chr(10) || '[function_call:search]' || chr(10) || '[executable_code]' || chr(10) || 'noted', NULL, NULL FROM p
+  UNION ALL SELECT trace_id, rec, 4, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
+  UNION ALL SELECT trace_id, rec, 5, 'tool.called', NULL, '{"q":"x"}', 'search', NULL FROM p
+  UNION ALL SELECT trace_id, rec, 6, 'tool.called', NULL, '1+1', 'code_execution', NULL FROM p
+  UNION ALL SELECT trace_id, rec, 7, 'artifact.observed', NULL, 'STOP', NULL, NULL FROM p
+  UNION ALL SELECT trace_id, rec, 8, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
+  UNION ALL SELECT trace_id, max(rec), 9, 'artifact.observed', NULL, NULL, NULL, NULL FROM p GROUP BY trace_id)
 SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e""")
 def content_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.content_events(content_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
+@register("content_archive_consistency", PLANTED + """
+SELECT trace_id, 'part with several fields' AS fault FROM q
+UNION ALL SELECT trace_id, CASE n % 5 WHEN 0 THEN 'response id repeats' WHEN 1 THEN 'candidate ids don''t fit' WHEN 2 THEN 'call id with other definition' WHEN 3 THEN 'part without an observable field' ELSE 'candidate of another role' END FROM q WHERE n % 5 <> 3
+UNION ALL SELECT trace_id, 'message id with other content' FROM q WHERE n % 5 = 1
+UNION ALL SELECT trace_id, 'part with several fields' FROM p GROUP BY trace_id HAVING count(*) = 1
+UNION ALL SELECT trace_id, CASE CAST(substr(trace_id, 6) AS BIGINT) % 5 WHEN 1 THEN 'candidate ids don''t fit' ELSE 'candidate of another role' END FROM p WHERE CAST(substr(trace_id, 6) AS BIGINT) % 5 IN (1, 4) GROUP BY trace_id HAVING count(*) = 1""")
+def content_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that all have a part with two fields, and are broken in further ways: one id for all responses, a candidate id too many (so that all candidates have one id), one call id for different arguments, a candidate of another role."""
+    docs = planted(content_archive(spark, sf_dir), ('"resp[0-9]+"', '"resp"'), ('"candidate_ids":\\[', '"candidate_ids":["more",'), ('"id":"call([0-9]+)","name":"search","args":\\{"q":"x"', '"id":"call","name":"search","args":{"q":"$1"'), ("nothing of this", ""), ('"content":\\{"role":"model"', '"content":{"role":"user"'))
+    return normalize.content_faults(docs)
+
+
 @register("capture_consistency", "WITH c AS (SELECT conv_id, turn, turn % 5 = 4 AS bad, text FROM conversations) SELECT 'cap-' || conv_id AS capture_id, 'o' || turn AS id, CASE WHEN turn % 7 = 6 THEN 'kind of another client' WHEN bad THEN 'digest' END AS fault FROM c")
 def capture_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ev.messages(spark, sf_dir)
@@ -404,9 +514,26 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("redactions").alias("redactions"))
 
 
-@register("redaction_leaves_nothing", "SELECT CAST(0 AS BIGINT) AS location, '' AS kind, '' AS detector, NULL AS rule_id, '' AS digest WHERE false")
+@register("redaction_leaves_nothing", "SELECT source, count(*) AS found, CAST(0 AS BIGINT) AS left_over FROM (" + RESIDUALS.format(key="doc_id", text="text", table="documents") + ") r JOIN documents ON doc_id = location GROUP BY source")
 def redaction_leaves_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.scan(privacy.redact(ev.table(spark, sf_dir, "documents"), "text"), "doc_id", "text")
+    """Findings by source before redaction (but for phones, see above), and after it with all detectors."""
+    docs = ev.table(spark, sf_dir, "documents")
+    sources = docs.select(F.col("doc_id").alias("location"), "source")
+    before = privacy.scan(docs, "doc_id", "text", only=NATIVE).join(sources, "location").groupBy("source").agg(F.count("*").alias("found"))
+    after = privacy.scan(privacy.redact(docs, "text"), "doc_id", "text").join(sources, "location").groupBy("source").agg(F.count("*").alias("left_over"))
+    return before.join(after, "source", "left").select("source", "found", F.coalesce("left_over", F.lit(0)).alias("left_over"))
+
+
+@register("event_redaction", """
+WITH m AS (SELECT 'conv-' || conv_id AS trace_id, turn AS sequence, 'user' || conv_id || '@example.org' AS mail FROM conversations)
+SELECT trace_id, sequence, 'write to <redacted:email:' || left(sha256(mail), 12) || '> now' AS content, '{"deep":[{"<redacted:email:' || left(sha256(mail), 12) || '>":1},"token <redacted:secret:' || left(sha256('sk-abcdefghijkl' || sequence), 12) || '>"]}' AS payload,
+       '/events/' || sequence || '/content,/events/' || sequence || '/payload/<value:0>/0/<key:0>,/events/' || sequence || '/payload/<value:0>/1' AS places FROM m""")
+def event_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a mail address in their text, and one as a key and a token as a value of their payload."""
+    m = ev.messages(spark, sf_dir)
+    mail = F.concat(F.lit("user"), F.col("conv_id").cast("string"), F.lit("@example.org"))
+    e = m.select("trace_id", F.col("turn").alias("sequence"), F.concat(F.lit("write to "), mail, F.lit(" now")).alias("content"), F.concat(F.lit('{"deep":[{"'), mail, F.lit('":1},"token sk-abcdefghijkl'), F.col("turn").cast("string"), F.lit('"]}')).alias("payload"))
+    return privacy.redact_events(e, ["content"], ["payload"]).select("trace_id", "sequence", "content", "payload", F.array_join(F.transform("redactions", lambda r: r["location"]), ",").alias("places"))
 
 
 @register("redaction_review")
@@ -421,9 +548,12 @@ def redaction_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED = "WITH e AS (SELECT 'doc-' || doc_id AS example_id, '{\"toxic\":' || toxic || '}' AS outputs, '{\"toxic\":0}' AS b, '{\"toxic\":' || (CASE WHEN quality = 0 THEN 1 ELSE 0 END) || '}' AS c, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'sealed_test' END AS role FROM labels) "
 
 
-@register("partition_verification", LABELLED + "SELECT example_id, 'missing' AS fault FROM e WHERE false")
+@register("partition_verification", LABELLED + "SELECT count(DISTINCT role) AS roles, count(*) AS examples, CAST(0 AS BIGINT) AS faults FROM e")
 def partition_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.partition_faults(ev.split(spark, sf_dir), ev.examples(spark, sf_dir))
+    """The sound split: its roles, its examples, and no faults."""
+    split = ev.split(spark, sf_dir)
+    faults = evaluation.partition_faults(split, ev.examples(spark, sf_dir)).agg(F.count("*").alias("faults"))
+    return split.agg(F.count_distinct("role").alias("roles"), F.count("*").alias("examples")).crossJoin(faults)  # a row each
 
 
 @register("partition_faults", LABELLED + "SELECT example_id, 'missing' AS fault FROM e WHERE role = 'validation' UNION ALL SELECT example_id, 'overlap' FROM e WHERE role = 'train' UNION ALL SELECT 'doc-' || doc_id, 'unknown' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -469,15 +599,76 @@ def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison(spark, sf_dir)
 
 
-@register("promotion_gates")
+TAIL = "CASE WHEN c <= b THEN 1.0 ELSE list_sum(list_transform(range(c, c + b + 1), lambda k: exp(lgamma(c + b + 1) - lgamma(k + 1) - lgamma(c + b - k + 1) - (c + b) * ln(2)))) END"
+GATES = LABELLED + f"""
+, t AS (SELECT role, count(*) AS n, count(*) FILTER (c = outputs AND b = outputs) AS wins, count(*) FILTER (c = outputs AND b <> outputs) AS c, count(*) FILTER (b = outputs AND c <> outputs) AS b FROM e GROUP BY role),
+g AS (SELECT *, {TAIL} AS p FROM t),
+k AS (SELECT role, n, c + b AS pairs, (c - b) / n AS gain, p, concat_ws(',', CASE WHEN n < 10 THEN 'too few examples' END, CASE WHEN c <= b THEN 'no gain' END, CASE WHEN (wins + c) / n < 0.5 THEN 'score too low' END, CASE WHEN (c - b) / n < 0.01 THEN 'gain too small' END, CASE WHEN c + b < 5 THEN 'too few discordant pairs' END, CASE WHEN p > 0.05 THEN 'chance too likely' END) AS reasons FROM g)
+"""
+
+
+@register("promotion_gates", GATES + "SELECT role, reasons = '' AS passed, n AS total, round(gain, 9) AS absolute_improvement, pairs AS discordant_pairs, round(p, 6) AS one_sided_p_value, reasons FROM k")
 def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates(spark, sf_dir).withColumns({"absolute_improvement": F.round("absolute_improvement", 9), "one_sided_p_value": F.round("one_sided_p_value", 6), "reasons": F.array_join("reasons", ",")})
+
+
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(r, 10, 0.5, 0.01, 5, 0.05) for r in evaluation.ROLES], "role string, min_total long, min_candidate_score double, min_absolute_improvement double, min_discordant_pairs long, max_one_sided_p_value double")
     return evaluation.promotion_checks(rules, comparison(spark, sf_dir))
 
 
-@register("promotion_decision")
+@register("promotion_decision", GATES + "SELECT CASE WHEN bool_and(reasons = '') THEN 'promote' ELSE 'reject' END AS decision, count(*) AS rules, count(*) FILTER (reasons = '') AS rules_passed FROM k")
 def promotion_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.promotion_decision(promotion_gates(spark, sf_dir))
+    return evaluation.promotion_decision(gates(spark, sf_dir))
+
+
+@register("mcnemar_tails", f"WITH t AS (SELECT n_nationkey AS c, r_regionkey * 4 AS b FROM nation, region) SELECT c, b, round({TAIL}, 9) AS p FROM t")
+def mcnemar_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tail of each nation's number of wins against four times each region's."""
+    pairs = ev.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c")).crossJoin(F.broadcast(ev.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 4).alias("b"))))  # 25 by 5 rows
+    return pairs.select("c", "b", F.round(scalars.mcnemar_p("c", "b"), 9).alias("p"))
+
+
+@register("promotion_materialized", "SELECT 'v' || n_nationkey AS variant_id FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 0")
+def promotion_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of which every third is promoted, while every second one's document was changed after the decision."""
+    n = ev.table(spark, sf_dir, "nation")
+    variant, plain = F.concat(F.lit("v"), F.col("n_nationkey").cast("string")), F.to_json(F.struct(F.col("n_name").alias("name")))
+    decided = n.select(variant.alias("variant_id"), F.sha2(plain, 256).alias("variant_sha256"), F.when(F.col("n_nationkey") % 3 == 0, "promote").otherwise("reject").alias("decision"))
+    documents = n.select(variant.alias("variant_id"), F.sha2(plain, 256).alias("variant_sha256"), F.when(F.col("n_nationkey") % 2 == 1, F.to_json(F.struct(F.lit("other").alias("name")))).otherwise(F.concat(F.lit(" "), plain)).alias("document"))
+    return evaluation.materialize(decided, documents).select("variant_id")
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset for each language: labelled documents, their source and number as inputs, their label as an output."""
+    d = ev.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(ev.table(spark, sf_dir, "labels"), "doc_id")
+    return d.select(F.coalesce("lang", F.lit("-")).alias("dataset_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("example_id"), F.create_map(F.lit("source"), F.col("source"), F.lit("number"), F.col("doc_id").cast("string")).alias("inputs"), F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("outputs"))
+
+
+DATASETS = "WITH e AS (SELECT coalesce(lang, '-') AS dataset_id, 'doc-' || doc_id AS example_id, source, CAST(doc_id AS VARCHAR) AS number, toxic FROM documents JOIN labels USING (doc_id)) "
+
+
+@register("dataset_signature", DATASETS + "SELECT count(*) AS examples, CAST(1 AS BIGINT) AS input_signatures, CAST(1 AS BIGINT) AS output_signatures, CAST(0 AS BIGINT) AS overlapping FROM e")
+def dataset_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.dataset_signature(datasets(spark, sf_dir))
+
+
+@register("dataset_public_digest", DATASETS + """SELECT dataset_id, count(*) AS examples, sha256('{"examples":[' || string_agg('{"id":"' || example_id || '","inputs":{"number":"' || number || '","source":"' || source || '"}}', ',' ORDER BY example_id) || '],"input_fields":["number","source"]}') AS public_sha256 FROM e GROUP BY dataset_id""")
+def dataset_public_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.public_digest(datasets(spark, sf_dir), "dataset_id")
+
+
+@register("dataset_payloads", DATASETS + "SELECT example_id, 'number=' || number || ',source=' || source || ',toxic=' || toxic AS fields, 'number,source' AS input_keys FROM e")
+def dataset_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.payloads(datasets(spark, sf_dir)).select("example_id", map_text("fields").alias("fields"), F.array_join("input_keys", ",").alias("input_keys"))
+
+
+@register("output_keys", LABELLED + "SELECT example_id, CASE WHEN role = 'train' THEN 'toxic' ELSE '' END AS missing, CASE WHEN role = 'train' THEN 'tocsic' ELSE 'more' END AS unexpected FROM e WHERE role <> 'sealed_test'")
+def output_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs whose key is misspelt in the training role, and that have a further one in validation."""
+    o = ev.examples(spark, sf_dir).join(ev.split(spark, sf_dir), "example_id")
+    broken = F.when(F.col("role") == "train", F.replace("outputs", F.lit("toxic"), F.lit("tocsic"))).when(F.col("role") == "validation", F.replace("outputs", F.lit("{"), F.lit('{"more":1,'))).otherwise(F.col("outputs"))
+    return evaluation.output_key_faults(o.withColumn("outputs", broken), ["toxic"]).select("example_id", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"))
 
 
 @register("rollback_triggers", """
@@ -620,6 +811,150 @@ def oracle_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).withColumn("failed", F.array_join("failed", ","))
 
 
+ORACLES = "WITH o AS (SELECT page_id, page_id % 6 AS k, html, 'pages/' || page_id AS path FROM pages) "
+
+
+def oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An oracle of each page's file, of one of six kinds; all but every seventh hold."""
+    k, odd = F.col("page_id") % 6, F.col("page_id") % 7 == 0
+    none = F.lit(None)
+    o = ev.table(spark, sf_dir, "pages").select("page_id", "html")
+    mode = F.when(k == 0, F.when(odd, "absent").otherwise("exists")).when(k == 1, "text_equals").when(k == 2, "text_contains").when(k == 3, "sha256").when(k == 4, F.when(odd, "exists").otherwise("absent"))
+    expected = F.when(k == 1, F.when(odd, F.concat("html", F.lit(" "))).otherwise(F.col("html"))).when(k == 2, F.when(odd, F.lit("\x01 none")).otherwise(F.substring("html", 3, 20))).when(k == 3, F.when(odd, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("html", 256)))
+    size = F.octet_length("html").cast("long")
+    return o.select(F.col("page_id").alias("oracle_id"), F.when(k == 5, "artifact").otherwise("file").alias("kind"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.when(k == 4, ".none").otherwise("")).alias("path"), mode.alias("mode"), none.cast("string").alias("pointer"), expected.alias("expected"), none.cast("string").alias("sha256"), F.when(k == 5, size).alias("min_bytes"), F.when(k == 5, F.when(odd, size - 1).otherwise(size)).alias("max_bytes"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+@register("file_oracles", "SELECT page_id AS oracle_id, page_id % 7 <> 0 AS passed FROM pages")
+def file_oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.oracle_results(oracles(spark, sf_dir), page_files(spark, sf_dir)).select("oracle_id", "passed")
+
+
+def json_oracles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An oracle of each event's properties: that /k is the value it has, that it is there, or that /none is not; every seventh asks for the opposite."""
+    e = ev.table(spark, sf_dir, "events")
+    k, odd = F.col("event_id") % 3, F.col("event_id") % 7 == 0
+    mode = F.when(k == 0, "equals").when(k == 1, F.when(odd, "absent").otherwise("exists")).otherwise(F.when(odd, "exists").otherwise("absent"))
+    value = F.get_json_object("props", "$.k")
+    none = F.lit(None)
+    return e.select(F.col("event_id").alias("oracle_id"), F.lit("json").alias("kind"), F.col("event_id").cast("string").alias("path"), mode.alias("mode"), F.when(k == 2, "/none").otherwise("/k").alias("pointer"), F.when(k == 0, F.when(odd, F.lit('{"other":1}')).otherwise(value)).alias("expected"), none.cast("string").alias("sha256"), none.cast("long").alias("min_bytes"), none.cast("long").alias("max_bytes"))
+
+
+@register("json_oracles", "SELECT event_id AS oracle_id, event_id % 7 <> 0 AS passed FROM events")
+def json_oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = ev.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").cast("binary").alias("content"))
+    return integrity.oracle_results(json_oracles_of(spark, sf_dir), files).select("oracle_id", "passed")
+
+
+@register("mutated_oracles", "SELECT page_id AS oracle_id, page_id % 7 = 0 AND page_id % 6 IN (0, 4) AS passed FROM pages")
+def mutated_oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sound oracles none survives its mutation; an unsound one of presence is set right by it."""
+    return integrity.oracle_results(integrity.mutated(oracles(spark, sf_dir)), page_files(spark, sf_dir)).select("oracle_id", "passed")
+
+
+@register("span_depths", """
+WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS n, user_id % 3 AS g FROM events)
+SELECT event_id, CAST(n % 150 AS BIGINT) AS depth FROM t""")
+def span_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 150 spans, each under the one before it in time."""
+    order = Window.partitionBy("g").orderBy("ts", "event_id")
+    t = ev.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("g"))
+    t = t.select("event_id", (F.row_number().over(order) - 1).alias("n"), F.lag("event_id").over(order).alias("before"), F.col("g").cast("string").alias("trace_id"))
+    spans = t.select("trace_id", F.col("event_id").alias("span_id"), F.when(F.col("n") % 150 != 0, F.col("before")).alias("parent_span_id"))
+    return integrity.span_depths(spans).select(F.col("span_id").alias("event_id"), "depth")
+
+
+@register("listing_digest", """SELECT page_id % 7 AS tree, count(*) AS entries, sha256('[' || string_agg('{"path":"pages/' || page_id || '.html","sha256":"' || sha256(html) || '","size":' || strlen(html) || '}', ',' ORDER BY 'pages/' || page_id || '.html') || ']') AS listing_sha256 FROM pages GROUP BY ALL""")
+def listing_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.listing_digest(ev.tree(spark, sf_dir), "tree")
+
+
+@register("manifest_totals", "WITH t AS (SELECT page_id % 7 AS tree, count(*) AS n FROM pages GROUP BY ALL) SELECT tree, 'total' AS fault FROM t WHERE tree % 2 = 0 UNION ALL SELECT tree, 'order' FROM t WHERE tree % 3 = 0 AND n > 1")
+def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings whose total is one byte off in every second tree, and that run backwards in every third."""
+    t = ev.tree(spark, sf_dir)
+    claimed = integrity.tree_totals(t, "tree").select("tree", (F.col("total_bytes") + F.when(F.col("tree") % 2 == 0, 1).otherwise(0)).alias("total_bytes"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("path"))
+    return integrity.total_faults(t.withColumn("position", F.when(F.col("tree") % 3 == 0, -place).otherwise(place)), claimed, "tree")
+
+
+@register("pattern_counts", BASE + "SELECT 'origin' AS kind, CASE WHEN check_index % 2 = 0 THEN 'synthetic' ELSE 'sanitized_real_world' END AS value, count(*) AS patterns FROM f GROUP BY ALL UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'code', code, count(*) FROM f GROUP BY ALL")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure records as patterns of a corpus, by origin, category and code."""
+    f = ev.failure_records(ev.outcomes(spark, sf_dir)).withColumn("origin", F.when(F.col("check_index") % 2 == 0, "synthetic").otherwise("sanitized_real_world"))
+    return selection.counts_by(f, "origin", "category", "code").withColumnRenamed("n", "patterns")
+
+
+CAPSULES = "WITH c AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation) "
+
+
+def capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capsule of each region with a check for each of its nations; every second check leaves time and exit codes to the capsule."""
+    n = ev.table(spark, sf_dir, "nation")
+    own = F.col("n_nationkey") % 2 == 0
+    check = F.struct(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), F.array(F.lit("check"), F.lit("it")).alias("argv"), F.when(own, 5.0).alias("timeout_seconds"), F.when(own, F.array(F.lit(3), F.lit(0))).alias("expected_exit_codes"))
+    docs = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", check.alias("c")))), lambda x: x["c"]).alias("commands"))
+    doc = F.struct(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("id"), F.lit("be sound").alias("goal"), F.when(F.col("n_regionkey") == 0, F.struct(F.lit(9.0).alias("default_timeout_seconds"))).alias("limits"), F.struct("commands").alias("success"))
+    return docs.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".json")).alias("source_name"), F.to_json(doc).alias("document"))
+
+
+@register("capsule_checks", CAPSULES + "SELECT 'r' || n_regionkey AS capsule_id, CAST(i AS INTEGER) AS check_index, 'c' || n_nationkey AS check_id, CASE WHEN n_nationkey % 2 = 0 THEN 5.0 WHEN n_regionkey = 0 THEN 9.0 ELSE 30.0 END::DOUBLE AS timeout_seconds, CASE WHEN n_nationkey % 2 = 0 THEN '0,3' ELSE '0' END AS expected_exit_codes FROM c")
+def capsule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.capsule_rows(capsules(spark, sf_dir)).select("capsule_id", "check_index", "check_id", "timeout_seconds", F.array_join("expected_exit_codes", ",").alias("expected_exit_codes"))
+
+
+@register("capsule_faults", "SELECT 'r' || r_regionkey || '.json' AS source_name, CASE r_regionkey WHEN 0 THEN '/goal: missing' WHEN 1 THEN '/success/commands/0/argv: not an array' WHEN 2 THEN 'checks need the command tool' WHEN 3 THEN 'not a strict JSON object' ELSE 'check ids repeat' END AS fault FROM region")
+def capsule_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capsules broken in five ways by their region."""
+    k, d = F.regexp_extract("source_name", "([0-9]+)", 1).cast("int"), F.col("document")
+    broken = F.when(k == 0, F.replace(d, F.lit('"goal":"be sound",'), F.lit(""))).when(k == 1, F.replace(d, F.lit('["check","it"]'), F.lit('"check"'))).when(k == 2, F.regexp_replace(d, r"\}$", ',"allowed_actions":{"tools":["browser"]}}')).when(k == 3, F.concat(d, F.lit("]"))).otherwise(F.regexp_replace(d, '"c[0-9]+"', '"c"'))
+    return documents.capsule_faults(capsules(spark, sf_dir).withColumn("document", broken))
+
+
+@register("experiment_variants", "SELECT 'x' || n_regionkey AS experiment_id, 'r' || n_regionkey AS capsule, 3 AS repetitions, 'v' || n_nationkey AS variant_id, sha256('{\"env\":{\"N\":\"' || n_nationkey || '\"},\"id\":\"v' || n_nationkey || '\"}') AS variant_sha256 FROM nation")
+def experiment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An experiment of each region with a variant for each of its nations."""
+    variant = F.struct(F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("id"), F.create_map(F.lit("N"), F.col("n_nationkey").cast("string")).alias("env"))
+    docs = ev.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(variant).alias("variants"))
+    name = lambda k: F.concat(F.lit(k), F.col("n_regionkey").cast("string"))
+    return documents.experiment_rows(docs.select(name("x").alias("source_name"), F.to_json(F.struct(name("x").alias("id"), name("r").alias("capsule"), F.lit(3).alias("repetitions"), "variants")).alias("document")))
+
+
+@register("otlp_faults", """
+WITH u AS (SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id)
+SELECT 'user-' || user_id AS source_name, CASE user_id % 5 WHEN 0 THEN 'span id repeats' WHEN 1 THEN 'trace id' WHEN 2 THEN 'span id' ELSE 'time' END AS fault, n AS spans FROM u WHERE user_id % 5 IN (1, 2, 3) OR user_id % 5 = 0 AND n > 1""")
+def otlp_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports broken in four ways by their user: one span id for all, a trace id of zeros, a span id that is none, a start that is no number."""
+    k, d = F.substring_index("source_name", "-", -1).cast("long") % 5, F.col("document")
+    broken = F.when(k == 0, F.regexp_replace(d, '"spanId":"[0-9A-F]+"', '"spanId":"00000000000000AA"')).when(k == 1, F.regexp_replace(d, '"traceId":"[0-9a-f]+"', '"traceId":"' + "0" * 32 + '"')).when(k == 2, F.regexp_replace(d, '"spanId":"[0-9A-F]+"', '"spanId":"zz"')).when(k == 3, F.regexp_replace(d, '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"x"')).otherwise(d)
+    return normalize.otlp_faults(ev.otlp(spark, sf_dir).withColumn("document", broken)).groupBy("source_name", "fault").agg(F.count("*").alias("spans"))
+
+
+@register("view_query_runs", BASE + VIEW_SQL["runs"] + " ORDER BY started_at, run_key LIMIT 50")
+def view_query_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty runs in the view's order: a report of the top rows."""
+    return views.query(ev.store_tables(spark, sf_dir), "runs", 50)
+
+
+@register("view_query_taxonomy", BASE + VIEW_SQL["failure_taxonomy"] + " ORDER BY occurrences DESC, failure_category, failure_code LIMIT 3")
+def view_query_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.query_with_info(ev.store_tables(spark, sf_dir), "failure_taxonomy", 3)[1]
+
+
+@register("time_functions", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, epoch_us(ts) AS micros, event_type <> 'error' OR user_id % 2 = 0 AS overlaps, user_id % 2 = 0 AS same FROM events")
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments as texts and from nanoseconds, rules that may match the same metadata, and numbers that are the same but for rounding."""
+    e = ev.table(spark, sf_dir, "events")
+    at = scalars.nanos_to_timestamp(F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)") * 1000 + 7)
+    even = F.col("user_id") % 2 == 0
+    left, right = F.create_map(F.lit("type"), F.col("event_type"), F.lit("x"), F.lit("1")), F.create_map(F.lit("type"), F.when(even, F.col("event_type")).otherwise(F.when(F.col("event_type") == "error", "other").otherwise(F.col("event_type"))))
+    return e.select("event_id", scalars.iso_utc(F.col("ts").cast("timestamp")).alias("iso"), F.unix_micros(at).alias("micros"), scalars.may_overlap(left, right).alias("overlaps"), scalars.same_within(F.lit(1.0) + F.col("event_id"), (F.lit(1.0) + F.col("event_id")) * F.when(even, 1 + 1e-15).otherwise(1 + 1e-9)).alias("same"))
+
+
 @register("corpus_counts", "SELECT lang, source, count(*) AS documents, count(DISTINCT sha256(text)) AS distinct_texts FROM documents GROUP BY ALL")
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("documents"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"))

@@ -1,13 +1,16 @@
-"""Strict JSON documents as rows: datasets, splits, predictions, dialogue corpora.
+"""Strict JSON documents as rows: datasets, splits, predictions, dialogue corpora, capsules, experiments.
 
-A document that is no strict JSON object, has fields its schema does not know, or
-lacks one it needs is reported as a fault rather than read as nulls.
+A document that is no strict JSON object, has fields its schema does not know,
+values of another kind, or lacks one it needs is reported as a fault rather than
+read as nulls.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +22,12 @@ from plumbline.functions.scalars import canonical, canonical_json, strict_or_non
 MAX_BYTES, MAX_DEPTH = 10 << 20, 128
 #: Field lists of the documents, as DDL; open values stay JSON text.
 SCHEMAS = {
-    "dataset": "id string, examples array<struct<id:string,inputs:map<string,string>,outputs:string>>",
-    "split": "id string, dataset_id string, train array<string>, validation array<string>, sealed_test array<string>",
-    "predictions": "variant_id string, role string, predictions array<struct<example_id:string,outputs:string>>",
-    "dialogue": "id string, tasks array<struct<id:string,turns:array<struct<id:string,role:string,content:string,updates:array<struct<id:string,key:string,action:string,value:string,supersedes:string>>>>,probes:array<struct<id:string,after_turn_id:string>>>>",
+    "dataset": "schema_version string, id string not null, examples array<struct<id:string not null,inputs:map<string,string> not null,outputs:string not null comment 'object',metadata:string comment 'object'>> not null, metadata string comment 'object'",
+    "split": "schema_version string, id string not null, dataset_id string not null, train array<string> not null, validation array<string> not null, sealed_test array<string> not null, metadata string comment 'object'",
+    "predictions": "schema_version string, id string, variant_id string not null, variant_sha256 string, role string not null, predictions array<struct<example_id:string not null,outputs:string not null comment 'object'>> not null, metadata string comment 'object'",
+    "dialogue": "schema_version string, id string not null, tasks array<struct<id:string not null,turns:array<struct<id:string not null,role:string not null,content:string not null,updates:array<struct<id:string not null,key:string not null,action:string not null,value:string,supersedes:string>>>> not null,probes:array<struct<id:string not null,after_turn_id:string not null>> not null>> not null, metadata string comment 'object'",
+    "capsule": "schema_version string, id string not null, goal string not null, initial_state struct<working_directory:string>, allowed_actions struct<tools:array<string>,network:string>, limits struct<max_commands:int,default_timeout_seconds:double,max_output_chars:int>, sandbox string comment 'object', success struct<commands:array<struct<id:string not null,argv:array<string> not null,description:string,cwd:string,env:map<string,string>,timeout_seconds:double,expected_exit_codes:array<int>,continue_on_failure:boolean>> not null> not null, metadata string comment 'object'",
+    "experiment": "schema_version string, id string not null, capsule string not null, workspace string, repetitions int, variants array<struct<id:string not null,description:string,env:map<string,string>,metadata:string comment 'object'>> not null, metadata string comment 'object'",
 }
 
 
@@ -43,26 +48,65 @@ def depth(value: object) -> int:
     return deepest
 
 
-@F.pandas_udf(T.StringType())
-def shape_fault(texts: pd.Series) -> pd.Series:
-    """What keeps a text from being a strict JSON object, or null. Spark's own reader takes repeated keys and NaN, so this runs in Arrow batches in Python."""
+MOMENT = re.compile(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d(\.\d+)?)?([Zz]|[+-]\d\d:?\d\d)")
+PLAIN: list[tuple[type[T.DataType] | tuple, str, object]] = [
+    (T.BooleanType, "a boolean", lambda v: isinstance(v, bool)),
+    (T.IntegralType, "a whole number", lambda v: isinstance(v, int) and not isinstance(v, bool)),
+    (T.FractionalType, "a finite number", lambda v: isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v)),
+    (T.TimestampType, "a time with its zone", lambda v: isinstance(v, str) and MOMENT.fullmatch(v) is not None),
+    (T.StringType, "a text", lambda v: isinstance(v, str)),
+]
+
+
+def mismatch(value: object, kind: T.DataType, comment: str | None = None, at: str = "") -> str | None:
+    """Where a JSON value first departs from a schema, or null. Fields that are not null are needed; a text field with the comment json holds any value, with object an object."""
+    if comment in ("json", "object"):
+        return None if comment == "json" or isinstance(value, dict) else f"{at or '/'}: not an object"
+    if isinstance(kind, T.StructType):
+        if not isinstance(value, dict):
+            return f"{at or '/'}: not an object"
+        unknown = sorted(value.keys() - set(kind.names))
+        if unknown:
+            return f"{at}/{unknown[0]}: unknown field"
+        for f in kind:
+            if value.get(f.name) is None:
+                if not f.nullable:
+                    return f"{at}/{f.name}: missing"
+            elif fault := mismatch(value[f.name], f.dataType, f.metadata.get("comment"), f"{at}/{f.name}"):
+                return fault
+        return None
+    if isinstance(kind, T.ArrayType | T.MapType):
+        items = enumerate(value) if isinstance(kind, T.ArrayType) and isinstance(value, list) else value.items() if isinstance(kind, T.MapType) and isinstance(value, dict) else None
+        if items is None:
+            return f"{at or '/'}: not {'an array' if isinstance(kind, T.ArrayType) else 'an object'}"
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        return next((fault for k, v in items if (fault := mismatch(v, inner, None, f"{at}/{k}"))), None)
+    name, fits = next((n, f) for t, n, f in PLAIN if isinstance(kind, t))
+    return None if fits(value) else f"{at}: not {name}"
+
+
+def shape_fault(ddl: str | None = None):
+    """UDF: what keeps a text from being a strict JSON object, of that schema if one is given; null if nothing does. Spark's own reader takes repeated keys, NaN and fields of other types, so this runs in Arrow batches in Python."""
+    schema = T.StructType.fromDDL(ddl) if ddl else None
 
     def of(text: str | None) -> str | None:
         value = strict_or_none(text)
         if not isinstance(value, dict):
             return "not a strict JSON object"
-        return "nested too deep" if depth(value) > MAX_DEPTH else None
+        if depth(value) > MAX_DEPTH:
+            return "nested too deep"
+        return mismatch(value, schema) if schema else None
 
-    return texts.map(of)
+    @F.pandas_udf(T.StringType())
+    def judge(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return judge
 
 
 def document_faults(documents: DataFrame, kind: str) -> DataFrame:
-    """source_name, fault: shape, unknown fields, missing id."""
-    known = [f.name for f in T.StructType.fromDDL(SCHEMAS[kind])]
-    keys = F.json_object_keys("document")
-    unknown = F.array_except(keys, F.array(*map(F.lit, [*known, "schema_version", "metadata"])))
-    fault = F.coalesce(shape_fault("document"), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown fields: "), F.array_join(F.array_sort(unknown), ", "))), F.when(~F.array_contains(keys, known[0]), F.concat(F.lit("missing "), F.lit(known[0]))))
-    return documents.select("source_name", fault.alias("fault")).where("fault is not null")
+    """source_name, fault: no strict JSON object, or the first place that departs from the kind's schema."""
+    return documents.select("source_name", shape_fault(SCHEMAS[kind])("document").alias("fault")).where("fault is not null")
 
 
 def parse(documents: DataFrame, kind: str) -> DataFrame:
@@ -95,6 +139,26 @@ def dialogue_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return turns.select("task_id", "turn", F.col("u.id").alias("turn_id"), "u.role", "u.content"), updates, probes.select("task_id", "probe_id", "turn")
 
 
+def capsule_rows(documents: DataFrame) -> DataFrame:
+    """capsule_id, check_index and the checks of capsules, with what a check leaves to its capsule: thirty seconds if neither says, the working directory, exit code 0."""
+    c = parse(documents, "capsule").select(F.col("id").alias("capsule_id"), "limits", "initial_state", F.posexplode("success.commands").alias("check_index", "c"))
+    return c.select("capsule_id", "check_index", F.col("c.id").alias("check_id"), "c.argv", F.coalesce("c.cwd", F.lit(".")).alias("cwd"), F.coalesce("initial_state.working_directory", F.lit(".")).alias("working_directory"), F.coalesce("c.timeout_seconds", "limits.default_timeout_seconds", F.lit(30.0)).alias("timeout_seconds"), F.array_sort(F.coalesce("c.expected_exit_codes", F.array(F.lit(0)))).alias("expected_exit_codes"), F.coalesce("c.continue_on_failure", F.lit(False)).alias("continue_on_failure"))
+
+
+def capsule_faults(documents: DataFrame) -> DataFrame:
+    """source_name, fault of capsules: shape, repeated check ids, more checks than the limit, or checks without the command tool."""
+    d = parse(documents, "capsule")
+    ids = F.transform("success.commands", lambda c: c["id"])
+    fault = F.when(F.size(F.array_distinct(ids)) < F.size(ids), "check ids repeat").when(F.size(ids) > F.coalesce("limits.max_commands", F.lit(50)), "more checks than the limit").when(~F.array_contains(F.coalesce("allowed_actions.tools", F.array(F.lit("command"))), "command"), "checks need the command tool")
+    return document_faults(documents, "capsule").unionByName(d.select("source_name", fault.alias("fault")).where("fault is not null"))
+
+
+def experiment_rows(documents: DataFrame) -> DataFrame:
+    """experiment_id, capsule, repetitions, variant_id, variant_sha256 (of the variant in canonical form) of experiments."""
+    e = parse(documents, "experiment").select(F.col("id").alias("experiment_id"), "capsule", F.coalesce("repetitions", F.lit(1)).alias("repetitions"), F.explode("variants").alias("v"))
+    return e.select("experiment_id", "capsule", "repetitions", F.col("v.id").alias("variant_id"), F.sha2(canonical_json(F.to_json("v")), 256).alias("variant_sha256"))
+
+
 def document_digest(document: dict) -> str:
     """SHA-256 of a document in canonical form, for the few that the driver holds."""
     return hashlib.sha256(canonical(document).encode()).hexdigest()

@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import canonical_json, composite_key
 from plumbline.schemas import STORE_VERSION, TABLES
+from plumbline.sources.artifacts import parsed
 
 ROW_TABLES = ("runs", "checks", "failure_records", "variant_summaries")
 MAX_ARTIFACT_BYTES = 100 << 20
-FAILURE = "struct<category:string,code:string,impact:string,retryability:string,summary:string,details:string,caused_by_check_id:string,causes:array<string>>"
-CHECK = f"struct<id:string,argv:array<string>,cwd:string,status:string,exit_code:int,duration_seconds:double,stdout:string,stderr:string,stdout_truncated:boolean,stderr_truncated:boolean,error:string,failure:{FAILURE}>"
-RESULT = f"capsule_id:string,status:string,started_at:timestamp,finished_at:timestamp,duration_seconds:double,checks:array<{CHECK}>"
-SUMMARY = "struct<variant_id:string,runs:int,passed:int,failed:int,errors:int,pass_rate:double,mean_duration_seconds:double>"
-ARTIFACT = f"schema_version:string,experiment_id:string,{RESULT},runs:array<struct<run_id:string,variant_id:string,repetition:int,result:struct<{RESULT}>>>,summaries:array<{SUMMARY}>"
+REJECTED = "source_name string, source_sha256 string, fault string"
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -37,34 +34,37 @@ def measured(checks: Column) -> Column:
 
     def one(c: Column) -> Column:
         for name in ("stdout", "stderr"):
-            c = c.withField(f"{name}_chars", F.length(c[name])).withField(f"{name}_sha256", F.sha2(c[name], 256))
+            text = F.coalesce(c[name], F.lit(""))
+            c = c.withField(f"{name}_chars", F.length(text)).withField(f"{name}_sha256", F.sha2(text, 256)).withField(f"{name}_truncated", F.coalesce(c[f"{name}_truncated"], F.lit(False)))
         return c.dropFields("stdout", "stderr")
 
     return F.transform(checks, one)
 
 
-def parsed(artifacts: DataFrame) -> DataFrame:
-    """Artifacts (source_name, document) with fixed schemas, each content once and without raw outputs. One with an experiment_id is an experiment, any other a single run."""
-    a = F.from_json("document", f"struct<{ARTIFACT}>")
+def without_outputs(parsed: DataFrame) -> DataFrame:
+    """Parsed artifacts, without their checks' raw outputs."""
+    a = F.col("a")
     a = a.withField("checks", measured(a["checks"])).withField("runs", F.transform(a["runs"], lambda r: r.withField("result", r["result"].withField("checks", measured(r["result"]["checks"])))))
-    return artifacts.select("source_name", F.sha2("document", 256).alias("source_sha256"), a.alias("a"), F.array_contains(F.json_object_keys("document"), "experiment_id").alias("is_experiment")).dropDuplicates(["source_sha256"])
+    return parsed.withColumn("a", a)
 
 
 def tables_of(a: DataFrame) -> dict[str, DataFrame]:
-    """The rows of parsed artifacts: sources, runs, checks, failure_records, variant_summaries. Outputs are kept as lengths and digests only."""
+    """The rows of parsed artifacts: sources, runs, checks, failure_records, variant_summaries. Outputs are kept as lengths and digests only; rows also name their source_name."""
     sources = a.select("source_sha256", F.when(F.col("is_experiment"), "experiment").otherwise("run").alias("artifact_kind"), "source_name", F.col("a.schema_version").alias("artifact_schema_version"), F.current_timestamp().alias("ingested_at"))
-    alone = F.array(F.struct(F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("int").alias("repetition"), F.struct(*(F.col(f"a.{c.split(':')[0]}") for c in ("capsule_id", "status", "started_at", "finished_at", "duration_seconds", "checks"))).alias("result")))
-    each = a.select("source_sha256", F.col("a.experiment_id").alias("experiment_id"), F.explode(F.when(F.col("is_experiment"), F.col("a.runs")).otherwise(alone)).alias("r"))
+    result = lambda r: F.struct(*(r[c].alias(c) for c in ("capsule_id", "status", "started_at", "finished_at", "duration_seconds", "checks"))).alias("result")
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("int").alias("repetition"), result(F.col("a"))))
+    of_experiment = F.transform("a.runs", lambda r: F.struct(r["run_id"].alias("run_id"), r["variant_id"].alias("variant_id"), r["repetition"].alias("repetition"), result(r["result"])))
+    each = a.select("source_sha256", "source_name", F.col("a.experiment_id").alias("experiment_id"), F.explode(F.when(F.col("is_experiment"), of_experiment).otherwise(alone)).alias("r"))
     keyed = each.withColumn("run_key", composite_key(F.col("source_sha256"), F.coalesce("r.run_id", F.lit("standalone"))))
-    runs = keyed.select("run_key", "source_sha256", "experiment_id", "r.run_id", "r.variant_id", "r.repetition", "r.result.capsule_id", "r.result.status", "r.result.started_at", "r.result.finished_at", "r.result.duration_seconds", F.when(F.col("r.result.checks").isNull(), 0).otherwise(F.size("r.result.checks")).alias("check_count"))
-    c = keyed.select("source_sha256", "run_key", F.posexplode("r.result.checks").alias("check_index", "c"))
+    runs = keyed.select("run_key", "source_sha256", "source_name", "experiment_id", "r.run_id", "r.variant_id", "r.repetition", "r.result.capsule_id", "r.result.status", "r.result.started_at", "r.result.finished_at", "r.result.duration_seconds", F.when(F.col("r.result.checks").isNull(), 0).otherwise(F.size("r.result.checks")).alias("check_count"))
+    c = keyed.select("source_sha256", "source_name", "run_key", F.posexplode("r.result.checks").alias("check_index", "c"))
     c = c.withColumn("check_key", composite_key(F.col("run_key"), F.col("check_index"), F.col("c.id")))
     checks = c.select(
-        "check_key", "run_key", "source_sha256", "check_index", F.col("c.id").alias("check_id"), "c.status", "c.exit_code", "c.duration_seconds", "c.cwd", F.to_json("c.argv").alias("argv_json"),
+        "check_key", "run_key", "source_sha256", "source_name", "check_index", F.col("c.id").alias("check_id"), "c.status", "c.exit_code", "c.duration_seconds", "c.cwd", F.to_json("c.argv").alias("argv_json"),
         "c.stdout_chars", "c.stderr_chars", "c.stdout_sha256", "c.stderr_sha256", "c.stdout_truncated", "c.stderr_truncated", F.col("c.error").alias("error_message"),
     )
     failures = c.where("c.failure is not null").select(
-        composite_key(F.col("check_key"), F.col("c.failure.code")).alias("failure_key"), "check_key", "run_key", "source_sha256", "c.failure.category", "c.failure.code", "c.failure.impact", "c.failure.retryability", "c.failure.summary",
+        composite_key(F.col("check_key"), F.col("c.failure.code")).alias("failure_key"), "check_key", "run_key", "source_sha256", "source_name", "c.failure.category", "c.failure.code", "c.failure.impact", "c.failure.retryability", "c.failure.summary",
         canonical_json(F.coalesce("c.failure.details", F.lit("{}"))).alias("details_json"), "c.failure.caused_by_check_id", F.to_json(F.coalesce("c.failure.causes", F.array().cast("array<string>"))).alias("causes_json"),
     )
     s = a.where("is_experiment").select("source_sha256", F.col("a.experiment_id").alias("experiment_id"), F.col("a.capsule_id").alias("capsule_id"), F.explode("a.summaries").alias("s"))
@@ -73,7 +73,8 @@ def tables_of(a: DataFrame) -> dict[str, DataFrame]:
 
 
 def normalize(artifacts: DataFrame) -> dict[str, DataFrame]:
-    return tables_of(parsed(artifacts))
+    """The rows of the artifacts that may be stored."""
+    return tables_of(without_outputs(parsed(artifacts).where("fault is null")))
 
 
 def initialize(spark: SparkSession, root: str) -> None:
@@ -86,6 +87,7 @@ def initialize(spark: SparkSession, root: str) -> None:
         return
     for name in (*ROW_TABLES, "sources"):
         spark.createDataFrame([], TABLES[name]).write.parquet(f"{root}/{name}/ingest=none")
+    spark.createDataFrame([], REJECTED).write.parquet(f"{root}/rejected/ingest=none")
     spark.createDataFrame([("schema_version", STORE_VERSION)], TABLES["store_metadata"]).write.parquet(f"{root}/store_metadata")
 
 
@@ -93,29 +95,40 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(f"{TABLES[name]}, ingest string").parquet(f"{root}/{name}")
 
 
-def ingest(artifacts: DataFrame, root: str) -> int:
-    """Add artifacts whose bytes the store does not know; returns how many sources are new. Documents are parsed once, into a staging table."""
+def ingest(artifacts: DataFrame, root: str, strict: bool = False) -> int:
+    """Add artifacts whose bytes the store does not know; returns how many sources are new. Those with a fault go to the table of rejected ones, or, if strict, nothing is added. Documents are parsed once, into a staging table."""
     spark, mark = artifacts.sparkSession, uuid.uuid4().hex
     known = read_table(spark, root, "sources").select(F.col("source_sha256").alias("k"))
     staged = f"{root}/_staging/{mark}"
-    parsed(artifacts.join(known, F.sha2("document", 256) == F.col("k"), "left_anti")).write.option("compression", "zstd").parquet(staged)
-    rows = tables_of(spark.read.parquet(staged))
-    if not rows["runs"].groupBy("run_key").count().where("count > 1").isEmpty():
-        raise ValueError("an artifact names one run twice")
-    for name in (*ROW_TABLES, "sources"):
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows[name].select(*columns).write.option("compression", "zstd").parquet(f"{root}/{name}/ingest={mark}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    without_outputs(parsed(artifacts.join(known, F.sha2("document", 256) == F.col("k"), "left_anti"))).write.option("compression", "zstd").parquet(staged)
+    rows = spark.read.parquet(staged)
+    rejected = rows.where("fault is not null").select("source_name", "source_sha256", "fault")
+    try:
+        if strict and (bad := rejected.limit(3).collect()):
+            raise ValueError("artifacts may not be stored: " + "; ".join(f"{r.source_name}: {r.fault}" for r in bad))
+        rejected.write.option("compression", "zstd").parquet(f"{root}/rejected/ingest={mark}")
+        tables = tables_of(rows.where("fault is null"))
+        for name in (*ROW_TABLES, "sources"):
+            columns = [c.split()[0] for c in TABLES[name].split(", ")]
+            tables[name].select(*columns).write.option("compression", "zstd").parquet(f"{root}/{name}/ingest={mark}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return spark.read.schema(TABLES["sources"]).parquet(f"{root}/sources/ingest={mark}").count()
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The store's tables: the partitions of finished ingests."""
+    """The store's tables: of each source the rows of one finished ingest, also where two at once have added it."""
     sources = read_table(spark, root, "sources")
-    finished = sources.select("ingest").distinct()
-    tables = {name: read_table(spark, root, name).join(finished, "ingest", "left_semi").drop("ingest") for name in ROW_TABLES}
-    return tables | {"sources": sources.drop("ingest"), "store_metadata": spark.read.schema(TABLES["store_metadata"]).parquet(f"{root}/store_metadata")}
+    finished = sources.groupBy("source_sha256").agg(F.min("ingest").alias("ingest"))
+    tables = {name: read_table(spark, root, name).join(finished, ["source_sha256", "ingest"], "left_semi").drop("ingest") for name in (*ROW_TABLES, "sources")}
+    columns = lambda name: [c.split()[0] for c in TABLES[name].split(", ")]
+    return {name: df.select(*columns(name)) for name, df in tables.items()} | {"store_metadata": spark.read.schema(TABLES["store_metadata"]).parquet(f"{root}/store_metadata")}
+
+
+def rejected(spark: SparkSession, root: str) -> DataFrame:
+    """source_name, source_sha256, fault of the artifacts that ingests have turned away, each content once."""
+    return spark.read.schema(f"{REJECTED}, ingest string").parquet(f"{root}/rejected").drop("ingest").dropDuplicates(["source_sha256"])
 
 
 def info(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -17,27 +17,31 @@ UTC = dt.timezone.utc
 T0 = dt.datetime(2024, 1, 1, tzinfo=UTC)
 
 
-def result(status="passed", code=None, exit_code=0, secret=""):
-    failure = None
+def result(status="passed", code=None, exit_code=0, secret="", **changes):
+    failure, summary = None, {"total": 0}
     if code:
         row = next(t for t in TAXONOMY if t[0] == code)
         failure = {"category": row[1], "code": code, "impact": row[2], "retryability": row[3], "summary": row[4], "details": {"b": 1, "a": exit_code}, "causes": []}
+        summary = {"total": 1, "evaluation_failures": int(row[2] == "evaluation_failure"), "infrastructure_errors": int(row[2] == "infrastructure_error"), "not_evaluated": 0, "by_category": {row[1]: 1}, "by_code": {code: 1}, "primary_check_id": "unit", "primary_code": code}
     check = {"id": "unit", "argv": ["pytest", "-q"], "cwd": ".", "status": status, "exit_code": exit_code, "duration_seconds": 1.0, "stdout": secret, "stderr": "é🙂", "stdout_truncated": False, "stderr_truncated": False, "error": None, "failure": failure}
-    return {"capsule_id": "cap", "status": status, "started_at": "2024-01-01T00:00:00Z", "finished_at": "2024-01-01T00:00:02Z", "duration_seconds": 2.0, "checks": [check]}
+    return {"capsule_id": "cap", "status": status, "started_at": "2024-01-01T00:00:00Z", "finished_at": "2024-01-01T00:00:02Z", "duration_seconds": 2.0, "checks": [check], "failure_summary": summary} | changes
 
 
-def experiment():
-    runs_of = [{"run_id": f"exp.{v}.001", "variant_id": v, "repetition": 1, "result": r} for v, r in (("baseline", result()), ("profiled", result("failed", "unexpected_exit", 7, "secret output")))]
-    return {"schema_version": "0.1", "experiment_id": "exp", "capsule_id": "cap", "runs": runs_of, "summaries": [{"variant_id": v, "runs": 1, "passed": p, "failed": 1 - p, "errors": 0, "pass_rate": float(p), "mean_duration_seconds": 2.0} for v, p in (("baseline", 1), ("profiled", 0))]}
+def experiment(**changes):
+    runs_of = [{"run_id": f"exp.{v}.001", "variant_id": v, "repetition": 1, "trace_id": f"exp.{v}.001", "result": r} for v, r in (("baseline", result()), ("profiled", result("failed", "unexpected_exit", 7, "secret output")))]
+    return {"schema_version": "0.1", "experiment_id": "exp", "capsule_id": "cap", "started_at": "2024-01-01T00:00:00Z", "finished_at": "2024-01-01T00:00:02Z", "duration_seconds": 2.0, "runs": runs_of, "summaries": [{"variant_id": v, "runs": 1, "passed": p, "failed": 1 - p, "errors": 0, "pass_rate": float(p), "mean_duration_seconds": 2.0} for v, p in (("baseline", 1), ("profiled", 0))]} | changes
 
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     root = f"file://{tmp_path_factory.mktemp('store')}/s"
     store.initialize(spark, root)
-    docs = spark.createDataFrame([("a.json", json.dumps(experiment())), ("b.json", json.dumps({"schema_version": "0.1"} | result()))], "source_name string, document string")
+    docs = spark.createDataFrame([("a.json", json.dumps(experiment())), ("b.json", json.dumps(result())), ("c.json", "{broken"), ("d.json", '{"a":1}')], "source_name string, document string")
     assert store.ingest(docs, root) == 2
     assert store.ingest(docs, root) == 0  # the same bytes add nothing
+    assert {(r.source_name, r.fault) for r in store.rejected(spark, root).collect()} == {("c.json", "not a strict JSON object"), ("d.json", "/a: unknown field")}
+    with pytest.raises(ValueError, match="c.json"):
+        store.ingest(docs, root, strict=True)
     store.initialize(spark, root)
     return store.load(spark, root)
 
@@ -202,10 +206,12 @@ def test_otlp_values():
 
 def test_otlp_span_faults(spark):
     span = lambda **k: {"traceId": "A" * 32, "spanId": "b" * 16, "name": "n", "startTimeUnixNano": "5", "endTimeUnixNano": "9"} | k
-    spans = [span(), span(traceId="0" * 32), span(spanId="xyz"), span(startTimeUnixNano="x"), span(endTimeUnixNano="1")]
+    spans = [span(), span(traceId="0" * 32), span(spanId="xyz"), span(spanId="c" * 16, startTimeUnixNano="x"), span(spanId="d" * 16, endTimeUnixNano="1"), span()]
     doc = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]})
     got = normalize.otlp_spans(spark.createDataFrame([("s", doc)], "source_name string, document string")).collect()
-    assert [r.fault for r in got] == [None, "trace id", "span id", "time", "ends before it starts"] and got[0].trace_id == "a" * 32
+    assert sorted(r.fault for r in got) == ["ends before it starts", "span id", "span id repeats", "span id repeats", "time", "trace id"]
+    assert {r.trace_id for r in got if r.fault == "span id repeats"} == {"a" * 32}
+    assert normalize.otlp_faults(spark.createDataFrame([("s", doc)], "source_name string, document string")).count() == 6
 
 
 def test_manifests_trees_and_cycles(spark, tmp_path):
@@ -224,6 +230,9 @@ def test_manifests_trees_and_cycles(spark, tmp_path):
     assert {(r.workflow, r.node) for r in integrity.cyclic(edges).collect()} == {("v", "a"), ("v", "b"), ("v", "c")}
     spans = spark.createDataFrame([("t", "a", None), ("t", "b", "a"), ("t", "c", "b"), ("t", "o", "zz")], "trace_id string, span_id string, parent_span_id string")
     assert {r.span_id: r.depth for r in integrity.span_depths(spans).collect()} == {"a": 0, "b": 1, "c": 2, "o": 0}
+    long = [("t", str(i), str(i - 1) if i else None) for i in range(200)] + [("u", "x", "y"), ("u", "y", "x"), ("u", "z", "y"), ("t", "9", "8")]
+    deep = {(r.trace_id, r.span_id): r.depth for r in integrity.span_depths(spark.createDataFrame(long, "trace_id string, span_id string, parent_span_id string")).collect()}
+    assert deep == {("t", str(i)): i for i in range(200)} | {("u", k): None for k in "xyz"}
 
 
 def test_context_budget_cuts_the_last_item(spark):
@@ -241,10 +250,10 @@ def test_named_tool_and_parallel_calls(spark):
 
 
 def test_documents_strictly(spark):
-    texts = {"ok": '{"id":"d","examples":[{"id":"e","inputs":{"q":"1"},"outputs":{"b":1,"a":2}}]}', "dup": '{"id":"d","id":"e"}', "nan": '{"id":NaN}', "extra": '{"id":"d","more":1}', "none": "{}", "list": "[1]", "deep": '{"id":' + "[" * 200 + "]" * 200 + "}"}
+    texts = {"kind": '{"id":"d","examples":[{"id":1,"inputs":{},"outputs":{}}]}', "ok": '{"id":"d","examples":[{"id":"e","inputs":{"q":"1"},"outputs":{"b":1,"a":2}}]}', "dup": '{"id":"d","id":"e"}', "nan": '{"id":NaN}', "extra": '{"id":"d","more":1}', "none": "{}", "list": "[1]", "deep": '{"id":' + "[" * 200 + "]" * 200 + "}"}
     docs = spark.createDataFrame(list(texts.items()), "source_name string, document string")
     got = {r.source_name: r.fault for r in documents.document_faults(docs, "dataset").collect()}
-    assert got == {"dup": "not a strict JSON object", "nan": "not a strict JSON object", "extra": "unknown fields: more", "none": "missing id", "list": "not a strict JSON object", "deep": "nested too deep"}
+    assert got == {"kind": "/examples/0/id: not a text", "dup": "not a strict JSON object", "nan": "not a strict JSON object", "extra": "/more: unknown field", "none": "/id: missing", "list": "not a strict JSON object", "deep": "nested too deep"}
     assert documents.dataset_rows(docs.where("source_name = 'ok'")).first().outputs == '{"a":2,"b":1}'
 
 
@@ -263,3 +272,121 @@ def test_trace_jsonl(spark, tmp_path):
     e = spark.createDataFrame([("t", 1, "b"), ("t", 0, "a")], "trace_id string, sequence int, event_type string")
     store.write_trace_jsonl(e, f"file://{tmp_path}/t")
     assert [r.value for r in spark.read.text(f"file://{tmp_path}/t").collect()] == ['{"event_type":"a","sequence":0,"trace_id":"t"}', '{"event_type":"b","sequence":1,"trace_id":"t"}']
+
+
+def with_check(**changes):
+    r = result("failed", "unexpected_exit", 7)
+    return r | {"checks": [r["checks"][0] | changes]}
+
+
+def with_failure(**changes):
+    r = result("failed", "unexpected_exit", 7)
+    return r | {"checks": [r["checks"][0] | {"failure": r["checks"][0]["failure"] | changes}]}
+
+
+def test_artifacts_that_may_not_be_stored(spark):
+    from plumbline.sources.artifacts import artifact_faults
+
+    skipped = result("failed", "unexpected_exit", 1)["checks"][0]
+    late = skipped | {"id": "late", "status": "skipped", "failure": {"category": "control_flow", "code": "skipped_after_failure", "impact": "not_evaluated", "retryability": "after_fix", "summary": "s", "caused_by_check_id": "unit"}}
+    halted = result("failed", "unexpected_exit", 1) | {"checks": [skipped, late], "failure_summary": {"total": 2, "evaluation_failures": 1, "infrastructure_errors": 0, "not_evaluated": 1, "by_category": {"task": 1, "control_flow": 1}, "by_code": {"unexpected_exit": 1, "skipped_after_failure": 1}, "primary_check_id": "unit", "primary_code": "unexpected_exit"}}
+    runs_of = experiment()["runs"]
+    cases = {
+        "whole run": (result(), None), "whole failure": (result("failed", "unexpected_exit", 7), None), "whole experiment": (experiment(), None), "halted": (halted, None), "no summary": ({k: v for k, v in result().items() if k != "failure_summary"}, None),
+        "negative": (result(duration_seconds=-1.0), "run ends before it starts"), "status": (result(status="odd"), "run status unknown"), "boolean": (result(duration_seconds=True), "/duration_seconds: not a finite number"), "zone": (result(started_at="2024-01-01T00:00:00"), "/started_at: not a time with its zone"),
+        "no failure": (with_check(failure=None), "check status and failure disagree"), "other code": (with_check(status="timed_out"), "check status and failure disagree"), "category": (with_failure(category="resource"), "failure is not of its code"), "cause": (with_failure(causes=["unexpected_exit"]), "failure is not of its code"),
+        "long details": (with_failure(details={"x": "y" * 5000}), "failure details are too long"), "raw output": (with_failure(details={"x": [{"Raw_Output": 1}]}), "failure details hold raw output"), "details": (with_failure(details=[1]), "/checks/0/failure/details: not an object"),
+        "twice": (halted | {"checks": [skipped, late | {"id": "unit"}]}, "check ids repeat"), "order": (halted | {"checks": [late, skipped]}, "skipped checks out of place"), "blocked": (halted | {"checks": [skipped, late | {"failure": late["failure"] | {"caused_by_check_id": "x"}}]}, "skipped checks out of place"),
+        "primary": (halted | {"failure_summary": halted["failure_summary"] | {"primary_check_id": "late"}}, "failure summary is not that of the checks"), "run ids": (experiment(runs=[runs_of[0], runs_of[1] | {"run_id": runs_of[0]["run_id"]}]), "run ids repeat"), "cells": (experiment(runs=[runs_of[0], runs_of[1] | {"variant_id": "baseline"}]), "matrix cells repeat"),
+        "capsule": (experiment(capsule_id="other"), "run of another capsule"), "outside": (experiment(finished_at="2024-01-01T00:00:01Z"), "run outside the experiment"), "variants": (experiment(summaries=experiment()["summaries"][:1]), "summaries are not of the variants"),
+        "rate": (experiment(summaries=[experiment()["summaries"][0] | {"pass_rate": 0.5}, experiment()["summaries"][1]]), "summary is not that of its runs"), "inner": (experiment(runs=[runs_of[0] | {"result": result(status="failed")}, runs_of[1]]), "summary is not that of its runs"), "repetition": (experiment(runs=[runs_of[0] | {"repetition": "1"}, runs_of[1]]), "/runs/0/repetition: not a whole number"),
+    }
+    docs = spark.createDataFrame([(name, json.dumps(doc)) for name, (doc, _) in cases.items()], "source_name string, document string")
+    assert {r.source_name: r.fault for r in artifact_faults(docs).collect()} == {n: f for n, (_, f) in cases.items() if f}
+
+
+def test_two_ingests_of_one_source_show_it_once(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    store.initialize(spark, root)
+    docs = spark.createDataFrame([("b.json", json.dumps(result()))], "source_name string, document string")
+    assert store.ingest(docs, root) == 1
+    for name in (*store.ROW_TABLES, "sources"):  # what a second one at the same time leaves
+        store.read_table(spark, root, name).where("ingest <> 'none'").drop("ingest").write.parquet(f"{root}/{name}/ingest=zzz")
+    assert {r.table_name: r.row_count for r in store.info(store.load(spark, root)).collect()}["runs"] == 1
+    counts, rows = views.query_with_info(store.load(spark, root), "sources")
+    assert rows.count() == 1 and counts.where("table_name = 'sources'").first().row_count == 1
+
+
+def sha(value):
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_signatures_leave_out_what_is_hidden(spark):
+    from plumbline.operators import signatures
+
+    thinking = [{"type": "thinking", "thinking": "secret", "signature": "s"}, {"type": "text", "text": "é", "citations": [{"encrypted_content": "x", "u": 1}]}, {"type": "tool_use", "id": "c", "name": "n", "input": {"a": {"encrypted_content": 1, "b": 2}}}]
+    other = json.loads(json.dumps(thinking).replace("secret", "another").replace('"x"', '"y"'))
+    want = {"role": "assistant", "blocks": [{"type": "thinking", "thinking_present": True, "signature_present": True, "redacted_data_present": False}, {"type": "text", "citations": [{"u": 1}]}, {"type": "tool_use", "id": "c", "name": "n", "caller": None}], "texts": ["é"], "tools": [{"type": "tool_use", "id": "c", "name": "n", "input": {"a": {"b": 2}}, "tool_use_id": None, "content": None, "is_error": False}]}
+    rows = [("assistant", json.dumps(thinking)), ("assistant", json.dumps(other)), ("system", '"be brief"'), ("user", "7"), ("user", None)]
+    a, b, c, d, e = (r.s for r in spark.createDataFrame(rows, "role string, content string").select(signatures.message_signature("role", "content").alias("s")).collect())
+    assert a == b == sha(want) and c == sha({"role": "system", "blocks": [{"type": "text", "citations": []}], "texts": ["be brief"], "tools": []}) and d is None and e is None
+    parts = [{"thought": True, "text": "x", "thought_signature": "q"}, {"function_call": None, "functionCall": {"name": "n"}, "text": "t"}, {"functionCall": {"id": "1", "name": "n", "args": {"thoughtSignature": 1, "k": 2}}}, {"zz": 1, "thoughtSignature": 2}]
+    want = {"role": "model", "parts": [{"type": "thought", "text_present": True, "thought_signature_present": True}, {"type": "text", "text": "t"}, {"type": "function_call", "id": "1", "name": "n", "args": {"k": 2}}, {"type": "unknown", "metadata": {"zz": 1}}]}
+    rows = spark.createDataFrame([("model", json.dumps(parts))], "role string, content string")
+    assert rows.select(signatures.content_signature("role", "content").alias("s")).first().s == sha(want)
+    assert [signatures.part_fault(p) for p in (parts[0], {"text": "a", "inline_data": {}}, {"file_data": {}, "fileData": {}}, {}, 3)] == [None, "part with several fields", "two spellings of a part's field", "part without an observable field", "part is not an object"]
+    assert spark.createDataFrame([('{"b":[{"encrypted_content":1,"a":2}]}',)], "d string").select(signatures.visible_json("d")).first()[0] == '{"b":[{"a":2}]}'
+
+
+def test_a_system_prompt_that_changes_is_told_again(spark):
+    record = lambda i, system, content: {"request_id": f"r{i}", "timestamp": f"2024-01-01T00:00:0{i}Z", "system": system, "messages": [{"id": f"u{i}", "role": "user", "content": content}], "response": {"id": f"a{i}", "content": [{"type": "text", "text": "ok"}]}}
+    doc = {"id": "t", "records": [record(0, "be brief", "[not json]"), record(1, "be brief", [{"type": "text", "text": "two"}]), record(2, [{"type": "text", "text": "be long"}], "three"), record(3, None, "four")]}
+    events = normalize.message_events(spark.createDataFrame([("t", json.dumps(doc))], "source_name string, document string")).sort("sequence").collect()
+    told = [(e.role, e.content) for e in events if e.event_type == "message.observed"]
+    assert told == [("system", "be brief"), ("user", "[not json]"), ("assistant", "ok"), ("user", "two"), ("assistant", "ok"), ("system", "be long"), ("user", "three"), ("assistant", "ok"), ("user", "four"), ("assistant", "ok")]
+    assert normalize.message_faults(spark.createDataFrame([("t", json.dumps(doc))], "source_name string, document string")).count() == 0
+
+
+def test_reasoning_keeps_its_summary_only(spark):
+    item = {"id": "r", "type": "reasoning", "summary": [{"type": "summary_text", "text": "short"}], "encrypted_content": "hidden"}
+    doc = {"id": "t", "responses": [{"input_items": [], "response": {"id": "x", "created_at": 1.5, "output": [item, {"id": "w", "type": "web_search_call"}]}}]}
+    events = normalize.response_events(spark.createDataFrame([("t", json.dumps(doc))], "source_name string, document string")).sort("sequence").collect()
+    assert [(e.event_type, e.artifact_kind, e.content, e.hidden_present) for e in events[1:3]] == [("artifact.observed", "reasoning_summary", "short", True), ("artifact.observed", "response_item", None, None)]
+    assert events[1].timestamp.microsecond == 500_000
+
+
+def test_events_under_a_policy(spark):
+    e = spark.createDataFrame([("t", 0, "mail a@b.example", '{"to":["c@d.example"],"n":1}'), ("t", 1, None, None)], "trace_id string, sequence int, content string, payload string")
+    done, records, review = privacy.apply_policy(e, ["content"], ["payload"])
+    assert {(r.location, r.kind) for r in records.collect()} == {("/events/0/content", "email"), ("/events/0/payload/<value:0>/0", "email")}
+    r = review.first()
+    assert (r.total_redactions, r.residual_findings, r.redaction_enabled) == (2, 0, True) and "@" not in str(done.collect())
+    same, records, review = privacy.apply_policy(e, ["content"], ["payload"], enabled=False)
+    assert records.count() == 0 and review.first().residual_findings == 2 and "redaction_disabled_review_only" in review.first().warnings
+    assert sorted(map(str, same.collect())) == sorted(map(str, e.collect()))
+    with pytest.raises(Exception, match="duplicate"):
+        spark.createDataFrame([('{"a@b.example":1,"<redacted:email:%s>":2}' % hashlib.sha256(b"a@b.example").hexdigest()[:12],)], "d string").select(privacy.redact_json()("d")).collect()
+
+
+def test_oracles_and_their_mutations(spark):
+    schema = "oracle_id string, kind string, path string, mode string, pointer string, expected string, sha256 string, min_bytes long, max_bytes long"
+    rows = [("gone", "file", "none", "text_equals", None, "x", None, None, None), ("bytes", "file", "bin", "text_contains", None, "x", None, None, None), ("json", "json", "doc", "equals", "/a/0", '{"y": 1, "x": 2}', None, None, None), ("odd", "json", "bin", "exists", "/a", None, None, None, None), ("size", "artifact", "bin", None, None, None, None, 2, 2), ("nokey", "json", "doc", "absent", "/a/7", None, None, None, None), ("nofile", "json", "none", "absent", "/a", None, None, None, None)]
+    files = spark.createDataFrame([("bin", bytearray(b"\xff\xfe")), ("doc", bytearray(b'{"a":[{"x":2,"y":1}]}'))], "path string, content binary")
+    oracles = spark.createDataFrame(rows, schema)
+    got = {r.oracle_id: (r.passed, r.error) for r in integrity.oracle_results(oracles, files).collect()}
+    assert got == {"gone": (False, "file does not exist"), "bytes": (False, "not UTF-8"), "json": (True, None), "odd": (False, "no JSON document"), "size": (True, None), "nokey": (True, None), "nofile": (False, "file does not exist")}
+    changed = {r.oracle_id: r.passed for r in integrity.oracle_results(integrity.mutated(oracles.where("oracle_id in ('json', 'size', 'nokey')")), files).collect()}
+    assert changed == {"json": False, "size": False, "nokey": False}
+
+
+def test_splits_predictions_and_dialogues_as_rows(spark):
+    frame = lambda doc: spark.createDataFrame([("s", json.dumps(doc))], "source_name string, document string")
+    split = documents.split_rows(frame({"id": "s", "dataset_id": "d", "train": ["a"], "validation": [], "sealed_test": ["b", "c"]}))
+    assert {(r.role, r.example_id) for r in split.collect()} == {("train", "a"), ("sealed_test", "b"), ("sealed_test", "c")}
+    made = documents.prediction_rows(frame({"variant_id": "v", "role": "train", "predictions": [{"example_id": "a", "outputs": {"y": 1, "x": [2]}}]})).first()
+    assert (made.variant_id, made.example_id, made.outputs) == ("v", "a", '{"x":[2],"y":1}')
+    turns, updates, probes = documents.dialogue_rows(frame({"id": "d", "tasks": [{"id": "t", "turns": [{"id": "a", "role": "user", "content": "x", "updates": [{"id": "u", "key": "k", "action": "set", "value": "1"}]}, {"id": "b", "role": "user", "content": "y"}], "probes": [{"id": "p", "after_turn_id": "b"}]}]}))
+    assert updates.first().update_id == "u" and probes.first().turn == 1
+    public = {r.turn: r.probe_ids for r in evaluation.public_corpus(updates, probes, turns).collect()}
+    assert public == {0: None, 1: ["p"]}
+    assert normalize.provenance(spark.createDataFrame([("a/b.json", bytearray(b"x"))], "path string, content binary")).first().source_sha256 == hashlib.sha256(b"x").hexdigest()

@@ -22,8 +22,10 @@ say little, are found by the shingles that they share (a prefix filter, exact).
 Cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; a null id is a
 document, but never the smallest id of a component unless all ids in it are
-null; repeated rows have one node and are given each; an empty table gives an
-empty result; other columns are ignored.
+null; repeated rows have one node and are given each; texts of any length count whole,
+and the shingles of one are held at once; a bit that is set in exactly half of
+the hashes is 0; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ each length that occurs. Sums over the longer rows then answer totals, quantiles
 and truncated totals for every context limit without touching a document again.
 The sums run in blocks of lengths, so that no task sees the whole histogram.
 
-Cases: a null text is empty and has length 0; repeated rows count each; an empty
-table gives an empty histogram; other columns are ignored.
+Cases: a null text is empty and has length 0; texts of any length are encoded
+whole; repeated rows count each; ties in length are one row; an empty table gives
+an empty histogram; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

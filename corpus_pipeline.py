@@ -5,6 +5,13 @@ brings the sources to their weights; what is left is encoded. Each stage takes
 (spark, docs, sf_dir) and returns a DataFrame, and all but the last return the
 columns of documents. The stages have no SQL form (a trained classifier,
 fingerprints, an encoder); the tests hold them against brute force.
+
+Cases, for every stage: a null text is an empty one, is not toxic, and equals and
+resembles other texts without words, so one such document stays; a null id, lang
+or source is a value of its own, and of copies a row with an id stays; texts of
+any length are read whole; rows repeated in full count as copies of each other;
+further columns, whatever their names, pass through all stages but the last; an
+empty table gives an empty one, and without labels nothing is toxic.
 """
 
 from __future__ import annotations

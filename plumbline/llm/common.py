@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system's scheme, as tasks need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def place_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """In a task: pyarrow's file system of a qualified folder (file, hdfs, s3, gs), and the folder in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs, stored with a number for each row, and that column's name. Scans may be split differently each time; what is stored stays the same."""
     row = "__row"
@@ -54,5 +72,4 @@ def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by store() that nothing reads any more."""
     spark, root = df.sparkSession, _stored.pop(id(df), (None, None))[1]
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, root)

@@ -1,38 +1,45 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word n-grams.
 
-Bigram and word counts are Good-Turing discounted; what the discounts leave in a
-history is spread over the words never seen after it, in proportion to their own
-probability, by a backoff weight that makes every history sum to exactly one:
+Counts of every order are Good-Turing discounted; what the discounts leave in a
+history is spread over the words never seen after it, in proportion to their
+probability of the next lower order, by a backoff weight that makes every history
+sum to exactly one:
 
     P(w|h) = d(c(hw)) c(hw) / (c(h) + KEPT)         if c(hw) > 0
-           = alpha(h) P(w)                          otherwise
+           = alpha(h) P(w|h')                       otherwise, h' being h without its first word
     P(w)   = d(c(w)) c(w) / (N + KEPT)              if c(w) > 0, the rest for a word never seen
-    alpha(h) = (1 - sum of P(w|h) seen) / (1 - sum of P(w) of the words seen after h)
+    alpha(h) = (1 - sum of P(w|h) seen) / (1 - sum of P(w|h') of the words seen after h), 1 for a history never seen
 
 KEPT, a tenth of a count, leaves mass where all of a history's followers are
-frequent. A text begins after an end.
-
-How it runs: documents become chunks of word numbers, each with its own word
-list, stored in the shared folder. A chunk sends each distinct word and bigram,
-as a 64-bit hash with its training count, to the table that owns the hash (one
-partition for each range of hashes; sorted and packed, a few bytes an entry).
-The owners add up the counts and answer each chunk in the order it asked, naming
-one chunk for each bigram. With the counts of counts, the chunk scores what was
-seen; the named chunk also adds the bigram to the sums of its history. Sums of
-all chunks make the backoff weights, which are joined to the histories of what
-was not seen. Everything but a few counts of counts stays in tasks.
+frequent. A text begins after as many ends as its histories need.
+
+How it runs: documents become chunks of word numbers, written into the shared
+folder as blobs with a small table of their places. Order by order, a chunk sends
+its distinct n-grams, grouped by history, to the owners of ranges of history
+hashes, as sorted and packed 64-bit hashes of histories and 40-bit hashes of the
+words that follow. An owner adds up the training counts of its histories and
+stores them as a page of the model: histories, followers, counts, and for each
+history the counts of counts and the lower-order mass that its weight is made of.
+It answers each chunk in the order it asked. When all orders are told, a chunk
+scores its tokens by recursion over the orders. Only a few counts of counts reach
+the driver. The pages of all orders are a `Model`, which can score other texts.
 
 Cases: a null text is empty and scores its end; a null id counts as the empty id
-for the fold; repeated rows count and are scored each; without training rows
-every token is unknown with probability one; an empty table gives an empty
-result; other columns are ignored. Different words or bigrams with one 64-bit
-hash would share a count (expected below one pair for a billion entries).
+for the fold; texts of any length are read whole, and one with more tokens than a
+chunk is a chunk of its own; repeated rows count and are scored each; without
+training rows every token is unknown with probability one; an empty table gives
+an empty result; other columns, whatever their names, are ignored. Different
+histories with one 64-bit hash, or two words after one history whose hashes agree
+in 40 bits, would share a count: expected below one pair for a billion histories,
+or for a history with a million followers.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +50,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store
+from .common import drop_stored, place_of, qualified, remove, shared_dir, store
 
 K, KEPT = 5, 0.1
-CHUNK_TOKENS, CHUNK_ROWS, OWNER_ITEMS = 1_200_000, 2048, 2_000_000
+ORDER = 3
+CHUNK_TOKENS, CHUNK_ROWS, OWNER_ITEMS, MOST_TASKS = 1_200_000, 2048, 2_000_000, 4096
 END = b"\n"  # no word holds white space
-CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, n_words int, tokens binary, n_tokens long"
-CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("n_words", pa.int32()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
-ASKED = "kind int, part int, chunk long, n long, keys binary, counts binary"
-ASKED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWERS = "kind int, part int, chunk long, n long, counts binary, totals array<long>"
-ANSWERS_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
-SCORED = "kind int, doc_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double, history long, seen double, followers double, unseen long"
-WORDS, BIGRAMS = 0, 1
+FOLLOWER_BITS = 40
+CHUNKS = "chunk long, file string, start long, size long, n_words long, n_tokens long"
+CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+BLOB_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("n_words", pa.int32()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
+#: A chunk's histories in one owner's range: their hashes, how many followers each has, and of these the hashes, training counts and lower-order counts; above: the lower-order count of each history.
+ASKED = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, lower binary, above binary"
+ASKED_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "lower", "above"))])
+#: A page of the model (chunk null), or an answer to a chunk: counts of its n-grams and histories as asked, and what the weights are made of where the chunk may need one.
+TOLD = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, above binary, kinds binary, low binary, totals array<long>"
+TOLD_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "above", "kinds", "low")), ("totals", pa.list_(pa.int64()))])
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -80,102 +91,206 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(data, n), dtype=np.uint64)
 
 
-def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (doc_id, held, text) rows: word numbers by frequency, each document closed by the end."""
-    made, task = 0, TaskContext.get().partitionId()
-    for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
-        text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
-        lists = pc.ascii_split_whitespace(text)
-        sizes = np.where(np.asarray(pc.binary_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0).astype(np.int64)
-        total = np.cumsum(sizes + 1)
-        cuts = [0]
-        while cuts[-1] < len(sizes):
-            done = total[cuts[-1] - 1] if cuts[-1] else 0
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + CHUNK_TOKENS, side="right"))))
-        for lo, hi in zip(cuts, cuts[1:]):
-            flat = pc.list_flatten(lists.slice(lo, hi - lo))
-            flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
-            index, words = np.asarray(flat.indices), [w.as_py() for w in flat.dictionary.cast(pa.large_binary())]
-            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), dtype=np.int64)
-            rank[order] = np.arange(len(words))
-            tokens = np.zeros(len(index) + hi - lo, dtype=np.int64)  # 0 is the end
-            inside = np.ones(len(tokens), dtype=bool)
-            inside[np.cumsum(sizes[lo:hi] + 1) - 1] = False
-            tokens[inside] = rank[index] + 1
-            listed = b"\n".join(words[i] for i in order)
-            row = {"chunk": task << 20 | made, "doc_ids": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": batch.column(1).slice(lo, hi - lo).to_pylist(), "sizes": (sizes[lo:hi] + 1).tolist(), "words": zstandard.ZstdCompressor(level=3).compress(listed), "n_words": len(words), "tokens": pack(tokens), "n_tokens": len(tokens)}
-            made += 1
-            yield pa.RecordBatch.from_pylist([row], schema=CHUNKS_ARROW)
+def ints(data: bytes, n: int) -> np.ndarray:
+    return unpack(data, n).astype(np.int64)
 
 
-class Chunk:
-    """A chunk's distinct words and bigrams, sorted by hash."""
+def floats(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<f8")
 
-    def __init__(self, row: dict) -> None:
-        self.chunk, self.doc_ids = row["chunk"], row["doc_ids"]
-        self.sizes = np.array(row["sizes"], dtype=np.int64)
-        self.held = np.array(row["held"], dtype=bool)
-        listed = zstandard.ZstdDecompressor().decompress(row["words"]) if row["n_words"] else b""
-        words = [END, *(listed.split(b"\n") if row["n_words"] else [])]
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-        self.tokens = unpack(row["tokens"], row["n_tokens"]).astype(np.int64)
-        self.before = np.append(0, self.tokens[:-1])
-        self.away = np.repeat(self.held, self.sizes)
-        #: Words in the order of their hashes, and the training count of each word number.
-        self.word_order = np.argsort(self.hashes, kind="stable")
-        self.word_counts = np.bincount(self.tokens[~self.away], minlength=len(words))
-        marked, count = np.unique((self.before * len(words) + self.tokens) * 2 + self.away, return_counts=True)
-        code = marked >> 1
-        fresh = np.append(True, code[1:] != code[:-1]) if len(code) else np.empty(0, dtype=bool)
-        self.codes = code[fresh]
-        trained = np.where(marked & 1, 0, count)
-        self.bigram_counts = np.add.reduceat(trained, np.flatnonzero(fresh)) if len(code) else trained
-        history, word = self.hashes[self.codes // len(words)], self.hashes[self.codes % len(words)]
-        mixed = (history ^ (history >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.keys = mixed ^ (mixed >> np.uint64(29))
-        self.bigram_order = np.argsort(self.keys, kind="stable")
 
-    def sides(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        yield WORDS, self.hashes[self.word_order], self.word_counts[self.word_order]
-        yield BIGRAMS, self.keys[self.bigram_order], self.bigram_counts[self.bigram_order]
+def pack_floats(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype="<f8").tobytes())
 
 
-def ask(parts: dict[int, int]):
-    """Function that sends a chunk's entries to the owners; parts: of either kind, a power of two."""
+# Chunks ----------------------------------------------------------------------
+
+
+def write_chunks(folder: str):
+    """Function over (doc_id, held, text) rows that writes their chunks, word numbers by frequency and each document closed by the end, and gives the chunks' places. Files have names of their own for each attempt."""
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
+            text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
+            lists = pc.ascii_split_whitespace(text)
+            sizes = np.where(np.asarray(pc.binary_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0).astype(np.int64)
+            total = np.cumsum(sizes + 1)
+            cuts = [0]
+            while cuts[-1] < len(sizes):
+                done = total[cuts[-1] - 1] if cuts[-1] else 0
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + CHUNK_TOKENS, side="right"))))
+            for lo, hi in zip(cuts, cuts[1:]):
+                flat = pc.list_flatten(lists.slice(lo, hi - lo))
+                flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+                index, words = np.asarray(flat.indices), [w.as_py() for w in flat.dictionary.cast(pa.large_binary())]
+                order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), dtype=np.int64)
+                rank[order] = np.arange(len(words))
+                tokens = np.zeros(len(index) + hi - lo, dtype=np.int64)  # 0 is the end
+                inside = np.ones(len(tokens), dtype=bool)
+                inside[np.cumsum(sizes[lo:hi] + 1) - 1] = False
+                tokens[inside] = rank[index] + 1
+                listed = b"\n".join(words[i] for i in order)
+                yield {"doc_ids": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": batch.column(1).slice(lo, hi - lo).to_pylist(), "sizes": (sizes[lo:hi] + 1).tolist(), "words": zstandard.ZstdCompressor(level=3).compress(listed), "n_words": len(words), "tokens": pack(tokens), "n_tokens": len(tokens)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for kind, keys, counts in Chunk(row).sides():
-                    bits = parts[kind].bit_length() - 1
-                    edges = np.searchsorted(keys, np.arange(parts[kind], dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, dtype=np.int64)
-                    out = []
-                    for part, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)])):
-                        if hi > lo:
-                            out.append({"kind": kind, "part": part, "chunk": row["chunk"], "n": int(hi - lo), "keys": pack_sorted(keys[lo:hi]), "counts": pack(counts[lo:hi])})
-                    yield pa.RecordBatch.from_pylist(out, schema=ASKED_ARROW)
+        task, file, out, start, made = TaskContext.get().partitionId(), "", None, 0, 0
+        for row in blobs(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, BLOB_ARROW) as writer:
+                writer.write_batch(pa.RecordBatch.from_pylist([row], schema=BLOB_ARROW))
+            blob = sink.getvalue()
+            if out is None:
+                system, base = place_of(folder)
+                system.create_dir(base, recursive=True)
+                file = f"chunks-{task:06d}-{uuid.uuid4().hex[:12]}.bin"
+                out = system.open_output_stream(f"{base}/{file}", compression=None)
+            out.write(blob)
+            yield pa.RecordBatch.from_pylist([{"chunk": task << 20 | made, "file": file, "start": start, "size": blob.size, "n_words": row["n_words"], "n_tokens": row["n_tokens"]}], schema=CHUNKS_ARROW)
+            start, made = start + blob.size, made + 1
+        if out is not None:
+            out.close()
 
     return run
 
 
-def answer(key: tuple, table: pa.Table) -> pa.Table:
-    """An owner: totals of its hashes, told to each chunk as twice the count, plus one for the first chunk that has the entry. The first row carries counts of counts, all occurrences, and distinct entries."""
-    rows = table.sort_by("chunk").to_pylist()
-    keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
-    counts = np.concatenate([unpack(r["counts"], r["n"]) for r in rows]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    fresh = np.append(True, keys[order][1:] != keys[order][:-1])
-    total = np.add.reduceat(counts[order], np.flatnonzero(fresh))
-    told = np.empty(len(keys), dtype=np.int64)
-    told[order] = total[np.cumsum(fresh) - 1] * 2 + fresh
-    totals = [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), int((total > 0).sum())]
-    out, at = [], 0
-    for r in rows:
-        out.append({"kind": r["kind"], "part": r["part"], "chunk": r["chunk"], "n": r["n"], "counts": pack(told[at : at + r["n"]]), "totals": None if at else totals})
-        at += r["n"]
-    return pa.Table.from_pylist(out, schema=ANSWERS_ARROW)
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk: history (an n-gram of the order below; for words none), last word, what they are without their first word, hash, training count; and the n-gram that ends at each token."""
+
+    history: np.ndarray | None
+    word: np.ndarray
+    lower: np.ndarray | None
+    hashes: np.ndarray
+    counts: np.ndarray
+    place: np.ndarray
+    pad: int  # what stands before a document's first token
+    # Set by groups(): entries by history in the order of the histories' hashes.
+    order: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    sizes: np.ndarray | None = None
+    asked: np.ndarray | None = None
+
+    def groups(self, hashes: np.ndarray) -> None:
+        """hashes: of the order below."""
+        starts = np.flatnonzero(np.append(True, self.history[1:] != self.history[:-1]))
+        sizes = np.diff(np.append(starts, len(self.history)))
+        by_hash = np.argsort(hashes[self.history[starts]], kind="stable")
+        self.asked, self.sizes = hashes[self.history[starts]][by_hash], sizes[by_hash]
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.order = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[by_hash] - self.starts, self.sizes)
+
+
+class Chunk:
+    """A chunk's distinct n-grams of the orders up to one."""
+
+    def __init__(self, folder: str, ref: dict, upto: int) -> None:
+        system, base = place_of(folder)
+        with system.open_input_file(f"{base}/{ref['file']}") as f:
+            [row] = pa.ipc.open_stream(f.read_at(ref["size"], ref["start"])).read_all().to_pylist()
+        self.number, self.doc_ids = ref["chunk"], row["doc_ids"]
+        self.doc_sizes = np.array(row["sizes"], dtype=np.int64)
+        self.held = np.array(row["held"], dtype=bool)
+        listed = zstandard.ZstdDecompressor().decompress(row["words"]) if row["n_words"] else b""
+        words = [END, *(listed.split(b"\n") if row["n_words"] else [])]
+        self.tokens = ints(row["tokens"], row["n_tokens"])
+        self.away = np.repeat(self.held, self.doc_sizes)
+        self.first = np.zeros(len(self.tokens), dtype=bool)
+        self.first[np.cumsum(self.doc_sizes) - self.doc_sizes] = True
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+        self.grams = {1: Grams(None, np.arange(len(words)), None, hashes, np.bincount(self.tokens[~self.away], minlength=len(words)), self.tokens, 0)}
+        for n in range(2, upto + 1):
+            self.grams[n] = self.longer(self.grams[n - 1], len(words))
+
+    def longer(self, below: Grams, n_words: int) -> Grams:
+        history = np.append(0, below.place[:-1])
+        history[self.first] = below.pad
+        code = np.append(history * n_words + self.tokens, below.pad * n_words)
+        codes, index, place = np.unique(code, return_index=True, return_inverse=True)
+        pad, place = int(place[-1]), place[:-1].astype(np.int32)
+        history, word = codes // n_words, codes % n_words
+        lower = np.append(below.place, below.pad)[index]
+        mixed = below.hashes[history]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.grams[1].hashes[word]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = Grams(history, word, lower, mixed ^ (mixed >> np.uint64(29)), np.bincount(place[~self.away], minlength=len(codes)), place, pad)
+        out.groups(below.hashes)
+        return out
+
+
+def cut(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes in each owner's range; parts is a power of two."""
+    bits = parts.bit_length() - 1
+    edges = np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, dtype=np.int64)
+    for part, (lo, hi) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(hashes)])):
+        if hi > lo:
+            yield part, lo, hi
+
+
+class Told:
+    """What the owners have told a chunk: for each order the count of every n-gram and of its history, and the weights' parts where it may need them."""
+
+    def __init__(self, chunk: Chunk, answers: list[dict]) -> None:
+        self.chunk = chunk
+        self.counts: dict[int, np.ndarray] = {}
+        self.above: dict[int, np.ndarray] = {}
+        self.weights: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({a["n"] for a in answers}):
+            rows = sorted((a for a in answers if a["n"] == n), key=lambda a: a["part"])
+            g = chunk.grams[n]
+            counts = np.concatenate([ints(a["counts"], a["n_grams"]) for a in rows])
+            self.counts[n] = np.empty(len(counts), dtype=np.int64)
+            if n == 1:
+                self.counts[1][np.argsort(g.hashes, kind="stable")] = counts
+                continue
+            self.counts[n][g.order] = counts
+            above = np.concatenate([ints(a["above"], a["n_hist"]) for a in rows])
+            self.above[n] = np.empty(len(counts), dtype=np.int64)
+            self.above[n][g.order] = np.repeat(above, g.sizes)
+            open_ = may_back_off(g.counts[g.order], g.starts)
+            kinds = np.concatenate([ints(a["kinds"], len(floats(a["low"])) * K) for a in rows]).reshape(-1, K)
+            self.weights[n] = (open_, kinds, np.concatenate([floats(a["low"]) for a in rows]))
+
+
+def may_back_off(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which histories have a follower that the chunk has not seen in training: the ones whose weight it may need."""
+    return np.minimum.reduceat(counts, starts) == 0 if len(starts) else np.zeros(0, dtype=bool)
+
+
+def ask(folder: str, n: int, parts: int):
+    """Function of a chunk (with the answers of the orders below) that asks for its n-grams."""
+
+    def rows(ref: dict, answers: list[dict]) -> list[dict]:
+        c = Chunk(folder, ref, n)
+        g, out = c.grams[n], []
+        if n == 1:
+            order = np.argsort(g.hashes, kind="stable")
+            keys, counts = g.hashes[order], g.counts[order]
+            for part, lo, hi in cut(keys, parts):
+                out.append({"n": 1, "part": part, "chunk": c.number, "n_hist": 0, "n_grams": hi - lo, "hist": pack_sorted(keys[lo:hi]), "counts": pack(counts[lo:hi])})
+            return out
+        told = Told(c, answers)
+        words, counts, lower = (c.grams[1].hashes[g.word] >> np.uint64(64 - FOLLOWER_BITS))[g.order], g.counts[g.order], told.counts[n - 1][g.lower][g.order]
+        above = told.above[n - 1][g.lower][g.order][g.starts] if n > 2 else np.zeros(len(g.starts), dtype=np.int64)
+        for part, lo, hi in cut(g.asked, parts):
+            a, b = int(g.starts[lo]), int(g.starts[hi - 1] + g.sizes[hi - 1])
+            out.append({"n": n, "part": part, "chunk": c.number, "n_hist": hi - lo, "n_grams": b - a, "hist": pack_sorted(g.asked[lo:hi]), "sizes": pack(g.sizes[lo:hi]), "words": pack(words[a:b]), "counts": pack(counts[a:b]), "lower": pack(np.where(counts[a:b] > 0, lower[a:b], 0)), "above": pack(above[lo:hi])})
+        return out
+
+    def run(key: tuple, refs: pa.Table, answers: pa.Table) -> pa.Table:
+        told = answers.to_pylist()
+        return pa.Table.from_pylist([r for ref in refs.to_pylist() for r in rows(ref, told)], schema=ASKED_ARROW)
+
+    def run_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ref in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(rows(ref, []), schema=ASKED_ARROW)
+
+    return run_first if n == 1 else run
+
+
+# Owners ----------------------------------------------------------------------
 
 
 def discounts(of_counts: list[int]) -> np.ndarray:
@@ -189,94 +304,259 @@ def discounts(of_counts: list[int]) -> np.ndarray:
     return out
 
 
-class Model:
-    """What all tasks know: counts of counts and their discounts."""
+class Discounts:
+    """What all tasks know of a model: the discounts of each order, all tokens, distinct words, and the chance of a word never seen."""
 
-    def __init__(self, words: list[int], bigrams: list[int]) -> None:
-        self.tokens, self.types = words[K + 1], words[K + 2]
-        self.of_words, self.of_bigrams = discounts(words[: K + 1]), discounts(bigrams[: K + 1])
-        taken = sum((1 - self.of_words[r]) * r * words[r - 1] for r in range(1, K + 1))
+    def __init__(self, totals: dict[int, list[int]]) -> None:
+        """totals: of each order the numbers of n-grams that occur 1 to K + 1 times, all occurrences, and distinct n-grams."""
+        self.tokens, self.types = totals[1][K + 1], totals[1][K + 2]
+        self.of = {n: discounts(t[: K + 1]) for n, t in totals.items()}
+        taken = sum((1 - self.of[1][r]) * r * totals[1][r - 1] for r in range(1, K + 1))
         self.unknown = (KEPT + taken) / (self.tokens + KEPT)
 
-    def discounted(self, counts: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return np.where(counts <= K, by[np.minimum(counts, K)], 1.0) * counts
+    def discounted(self, counts: np.ndarray, n: int) -> np.ndarray:
+        return np.where(counts <= K, self.of[n][np.minimum(counts, K)], 1.0) * counts
 
     def word(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.discounted(counts, self.of_words) / (self.tokens + KEPT), self.unknown)
-
-    def seen(self, counts: np.ndarray, history: np.ndarray) -> np.ndarray:
-        return self.discounted(counts, self.of_bigrams) / (history + KEPT)
-
-
-def score(model: Model):
-    """Function over a chunk and its answers: scores of documents without backoff weights, sums of histories, and the histories of what was not seen."""
-
-    def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        for row in chunks.to_pylist():
-            c = Chunk(row)
-            told = {WORDS: np.empty(len(c.hashes), dtype=np.int64), BIGRAMS: np.empty(len(c.codes), dtype=np.int64)}
-            at = {WORDS: 0, BIGRAMS: 0}
-            for a in sorted(answers.to_pylist(), key=lambda a: (a["kind"], a["part"])):
-                k = a["kind"]
-                told[k][(c.word_order, c.bigram_order)[k][at[k] : at[k] + a["n"]]] = unpack(a["counts"], a["n"]).astype(np.int64)
-                at[k] += a["n"]
-            count, joint, mine = told[WORDS] >> 1, told[BIGRAMS] >> 1, (told[BIGRAMS] & 1).astype(bool)
-            history, word = c.codes // len(c.hashes), c.codes % len(c.hashes)
-            alone = model.word(count)
-            known = joint > 0
-            chance = np.where(known, model.seen(joint, count[history]), alone[word])
-            mine &= known
-            sums = [np.bincount(history[mine], v[mine], len(c.hashes)) for v in (chance, alone[word])]
-            firsts = np.flatnonzero(np.bincount(history[mine], minlength=len(c.hashes)))
-            doc = np.repeat(np.arange(len(c.sizes)), c.sizes)
-            place = np.searchsorted(c.codes, c.before * len(c.hashes) + c.tokens)
-            per = lambda v: np.bincount(doc, v, len(c.sizes))
-            base = np.log10((count + 1) / (model.tokens + model.types + 1))
-            unseen, n = np.unique(doc[~known[place]] * len(c.hashes) + c.before[~known[place]], return_counts=True)
-            rows_of = row["chunk"] << 11  # a chunk has CHUNK_ROWS documents at most
-            none = lambda n, kind: pa.nulls(n, kind)
-            d, h, u = len(c.sizes), len(firsts), len(unseen)
-            parts = [
-                [np.zeros(d, np.int32), rows_of + np.arange(d), pa.array(c.doc_ids, pa.int64()), c.held, c.sizes, per(count[c.tokens] > 0).astype(np.int64), per(base[c.tokens]), per(np.log10(chance)[place]), None, None, None, None],
-                [np.full(h, 1, np.int32), None, None, None, None, None, None, None, c.hashes[firsts].view(np.int64), sums[0][firsts], sums[1][firsts], None],
-                [np.full(u, 2, np.int32), rows_of + unseen // len(c.hashes), None, None, None, None, None, None, c.hashes[unseen % len(c.hashes)].view(np.int64), None, None, n],
-            ]
-            for cells in parts:
-                out.append(pa.Table.from_arrays([none(len(cells[0]), f.type) if v is None else pa.array(v, f.type) for v, f in zip(cells, SCORED_ARROW, strict=True)], schema=SCORED_ARROW))
-        return pa.concat_tables(out) if out else SCORED_ARROW.empty_table()
+        return np.where(counts > 0, self.discounted(counts, 1) / (self.tokens + KEPT), self.unknown)
+
+    def seen(self, counts: np.ndarray, history: np.ndarray, n: int) -> np.ndarray:
+        return self.word(counts) if n == 1 else self.discounted(counts, n) / (history + KEPT)
+
+    def weight(self, n: int, history: np.ndarray, kinds: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """log10 of the backoff weight of histories: what their discounts leave, over what their followers leave in the order below; 0 for one never seen."""
+        taken = kinds @ ((1 - self.of[n][1:]) * np.arange(1, K + 1))
+        return np.where(history > 0, np.log10((KEPT + taken) / (history + KEPT)) - np.log10(np.maximum(1 - low, 1e-300)), 0.0)
+
+
+@dataclass
+class Page:
+    """An owner's histories and their followers with counts, keys sorted: the place of the history, then the follower's hash."""
+
+    hist: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+    above: np.ndarray
+    kinds: np.ndarray
+    low: np.ndarray
+
+    def answer(self, hist: np.ndarray, sizes: np.ndarray, words: np.ndarray, asked: np.ndarray) -> dict:
+        """What a chunk is told that asked for followers of histories; asked: its own training counts."""
+        at = np.minimum(np.searchsorted(self.hist, hist), max(0, len(self.hist) - 1))
+        known = self.hist[at] == hist if len(self.hist) else np.zeros(len(hist), dtype=bool)
+        key = np.repeat(at.astype(np.uint64), sizes) << np.uint64(FOLLOWER_BITS) | words
+        place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        there = (self.keys[place] == key) & np.repeat(known, sizes) if len(self.keys) else np.zeros(len(key), dtype=bool)
+        open_ = may_back_off(asked, np.cumsum(sizes) - sizes)
+        of = lambda values: np.where(known.reshape(-1, *[1] * (values.ndim - 1)), values[at], 0) if len(values) else np.zeros((len(hist), *values.shape[1:]), values.dtype)
+        return {"n_hist": len(hist), "n_grams": len(key), "counts": pack(np.where(there, self.counts[place], 0) if len(self.counts) else np.zeros(len(key))), "above": pack(of(self.above)), "kinds": pack(of(self.kinds)[open_].reshape(-1)), "low": pack_floats(of(self.low)[open_])}
+
+    def row(self) -> dict:
+        """The page as it is stored."""
+        sizes = np.bincount((self.keys >> np.uint64(FOLLOWER_BITS)).astype(np.int64), minlength=len(self.hist))
+        return {"chunk": None, "n_hist": len(self.hist), "n_grams": len(self.keys), "hist": pack_sorted(self.hist), "sizes": pack(sizes), "words": pack(self.keys & np.uint64((1 << FOLLOWER_BITS) - 1)), "counts": pack(self.counts), "above": pack(self.above), "kinds": pack(self.kinds.reshape(-1)), "low": pack_floats(self.low)}
+
+    @staticmethod
+    def read(row: dict) -> Page:
+        h, g = row["n_hist"], row["n_grams"]
+        keys = np.repeat(np.arange(h, dtype=np.uint64), ints(row["sizes"], h)) << np.uint64(FOLLOWER_BITS) | unpack(row["words"], g)
+        return Page(unpack_sorted(row["hist"], h), keys, ints(row["counts"], g), ints(row["above"], h), ints(row["kinds"], h * K).reshape(-1, K), floats(row["low"]))
+
+
+def page_of(rows: list[dict], n: int, model: Discounts) -> tuple[Page, list[int]]:
+    """The page of an owner's asked rows, of what occurs in training, and its counts of counts."""
+    hist, words, counts, lower, above = [], [], [], [], []
+    for r in rows:
+        c = ints(r["counts"], r["n_grams"])
+        mine, sizes = c > 0, ints(r["sizes"], r["n_hist"])
+        hist.append(np.repeat(unpack_sorted(r["hist"], r["n_hist"]), sizes)[mine])
+        words.append(unpack(r["words"], r["n_grams"])[mine])
+        counts.append(c[mine])
+        lower.append(ints(r["lower"], r["n_grams"])[mine])
+        above.append(np.repeat(ints(r["above"], r["n_hist"]), sizes)[mine])
+    hist, words, counts, lower, above = (np.concatenate(x) for x in (hist, words, counts, lower, above))
+    names, at = np.unique(hist, return_inverse=True)
+    if len(names) >= 1 << 64 - FOLLOWER_BITS:
+        raise ValueError("too many histories for one owner")
+    key = at.astype(np.uint64) << np.uint64(FOLLOWER_BITS) | words
+    order = np.argsort(key, kind="stable")
+    fresh = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(counts[order], fresh) if len(key) else counts
+    one = order[fresh]
+    of = at[one]
+    kinds = np.zeros((len(names), K), dtype=np.int64)
+    rare = total <= K
+    np.add.at(kinds, (of[rare], total[rare] - 1), 1)
+    mass = model.seen(lower[one], above[one], n - 1)
+    page = Page(names, key[one], total, np.bincount(of, total, len(names)).astype(np.int64), kinds, np.bincount(of, mass, len(names)))
+    return page, [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), len(total)]
+
+
+def word_page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The distinct words of an owner and their training counts, and the counts of counts."""
+    keys, counts = np.concatenate([unpack_sorted(r["hist"], r["n_grams"]) for r in rows]), np.concatenate([ints(r["counts"], r["n_grams"]) for r in rows])
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    names, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, counts, len(names)).astype(np.int64)
+    return names, total, [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), len(total)]
+
+
+def looked_up(names: np.ndarray, total: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
+    return np.where(names[at] == keys, total[at], 0) if len(names) else np.zeros(len(keys), dtype=np.int64)
+
+
+def owner(n: int, model: Discounts | None):
+    """Function of an owner of a range of histories: makes its page and answers every chunk; or, given a stored page, only answers."""
+
+    def told(part: int, rows: list[dict], stored: list[dict]) -> Iterator[dict]:
+        shared = {"n": n, "part": part}
+        if n == 1:
+            if stored:
+                names, total = unpack_sorted(stored[0]["hist"], stored[0]["n_grams"]), ints(stored[0]["counts"], stored[0]["n_grams"])
+            else:
+                names, total, totals = word_page(rows)
+                yield shared | {"chunk": None, "n_hist": 0, "n_grams": len(names), "hist": pack_sorted(names), "counts": pack(total), "totals": totals}
+            for r in rows:
+                yield shared | {"chunk": r["chunk"], "n_hist": 0, "n_grams": r["n_grams"], "counts": pack(looked_up(names, total, unpack_sorted(r["hist"], r["n_grams"])))}
+            return
+        if stored:
+            page = Page.read(stored[0])
+        else:
+            page, totals = page_of(rows, n, model)
+            yield shared | page.row() | {"totals": totals}
+        for r in rows:
+            yield shared | {"chunk": r["chunk"]} | page.answer(unpack_sorted(r["hist"], r["n_hist"]), ints(r["sizes"], r["n_hist"]), unpack(r["words"], r["n_grams"]), ints(r["counts"], r["n_grams"]))
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(list(told(key[0].as_py(), asked.sort_by("chunk").to_pylist(), [])), schema=TOLD_ARROW)
+
+    def run_stored(key: tuple, asked: pa.Table, pages: pa.Table) -> pa.Table:
+        rows = asked.sort_by("chunk").to_pylist()
+        empty = {"n_hist": 0, "n_grams": 0, **{c: pack(np.zeros(0)) for c in ("hist", "sizes", "words", "counts", "above", "kinds")}, "low": pack_floats(np.zeros(0))}
+        return pa.Table.from_pylist(list(told(rows[0]["part"], rows, pages.to_pylist() or [empty])) if rows else [], schema=TOLD_ARROW)
+
+    return run, run_stored
+
+
+# Scores ----------------------------------------------------------------------
+
+
+def score(folder: str, model: Discounts, upto: int):
+    """Function of a chunk and all its answers: the scores of its documents."""
+
+    def of_chunk(ref: dict, answers: list[dict]) -> list[pa.Array]:
+        c = Chunk(folder, ref, upto)
+        told = Told(c, answers)
+        count = told.counts[1]
+        chance = np.log10(model.word(count))
+        for n in range(2, upto + 1):
+            g, joint, above = c.grams[n], told.counts[n], told.above[n]
+            open_, kinds, low = told.weights[n]
+            weight = np.zeros(len(g.starts))
+            weight[open_] = model.weight(n, above[g.order][g.starts][open_], kinds, low)
+            spread = np.empty(len(joint))
+            spread[g.order] = np.repeat(weight, g.sizes)
+            chance = np.where(joint > 0, np.log10(np.maximum(model.seen(joint, above, n), 1e-300)), spread + chance[g.lower])
+        doc = np.repeat(np.arange(len(c.doc_sizes)), c.doc_sizes)
+        per = lambda v: np.bincount(doc, v, len(c.doc_sizes))
+        base = np.log10((count + 1) / (model.tokens + model.types + 1))
+        return [pa.array(c.doc_ids, pa.int64()), pa.array(c.held), pa.array(c.doc_sizes), pa.array(per(count[c.tokens] > 0).astype(np.int64)), pa.array(per(base[c.tokens])), pa.array(per(chance[c.grams[upto].place]))]
+
+    names = [c.split()[0] for c in SCORED.split(", ")]
+
+    def run(key: tuple, refs: pa.Table, answers: pa.Table) -> pa.Table:
+        told = answers.to_pylist()
+        tables = [pa.Table.from_arrays(of_chunk(ref, told), names=names) for ref in refs.to_pylist()]
+        return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
 
     return run
 
 
-SCORED_ARROW = pa.schema([("kind", pa.int32()), ("doc_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("part_score", pa.float64()), ("history", pa.int64()), ("seen", pa.float64()), ("followers", pa.float64()), ("unseen", pa.int64())])
-
-
 def parts_for(items: int) -> int:
     """A power of two of owners, so that each has a bounded number of entries."""
     return 1 << max(0, math.ceil(math.log2(max(1, items / OWNER_ITEMS))))
 
 
-def backoff_weights(scored: DataFrame) -> DataFrame:
-    """history (hash of the word) and log10 of its backoff weight."""
-    sums = scored.where("kind = 1").groupBy("history").agg(F.sum("seen").alias("seen"), F.sum("followers").alias("followers"))
-    least = F.lit(1e-300)
-    return sums.select("history", (F.log10(F.greatest(1 - F.col("seen"), least)) - F.log10(F.greatest(1 - F.col("followers"), least))).alias("log_alpha"))
+@dataclass
+class Model:
+    """A trained model: the stored pages of each order, in how many parts they are, and what all tasks know."""
+
+    pages: dict[int, DataFrame]
+    parts: dict[int, int]
+    known: Discounts
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, n_tokens, n_known, base_score, score of the texts of any table."""
+        chunks, folder = chunks_of(docs, F.lit(True), id_col, text_col)
+        answers: dict[int, DataFrame] = {}
+        for n in self.pages:
+            asked = questions(chunks, folder, n, self.parts[n], answers)
+            told = asked.groupBy("part").cogroup(self.pages[n].groupBy("part")).applyInArrow(owner(n, self.known)[1], TOLD)
+            answers[n] = store(told, f"told-{n}")
+        return scored(chunks, folder, self.known, answers).select("doc_id", "n_tokens", "n_known", "base_score", "score")
+
+
+def chunks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The stored places of the chunks of docs, and the folder of their blobs."""
+    spark = docs.sparkSession
+    folder = qualified(spark, f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    return store(rows.mapInArrow(write_chunks(folder), CHUNKS), "chunk-places"), folder
 
 
-def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with held_out teach nothing."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    chunks = store(rows.mapInArrow(read_chunks, CHUNKS), "chunks")
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def questions(chunks: DataFrame, folder: str, n: int, parts: int, answers: dict[int, DataFrame]) -> DataFrame:
+    """What the chunks ask for in an order, given the answers of those below."""
+    if n == 1:
+        tasks = max(1, min(MOST_TASKS, chunks.count()))
+        return chunks.repartition(tasks, "chunk").mapInArrow(ask(folder, 1, parts), ASKED)
+    below = union_of([a.where("chunk is not null").drop("totals") for a in answers.values()])
+    return chunks.groupBy("chunk").cogroup(below.groupBy("chunk")).applyInArrow(ask(folder, n, parts), ASKED)
+
+
+def scored(chunks: DataFrame, folder: str, model: Discounts, answers: dict[int, DataFrame]) -> DataFrame:
+    told = union_of([a.where("chunk is not null").drop("totals") for a in answers.values()])
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
+
+
+def learned(chunks: DataFrame, folder: str, order: int) -> tuple[Discounts, dict[int, DataFrame], dict[int, int]]:
+    """Discounts, stored pages and answers of each order, and the parts, of chunks."""
     size = chunks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
-    parts = {WORDS: parts_for(int(size.words or 0)), BIGRAMS: parts_for(int(size.tokens or 0))}
-    answers = store(chunks.mapInArrow(ask(parts), ASKED).groupBy("kind", "part").applyInArrow(answer, ANSWERS), "counts")
-    sums = {r.kind: list(r)[1:] for r in answers.where("totals is not null").groupBy("kind").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).collect()}
-    nothing = [0] * (K + 3)
-    model = Model(sums.get(WORDS, nothing), sums.get(BIGRAMS, nothing))
-    scored = store(chunks.groupBy("chunk").cogroup(answers.drop("totals").groupBy("chunk")).applyInArrow(score(model), SCORED), "scored")
-    drop_stored(chunks)
-    drop_stored(answers)
-    unseen = scored.where("kind = 2").select("doc_row", "history", "unseen").join(backoff_weights(scored), "history").groupBy("doc_row").agg(F.sum(F.col("unseen") * F.col("log_alpha")).alias("weights"))
-    found = scored.where("kind = 0").join(unseen, "doc_row", "left")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("part_score") + F.coalesce("weights", F.lit(0.0))).alias("score"))
+    parts = {n: parts_for(int((size.words if n == 1 else size.tokens) or 0)) for n in range(1, order + 1)}
+    answers: dict[int, DataFrame] = {}
+    totals = {n: [0] * (K + 3) for n in parts}
+    for n in parts:
+        model = Discounts(totals) if n > 1 else None
+        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, model)[0], TOLD), f"ngrams-{n}")
+        sums = answers[n].where("totals is not null").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).first()
+        totals[n] = [int(t or 0) for t in sums]
+    return Discounts(totals), answers, parts
+
+
+def train(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of all the texts of a table; its pages stay in the shared folder."""
+    chunks, folder = chunks_of(docs, F.lit(False), id_col, text_col)
+    known, answers, parts = learned(chunks, folder, order)
+    pages = {n: store(a.where("chunk is null"), f"model-{n}") for n, a in answers.items()}
+    for a in (*answers.values(), chunks):
+        drop_stored(a)
+    remove(docs.sparkSession, folder)
+    return Model(pages, parts, known)
+
+
+def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with held_out teach nothing. Scores are stored; what they were made of goes."""
+    chunks, folder = chunks_of(docs, held_out, id_col, text_col)
+    known, answers, _ = learned(chunks, folder, order)
+    out = store(scored(chunks, folder, known, answers), "scores")
+    for a in (*answers.values(), chunks):
+        drop_stored(a)
+    remove(docs.sparkSession, folder)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")

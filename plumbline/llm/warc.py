@@ -30,19 +30,17 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, store
+from .common import place_of, qualified, shared_dir, store
 
 FRAME_BYTES, BUNDLE_FRAMES, BUNDLE_RECORDS, MOST_READERS = 1 << 20, 64, 20_000, 4096
 #: Fixed values of the Zstandard seekable format.
@@ -110,11 +108,6 @@ def read_seek_table(bundle) -> list[tuple[int, int, int]]:
     return out
 
 
-def place_of(folder: str) -> tuple[fs.FileSystem, str]:
-    """pyarrow's file system of a qualified folder, and the folder in it."""
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
-
-
 class BundleWriter:
     """A bundle file: frames as they fill, the seek table at the end; and the map of its records."""
 
@@ -180,11 +173,6 @@ BUNDLES_ARROW = pa.schema([("bundle", pa.string()), ("n_frames", pa.int32()), ("
 RECORDS_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def write_bundles(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> tuple[str, DataFrame]:
     """Write pages (page_id, url, html) as bundles into a folder that all executors see (a new one in the shared folder); returns the folder and the stored map of its bundles."""
     spark = pages.sparkSession

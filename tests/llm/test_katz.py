@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -13,52 +14,62 @@ END = b"\n"
 
 
 class Brute:
-    def __init__(self, texts):
-        self.words, self.pairs, self.after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    """n-grams as tuples in dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = {n: collections.Counter() for n in range(1, order + 1)}
+        self.after = collections.defaultdict(set)
         for t in texts:
-            w = self.split(t)
-            self.words.update(w)
-            for h, x in zip([END, *w], w):
-                self.pairs[h, x] += 1
-                self.after[h].add(x)
-        self.n, self.v = sum(self.words.values()), len(self.words)
-        counts = lambda c: [collections.Counter(c.values())[r] for r in range(1, katz.K + 2)]
-        self.m = katz.Model([*counts(self.words), self.n, self.v], [*counts(self.pairs), 0, 0])
+            for gram in self.grams(t):
+                for n in range(1, order + 1):
+                    self.counts[n][gram[-n:]] += 1
+                    self.after[gram[-n:-1]].add(gram[-1])
+        self.n, self.v = sum(self.counts[1].values()), len(self.counts[1])
+        self.above = collections.Counter()
+        for n in range(2, order + 1):
+            for gram, c in self.counts[n].items():
+                self.above[gram[:-1]] += c
+        of = lambda c: [collections.Counter(c.values())[r] for r in range(1, katz.K + 2)]
+        self.m = katz.Discounts({n: [*of(c), sum(c.values()), len(c)] for n, c in self.counts.items()})
 
     @staticmethod
     def split(text):
         return [*(text or "").encode().lower().split(), END]
 
-    def one(self, w):
-        c = self.words[w]
-        return (self.m.of_words[c] if c <= katz.K else 1) * c / (self.n + katz.KEPT) if c else self.m.unknown
+    def grams(self, text):
+        padded = [END] * (self.order - 1) + self.split(text)
+        return [tuple(padded[i : i + self.order]) for i in range(len(padded) - self.order + 1)]
 
-    def seen(self, h, w):
-        c = self.pairs[h, w]
-        return (self.m.of_bigrams[c] if c <= katz.K else 1) * c / (self.words[h] + katz.KEPT)
+    def seen(self, gram):
+        c, n = self.counts[len(gram)][gram], len(gram)
+        return (self.m.of[n][c] if c <= katz.K else 1) * c / ((self.above[gram[:-1]] if n > 1 else self.n) + katz.KEPT)
 
     def alpha(self, h):
-        return (1 - sum(self.seen(h, w) for w in self.after[h])) / (1 - sum(self.one(w) for w in self.after[h])) if h in self.words else 1.0
+        if not self.above[h]:
+            return 1.0
+        return (1 - sum(self.seen((*h, w)) for w in self.after[h])) / (1 - sum(self.p((*h[1:], w)) for w in self.after[h]))
 
-    def p(self, h, w):
-        return self.seen(h, w) if self.pairs[h, w] else self.alpha(h) * self.one(w)
+    def p(self, gram):
+        if self.counts[len(gram)][gram]:
+            return self.seen(gram)
+        return self.m.unknown if len(gram) == 1 else self.alpha(gram[:-1]) * self.p(gram[1:])
 
     def score(self, text):
-        w = self.split(text)
-        return sum(math.log10(self.p(h, x)) for h, x in zip([END, *w], w))
+        return sum(math.log10(self.p(g)) for g in self.grams(text))
 
     def base(self, text):
-        return sum(math.log10((self.words[x] + 1) / (self.n + self.v + 1)) for x in self.split(text))
+        return sum(math.log10((self.counts[1][(x,)] + 1) / (self.n + self.v + 1)) for x in self.split(text))
 
 
-def check(rows, got, held):
-    b = Brute([t for i, t in rows if not held(i)])
+def check(rows, got, held, order=katz.ORDER):
+    b = Brute([t for i, t in rows if not held(i)], order)
     by = {(r.doc_id, r.n_tokens, round(r.score, 6)): r for r in got}
     assert len(got) == len(rows)
     for i, t in rows:
         w = b.split(t)
         r = by[i, len(w), round(b.score(t), 6)]
-        assert r.held_out == held(i) and r.n_known == sum(b.words[x] > 0 for x in w) and r.train_tokens == b.n
+        assert r.held_out == held(i) and r.n_known == sum(b.counts[1][(x,)] > 0 for x in w) and r.train_tokens == b.n
         assert r.base_score == pytest.approx(b.base(t), rel=1e-9) and r.score == pytest.approx(b.score(t), rel=1e-9)
     return b
 
@@ -66,9 +77,36 @@ def check(rows, got, held):
 def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     b = check(rows, QUERIES["op5_katz"](spark, sf).collect(), lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
-    assert sum(b.one(w) for w in b.words) + b.m.unknown == pytest.approx(1)
-    for h in [END, b"the", *list(b.words)[5:8]]:  # every history sums to one, over the vocabulary and the unknown word
-        assert sum(b.p(h, w) for w in b.words) + b.alpha(h) * b.m.unknown == pytest.approx(1)
+    sums_to_one(b, [(), (END,), (b"the",), *[(w,) for (w,) in list(b.counts[1])[5:8]]])
+
+
+def sums_to_one(b, histories):
+    """Over the vocabulary and the unknown word."""
+    words = [w for (w,) in b.counts[1]] + [b"never seen"]
+    for h in histories:
+        assert sum(b.p((*h, w)) for w in words) == pytest.approx(1)
+
+
+def test_longer_orders_back_off_recursively(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefg") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order in (1, 3, 4):
+        got = katz.katz_scores(docs, F.col("doc_id") % 4 == 1, order=order).collect()
+        b = check(rows, got, lambda i: i % 4 == 1, order)
+        if order == 3:
+            sums_to_one(b, [(), (END,), (END, END), (b"a", b"b"), (b"aa", b"g"), (b"zz", b"a"), (b"a", b"zz")])
+
+
+def test_a_stored_model_scores_other_texts(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))
+    first, later = [(i, text()) for i in range(80)], [(i, text()) for i in range(500, 530)] + [(600, "x y a b"), (601, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    model = katz.train(frame(first).repartition(3), order=3)
+    got = {r.doc_id: r.score for r in model.score(frame(later).repartition(2)).collect()}
+    b = Brute([t for _, t in first], 3)
+    assert got == {i: pytest.approx(b.score(t), rel=1e-9) for i, t in later}
 
 
 def test_nulls_repeats_and_small_chunks(spark, monkeypatch):

@@ -249,10 +249,11 @@ def compare(max_bits: int, find=linked):
     return run
 
 
-def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree: int, find=linked) -> DataFrame:
-    """Links a, b between nodes (node, fingerprint) that connect exactly what Hamming distances of max_bits or fewer connect within shared keys; with find=spanning each link is a pair that close."""
+def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree: int, used: list[DataFrame], find=linked) -> DataFrame:
+    """Links a, b between nodes (node, fingerprint) that connect exactly what Hamming distances of max_bits or fewer connect within shared keys; with find=spanning each link is a pair that close. Adds to `used` the stored tables that they are read from."""
     keyed = store(nodes.select("node", "fingerprint").mapInArrow(block_keys(bits, blocks, agree), "key long, node long, fingerprint string"), "blocks")
     hot = store(keyed.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-keys")
+    used += [keyed, hot]
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
     cold = keyed.join(hot, "key", "left_anti").select("key", "node", "fingerprint")
@@ -300,13 +301,14 @@ def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)).select("a", "b")
 
 
-def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b that connect all pairs of sets (node, few) with the similarity, among others: such sets share one of their rarest shingles, of which each is asked for as many as the similarity leaves out, and one more."""
+def few_links(nodes: DataFrame, similarity: float, used: list[DataFrame]) -> DataFrame:
+    """Links a, b that connect all pairs of sets (node, few) with the similarity, among others: such sets share one of their rarest shingles, of which each is asked for as many as the similarity leaves out, and one more. Adds to `used` the stored tables that they are read from."""
     each = store(nodes.where("few is not null").select("node", F.size("few").alias("n"), F.explode("few").alias("shingle")), "few-shingles")
     counts = each.groupBy("shingle").agg(F.count("*").alias("times"))
     rarest = Window.partitionBy("node").orderBy("times", "shingle")
     asked = each.join(counts, "shingle").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
     asked = store(asked.where("times > 1").select("node", "shingle"), "rare-shingles")
+    used += [each, asked]
     least = asked.groupBy("shingle").agg(F.min("node").alias("a"))
     return asked.join(least, "shingle").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
@@ -386,24 +388,27 @@ def left_apart(links: DataFrame, passed: DataFrame, sets: DataFrame, similarity:
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, lanes: int = 1, blocks: int = 4, agree: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, fingerprint, component_id (smallest id that links reach), component_row (the row of that id) for every row. With a similarity, links are also held against it exactly; row_col must then name the rows."""
+    used: list[DataFrame] = []
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     if similarity is None:
         same = "fingerprint"
         prints = store(fingerprints(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
         nodes = store(prints.groupBy(same).agg(first).select(same, F.col("first.row_id").alias("node"), "first"), "nodes")
-        links = close_links(nodes, 64 * lanes, max_bits, blocks, agree)
+        links = close_links(nodes, 64 * lanes, max_bits, blocks, agree, used)
     else:
         same = "digest"
         prints = store(signatures(docs, words, lanes, id_col, text_col, row_col), "fingerprints")
         nodes = store(prints.groupBy(same).agg(first, F.min("fingerprint").alias("fingerprint"), F.min("few").alias("few")).select(same, "fingerprint", "few", F.col("first.row_id").alias("node"), "first"), "nodes")
-        close = close_links(nodes, 64 * lanes, max_bits, blocks, agree, spanning).unionByName(few_links(nodes, similarity))
+        close = close_links(nodes, 64 * lanes, max_bits, blocks, agree, used, spanning).unionByName(few_links(nodes, similarity, used))
         close = store(close.distinct(), "close-pairs")
         ends = close.select(F.col("a").alias(row_col)).unionByName(close.select(F.col("b").alias(row_col))).distinct()
         sets = store(shingle_sets(docs.join(ends, row_col, "left_semi"), words, text_col, row_col), "shingle-sets")
         passed = store(similar(close, sets, similarity), "passed")
         links = store(passed.unionByName(left_apart(close, passed, sets, similarity)), "similar-pairs")
-        drop_stored(sets)
+        used += [close, sets, passed, links]
     roots = components(links)
+    for t in used:
+        drop_stored(t)
     placed = nodes.join(roots, "node", "left").select(same, "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("first"))
     classes = placed.select(same, "root").join(least, "root").select(same, F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))

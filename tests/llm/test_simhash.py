@@ -54,7 +54,7 @@ def test_links_of_dense_clusters_and_hot_keys(spark, monkeypatch):
         for _ in range(120):
             prints.add(base ^ sum(1 << rng.randrange(24) for _ in range(rng.randint(0, 3))) & (1 << 64) - 1)
     prints = [*prints, *(rng.getrandbits(64) for _ in range(100))]
-    links = simhash.close_links(nodes_of(spark, prints), 64, 2, 4, 2)
+    links = simhash.close_links(nodes_of(spark, prints), 64, 2, 4, 2, [])
     assert all((prints[r.a] ^ prints[r.b]).bit_count() >= 0 for r in links.collect())
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     want = brute_components(list(enumerate(prints)))

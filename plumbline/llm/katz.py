@@ -493,7 +493,7 @@ class Model:
         for n in self.pages:
             asked = questions(chunks, folder, n, self.parts[n], answers)
             told = asked.groupBy("part").cogroup(self.pages[n].groupBy("part")).applyInArrow(owner(n, self.known)[1], TOLD)
-            answers[n] = store(told, f"told-{n}")
+            answers[n] = store(told.withColumn("page", F.lit(False)), f"told-{n}")
         return scored(chunks, folder, self.known, answers).select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
@@ -505,10 +505,12 @@ def chunks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) ->
     return store(rows.mapInArrow(write_chunks(folder), CHUNKS), "chunk-places"), folder
 
 
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+def told_to_chunks(answers: dict[int, DataFrame]) -> DataFrame:
+    """The answers of all orders, without the pages."""
+    out = None
+    for a in answers.values():
+        rows = a.where("not page").select("n", "part", "chunk", "n_hist", "n_grams", "counts", "above", "kinds", "low")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -517,12 +519,12 @@ def questions(chunks: DataFrame, folder: str, n: int, parts: int, answers: dict[
     if n == 1:
         tasks = max(1, min(MOST_TASKS, chunks.count()))
         return chunks.repartition(tasks, "chunk").mapInArrow(ask(folder, 1, parts), ASKED)
-    below = union_of([a.where("chunk is not null").drop("totals") for a in answers.values()])
+    below = told_to_chunks(answers)
     return chunks.groupBy("chunk").cogroup(below.groupBy("chunk")).applyInArrow(ask(folder, n, parts), ASKED)
 
 
 def scored(chunks: DataFrame, folder: str, model: Discounts, answers: dict[int, DataFrame]) -> DataFrame:
-    told = union_of([a.where("chunk is not null").drop("totals") for a in answers.values()])
+    told = told_to_chunks(answers)
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
 
 
@@ -534,8 +536,8 @@ def learned(chunks: DataFrame, folder: str, order: int) -> tuple[Discounts, dict
     totals = {n: [0] * (K + 3) for n in parts}
     for n in parts:
         model = Discounts(totals) if n > 1 else None
-        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, model)[0], TOLD), f"ngrams-{n}")
-        sums = answers[n].where("totals is not null").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).first()
+        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, model)[0], TOLD).withColumn("page", F.col("chunk").isNull()), f"ngrams-{n}", "page")
+        sums = answers[n].where("page").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).first()
         totals[n] = [int(t or 0) for t in sums]
     return Discounts(totals), answers, parts
 
@@ -544,7 +546,7 @@ def train(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     """A model of all the texts of a table; its pages stay in the shared folder."""
     chunks, folder = chunks_of(docs, F.lit(False), id_col, text_col)
     known, answers, parts = learned(chunks, folder, order)
-    pages = {n: store(a.where("chunk is null"), f"model-{n}") for n, a in answers.items()}
+    pages = {n: store(a.where("page").drop("page"), f"model-{n}") for n, a in answers.items()}
     for a in (*answers.values(), chunks):
         drop_stored(a)
     remove(docs.sparkSession, folder)

@@ -492,7 +492,7 @@ class Model:
         answers: dict[int, DataFrame] = {}
         for n in self.pages:
             asked = questions(chunks, folder, n, self.parts[n], answers)
-            told = asked.groupBy("part").cogroup(self.pages[n].groupBy("part")).applyInArrow(owner(n, self.known)[1], TOLD)
+            told = asked.groupBy("part").cogroup(dealt(self.pages[n], "part", self.parts[n]).groupBy("part")).applyInArrow(owner(n, self.known)[1], TOLD)
             answers[n] = store(told.withColumn("page", F.lit(False)), f"told-{n}")
         return scored(chunks, folder, self.known, answers).select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
@@ -514,18 +514,26 @@ def told_to_chunks(answers: dict[int, DataFrame]) -> DataFrame:
     return out
 
 
+def dealt(rows: DataFrame, column: str, values: int) -> DataFrame:
+    """Rows dealt by a column that has so many values, to as many tasks, so that these grow with the data."""
+    return rows.repartition(max(1, min(MOST_TASKS, values)), column)
+
+
 def questions(chunks: DataFrame, folder: str, n: int, parts: int, answers: dict[int, DataFrame]) -> DataFrame:
     """What the chunks ask for in an order, given the answers of those below."""
+    many = chunks.count()
+    by_chunk = dealt(chunks, "chunk", many)
     if n == 1:
-        tasks = max(1, min(MOST_TASKS, chunks.count()))
-        return chunks.repartition(tasks, "chunk").mapInArrow(ask(folder, 1, parts), ASKED)
-    below = told_to_chunks(answers)
-    return chunks.groupBy("chunk").cogroup(below.groupBy("chunk")).applyInArrow(ask(folder, n, parts), ASKED)
+        asked = by_chunk.mapInArrow(ask(folder, 1, parts), ASKED)
+    else:
+        asked = by_chunk.groupBy("chunk").cogroup(dealt(told_to_chunks(answers), "chunk", many).groupBy("chunk")).applyInArrow(ask(folder, n, parts), ASKED)
+    return dealt(asked, "part", parts)
 
 
 def scored(chunks: DataFrame, folder: str, model: Discounts, answers: dict[int, DataFrame]) -> DataFrame:
-    told = told_to_chunks(answers)
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
+    many = chunks.count()
+    told = dealt(told_to_chunks(answers), "chunk", many)
+    return dealt(chunks, "chunk", many).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
 
 
 def learned(chunks: DataFrame, folder: str, order: int) -> tuple[Discounts, dict[int, DataFrame], dict[int, int]]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import fnmatch
 import json
 import math
-from collections.abc import Mapping
 from fractions import Fraction
 
 import pandas as pd
@@ -185,7 +184,3 @@ def mcnemar_tail(candidate_only: int, baseline_only: int) -> Fraction:
 @F.pandas_udf(T.DoubleType())
 def mcnemar_p(candidate_only: pd.Series, baseline_only: pd.Series) -> pd.Series:
     return pd.Series([float(mcnemar_tail(int(c), int(b))) for c, b in zip(candidate_only, baseline_only, strict=True)])
-
-
-def literal_map(values: Mapping[str, object]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))

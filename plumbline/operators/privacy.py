@@ -208,11 +208,12 @@ def redact_events(events: DataFrame, texts: list[str], documents: list[str], pol
     return out
 
 
-MAX_REDACTIONS = 10_000
+#: A string of a JSON text, without its quotes.
+JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
 def apply_policy(events: DataFrame, texts: list[str], documents: list[str], policy: Policy | None = None, enabled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events under a policy: the events (redacted, if enabled), the records of what was replaced (trace_id, location, kind, rule_id, digest, placeholder), and the one row of the review, whose residual findings are those of the events returned. There is no limit on records; `MAX_REDACTIONS` is where a reader may want one."""
+    """Events under a policy: the events (redacted, if enabled), the records of what was replaced (trace_id, location, kind, rule_id, digest, placeholder), and the one row of the review, whose residual findings are those of the events returned. There is no limit on records."""
     active = policy or Policy()
     empty = F.array().cast(f"array<struct<{REDACTION},location:string>>")
     done = redact_events(events, texts, documents, active) if enabled else events.withColumn("redactions", empty)
@@ -225,7 +226,3 @@ def apply_policy(events: DataFrame, texts: list[str], documents: list[str], poli
         whole = whole.unionByName(more)
     residuals = scan(whole.withColumn("at", F.concat_ws(" ", "trace_id", "location")), "at", "text", active)
     return done.drop("redactions"), records, review(done, residuals, active, enabled)
-
-
-#: A string of a JSON text, without its quotes.
-JSON_STRING = r'"((?:[^"\\\\]|\\\\.)*)"'

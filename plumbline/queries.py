@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalars
 from plumbline.operators import evaluation, integrity, normalize, privacy, runs, selection, views
 from plumbline.plans import evidence as ev
+from plumbline.schemas import TAXONOMY
 from plumbline.sources import artifacts as artifacts_of
 from plumbline.sources import documents, store
 from plumbline.streaming import rollback
@@ -59,19 +60,14 @@ c AS (
            WHEN 'launch' THEN CASE l_suppkey % 3 WHEN 0 THEN 'command_not_found' WHEN 1 THEN 'permission_denied' ELSE 'process_launch_error' END
            WHEN 'capture' THEN 'output_capture' WHEN 'directory' THEN 'working_directory_missing' WHEN 'sandbox_runtime' THEN 'sandbox_runtime' END AS code, outcome
   FROM l),
-x(code, category, impact, retryability, summary) AS (VALUES
-  ('unexpected_exit', 'task', 'evaluation_failure', 'no', 'command returned an unexpected exit code'), ('signal_termination', 'task', 'evaluation_failure', 'no', 'command was terminated by a signal'),
-  ('timeout', 'resource', 'evaluation_failure', 'maybe', 'command exceeded its declared time budget'), ('command_not_found', 'dependency', 'infrastructure_error', 'after_fix', 'command executable was not found'),
-  ('permission_denied', 'environment', 'infrastructure_error', 'after_fix', 'command could not be started because permission was denied'), ('process_launch_error', 'environment', 'infrastructure_error', 'unknown', 'command process could not be started'),
-  ('working_directory_missing', 'environment', 'infrastructure_error', 'after_fix', 'declared check working directory does not exist'), ('sandbox_runtime', 'sandbox', 'infrastructure_error', 'after_fix', 'sandbox runtime could not execute the check'),
-  ('sandbox_cleanup', 'sandbox', 'infrastructure_error', 'after_fix', 'timed-out container could not be cleaned up safely'), ('output_capture', 'observability', 'infrastructure_error', 'after_fix', 'command output could not be captured reliably')),
+x(code, category, impact, retryability, summary) AS (VALUES @TAXONOMY),
 f AS (
   SELECT sha256(check_key || chr(31) || c.code) AS failure_key, check_key, run_key, source_sha256, check_id, check_index, category, c.code, impact, retryability,
          CASE WHEN outcome = 'timeout' AND c.code = 'output_capture' THEN 'command timed out and output capture became unreliable' ELSE summary END AS summary,
          CASE WHEN exit_code IS NULL THEN '{}' ELSE '{"actual_exit_code":' || exit_code || '}' END AS details_json, CAST(NULL AS VARCHAR) AS caused_by_check_id,
          CASE WHEN outcome = 'timeout' AND c.code <> 'timeout' THEN '["timeout"]' ELSE '[]' END AS causes_json
   FROM c JOIN x ON x.code = c.code)
-"""
+""".replace("@TAXONOMY", ", ".join(str(row) for row in TAXONOMY))
 
 
 def store_view(name: str) -> Query:

@@ -7,8 +7,6 @@ read as nulls.
 
 from __future__ import annotations
 
-import hashlib
-import json
 import math
 import re
 
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import canonical, canonical_json, strict_or_none
+from plumbline.functions.scalars import canonical_json, strict_or_none
 
 MAX_BYTES, MAX_DEPTH = 10 << 20, 128
 #: Field lists of the documents, as DDL; open values stay JSON text.
@@ -157,16 +155,3 @@ def experiment_rows(documents: DataFrame) -> DataFrame:
     """experiment_id, capsule, repetitions, variant_id, variant_sha256 (of the variant in canonical form) of experiments."""
     e = parse(documents, "experiment").select(F.col("id").alias("experiment_id"), "capsule", F.coalesce("repetitions", F.lit(1)).alias("repetitions"), F.explode("variants").alias("v"))
     return e.select("experiment_id", "capsule", "repetitions", F.col("v.id").alias("variant_id"), F.sha2(canonical_json(F.to_json("v")), 256).alias("variant_sha256"))
-
-
-def document_digest(document: dict) -> str:
-    """SHA-256 of a document in canonical form, for the few that the driver holds."""
-    return hashlib.sha256(canonical(document).encode()).hexdigest()
-
-
-def load_mapping(text: str) -> dict:
-    """A strict JSON object, or an error."""
-    value = strict_or_none(text)
-    if not isinstance(value, dict) or depth(value) > MAX_DEPTH:
-        raise ValueError("not a strict JSON object")
-    return json.loads(text)

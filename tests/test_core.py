@@ -362,6 +362,8 @@ def test_events_under_a_policy(spark):
     r = review.first()
     assert (r.total_redactions, r.residual_findings, r.redaction_enabled) == (2, 0, True) and "@" not in str(done.collect())
     same, records, review = privacy.apply_policy(e, ["content"], ["payload"], enabled=False)
+    odd = spark.createDataFrame([("t", 0, None, json.dumps({"k": 'a "quoted" \\\\ and ' + "x" * 100_000, "to": "e@f.example"}))], e.schema)
+    assert privacy.apply_policy(odd, ["content"], ["payload"], enabled=False)[2].first().residual_findings == 1
     assert records.count() == 0 and review.first().residual_findings == 2 and "redaction_disabled_review_only" in review.first().warnings
     assert sorted(map(str, same.collect())) == sorted(map(str, e.collect()))
     with pytest.raises(Exception, match="duplicate"):

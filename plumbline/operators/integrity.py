@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,13 +113,24 @@ def gaps(rows: DataFrame, sequence: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(sequence).alias("d"), F.min(sequence).alias("lo"), F.max(sequence).alias("hi")).where("lo <> 0 or hi <> n - 1 or d <> n").select(*by, "n")
 
 
+def written_out(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; in one of our own where that is unset and driver and executors are one process."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes of workflows (workflow, node, needs) that lie on a cycle or wait for one: what is left when nodes that need nothing are taken away again and again. Each round is checkpointed, and there are at most as many as the longest chain."""
     left = edges.select("workflow", "node", "needs").distinct()
     size = left.count()
     while size:
         blocked = left.where("needs is not null").select("workflow", F.col("node").alias("needs")).distinct()
-        left = left.where("needs is not null").join(blocked, ["workflow", "needs"], "left_semi").select("workflow", "node", "needs").checkpoint()
+        left = written_out(left.where("needs is not null").join(blocked, ["workflow", "needs"], "left_semi").select("workflow", "node", "needs"))
         now = left.count()
         if now == size:
             break
@@ -129,12 +142,12 @@ def span_depths(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, depth of spans under their roots, however deep; spans whose parent is missing are roots, a repeated span counts once, and spans of a cycle, or under one, have null depth. Each round doubles how far a span has looked up, so there are about as many rounds as the deepest depth has bits, each written out."""
     s = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("parent"))
     known = s.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("there"))
-    up = s.join(known, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("above"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")).checkpoint()
+    up = written_out(s.join(known, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("above"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")))
     reach, size = 1, up.count()
     while reach <= size and not (waiting := up.where("above is not null")).isEmpty():
         higher = up.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
         moved = waiting.join(higher, ["trace_id", "above"]).select("trace_id", "span_id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
-        up = up.where("above is null").unionByName(moved).checkpoint()
+        up = written_out(up.where("above is null").unionByName(moved))
         reach *= 2
     return up.select("trace_id", "span_id", F.when(F.col("above").isNull(), F.col("depth")).alias("depth"))
 

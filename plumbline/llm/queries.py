@@ -14,6 +14,7 @@ from .filter_audit import audit
 from .katz import katz_scores
 from .mixing import mix
 from .mtree import top_k
+from .repeats import periodic_runs
 from .simhash import near_duplicates
 from .token_counts import histogram, lengths
 from .toxicity import fold, toxicity
@@ -207,6 +208,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -250,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op4_mixing": OP4_SQL, "op8_top_k": OP8_SQL, "op9_warc": OP9_SQL, "op13_filter_audit": OP13_SQL}

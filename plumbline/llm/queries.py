@@ -11,6 +11,7 @@ from .bpe import encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .filter_audit import audit
+from .html_text import extract
 from .katz import katz_scores
 from .mixing import mix
 from .mtree import top_k
@@ -208,6 +209,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
@@ -255,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_html_text": op11_html_text,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -4,14 +4,15 @@ A word's vector is the mean of the vectors of its character n-grams and of the
 word itself, hashed into a fixed number of buckets, so an unseen misspelling
 shares most of its vectors with the word it hides. A document is the mean of
 its words; buckets and softmax are trained together, the classes weighing alike.
-Only buckets whose share of a text tells the labels apart are trained, and a
-fifth of the sample tells when to stop. As the model is linear, a task
+Only buckets that texts of one label hold more often than those of the other are
+trained, however rare they are in both. The model is the mean of a few fits that each
+leave out another part of the sample; that part tells when to stop. As the model is linear, a task
 needs no vectors: each word adds one number to a document's log odds.
 
 The model is fitted on at most `most[k]` labelled rows of label k (the smallest
 hashes of their ids) by one task, and only the weights come to the driver; every
-document is scored, whole, in the tasks. The border between the labels goes by
-the share of label 1 among all labelled rows, not among those that were fitted.
+document is scored, whole, in the tasks. The border between the labels is where
+the parts left out are told apart best, false alarms weighing more than misses.
 
 Cases: a null or blank text scores 0; texts of any length are scored whole, and
 those fitted are held at once by the fitting task; rows without a label or with a
@@ -40,11 +41,14 @@ from pyspark.sql import functions as F
 from .common import drop_stored, store
 
 BUCKETS, DIM = 1 << 17, 4
-#: A bucket is trained if |t| of its share between the labels is at least the first; the means are scaled so that embeddings stay near 1.
+#: A bucket is trained if |t| of the shares of texts that hold it, label against label, is at least the first (or among the LEAST_USED largest); the means are scaled so that embeddings stay near 1.
 TELLING, SCALE = 3.5, 50.0
 GRAMS = (3, 4, 5, 6, 8)
+#: Fits whose mean is the model.
+FITS = 3
 #: Words whose weight a task remembers.
 CACHED_WORDS = 500_000
+LEAST_USED, FALSE_ALARM = 20, 4.0
 EDGES = "\"'`.,;:!?()[]{}<>|*#%&$~_-–—…«»“”‘’/\\+=@^"
 
 
@@ -105,68 +109,63 @@ class Groups:
         return out
 
 
-def fit(texts: list[str], labels: list[int], toxic_share: float | None = None, epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
-    """Full-batch Adam on the softmax and on the buckets whose share tells the labels apart (`TELLING`); of all epochs, the one that does best on the fifth kept apart. toxic_share: of label 1 among all rows that the texts are a sample of."""
-    y = np.asarray(labels, dtype=np.int64)
-    at, words, sizes = bags(pa.array(texts, pa.string()))
-    if len(set(y[sizes > 0].tolist())) < 2:
-        return Weights(np.zeros(BUCKETS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
-    rng = np.random.default_rng(seed)
-    tuning = rng.permutation(len(y)) % 5 == 0
-    if len(set(y[~tuning & (sizes > 0)].tolist())) < 2:
-        tuning[:] = False
-    cells, count = np.unique(np.repeat(np.arange(len(y)), sizes) * len(words) + at, return_counts=True)
-    doc, word = cells // len(words), cells % len(words)
-    doc, word, share = doc.astype(np.int32), word.astype(np.int32), (count / sizes[doc]).astype(np.float32)
-    del cells, count, at
-    gram, n_grams = gram_table(words)
-    starts = np.cumsum(n_grams, dtype=np.int64) - n_grams
-
-    # Which buckets to train: a few documents at a time, as a document has a cell for each of its words' n-grams.
-    telling = np.zeros((4, BUCKETS))
-    for lo in range(0, len(y), 50):
-        inside = (doc >= lo) & (doc < lo + 50) & ~tuning[doc]
-        d, w, s = doc[inside], word[inside], share[inside]
-        cell = np.repeat(d.astype(np.int64), n_grams[w]) * BUCKETS + gram[np.repeat(starts[w] - np.cumsum(n_grams[w]) + n_grams[w], n_grams[w]) + np.arange(int(n_grams[w].sum()))]
-        cell, back = np.unique(cell, return_inverse=True)
-        s = np.bincount(back, np.repeat(s, n_grams[w]), len(cell))
-        for k in (0, 1):
-            mine = y[cell // BUCKETS] == k
-            telling[k] += np.bincount(cell[mine] % BUCKETS, s[mine], BUCKETS)
-            telling[2 + k] += np.bincount(cell[mine] % BUCKETS, s[mine] ** 2, BUCKETS)
-    docs = np.array([max(1, int(((y == k) & ~tuning & (sizes > 0)).sum())) for k in (0, 1)], dtype=float)
-    mean, square = telling[:2] / docs[:, None], telling[2:] / docs[:, None]
-    t = (mean[1] - mean[0]) / np.sqrt(((square - mean**2) / docs[:, None]).sum(axis=0) + 1e-12)
-    used = np.flatnonzero(np.abs(t) >= TELLING)
-    used = used if len(used) >= 20 else np.argsort(-np.abs(t))[:200]
+@dataclass
+class Sample:
+    """The labelled texts as arrays: the share of a text that each of its words is, and the buckets of each word in a row."""
+
+    y: np.ndarray
+    there: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    share: np.ndarray
+    gram: np.ndarray
+    n_grams: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.n_grams, dtype=np.int64) - self.n_grams
+
+    def presence(self, fold: np.ndarray) -> np.ndarray:
+        """[fold, label, bucket]: how many texts hold the bucket. A few documents at a time, as a document has a cell for each of its words' n-grams."""
+        out, starts, n = np.zeros((FITS, 2, BUCKETS)), self.starts, self.n_grams
+        for lo in range(0, len(self.y), 50):
+            d, w = (c[(self.doc >= lo) & (self.doc < lo + 50)] for c in (self.doc, self.word))
+            cell = np.unique(np.repeat(d.astype(np.int64), n[w]) * BUCKETS + self.gram[np.repeat(starts[w] - np.cumsum(n[w]) + n[w], n[w]) + np.arange(int(n[w].sum()))])
+            at = cell // BUCKETS
+            np.add.at(out, (fold[at], self.y[at], cell % BUCKETS), 1)
+        return out
+
+
+def learn(sample: Sample, used: np.ndarray, tuning: np.ndarray, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+    """What each bucket adds to the log odds of label 1, the bias, and the log odds of all texts of the sample: full-batch Adam on the softmax and on the used buckets; of all epochs, the one that does best on the tuning texts."""
+    y, n = sample.y, len(sample.y)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = np.flatnonzero(place[gram] >= 0)
-    of_word = np.searchsorted(starts, keep, side="right") - 1
-    gram = place[gram[keep]]
-    heard, of_word = np.unique(of_word, return_inverse=True)
-    part = (SCALE / n_grams[heard][of_word]).astype(np.float32)[:, None]
-    nth = np.full(len(words), -1, np.int32)
+    keep = np.flatnonzero(place[sample.gram] >= 0)
+    heard, of_word = np.unique(np.searchsorted(sample.starts, keep, side="right") - 1, return_inverse=True)
+    gram = place[sample.gram[keep]]
+    part = (SCALE / sample.n_grams[heard][of_word]).astype(np.float32)[:, None]
+    nth = np.full(len(sample.n_grams), -1, np.int32)
     nth[heard] = np.arange(len(heard))
-    inside = nth[word] >= 0
-    doc, word, share = doc[inside], nth[word[inside]], share[inside][:, None]
-    by_word, by_doc, to_word, to_gram = Groups(of_word, len(heard)), Groups(doc, len(y)), Groups(word, len(heard)), Groups(gram, len(used))
+    inside = nth[sample.word] >= 0
+    doc, word, share = sample.doc[inside], nth[sample.word[inside]], sample.share[inside][:, None]
+    by_word, by_doc, to_word, to_gram = Groups(of_word, len(heard)), Groups(doc, n), Groups(word, len(heard)), Groups(gram, len(used))
 
-    weight = [np.where(k & (sizes > 0), np.where(y == 1, 1 / max(1, (k & (y == 1)).sum()), 1 / max(1, (k & (y == 0)).sum())), 0).astype(np.float32) for k in (~tuning, tuning if tuning.any() else ~tuning)]
+    weight = [np.where(k & sample.there, np.where(y == 1, 1 / max(1, (k & (y == 1)).sum()), 1 / max(1, (k & (y == 0)).sum())), 0).astype(np.float32) for k in (~tuning, tuning if tuning.any() else ~tuning)]
     params = [rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    best: tuple[float, list[np.ndarray]] = (np.inf, params)
+    best: tuple[float, list[np.ndarray], np.ndarray] = (np.inf, params, np.zeros((n, 2), np.float32))
     for step in range(1, epochs + 1):
         e, w, b = params
         vec = by_doc(by_word(e[gram] * part)[word] * share)
         logits = vec @ w + b
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        loss = float(-(weight[1] * np.log(p[np.arange(len(y)), y] + 1e-12)).sum())
+        loss = float(-(weight[1] * np.log(p[np.arange(n), y] + 1e-12)).sum())
         if loss < best[0]:
-            best = (loss, [q.copy() for q in params])
+            best = (loss, [q.copy() for q in params], logits)
         d = p * weight[0][:, None]
-        d[np.arange(len(y)), y] -= weight[0]
+        d[np.arange(n), y] -= weight[0]
         d_word = to_word((d @ w.T).astype(np.float32)[doc] * share)
         grads = [to_gram(d_word[of_word] * part), vec.T @ d, d.sum(axis=0)]
         for q, g, m in zip(params, grads, moments, strict=True):
@@ -176,10 +175,50 @@ def fit(texts: list[str], labels: list[int], toxic_share: float | None = None, e
     e, w, b = best[1]
     bucket = np.zeros(BUCKETS, np.float32)
     bucket[used] = SCALE * (e @ (w[:, 1] - w[:, 0]))
-    # Trained with both labels weighing alike; where little tells them apart, the rarer one is not guessed.
-    odds = y[sizes > 0].mean() if toxic_share is None else min(max(toxic_share, 1e-6), 1 - 1e-6)
-    rarer = 0.5 * np.log(odds / (1 - odds))
-    return Weights(bucket, float(b[1] - b[0] + min(0.0, rarer)))
+    return bucket, float(b[1] - b[0]), (best[2][:, 1] - best[2][:, 0]).astype(float)
+
+
+def border_between(logit: np.ndarray, toxic: np.ndarray) -> float:
+    """Where misses and false alarms, as shares of their labels and false alarms FALSE_ALARM times, are fewest; of equal places the middle of the widest."""
+    by = np.argsort(logit, kind="stable")
+    logit, toxic = np.clip(logit[by], -50, 50), toxic[by]
+    cost = np.r_[0, np.cumsum(toxic)] / max(1, toxic.sum()) + FALSE_ALARM * np.r_[np.cumsum(~toxic[::-1])[::-1], 0] / max(1, (~toxic).sum())
+    step = np.r_[-50, logit, 50]
+    least = np.flatnonzero(cost <= cost.min() + 1e-12)
+    k = least[np.argmax(step[least + 1] - step[least])]
+    return float(step[k] + step[k + 1]) / 2
+
+
+def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.05, seed: int = 7) -> Weights:
+    """The mean of FITS fits, each of which leaves out another part of the sample to choose its buckets and its epoch by the rest; what they say of the texts that they left out sets the border."""
+    y = np.asarray(labels, dtype=np.int64)
+    at, words, sizes = bags(pa.array(texts, pa.string()))
+    there = sizes > 0
+    if len(set(y[there].tolist())) < 2:
+        return Weights(np.zeros(BUCKETS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
+    cells, count = np.unique(np.repeat(np.arange(len(y)), sizes) * len(words) + at, return_counts=True)
+    doc, word = (cells // len(words)).astype(np.int32), (cells % len(words)).astype(np.int32)
+    sample = Sample(y, there, doc, word, (count / sizes[doc]).astype(np.float32), *gram_table(words))
+    del cells, count, at, words
+    rng = np.random.default_rng(seed)
+    fold = np.empty(len(y), np.int64)
+    for k in (0, 1):  # each label is dealt evenly
+        mine = rng.permutation(np.flatnonzero(y == k))
+        fold[mine] = np.arange(len(mine)) % FITS
+    presence = sample.presence(fold)
+    bucket, bias, said = np.zeros(BUCKETS, np.float32), 0.0, np.zeros(len(y))
+    for left_out in range(FITS):
+        tuning = fold == left_out
+        if len(set(y[~tuning & there].tolist())) < 2:
+            tuning = np.zeros(len(y), bool)
+        docs = np.array([[((y == k) & ~tuning & there).sum()] for k in (0, 1)], dtype=float)
+        among = (presence.sum(axis=0) - (presence[left_out] if tuning.any() else 0) + 0.5) / (docs + 1)
+        t = np.abs(among[1] - among[0]) / np.sqrt((among * (1 - among) / (docs + 1)).sum(axis=0))
+        used = np.union1d(np.flatnonzero(t >= TELLING), np.argsort(-t, kind="stable")[:LEAST_USED])
+        b, c, logit = learn(sample, used, tuning, epochs, rate, rng)
+        bucket, bias = bucket + b / FITS, bias + c / FITS
+        said[fold == left_out] = logit[fold == left_out]
+    return Weights(bucket, bias - border_between(said[there], y[there] == 1))
 
 
 def scorer(model):
@@ -223,15 +262,11 @@ def fold(id_col: Column, folds: int) -> Column:
 FITTED = "bucket binary, bias double, prior double"
 
 
-def fitting(toxic_share: float | None):
-    """Function of the one task that fits: its rows are the bounded sample, (doc_id, text, toxic)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)), key=lambda r: r[0])
-        w = fit([r[1] or "" for r in rows], [r[2] for r in rows], toxic_share)
-        yield pa.RecordBatch.from_arrays([pa.array([w.bucket.tobytes()]), pa.array([w.bias], pa.float64()), pa.array([w.prior], pa.float64())], names=["bucket", "bias", "prior"])
-
-    return run
+def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one task that fits: its rows are the bounded sample, (doc_id, text, toxic)."""
+    rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)), key=lambda r: r[0])
+    w = fit([r[1] or "" for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([w.bucket.tobytes()]), pa.array([w.bias], pa.float64()), pa.array([w.prior], pa.float64())], names=["bucket", "bias", "prior"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 1500), folds: int = 5, held_out_fold: int = 0) -> Weights:
@@ -245,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3000, 150
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # sum(most) ids at most
     sample = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("toxic").alias("toxic"))
-    row = sample.repartition(1).mapInArrow(fitting(known.agg(F.avg("toxic")).first()[0]), FITTED).first()
+    row = sample.repartition(1).mapInArrow(fitting, FITTED).first()
     drop_stored(known)
     if row is None:  # nothing is labelled
         return fit([], [])

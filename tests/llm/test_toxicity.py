@@ -1,6 +1,9 @@
+import os
 import random
 import zlib
 
+import pytest
+
 from plumbline.llm.queries import QUERIES
 from plumbline.llm.toxicity import drop_toxic, fit, subwords, toxicity, train
 
@@ -66,10 +69,39 @@ def test_the_text_that_teaches_does_not_hang_on_the_order_of_rows(spark):
     assert (a == b).all() and a.any()
 
 
-def test_the_border_goes_by_all_labels_not_by_the_sample():
-    rows = corpus(200)
-    few, many = (fit([t for _, t, _ in rows], [y for *_, y in rows], share).bias for share in (0.02, 0.25))
-    assert few < many
+def languages(seed=2):
+    """Texts in four made-up languages; the small ones have 20 to 60 toxic texts, and toxic words that only begin alike."""
+    rng = random.Random(seed)
+    parts = {"a": ["la", "mi", "to", "ren"], "b": ["ouk", "vez", "ji", "pag"], "c": ["sch", "eit", "urg", "wo"], "d": ["ñor", "iez", "ada", "quo"]}
+    begin = {"a": "idiot", "b": "zakré", "c": "dumpf", "d": "bobos"}
+    rows = []
+    for lang, clean, toxic in (("a", 900, 150), ("b", 200, 40), ("c", 200, 60), ("d", 120, 25)):
+        word = lambda: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4)))  # noqa: E731, B023
+        for k in range(clean + toxic):
+            words = [word() for _ in range(rng.randint(20, 250))]
+            if k < toxic:
+                for _ in range(max(2, len(words) // 30)):
+                    words[rng.randrange(len(words))] = begin[lang] + rng.choice(parts[lang]) * rng.randint(0, 2)
+            rows.append((len(rows), " ".join(words), int(k < toxic), lang))
+    return rows
+
+
+def test_toxic_words_of_small_languages_are_found(spark):
+    rows = languages()
+    docs, labels = frames(spark, [r[:3] for r in rows])
+    got = {r.doc_id: r.predicted for r in toxicity(docs, labels).where("held_out").collect()}
+    for lang in "abcd":
+        toxic = [got[i] for i, _, y, k in rows if i in got and k == lang and y]
+        assert toxic and sum(toxic) >= 0.8 * len(toxic), lang
+    clean = [got[i] for i, _, y, _ in rows if i in got and not y]
+    assert sum(clean) <= 0.03 * len(clean)
+
+
+def test_a_text_labelled_twice_is_toxic_if_any_label_says_so(spark):
+    rows = corpus(150)
+    docs, labels = frames(spark, rows)
+    twice = labels.unionByName(labels.withColumn("toxic", labels.toxic * 0))
+    assert {r.doc_id: r.score for r in toxicity(docs, twice).collect()} == {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
 
 
 def test_accuracy_of_the_scores_on_what_was_held_out(spark):
@@ -87,6 +119,18 @@ def test_fit_without_texts_and_shared_subwords():
     assert len({*subwords("idiot")} & {*subwords("idioot")}) >= 4
 
 
-def test_query(spark, sf):
-    rows = QUERIES["op10_toxicity"](spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and {r.predicted for r in rows} <= {0, 1}
+def test_query_against_the_labels(spark):
+    """Held-out toxic texts of every language are found, and clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = QUERIES["op10_toxicity"](spark, sf).cache()
+    assert scored.count() == docs.count() and not scored.where("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count()
+    held = scored.where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    scored.unpersist()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.predicted for r in held if r.toxic and r.lang == lang]
+        assert sum(toxic) >= 0.55 * len(toxic), lang
+    toxic, clean = ([r.predicted for r in held if r.toxic == k] for k in (1, 0))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.03 * len(clean)

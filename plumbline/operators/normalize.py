@@ -3,24 +3,19 @@
 Each importer takes documents (source_name, document: JSON text) and gives events:
 trace_id, sequence, event_type, timestamp, and the attributes and payload of the
 format. Documents are parsed with fixed schemas in the JVM; parts that are open
-JSON stay as text. Sequence numbers come from a window over the trace in the
+JSON stay as text. Trace exports are in otlp.py. Sequence numbers come from a window over the trace in the
 order of the document's own positions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions.scalars import ID_PATTERN, canonical, nanos_to_timestamp, strict_json
-from plumbline.operators.signatures import THINKING, TOOL_CALLS, TOOL_RESULTS, content_signature, message_signature, parts_fault
+from plumbline.functions.scalars import ID_PATTERN
+from plumbline.operators.signatures import THINKING, TOOL_CALLS, TOOL_RESULTS, parts_fault, signature
 
 TRANSCRIPT = "schema_version string, id string, capsule_id string, messages array<struct<id:string,role:string,content:string,timestamp:timestamp,name:string,tool_call_id:string,correction_of:string>>"
-ATTRIBUTES = "array<struct<key:string,value:string>>"
-SPAN = f"traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int,message:string>,attributes:{ATTRIBUTES},events:array<struct<timeUnixNano:string,name:string,attributes:{ATTRIBUTES}>>"
-OTLP = f"resourceSpans array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<struct<{SPAN}>>>>>>"
 BLOCK = "type:string,text:string,refusal:string"
 ITEM = f"id:string,type:string,role:string,status:string,call_id:string,name:string,arguments:string,output:string,content:array<struct<{BLOCK}>>,summary:array<struct<type:string,text:string>>,encrypted_content:string"
 RESPONSES = f"id string, capsule_id string, responses array<struct<input_items:array<struct<{ITEM}>>,response:struct<id:string,created_at:double,instructions:string,output:array<struct<{ITEM}>>>>>"
@@ -40,8 +35,16 @@ def parsed(documents: DataFrame, schema: str) -> DataFrame:
 
 
 def numbered(events: DataFrame, *order: str | Column) -> DataFrame:
-    """Events with their sequence in the trace, from 0."""
-    return events.withColumn("sequence", (F.row_number().over(Window.partitionBy("trace_id").orderBy(*order)) - 1).cast("int"))
+    """Events with their sequence in the trace, from 0. A trace belongs to its source: documents of two sources with one id are two traces."""
+    return events.withColumn("sequence", (F.row_number().over(Window.partitionBy("source_name", "trace_id").orderBy(*order)) - 1).cast("int"))
+
+
+def identity_of_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """source_name, trace_id, fault of documents whose id another source has too, or that are there twice under one name."""
+    d = parsed(documents, schema).where("id is not null").groupBy("source_name", F.col("id").alias("trace_id")).agg(F.count("*").alias("n"))
+    ids = d.groupBy("trace_id").agg(F.count("*").alias("sources"))
+    fault = F.when(F.col("n") > 1, "document repeats").when(F.col("sources") > 1, "document id of another source")
+    return d.join(ids, "trace_id").select("source_name", "trace_id", fault.alias("fault")).where("fault is not null")
 
 
 def provenance(files: DataFrame, policy_id: str = "default") -> DataFrame:
@@ -53,99 +56,32 @@ def provenance(files: DataFrame, policy_id: str = "default") -> DataFrame:
 
 
 def transcript_faults(documents: DataFrame) -> DataFrame:
-    """trace_id, fault: repeated message ids, falling times, corrections that aren't a user's of an earlier assistant message."""
-    m = parsed(documents, TRANSCRIPT).select(F.col("id").alias("trace_id"), F.posexplode("messages").alias("pos", "m")).select("trace_id", "pos", "m.*")
-    twice = m.groupBy("trace_id", "id").count().where("count > 1").select("trace_id", F.lit("repeated message id").alias("fault"))
-    fell = m.withColumn("before", F.lag("timestamp").over(Window.partitionBy("trace_id").orderBy("pos"))).where("timestamp < before").select("trace_id", F.lit("time falls").alias("fault"))
-    target = m.select("trace_id", F.col("id").alias("correction_of"), F.col("pos").alias("target_pos"), F.col("role").alias("target_role"))
-    fixes = m.where("correction_of is not null").join(target, ["trace_id", "correction_of"], "left")
-    odd = fixes.where("role <> 'user' or target_role is null or target_role <> 'assistant' or target_pos >= pos").select("trace_id", F.lit("correction out of place").alias("fault"))
-    return twice.unionByName(fell).unionByName(odd).distinct()
+    """source_name, trace_id, fault: repeated message ids, falling times, corrections that aren't a user's of an earlier assistant message."""
+    m = parsed(documents, TRANSCRIPT).select("source_name", F.col("id").alias("trace_id"), F.posexplode("messages").alias("pos", "m")).select("source_name", "trace_id", "pos", "m.*")
+    twice = m.groupBy("source_name", "trace_id", "id").count().where("count > 1").select("source_name", "trace_id", F.lit("repeated message id").alias("fault"))
+    fell = m.withColumn("before", F.lag("timestamp").over(Window.partitionBy("source_name", "trace_id").orderBy("pos"))).where("timestamp < before").select("source_name", "trace_id", F.lit("time falls").alias("fault"))
+    target = m.select("source_name", "trace_id", F.col("id").alias("correction_of"), F.col("pos").alias("target_pos"), F.col("role").alias("target_role"))
+    fixes = m.where("correction_of is not null").join(target, ["source_name", "trace_id", "correction_of"], "left")
+    odd = fixes.where("role <> 'user' or target_role is null or target_role <> 'assistant' or target_pos >= pos").select("source_name", "trace_id", F.lit("correction out of place").alias("fault"))
+    return twice.unionByName(fell).unionByName(odd).unionByName(identity_of_documents(documents, TRANSCRIPT)).distinct()
 
 
 def transcript_events(documents: DataFrame) -> DataFrame:
     """conversation.started, then each message, and after a message that corrects another its feedback event."""
     d = parsed(documents, TRANSCRIPT)
-    start = d.select(F.col("id").alias("trace_id"), F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.lit("conversation.started").alias("event_type"), F.col("messages")[0]["timestamp"].alias("timestamp"))
-    m = d.select(F.col("id").alias("trace_id"), F.posexplode("messages").alias("pos", "m"))
+    start = d.select("source_name", F.col("id").alias("trace_id"), F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.lit("conversation.started").alias("event_type"), F.col("messages")[0]["timestamp"].alias("timestamp"))
+    m = d.select("source_name", F.col("id").alias("trace_id"), F.posexplode("messages").alias("pos", "m"))
     each = F.array_compact(F.array(F.struct(F.lit(0).alias("part"), F.lit("message.observed").alias("event_type")), F.when(F.col("m.correction_of").isNotNull(), F.struct(F.lit(1).alias("part"), F.lit("feedback.observed").alias("event_type")))))
-    told = m.select("trace_id", "pos", "m", F.explode(each).alias("e")).select("trace_id", "pos", "e.part", "e.event_type", F.col("m.timestamp").alias("timestamp"), F.col("m.id").alias("message_id"), F.when(F.col("e.part") == 0, F.col("m.role")).alias("role"), F.when(F.col("e.part") == 0, F.col("m.content")).alias("content"), F.when(F.col("e.part") == 1, F.col("m.correction_of")).alias("correction_of"))
+    told = m.select("source_name", "trace_id", "pos", "m", F.explode(each).alias("e")).select("source_name", "trace_id", "pos", "e.part", "e.event_type", F.col("m.timestamp").alias("timestamp"), F.col("m.id").alias("message_id"), F.when(F.col("e.part") == 0, F.col("m.role")).alias("role"), F.when(F.col("e.part") == 0, F.col("m.content")).alias("content"), F.when(F.col("e.part") == 1, F.col("m.correction_of")).alias("correction_of"))
     return numbered(start.unionByName(told, allowMissingColumns=True), "pos", "part").drop("pos", "part")
 
 
-# OTLP ----------------------------------------------------------------------
-
-
-def any_value(value: dict) -> object:
-    """An OTLP value: exactly one of its seven forms; 64-bit integers also as text."""
-    forms = [k for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue") if k in value]
-    if len(forms) != 1:
-        raise ValueError("an OTLP value has exactly one form")
-    form, raw = forms[0], value[forms[0]]
-    if form == "arrayValue":
-        return [any_value(v) for v in raw.get("values", [])]
-    if form == "kvlistValue":
-        return attribute_map(raw.get("values", []))
-    if form == "intValue":
-        number = int(raw)
-        if isinstance(raw, bool) or not -(1 << 63) <= number < 1 << 63:
-            raise ValueError("intValue must fit 64 bits")
-        return number
-    kind = {"stringValue": str, "bytesValue": str, "boolValue": bool, "doubleValue": (int, float)}[form]
-    if not isinstance(raw, kind) or (form == "doubleValue" and isinstance(raw, bool)):
-        raise ValueError(f"{form} of another kind")
-    return float(raw) if form == "doubleValue" else raw
-
-
-def attribute_map(items: list[dict]) -> dict[str, object]:
-    out: dict[str, object] = {}
-    for item in items:
-        if item["key"] in out:
-            raise ValueError(f"attribute {item['key']} twice")
-        out[item["key"]] = any_value(item["value"])
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def decoded_attributes(lists: pd.Series) -> pd.Series:
-    """Attribute lists (JSON text of their values) as one canonical JSON object; the value type is recursive, so this runs in Arrow batches in Python."""
-    return lists.map(lambda a: None if a is None else canonical(attribute_map([{"key": x["key"], "value": strict_json(x["value"])} for x in a])))
-
-
-def otlp_spans(documents: DataFrame) -> DataFrame:
-    """One row per span: lower-case ids, nanoseconds as bigint; a span out of shape, or one whose trace and id another span of the document has too, gets a fault."""
-    r = parsed(documents, OTLP).select("source_name", F.posexplode("resourceSpans").alias("i", "r"))
-    s = r.select("source_name", "i", F.col("r.resource.attributes").alias("resource"), F.posexplode("r.scopeSpans").alias("j", "s"))
-    p = s.select("source_name", "i", "j", "resource", F.col("s.scope").alias("scope"), F.posexplode("s.spans").alias("k", "p"))
-    t, sp = F.lower("p.traceId"), F.lower("p.spanId")
-    start, end = F.col("p.startTimeUnixNano").try_cast("bigint"), F.col("p.endTimeUnixNano").try_cast("bigint")
-    fault = F.when(~F.coalesce(t.rlike("^[0-9a-f]{32}$") & ~t.rlike("^0+$"), F.lit(False)), "trace id").when(~F.coalesce(sp.rlike("^[0-9a-f]{16}$") & ~sp.rlike("^0+$"), F.lit(False)), "span id").when(start.isNull() | end.isNull() | (start < 0), "time").when(end < start, "ends before it starts").when(F.count("*").over(Window.partitionBy("source_name", t, sp)) > 1, "span id repeats")
-    return p.select("source_name", t.alias("trace_id"), sp.alias("span_id"), F.lower("p.parentSpanId").alias("parent_span_id"), F.col("p.name").alias("name"), F.col("p.kind").alias("kind"), start.alias("start_ns"), end.alias("end_ns"), F.col("p.status").alias("status"), "resource", "scope", F.col("p.attributes").alias("attributes"), F.col("p.events").alias("events"), fault.alias("fault"))
-
-
-def otlp_faults(documents: DataFrame) -> DataFrame:
-    """source_name, trace_id, span_id, fault of the spans that otlp_events() leaves out."""
-    return otlp_spans(documents).where("fault is not null").select("source_name", "trace_id", "span_id", "fault")
-
-
-def otlp_events(documents: DataFrame, attributes: bool = True) -> DataFrame:
-    """Of sound spans (otlp_faults() names the others): span.started, its events and span.completed, by (nanoseconds, phase, span, place); equal times of one span keep the document's order."""
-    spans = otlp_spans(documents).where("fault is null")
-    none = F.lit(None)
-    one = lambda ns, phase, kind, place, name, length: F.struct(ns.alias("ns"), F.lit(phase).alias("phase"), F.lit(kind).alias("event_type"), place.cast("int").alias("place"), name.alias("event_name"), length.cast("bigint").alias("duration_ns"))
-    inner = F.transform(F.coalesce("events", F.array().cast(f"array<struct<timeUnixNano:string,name:string,attributes:{ATTRIBUTES}>>")), lambda e, i: one(e["timeUnixNano"].cast("bigint"), 1, "span.event_observed", i, e["name"], none))
-    drafts = F.concat(F.array(one(F.col("start_ns"), 0, "span.started", F.lit(0), F.col("name"), none)), inner, F.array(one(F.col("end_ns"), 2, "span.completed", F.lit(0), F.col("name"), F.col("end_ns") - F.col("start_ns"))))
-    kept = ["trace_id", "span_id", "parent_span_id"]
-    rows = spans.select(*kept, *([decoded_attributes("attributes").alias("attributes")] if attributes else []), F.explode(drafts).alias("e")).select(*kept, *(["attributes"] if attributes else []), "e.*")
-    return numbered(rows, "ns", "phase", "span_id", "place").withColumn("timestamp", nanos_to_timestamp(F.col("ns"))).drop("phase", "place")
-
-
 # Archived model responses ----------------------------------------------------
 
 
 def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows of a trace without those whose key was seen before; rows without a key all stay."""
-    nth = F.row_number().over(Window.partitionBy("trace_id", key).orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy("source_name", "trace_id", key).orderBy(*order))
     return rows.withColumn("__nth", F.when(F.col(key).isNotNull(), nth).otherwise(1)).where("__nth = 1").drop("__nth")
 
 
@@ -155,20 +91,20 @@ def joined_lines(parts: Column) -> Column:
 
 def response_events(documents: DataFrame) -> DataFrame:
     """Archived responses: instructions, input and output items, each item once by its id or call, and an artifact after each response. Tool results are linked to the calls of the whole archive."""
-    d = parsed(documents, RESPONSES).select(F.col("id").alias("trace_id"), F.posexplode("responses").alias("rec", "r"))
+    d = parsed(documents, RESPONSES).select("source_name", F.col("id").alias("trace_id"), F.posexplode("responses").alias("rec", "r"))
     at = F.timestamp_micros(F.round(F.col("r.response.created_at") * 1_000_000).cast("bigint"))
-    base = d.select("trace_id", "rec", at.alias("timestamp"), F.col("r.response.id").alias("response_id"), "r")
-    start = base.where("rec = 0").select("trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("section"), F.lit(0).alias("pos"), "timestamp", F.lit("conversation.started").alias("event_type"))
-    notes = base.where("r.response.instructions is not null").select("trace_id", "rec", F.lit(0).alias("section"), F.lit(0).alias("pos"), "timestamp", "response_id", F.lit("message.observed").alias("event_type"), F.lit("instructions").alias("origin"), F.lit("system").alias("role"), F.col("r.response.instructions").alias("content"), F.sha2("r.response.instructions", 256).alias("key"))
-    items = base.select("trace_id", "rec", "timestamp", "response_id", F.explode(F.array(F.struct(F.lit(1).alias("section"), F.lit("input_items").alias("origin"), F.col("r.input_items").alias("items")), F.struct(F.lit(2).alias("section"), F.lit("response.output").alias("origin"), F.col("r.response.output").alias("items")))).alias("s"))
-    items = items.select("trace_id", "rec", "timestamp", "response_id", "s.section", "s.origin", F.posexplode("s.items").alias("pos", "item"))
+    base = d.select("source_name", "trace_id", "rec", at.alias("timestamp"), F.col("r.response.id").alias("response_id"), "r")
+    start = base.where("rec = 0").select("source_name", "trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("section"), F.lit(0).alias("pos"), "timestamp", F.lit("conversation.started").alias("event_type"))
+    notes = base.where("r.response.instructions is not null").select("source_name", "trace_id", "rec", F.lit(0).alias("section"), F.lit(0).alias("pos"), "timestamp", "response_id", F.lit("message.observed").alias("event_type"), F.lit("instructions").alias("origin"), F.lit("system").alias("role"), F.col("r.response.instructions").alias("content"), F.sha2("r.response.instructions", 256).alias("key"))
+    items = base.select("source_name", "trace_id", "rec", "timestamp", "response_id", F.explode(F.array(F.struct(F.lit(1).alias("section"), F.lit("input_items").alias("origin"), F.col("r.input_items").alias("items")), F.struct(F.lit(2).alias("section"), F.lit("response.output").alias("origin"), F.col("r.response.output").alias("items")))).alias("s"))
+    items = items.select("source_name", "trace_id", "rec", "timestamp", "response_id", "s.section", "s.origin", F.posexplode("s.items").alias("pos", "item"))
     key = F.when(F.length("item.id") > 0, F.concat(F.lit("id:"), F.col("item.id"))).when(F.length("item.call_id") > 0, F.concat_ws(":", F.lit("call"), F.col("item.type"), F.col("item.call_id")))
     seen = first_seen(items.withColumn("key", key), "key", "rec", "section", "pos")
-    calls = items.where("item.type = 'function_call' and item.call_id <> '' and item.name <> ''").groupBy("trace_id", F.col("item.call_id").alias("call_id")).agg(F.max("item.name").alias("call_name"))
+    calls = items.where("item.type = 'function_call' and item.call_id <> '' and item.name <> ''").groupBy("source_name", "trace_id", F.col("item.call_id").alias("call_id")).agg(F.max("item.name").alias("call_name"))
     kind = F.col("item.type")
     text = joined_lines(F.transform("item.content", lambda b: F.when(b["type"].isin("input_text", "output_text"), b["text"]).when(b["type"] == "refusal", b["refusal"]).otherwise(F.concat(F.lit("["), b["type"], F.lit("]")))))
-    told = seen.withColumn("call_id", F.col("item.call_id")).join(calls, ["trace_id", "call_id"], "left").select(
-        "trace_id", "rec", "section", "pos", "timestamp", "response_id", "origin",
+    told = seen.withColumn("call_id", F.col("item.call_id")).join(calls, ["source_name", "trace_id", "call_id"], "left").select(
+        "source_name", "trace_id", "rec", "section", "pos", "timestamp", "response_id", "origin",
         F.when(kind == "message", "message.observed").when(kind == "function_call", "tool.called").when(kind == "function_call_output", "tool.completed").otherwise("artifact.observed").alias("event_type"),
         F.when(kind == "message", F.col("item.role")).alias("role"),
         F.when(kind == "message", text).when(kind == "function_call", F.col("item.arguments")).when(kind == "function_call_output", F.col("item.output")).when(kind == "reasoning", joined_lines(F.transform("item.summary", lambda b: b["text"]))).alias("content"),
@@ -176,7 +112,7 @@ def response_events(documents: DataFrame) -> DataFrame:
         F.when(kind == "reasoning", F.lit("reasoning_summary")).when(~kind.isin("message", "function_call", "function_call_output"), F.lit("response_item")).alias("artifact_kind"),
         F.when(kind == "reasoning", F.coalesce(F.length("item.encrypted_content") > 0, F.lit(False))).alias("hidden_present"),
     )
-    end = base.select("trace_id", "rec", F.lit(3).alias("section"), F.lit(0).alias("pos"), "timestamp", "response_id", F.lit("artifact.observed").alias("event_type"), F.lit("response").alias("artifact_kind"))
+    end = base.select("source_name", "trace_id", "rec", F.lit(3).alias("section"), F.lit(0).alias("pos"), "timestamp", "response_id", F.lit("artifact.observed").alias("event_type"), F.lit("response").alias("artifact_kind"))
     notes = first_seen(notes, "key", "rec").drop("key")
     rows = start
     for more in (notes, told, end):
@@ -186,35 +122,35 @@ def response_events(documents: DataFrame) -> DataFrame:
 
 def conflicting_calls(documents: DataFrame) -> DataFrame:
     """Calls of an archive of responses that occur with different names."""
-    d = parsed(documents, RESPONSES).select(F.col("id").alias("trace_id"), F.explode("responses").alias("r"))
-    items = d.select("trace_id", F.explode(F.concat(F.coalesce("r.input_items", F.array().cast(f"array<struct<{ITEM}>>")), F.coalesce("r.response.output", F.array().cast(f"array<struct<{ITEM}>>")))).alias("item"))
-    return items.where("item.type = 'function_call' and item.call_id <> ''").groupBy("trace_id", F.col("item.call_id").alias("call_id")).agg(F.count_distinct("item.name").alias("names")).where("names > 1")
+    d = parsed(documents, RESPONSES).select("source_name", F.col("id").alias("trace_id"), F.explode("responses").alias("r"))
+    items = d.select("source_name", "trace_id", F.explode(F.concat(F.coalesce("r.input_items", F.array().cast(f"array<struct<{ITEM}>>")), F.coalesce("r.response.output", F.array().cast(f"array<struct<{ITEM}>>")))).alias("item"))
+    return items.where("item.type = 'function_call' and item.call_id <> ''").groupBy("source_name", "trace_id", F.col("item.call_id").alias("call_id")).agg(F.count_distinct("item.name").alias("names")).where("names > 1")
 
 
 def archive_order_faults(records: DataFrame) -> DataFrame:
-    """trace_id, fault of archives' records (trace_id, rec, timestamp, response_id): missing or repeated response ids, missing or falling times."""
-    twice = records.where("response_id <> ''").groupBy("trace_id", "response_id").count().where("count > 1").select("trace_id", F.lit("response id repeats").alias("fault"))
-    before = F.lag("timestamp").over(Window.partitionBy("trace_id").orderBy("rec"))
+    """source_name, trace_id, fault of archives' records (source_name, trace_id, rec, timestamp, response_id): missing or repeated response ids, missing or falling times."""
+    twice = records.where("response_id <> ''").groupBy("source_name", "trace_id", "response_id").count().where("count > 1").select("source_name", "trace_id", F.lit("response id repeats").alias("fault"))
+    before = F.lag("timestamp").over(Window.partitionBy("source_name", "trace_id").orderBy("rec"))
     each = records.withColumn("fault", F.when(F.coalesce(F.col("response_id"), F.lit("")) == "", "response without id").when(F.col("timestamp").isNull(), "record without time").when(F.col("timestamp") < before, "time falls"))
-    return twice.unionByName(each.where("fault is not null").select("trace_id", "fault"))
+    return twice.unionByName(each.where("fault is not null").select("source_name", "trace_id", "fault"))
 
 
 def definition_conflicts(calls: DataFrame, fault: str) -> DataFrame:
-    """trace_id, fault of calls (trace_id, call_id, definition) whose id stands for more than one definition."""
-    return calls.where("call_id is not null").groupBy("trace_id", "call_id").agg(F.count_distinct("definition").alias("n")).where("n > 1").select("trace_id", F.lit(fault).alias("fault"))
+    """source_name, trace_id, fault of calls (source_name, trace_id, call_id, definition) whose id stands for more than one definition."""
+    return calls.where("call_id is not null").groupBy("source_name", "trace_id", "call_id").agg(F.count_distinct("definition").alias("n")).where("n > 1").select("source_name", "trace_id", F.lit(fault).alias("fault"))
 
 
 def signature_conflicts(messages: DataFrame) -> DataFrame:
-    """trace_id, fault of messages (trace_id, message_id, signature) whose id stands for different contents."""
-    return definition_conflicts(messages.select("trace_id", F.col("message_id").alias("call_id"), F.col("signature").alias("definition")), "message id with other content")
+    """source_name, trace_id, fault of messages (source_name, trace_id, message_id, signature) whose id stands for different contents."""
+    return definition_conflicts(messages.select("source_name", "trace_id", F.col("message_id").alias("call_id"), F.col("signature").alias("definition")), "message id with other content")
 
 
 def response_faults(documents: DataFrame) -> DataFrame:
-    """trace_id, fault of archives of responses: ids and times of the responses, and calls that occur under different names."""
-    d = parsed(documents, RESPONSES).select(F.col("id").alias("trace_id"), F.posexplode("responses").alias("rec", "r"))
-    records = d.select("trace_id", "rec", F.timestamp_micros(F.round(F.col("r.response.created_at") * 1_000_000).cast("bigint")).alias("timestamp"), F.col("r.response.id").alias("response_id"))
-    named = conflicting_calls(documents).select("trace_id", F.lit("call id with other name").alias("fault"))
-    return archive_order_faults(records).unionByName(named).distinct()
+    """source_name, trace_id, fault of archives of responses: ids and times of the responses, and calls that occur under different names."""
+    d = parsed(documents, RESPONSES).select("source_name", F.col("id").alias("trace_id"), F.posexplode("responses").alias("rec", "r"))
+    records = d.select("source_name", "trace_id", "rec", F.timestamp_micros(F.round(F.col("r.response.created_at") * 1_000_000).cast("bigint")).alias("timestamp"), F.col("r.response.id").alias("response_id"))
+    named = conflicting_calls(documents).select("source_name", "trace_id", F.lit("call id with other name").alias("fault"))
+    return archive_order_faults(records).unionByName(named).unionByName(identity_of_documents(documents, RESPONSES)).distinct()
 
 
 def absent_if_null(json: Column) -> Column:
@@ -228,42 +164,42 @@ def blocks(content: Column) -> Column:
 
 
 def archived_messages(documents: DataFrame) -> DataFrame:
-    """trace_id, records, rec, timestamp, response_id, pos, message_id, role, content (JSON text), origin of each message that the records of message archives hold, in their order: system, request, response. A system message is named by its content."""
-    d = parsed(documents, MESSAGES).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
+    """source_name, trace_id, records, rec, timestamp, response_id, pos, message_id, role, content (JSON text), origin of each message that the records of message archives hold, in their order: system, request, response. A system message is named by its content."""
+    d = parsed(documents, MESSAGES).select("source_name", F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
     of = lambda i, role, content, origin: F.struct(i.alias("id"), role.alias("role"), content.alias("content"), F.lit(origin).alias("origin"))
     d = d.withColumn("system", absent_if_null(F.to_json("r.system")))
-    d = d.withColumn("system_id", F.concat(F.lit("system:"), F.left(message_signature(F.when(F.col("system").isNotNull(), "system"), F.col("system")), F.lit(32))))
+    d = d.withColumn("system_id", F.concat(F.lit("system:"), F.left(signature(F.when(F.col("system").isNotNull(), "system"), F.col("system")), F.lit(32))))
     shape = "array<struct<id:string,role:string,content:string,origin:string>>"
     system = F.when(F.col("system").isNotNull(), F.array(of(F.col("system_id"), F.lit("system"), F.col("system"), "request")))
     asked = F.transform("r.messages", lambda m: of(m["id"], m["role"], F.to_json(m["content"]), "request"))
     given = F.array(of(F.col("r.response.id"), F.lit("assistant"), F.to_json("r.response.content"), "response"))
     every = F.concat(*(F.coalesce(x.cast(shape), F.array().cast(shape)) for x in (system, asked, given)))
-    return d.select("trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.col("r.response.id").alias("response_id"), F.posexplode(every).alias("pos", "m")).select("trace_id", "records", "rec", "timestamp", "response_id", "pos", F.col("m.id").alias("message_id"), "m.role", "m.content", "m.origin")
+    return d.select("source_name", "trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.col("r.response.id").alias("response_id"), F.posexplode(every).alias("pos", "m")).select("source_name", "trace_id", "records", "rec", "timestamp", "response_id", "pos", F.col("m.id").alias("message_id"), "m.role", "m.content", "m.origin")
 
 
 def message_faults(documents: DataFrame) -> DataFrame:
-    """trace_id, fault of message archives: ids and times of the records, contents that are neither text nor array, message ids with other contents, tool calls without id, name or input, and tool ids with other definitions."""
+    """source_name, trace_id, fault of message archives: ids and times of the records, contents that are neither text nor array, message ids with other contents, tool calls without id, name or input, and tool ids with other definitions."""
     m = archived_messages(documents).withColumn("blocks", blocks(F.col("content")))
-    shape = m.where("blocks is null").select("trace_id", F.lit("content is neither text nor array").alias("fault"))
-    calls = m.select("trace_id", F.explode("blocks").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).select("trace_id", F.col("b.id").alias("call_id"), "b.name", F.col("b.input").alias("input"), F.concat_ws("\x1f", "b.type", "b.name", "b.input").alias("definition"))
-    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not coalesce(startswith(input, '{'), false)").select("trace_id", F.lit("tool call without id, name or input").alias("fault"))
-    signed = m.where("blocks is not null").select("trace_id", "message_id", message_signature("role", "content").alias("signature"))
-    order = archive_order_faults(m.where("origin = 'response'").select("trace_id", "rec", "timestamp", "response_id"))
-    return order.unionByName(shape).unionByName(bad).unionByName(definition_conflicts(calls, "tool id with other definition")).unionByName(signature_conflicts(signed)).distinct()
+    shape = m.where("blocks is null").select("source_name", "trace_id", F.lit("content is neither text nor array").alias("fault"))
+    calls = m.select("source_name", "trace_id", F.explode("blocks").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).select("source_name", "trace_id", F.col("b.id").alias("call_id"), "b.name", F.col("b.input").alias("input"), F.concat_ws("\x1f", "b.type", "b.name", "b.input").alias("definition"))
+    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not coalesce(startswith(input, '{'), false)").select("source_name", "trace_id", F.lit("tool call without id, name or input").alias("fault"))
+    signed = m.where("blocks is not null").select("source_name", "trace_id", "message_id", signature("role", "content").alias("signature"))
+    order = archive_order_faults(m.where("origin = 'response'").select("source_name", "trace_id", "rec", "timestamp", "response_id"))
+    return order.unionByName(shape).unionByName(bad).unionByName(definition_conflicts(calls, "tool id with other definition")).unionByName(signature_conflicts(signed)).unionByName(identity_of_documents(documents, MESSAGES)).distinct()
 
 
 def message_events(documents: DataFrame) -> DataFrame:
     """Archived message exchanges: system, request messages and the response, each message once by id, followed by events for its blocks; an artifact after each record and one at the end. message_faults() names what is out of shape; a message without readable content is told with null content."""
     m = archived_messages(documents).withColumn("content", blocks(F.col("content")))
-    per_record = m.where("origin = 'response'").select("trace_id", "records", "rec", "timestamp")
-    calls = m.select("trace_id", F.explode("content").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).groupBy("trace_id", F.col("b.id").alias("tool_use_id")).agg(F.max("b.name").alias("call_name"))
+    per_record = m.where("origin = 'response'").select("source_name", "trace_id", "records", "rec", "timestamp")
+    calls = m.select("source_name", "trace_id", F.explode("content").alias("b")).where(F.col("b.type").isin(*TOOL_CALLS)).groupBy("source_name", "trace_id", F.col("b.id").alias("tool_use_id")).agg(F.max("b.name").alias("call_name"))
     m = first_seen(m, "message_id", "rec", "pos")
     show = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"].isin(*THINKING), "[thinking]").when(b["type"].isin(*TOOL_CALLS), F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("unknown")), F.lit("]"))).when(b["type"].isin(*TOOL_RESULTS), F.concat(F.lit("[tool_result:"), F.coalesce(b["tool_use_id"], F.lit("unknown")), F.lit("]"))).when(b["type"] == "mid_conversation_system", "[system]").otherwise(F.concat(F.lit("["), b["type"], F.lit("]")))
-    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("block"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", joined_lines(F.transform("content", show)).alias("content"), "origin")
-    b = m.select("trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("content").alias("block", "b")).where("b.type <> 'text'")
+    said = m.select("source_name", "trace_id", "rec", "pos", F.lit(-1).alias("block"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", joined_lines(F.transform("content", show)).alias("content"), "origin")
+    b = m.select("source_name", "trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("content").alias("block", "b")).where("b.type <> 'text'")
     kind = F.col("b.type")
-    done = b.withColumn("tool_use_id", F.coalesce("b.tool_use_id", "b.id")).join(calls, ["trace_id", "tool_use_id"], "left").select(
-        "trace_id", "rec", "pos", "block", "timestamp", "message_id", "origin",
+    done = b.withColumn("tool_use_id", F.coalesce("b.tool_use_id", "b.id")).join(calls, ["source_name", "trace_id", "tool_use_id"], "left").select(
+        "source_name", "trace_id", "rec", "pos", "block", "timestamp", "message_id", "origin",
         F.when(kind.isin(*TOOL_CALLS), "tool.called").when(kind.isin(*TOOL_RESULTS), "tool.completed").otherwise("artifact.observed").alias("event_type"),
         F.when(kind.isin(*THINKING), "thinking_presence").when(~kind.isin(*TOOL_CALLS, *TOOL_RESULTS), "content_block").alias("artifact_kind"),
         F.when(kind.isin(*TOOL_CALLS), F.col("b.input")).when(kind.isin(*TOOL_RESULTS), F.col("b.content")).alias("content"),
@@ -271,9 +207,9 @@ def message_events(documents: DataFrame) -> DataFrame:
         F.when(kind.isin(*TOOL_RESULTS), F.col("call_name").isNotNull()).alias("linked_call"), F.when(kind.isin(*TOOL_RESULTS), F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
     )
     far = F.lit(1 << 30)
-    start = per_record.where("rec = 0").select("trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("block"), "timestamp", F.lit("conversation.started").alias("event_type"))
-    after = per_record.select("trace_id", "rec", far.alias("pos"), F.lit(0).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("message").alias("artifact_kind"))
-    end = per_record.where("rec = records - 1").select("trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("conversation").alias("artifact_kind"))
+    start = per_record.where("rec = 0").select("source_name", "trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("block"), "timestamp", F.lit("conversation.started").alias("event_type"))
+    after = per_record.select("source_name", "trace_id", "rec", far.alias("pos"), F.lit(0).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("message").alias("artifact_kind"))
+    end = per_record.where("rec = records - 1").select("source_name", "trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("block"), "timestamp", F.lit("artifact.observed").alias("event_type"), F.lit("conversation").alias("artifact_kind"))
     rows = start
     for more in (said, done, after, end):
         rows = rows.unionByName(more, allowMissingColumns=True)
@@ -290,39 +226,39 @@ def read_parts(parts: Column) -> Column:
 
 
 def archived_contents(documents: DataFrame) -> DataFrame:
-    """trace_id, records, rec, timestamp, response_id, inputs, pos, message_id, role, parts (variants), origin of each content of content archives: system instruction, contents, candidates."""
-    d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
+    """source_name, trace_id, records, rec, timestamp, response_id, inputs, pos, message_id, role, parts (variants), origin of each content of content archives: system instruction, contents, candidates."""
+    d = parsed(documents, CONTENTS).select("source_name", F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
     shape = "array<struct<id:string,role:string,parts:array<variant>,origin:string>>"
     system = F.when(F.col("r.system_instruction").isNotNull(), F.array(F.struct("r.system_instruction.id", "r.system_instruction.role", "r.system_instruction.parts", F.lit("request").alias("origin"))))
     asked = F.transform("r.contents", lambda c: F.struct(c["id"].alias("id"), c["role"].alias("role"), c["parts"].alias("parts"), F.lit("request").alias("origin")))
     given = F.transform("r.response.candidates", lambda c, i: F.struct(F.get("r.candidate_ids", i).alias("id"), F.lit("model").alias("role"), c["content"]["parts"].alias("parts"), F.lit("response").alias("origin")))
     every = F.concat(*(F.coalesce(x.cast(shape), F.array().cast(shape)) for x in (system, asked, given)))
-    return d.select("trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.posexplode(every).alias("pos", "m")).select("trace_id", "records", "rec", "timestamp", "pos", F.col("m.id").alias("message_id"), "m.role", "m.parts", "m.origin").where("parts is not null")
+    return d.select("source_name", "trace_id", "records", "rec", F.col("r.timestamp").alias("timestamp"), F.posexplode(every).alias("pos", "m")).select("source_name", "trace_id", "records", "rec", "timestamp", "pos", F.col("m.id").alias("message_id"), "m.role", "m.parts", "m.origin").where("parts is not null")
 
 
 def content_faults(documents: DataFrame) -> DataFrame:
-    """trace_id, fault of content archives: ids and times of the records, candidate ids that don't fit the candidates or repeat, candidates of another role, parts with two spellings, several fields or none, content ids with other contents, function calls without id, name or arguments, and call ids with other definitions."""
-    d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.posexplode("records").alias("rec", "r"))
-    order = archive_order_faults(d.select("trace_id", "rec", F.col("r.timestamp").alias("timestamp"), F.coalesce("r.response.response_id", "r.response.responseId").alias("response_id")))
+    """source_name, trace_id, fault of content archives: ids and times of the records, candidate ids that don't fit the candidates or repeat, candidates of another role, parts with two spellings, several fields or none, content ids with other contents, function calls without id, name or arguments, and call ids with other definitions."""
+    d = parsed(documents, CONTENTS).select("source_name", F.col("id").alias("trace_id"), F.posexplode("records").alias("rec", "r"))
+    order = archive_order_faults(d.select("source_name", "trace_id", "rec", F.col("r.timestamp").alias("timestamp"), F.coalesce("r.response.response_id", "r.response.responseId").alias("response_id")))
     ids, candidates = F.coalesce("r.candidate_ids", F.array().cast("array<string>")), F.col("r.response.candidates")
     fit = F.when(candidates.isNull(), "no candidates").when(F.size(ids) != F.size(candidates), "candidate ids don't fit").when(F.size(F.array_distinct(ids)) != F.size(ids), "candidate ids repeat").when(F.exists(candidates, lambda c: F.coalesce(c["content"]["role"], F.lit("model")) != "model"), "candidate of another role")
-    fits = d.select("trace_id", fit.alias("fault")).where("fault is not null")
+    fits = d.select("source_name", "trace_id", fit.alias("fault")).where("fault is not null")
     m = archived_contents(documents).withColumn("json", F.to_json("parts"))
-    shape = m.select("trace_id", parts_fault("json").alias("fault")).where("fault is not null")
-    p = m.select("trace_id", F.explode(read_parts(F.col("parts"))).alias("p")).select("trace_id", either(F.col("p"), "function_call", "functionCall").alias("c")).where("c is not null")
-    calls = p.select("trace_id", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.args", F.lit("{}")).alias("args"))
-    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not startswith(args, '{')").select("trace_id", F.lit("function call without id, name or arguments").alias("fault"))
-    twice = definition_conflicts(calls.select("trace_id", "call_id", F.concat_ws("\x1f", "name", "args").alias("definition")), "call id with other definition")
-    signed = signature_conflicts(m.select("trace_id", "message_id", content_signature("role", "json").alias("signature")))
+    shape = m.select("source_name", "trace_id", parts_fault("json").alias("fault")).where("fault is not null")
+    p = m.select("source_name", "trace_id", F.explode(read_parts(F.col("parts"))).alias("p")).select("source_name", "trace_id", either(F.col("p"), "function_call", "functionCall").alias("c")).where("c is not null")
+    calls = p.select("source_name", "trace_id", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.args", F.lit("{}")).alias("args"))
+    bad = calls.where("coalesce(call_id, '') = '' or coalesce(name, '') = '' or not startswith(args, '{')").select("source_name", "trace_id", F.lit("function call without id, name or arguments").alias("fault"))
+    twice = definition_conflicts(calls.select("source_name", "trace_id", "call_id", F.concat_ws("\x1f", "name", "args").alias("definition")), "call id with other definition")
+    signed = signature_conflicts(m.select("source_name", "trace_id", "message_id", signature("role", "json").alias("signature")))
     out = order
-    for more in (fits, shape, bad, twice, signed):
+    for more in (fits, shape, bad, twice, signed, identity_of_documents(documents, CONTENTS)):
         out = out.unionByName(more)
     return out.distinct()
 
 
 def content_events(documents: DataFrame) -> DataFrame:
     """Archived content generations: system instruction, contents, candidates, each content once by id, followed by events for its parts; artifacts after each candidate, each record and at the end. content_faults() names what is out of shape."""
-    d = parsed(documents, CONTENTS).select(F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
+    d = parsed(documents, CONTENTS).select("source_name", F.col("id").alias("trace_id"), F.size("records").alias("records"), F.posexplode("records").alias("rec", "r"))
     every = archived_contents(documents).withColumn("parts", read_parts(F.col("parts")))
     m = first_seen(every, "message_id", "rec", "pos")
     field = lambda name, camel: lambda p: either(p, name, camel)
@@ -342,16 +278,16 @@ def content_events(documents: DataFrame) -> DataFrame:
         return F.when(kind == "text", p["v"]["text"]).when(kind == "function_call", marked(call(p)["name"])).when(kind == "function_response", marked(answer(p)["name"])).when(kind == "inline_data", marked(mime(data(p)))).when(kind == "file_data", marked(mime(file(p)))).otherwise(F.concat(F.lit("["), kind, F.lit("]")))
 
     def told(rows: DataFrame) -> DataFrame:
-        return rows.select("trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("parts").alias("part", "p")).withColumn("kind", kind_of(F.col("p"))).where("kind <> 'text'")
+        return rows.select("source_name", "trace_id", "rec", "pos", "timestamp", "message_id", "origin", F.posexplode("parts").alias("part", "p")).withColumn("kind", kind_of(F.col("p"))).where("kind <> 'text'")
 
-    said = m.select("trace_id", "rec", "pos", F.lit(-1).alias("part"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", F.array_join(F.transform("parts", show), "\n").alias("content"), "origin")
+    said = m.select("source_name", "trace_id", "rec", "pos", F.lit(-1).alias("part"), "timestamp", "message_id", F.lit("message.observed").alias("event_type"), "role", F.array_join(F.transform("parts", show), "\n").alias("content"), "origin")
     p = F.col("p")
     is_call, is_answer = F.col("kind").isin("function_call", "tool_call", "executable_code"), F.col("kind").isin("function_response", "tool_response", "code_execution_result")
     made, met = F.coalesce(call(p)["id"], tool_call(p)["id"], code(p)["id"]), F.coalesce(answer(p)["id"], tool_answer(p)["id"], result(p)["id"])
     made_name = F.coalesce(call(p)["name"], tool_call(p)["tool_type"], tool_call(p)["toolType"], F.lit("code_execution"))
-    calls = told(every).where(is_call).select("trace_id", made.alias("call_id"), made_name.alias("call_name")).where("call_id is not null").groupBy("trace_id", "call_id").agg(F.max("call_name").alias("call_name"))
-    done = told(m).withColumn("call_id", F.when(is_call, made).when(is_answer, met)).join(calls, ["trace_id", "call_id"], "left").select(
-        "trace_id", "rec", "pos", "part", "timestamp", "message_id", "origin", "call_id",
+    calls = told(every).where(is_call).select("source_name", "trace_id", made.alias("call_id"), made_name.alias("call_name")).where("call_id is not null").groupBy("source_name", "trace_id", "call_id").agg(F.max("call_name").alias("call_name"))
+    done = told(m).withColumn("call_id", F.when(is_call, made).when(is_answer, met)).join(calls, ["source_name", "trace_id", "call_id"], "left").select(
+        "source_name", "trace_id", "rec", "pos", "part", "timestamp", "message_id", "origin", "call_id",
         F.when(is_call, "tool.called").when(is_answer, "tool.completed").otherwise("artifact.observed").alias("event_type"),
         F.when(F.col("kind") == "thought", "thought_presence").when(~is_call & ~is_answer, "part").alias("artifact_kind"),
         F.when(is_call, F.coalesce(call(p)["args"], tool_call(p)["args"], code(p)["code"])).when(is_answer, F.coalesce(answer(p)["response"], tool_answer(p)["response"], result(p)["output"])).alias("content"),
@@ -360,11 +296,11 @@ def content_events(documents: DataFrame) -> DataFrame:
     )
     far = F.lit(1 << 30)
     observed = F.lit("artifact.observed").alias("event_type")
-    start = d.where("rec = 0").select("trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("part"), F.col("r.timestamp").alias("timestamp"), F.lit("conversation.started").alias("event_type"))
+    start = d.where("rec = 0").select("source_name", "trace_id", F.lit(-1).alias("rec"), F.lit(0).alias("pos"), F.lit(-1).alias("part"), F.col("r.timestamp").alias("timestamp"), F.lit("conversation.started").alias("event_type"))
     inputs = F.when(F.col("r.system_instruction").isNotNull(), 1).otherwise(0) + F.coalesce(F.size("r.contents"), F.lit(0))
-    candidates = d.select("trace_id", "rec", F.col("r.timestamp").alias("timestamp"), inputs.alias("inputs"), F.posexplode("r.response.candidates").alias("c", "candidate")).select("trace_id", "rec", (F.col("inputs") + F.col("c")).alias("pos"), far.alias("part"), "timestamp", observed, F.lit("candidate").alias("artifact_kind"), F.coalesce("candidate.finish_reason", "candidate.finishReason").alias("content"))
-    after = d.select("trace_id", "rec", far.alias("pos"), F.lit(0).alias("part"), F.col("r.timestamp").alias("timestamp"), observed, F.lit("response").alias("artifact_kind"))
-    end = d.where("rec = records - 1").select("trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("part"), F.col("r.timestamp").alias("timestamp"), observed, F.lit("conversation").alias("artifact_kind"))
+    candidates = d.select("source_name", "trace_id", "rec", F.col("r.timestamp").alias("timestamp"), inputs.alias("inputs"), F.posexplode("r.response.candidates").alias("c", "candidate")).select("source_name", "trace_id", "rec", (F.col("inputs") + F.col("c")).alias("pos"), far.alias("part"), "timestamp", observed, F.lit("candidate").alias("artifact_kind"), F.coalesce("candidate.finish_reason", "candidate.finishReason").alias("content"))
+    after = d.select("source_name", "trace_id", "rec", far.alias("pos"), F.lit(0).alias("part"), F.col("r.timestamp").alias("timestamp"), observed, F.lit("response").alias("artifact_kind"))
+    end = d.where("rec = records - 1").select("source_name", "trace_id", far.alias("rec"), far.alias("pos"), F.lit(1).alias("part"), F.col("r.timestamp").alias("timestamp"), observed, F.lit("conversation").alias("artifact_kind"))
     rows = start
     for more in (said, done, candidates, after, end):
         rows = rows.unionByName(more, allowMissingColumns=True)
@@ -372,8 +308,9 @@ def content_events(documents: DataFrame) -> DataFrame:
 
 
 def identity_faults(events: DataFrame, *context: str) -> DataFrame:
-    """trace_id, fault of events whose context (capsule, experiment, variant, repetition, or what else is named) changes within their trace."""
-    return events.groupBy("trace_id").agg(F.count_distinct(F.struct(*context)).alias("n")).where("n > 1").select("trace_id", F.lit("context changes").alias("fault"))
+    """source_name (if there is one), trace_id, fault of events whose context (capsule, experiment, variant, repetition, or what else is named) changes within their trace."""
+    trace = [c for c in ("source_name", "trace_id") if c in events.columns]
+    return events.groupBy(*trace).agg(F.count_distinct(F.struct(*context)).alias("n")).where("n > 1").select(*trace, F.lit("context changes").alias("fault"))
 
 
 # Captures --------------------------------------------------------------------

@@ -32,32 +32,40 @@ def route(requests: DataFrame, rules: DataFrame, fallback: str) -> DataFrame:
     return met.groupBy("request_id").agg(F.coalesce(best, F.lit(fallback)).alias("target_id"))
 
 
+def trace_of(events: DataFrame) -> list[str]:
+    """What names a trace: its id, with its source where events have one."""
+    return [c for c in ("source_name", "trace_id") if c in events.columns]
+
+
 def latest_message(events: DataFrame, *by: str, role: str = "user") -> DataFrame:
-    """Of each group, the message event of a role that is last by (timestamp, trace_id, sequence)."""
-    chosen = F.max_by(F.struct("trace_id", "sequence", "content"), F.struct("timestamp", "trace_id", "sequence"))
+    """Of each group, the message event of a role that is last by (timestamp, trace, sequence)."""
+    trace = trace_of(events)
+    chosen = F.max_by(F.struct(*trace, "sequence", "content"), F.struct("timestamp", *reversed(trace), "sequence"))
     return events.where((F.col("event_type") == "message.observed") & (F.col("role") == role)).groupBy(*by).agg(chosen.alias("m")).select(*by, "m.*")
 
 
 def corrections(events: DataFrame, *by: str) -> DataFrame:
     """Feedback events with the messages that they name: each once, with how many correcting (made) and corrected (targets) messages there are; a correction is whole if either is one."""
-    feedback = events.where("event_type = 'feedback.observed'").select("trace_id", F.col("sequence").alias("feedback_sequence"), "message_id", "correction_of", *by)
-    messages = events.where("event_type = 'message.observed'").groupBy("trace_id", "message_id").agg(F.count("*").alias("n"), F.min_by(F.struct("content", "timestamp", "sequence"), "sequence").alias("m"))
-    correcting = messages.select("trace_id", "message_id", F.col("n").alias("made"), "m.content", "m.timestamp", "m.sequence")
-    corrected = messages.select("trace_id", F.col("message_id").alias("correction_of"), F.col("n").alias("targets"), F.col("m.sequence").alias("corrected_sequence"))
-    joined = feedback.join(correcting, ["trace_id", "message_id"], "left").join(corrected, ["trace_id", "correction_of"], "left")
+    trace = trace_of(events)
+    feedback = events.where("event_type = 'feedback.observed'").select(*trace, F.col("sequence").alias("feedback_sequence"), "message_id", "correction_of", *by)
+    messages = events.where("event_type = 'message.observed'").groupBy(*trace, "message_id").agg(F.count("*").alias("n"), F.min_by(F.struct("content", "timestamp", "sequence"), "sequence").alias("m"))
+    correcting = messages.select(*trace, "message_id", F.col("n").alias("made"), "m.content", "m.timestamp", "m.sequence")
+    corrected = messages.select(*trace, F.col("message_id").alias("correction_of"), F.col("n").alias("targets"), F.col("m.sequence").alias("corrected_sequence"))
+    joined = feedback.join(correcting, [*trace, "message_id"], "left").join(corrected, [*trace, "correction_of"], "left")
     return joined.withColumns({"made": F.coalesce("made", F.lit(0)), "targets": F.coalesce("targets", F.lit(0))})
 
 
 def correction_faults(events: DataFrame) -> DataFrame:
-    """trace_id, feedback_sequence, fault of feedback events that do not name exactly one correcting and one corrected message."""
+    """The trace, feedback_sequence and fault of feedback events that do not name exactly one correcting and one corrected message."""
     fault = F.when(F.col("made") != 1, F.format_string("%d correcting messages", "made")).when(F.col("targets") != 1, F.format_string("%d corrected messages", "targets"))
-    return corrections(events).select("trace_id", "feedback_sequence", fault.alias("fault")).where("fault is not null")
+    return corrections(events).select(*trace_of(events), "feedback_sequence", fault.alias("fault")).where("fault is not null")
 
 
 def latest_correction(events: DataFrame, *by: str) -> DataFrame:
     """Of each group, the correcting message that is last, with the message it corrects and the feedback event of the pair, and how many corrections are whole in this way; correction_faults() names the others."""
     whole = corrections(events, *by).where("made = 1 and targets = 1")
-    best = F.max_by(F.struct("trace_id", "sequence", "corrected_sequence", "feedback_sequence", "content"), F.struct("timestamp", "trace_id", "sequence"))
+    trace = trace_of(events)
+    best = F.max_by(F.struct(*trace, "sequence", "corrected_sequence", "feedback_sequence", "content"), F.struct("timestamp", *reversed(trace), "sequence"))
     return whole.groupBy(*by).agg(best.alias("c"), F.count("*").alias("corrections")).select(*by, "c.*", "corrections")
 
 

@@ -89,20 +89,44 @@ def transcripts(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -
     return docs.select(F.concat("trace_id", F.lit(".json")).alias("source_name"), F.to_json(F.struct(F.col("trace_id").alias("id"), F.lit("capsule").alias("capsule_id"), "messages")).alias("document"))
 
 
-def otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace export of each user's events: a span per event that takes its value in milliseconds, with one event of its own in the middle where the value is over 50."""
+def again(documents: DataFrame) -> DataFrame:
+    """The documents, and those of every seventh number a second time, as of another source."""
+    number = F.regexp_extract("source_name", "([0-9]+)", 1).cast("long")
+    return documents.unionByName(documents.where(number % 7 == 0).withColumn("source_name", F.concat(F.lit("again-"), F.col("source_name"))))
+
+
+def otlp(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """A trace export of each user's events: a span per event that takes its value in milliseconds, with one event of its own in the middle where the value is over 50, and an attribute of each of the seven forms by turns; some users export twice. Broken: spans are out of shape by their number modulo 16, resources by the user's modulo 11, and there are exports without spans and without sense."""
     e = table(spark, sf_dir, "events").where("value is not null")
     ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("bigint")
     length = F.floor(F.col("value")).cast("bigint") * 1_000_000
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c + 1)), n, "0")
-    span = F.struct(
-        hexed(F.col("user_id"), 32).alias("traceId"), F.upper(hexed(F.col("event_id"), 16)).alias("spanId"), F.col("event_type").alias("name"), F.lit(1).alias("kind"), ns.cast("string").alias("startTimeUnixNano"), (ns + length).cast("string").alias("endTimeUnixNano"),
-        F.array(F.struct(F.lit("event.type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))).alias("attributes"),
-        F.when(F.col("value") > 50, F.array(F.struct((ns + F.floor(length / 2)).cast("bigint").cast("string").alias("timeUnixNano"), F.lit("half").alias("name")))).alias("events"),
+    n = F.col("event_id").cast("string")
+    odd = F.col("event_id") % 16 if broken else F.lit(-1)
+    forms = [
+        F.concat(F.lit('{"stringValue":"s\\\"'), n, F.lit('"}')), F.lit('{"boolValue":true}'), F.concat(F.lit('{"intValue":"'), n, F.lit('"}')), F.concat(F.lit('{"doubleValue":'), n, F.lit(".5}")), F.lit('{"bytesValue":"AAE="}'),
+        F.concat(F.lit('{"arrayValue":{"values":[{"intValue":'), n, F.lit('},{"stringValue":"z"},{"arrayValue":{}}]}}')), F.concat(F.lit('{"kvlistValue":{"values":[{"key":"b","value":{"boolValue":false}},{"key":"a","value":{"intValue":'), n, F.lit("}}]}}")),
+    ]
+    form = F.when(odd == 2, '{"intValue":1,"boolValue":true}').when(odd == 8, F.lit('{"intValue":"%d"}' % (1 << 63)))
+    form = form.otherwise(F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int")))
+    attributes = F.concat(F.lit('[{"key":"event.type","value":{"stringValue":"'), "event_type", F.lit('"}},{"key":"'), F.when(odd == 3, "event.type").otherwise("x"), F.lit('","value":'), form, F.lit("}]"))
+    middle = (ns + F.floor(length / 2)).cast("bigint").cast("string")
+    half = F.concat(F.lit('[{"timeUnixNano":"'), F.when(odd == 1, "soon").otherwise(middle), F.lit('"'), F.when(odd == 13, "").otherwise(',"name":"half"'), F.lit(',"attributes":[{"key":"share","value":'), F.when(odd == 12, "{}").otherwise('{"doubleValue":0.5}'), F.lit("}]}]"))
+    events = F.when(odd == 9, '{"half":1}').when(odd.isin(1, 12, 13) | (F.col("value") > 50), half).otherwise("[]")
+    text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('",'))
+    span = F.concat(
+        F.lit("{"), text("traceId", F.when(odd == 4, "0" * 32).otherwise(hexed(F.col("user_id"), 32))), text("spanId", F.when(odd == 11, "zz").when(odd == 14, "00000000000000AA").otherwise(F.upper(hexed(F.col("event_id"), 16)))), F.when(odd == 6, text("parentSpanId", F.lit("xyz"))).otherwise(""),
+        text("name", F.when(odd == 7, "").otherwise(F.col("event_type"))), F.lit('"kind":1,"status":{"code":1},'), text("startTimeUnixNano", F.when(odd == 10, "x").otherwise(ns.cast("string"))), text("endTimeUnixNano", F.when(odd == 5, (ns - 1).cast("string")).otherwise((ns + length).cast("string"))),
+        F.lit('"attributes":'), attributes, F.lit(',"events":'), events, F.lit("}"),
     )
-    docs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", span.alias("span")))).alias("s"))
-    spans = F.transform("s", lambda x: x["span"])
-    return docs.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source_name"), F.to_json(F.struct(F.array(F.struct(F.struct(F.array().cast("array<struct<key:string,value:string>>").alias("attributes")).alias("resource"), F.array(F.struct(spans.alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("document"))
+    docs = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", span.alias("span")))), lambda x: x["span"]), ",").alias("spans"))
+    user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    twice = F.when(F.lit(broken) & (F.col("user_id") % 11 == 0), ',{"key":"service.name","value":{"boolValue":true}}').otherwise("")
+    document = F.concat(F.lit('{"resourceSpans":[{"schemaUrl":"r/1","resource":{"attributes":[{"key":"service.name","value":{"stringValue":"'), user, F.lit('"}}'), twice, F.lit(']},"scopeSpans":[{"scope":{"name":"events","version":"2"},"spans":['), "spans", F.lit("]}]}]}"))
+    out = again(docs.select(user.alias("source_name"), document.alias("document")))
+    if broken:
+        out = out.unionByName(docs.where("user_id % 13 = 0").select(F.concat(F.lit("empty-"), user).alias("source_name"), F.when(F.col("user_id") % 2 == 0, '{"resourceSpans":[{"scopeSpans":[]}]}').otherwise("{").alias("document")))
+    return out
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:

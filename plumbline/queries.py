@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import evaluation, integrity, normalize, privacy, runs, selection, views
+from plumbline.operators import evaluation, integrity, normalize, otlp, privacy, runs, selection, views
 from plumbline.plans import evidence as ev
 from plumbline.schemas import TAXONOMY
 from plumbline.sources import artifacts as artifacts_of
@@ -252,9 +252,20 @@ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY turn, par
 """
 
 
-@register("transcript_events", MESSAGES + "SELECT trace_id, sequence, event_type, secs, message_id, role, content, correction_of FROM n")
+def by_source(sql: str, suffix: str = "") -> str:
+    """The rows of each trace for each source that has it: every seventh conversation is there twice."""
+    return f"SELECT source_name, s.* FROM ({sql}) s JOIN (SELECT DISTINCT 'conv-' || conv_id AS trace_id, 'conv-' || conv_id || '{suffix}' AS source_name FROM conversations UNION ALL SELECT DISTINCT 'conv-' || conv_id, 'again-conv-' || conv_id || '{suffix}' FROM conversations WHERE conv_id % 7 = 0) a USING (trace_id)"
+
+
+@register("transcript_events", by_source(MESSAGES + "SELECT trace_id, sequence, event_type, secs, message_id, role, content, correction_of FROM n", ".json"))
 def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.transcript_events(ev.transcripts(spark, sf_dir)).withColumn("secs", F.unix_seconds("timestamp")).drop("timestamp")
+    return normalize.transcript_events(ev.again(ev.transcripts(spark, sf_dir))).withColumn("secs", F.unix_seconds("timestamp")).drop("timestamp")
+
+
+@register("document_identity", by_source("SELECT DISTINCT 'conv-' || conv_id AS trace_id, 'document id of another source' AS fault FROM conversations WHERE conv_id % 7 = 0", ".json"))
+def document_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound transcripts of which some come from two sources under one id."""
+    return normalize.transcript_faults(ev.again(ev.transcripts(spark, sf_dir)))
 
 
 @register("transcript_validation", "SELECT 'conv-' || conv_id AS trace_id, CASE conv_id % 3 WHEN 0 THEN 'repeated message id' WHEN 1 THEN 'time falls' ELSE 'correction out of place' END AS fault FROM conversations WHERE turn = CASE WHEN conv_id % 3 = 2 THEN 0 ELSE 1 END")
@@ -262,7 +273,7 @@ def transcript_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts broken in three ways by their number: the second message has the first one's id, or an earlier time, or the first message corrects the second."""
     way, turn = F.col("conv_id") % 3, F.col("turn")
     m = ev.messages(spark, sf_dir).withColumns({"id": F.when((way == 0) & (turn == 1), "m0").otherwise(F.col("id")), "timestamp": F.when((way == 1) & (turn == 1), F.timestamp_add("HOUR", F.lit(-1), "timestamp")).otherwise(F.col("timestamp")), "correction_of": F.when((way == 2) & (turn == 0), "m1")})
-    return normalize.transcript_faults(ev.transcripts(spark, sf_dir, m))
+    return normalize.transcript_faults(ev.transcripts(spark, sf_dir, m)).drop("source_name")
 
 
 @register("latest_user_message", MESSAGES + "SELECT trace_id, max(sequence) AS sequence, arg_max(content, secs) AS content FROM n WHERE event_type = 'message.observed' AND role = 'user' GROUP BY trace_id")
@@ -274,7 +285,7 @@ def latest_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("latest_correction", MESSAGES + ", f AS (SELECT * FROM n WHERE event_type = 'feedback.observed'), t AS (SELECT f.trace_id, c.sequence, d.sequence AS corrected_sequence, f.sequence AS feedback_sequence, c.content, row_number() OVER (PARTITION BY f.trace_id ORDER BY c.secs DESC, c.sequence DESC) AS k, count(*) OVER (PARTITION BY f.trace_id) AS corrections FROM f JOIN n c ON c.trace_id = f.trace_id AND c.message_id = f.message_id AND c.event_type = 'message.observed' JOIN n d ON d.trace_id = f.trace_id AND d.message_id = f.correction_of AND d.event_type = 'message.observed') SELECT trace_id, sequence, corrected_sequence, feedback_sequence, content, corrections FROM t WHERE k = 1")
 def latest_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = normalize.transcript_events(ev.transcripts(spark, sf_dir)).withColumn("group", F.col("trace_id"))
-    return selection.latest_correction(events, "group").drop("group")
+    return selection.latest_correction(events, "group").drop("group", "source_name")
 
 
 @register("trace_invariants", """
@@ -282,7 +293,7 @@ WITH n AS (SELECT user_id, sum(CASE WHEN value > 50 THEN 3 ELSE 2 END) AS n FROM
 SELECT user_id, 'gap' AS fault FROM n WHERE user_id % 2 = 0 AND n >= 3 UNION ALL SELECT user_id, 'falls' FROM n WHERE user_id % 3 = 0 AND n >= 3""")
 def trace_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps in the numbers and falling times of the export's events, where every second trace has lost its second event, and the third event of every third is at time zero."""
-    e = normalize.otlp_events(ev.otlp(spark, sf_dir), attributes=False).withColumn("user_id", F.conv("trace_id", 16, 10).cast("bigint") - 1)
+    e = otlp.events(ev.otlp(spark, sf_dir)).where("startswith(source_name, 'user-')").withColumn("user_id", F.conv("trace_id", 16, 10).cast("bigint") - 1)
     e = e.where("not (user_id % 2 = 0 and sequence = 1)").withColumn("ns", F.when((F.col("user_id") % 3 == 0) & (F.col("sequence") == 2), 0).otherwise(F.col("ns")))
     gaps = integrity.gaps(e, "sequence", "user_id").select("user_id", F.lit("gap").alias("fault"))
     return gaps.unionByName(integrity.out_of_order(e, "ns", "sequence", "user_id").select("user_id", F.lit("falls").alias("fault")))
@@ -301,23 +312,51 @@ def correction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = normalize.transcript_events(ev.transcripts(spark, sf_dir))
     observed = F.col("event_type") == "message.observed"
     broken = e.where(~(observed & (F.col("message_id") == "m3"))).unionByName(e.where(observed & (F.col("message_id") == "m2")))
-    return selection.correction_faults(broken)
+    return selection.correction_faults(broken).drop("source_name")
+
+
+#: Spans of the broken exports, each with its fault.
+SPANS = """
+WITH s AS (
+  SELECT user_id, event_id, event_id % 16 AS k, lpad(lower(printf('%x', user_id + 1)), 32, '0') AS trace_id, event_type, epoch_us(ts) * 1000 AS a, CAST(floor(value) AS BIGINT) * 1000000 AS d, value,
+         CASE WHEN event_id % 16 = 14 THEN '00000000000000aa' ELSE lpad(lower(printf('%x', event_id + 1)), 16, '0') END AS span_id,
+         '{"event.type":"' || event_type || '","x":' || CASE event_id % 7 WHEN 0 THEN '"s\\"' || event_id || '"' WHEN 1 THEN 'true' WHEN 2 THEN event_id || '' WHEN 3 THEN event_id || '.5' WHEN 4 THEN '"AAE="' WHEN 5 THEN '[' || event_id || ',"z",[]]' ELSE '{"a":' || event_id || ',"b":false}' END || '}' AS span_attributes
+  FROM events WHERE value IS NOT NULL),
+f AS (
+  SELECT *, CASE WHEN k = 4 THEN 'trace id' WHEN k = 11 THEN 'span id' WHEN k = 6 THEN 'parent span id' WHEN k = 10 THEN 'time' WHEN k = 5 THEN 'ends before it starts' WHEN k = 7 THEN 'name' WHEN k = 9 THEN 'events'
+         WHEN k = 1 THEN 'event time' WHEN k = 13 THEN 'event name' WHEN user_id % 11 = 0 THEN 'resource attributes' WHEN k IN (2, 3, 8) THEN 'attributes' WHEN k = 12 THEN 'event attributes'
+         WHEN k = 14 AND count(*) OVER (PARTITION BY user_id, k) > 1 THEN 'span id repeats' END AS fault
+  FROM s),
+u AS (SELECT DISTINCT user_id, 'user-' || user_id AS source_name FROM s UNION ALL SELECT DISTINCT user_id, 'again-user-' || user_id FROM s WHERE user_id % 7 = 0),
+x AS (SELECT source_name, f.* FROM f JOIN u USING (user_id)),
+y AS (SELECT * FROM x WHERE fault IS NULL)
+"""
 
 
-@register("otlp_events", """
-WITH s AS (SELECT lpad(lower(printf('%x', user_id + 1)), 32, '0') AS trace_id, lpad(lower(printf('%x', event_id + 1)), 16, '0') AS span_id, event_type AS name, epoch_us(ts) * 1000 AS a, CAST(floor(value) AS BIGINT) * 1000000 AS d, value FROM events WHERE value IS NOT NULL),
+@register("otlp_events", SPANS + """,
 e AS (
-  SELECT trace_id, span_id, a AS ns, 0 AS phase, 'span.started' AS event_type, name AS event_name, CAST(NULL AS BIGINT) AS duration_ns FROM s
-  UNION ALL SELECT trace_id, span_id, a + d // 2, 1, 'span.event_observed', 'half', NULL FROM s WHERE value > 50
-  UNION ALL SELECT trace_id, span_id, a + d, 2, 'span.completed', name, d FROM s)
-SELECT trace_id, span_id, ns, event_type, event_name, duration_ns, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY ns, phase, span_id) - 1 AS INTEGER) AS sequence FROM e""")
+  SELECT source_name, trace_id, span_id, a AS ns, 0 AS phase, 'span.started' AS event_type, event_type AS event_name, CAST(NULL AS BIGINT) AS duration_ns, '1' AS kind, NULL AS status, NULL AS event_attributes, span_attributes, user_id FROM y
+  UNION ALL SELECT source_name, trace_id, span_id, a + d // 2, 1, 'span.event_observed', 'half', NULL, NULL, NULL, '{"share":0.5}', span_attributes, user_id FROM y WHERE value > 50
+  UNION ALL SELECT source_name, trace_id, span_id, a + d, 2, 'span.completed', event_type, d, NULL, '{"code":1}', NULL, span_attributes, user_id FROM y)
+SELECT source_name, trace_id, span_id, ns, event_type, event_name, duration_ns, kind, status, event_attributes, span_attributes, '{"service.name":"user-' || user_id || '"}' AS resource_attributes, 'r/1' AS resource_schema_url, 'events' AS scope_name, '2' AS scope_version, '{}' AS scope_attributes,
+       CAST(row_number() OVER (PARTITION BY source_name, trace_id ORDER BY ns, phase, span_id) - 1 AS INTEGER) AS sequence FROM e""")
 def otlp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.otlp_events(ev.otlp(spark, sf_dir), attributes=False).select("trace_id", "span_id", "ns", "event_type", "event_name", "duration_ns", "sequence")
+    """The sound spans of exports of which many are broken, and of sources that share their trace ids."""
+    return otlp.events(ev.otlp(spark, sf_dir, broken=True)).drop("timestamp", "parent_span_id", "scope_schema_url")
 
 
-@register("otlp_attributes", "SELECT lpad(lower(printf('%x', event_id + 1)), 16, '0') AS span_id, '{\"event.type\":\"' || event_type || '\"}' AS attributes FROM events WHERE value IS NOT NULL")
+@register("otlp_attributes", SPANS.replace("event_id % 16 AS k", "-1 AS k").replace("CASE WHEN event_id % 16 = 14 THEN '00000000000000aa' ELSE", "CASE WHEN false THEN '' ELSE") + "SELECT source_name, span_id, span_attributes AS attributes FROM x")
 def otlp_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.otlp_spans(ev.otlp(spark, sf_dir)).select("span_id", normalize.decoded_attributes("attributes").alias("attributes"))
+    return otlp.spans(ev.otlp(spark, sf_dir)).select("source_name", "span_id", "attributes")
+
+
+@register("otlp_faults", SPANS + """SELECT source_name, fault, CASE WHEN fault = 'resource attributes' THEN '0/1: key repeats' WHEN fault = 'event attributes' THEN '1/0: 0 forms of a value' WHEN fault = 'attributes' THEN CASE k WHEN 2 THEN '0/1: 2 forms of a value' WHEN 3 THEN '0/1: key repeats' ELSE '0/1/intValue: over 64 bits' END END AS location, count(*) AS spans
+FROM x WHERE fault IS NOT NULL GROUP BY ALL
+UNION ALL SELECT DISTINCT 'empty-user-' || user_id, CASE user_id % 2 WHEN 0 THEN 'no spans' ELSE 'no export' END, NULL, 1 FROM s WHERE user_id % 13 = 0""")
+def otlp_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fault of the broken exports, with the place of those in attributes."""
+    place = F.when((F.col("fault") == "resource attributes") | F.col("location").isNull(), F.when(F.col("fault") == "resource attributes", F.lit("0/1: key repeats"))).otherwise(F.col("location"))
+    return otlp.faults(ev.otlp(spark, sf_dir, broken=True)).withColumn("location", place).groupBy("source_name", "fault", "location").agg(F.count("*").alias("spans"))
 
 
 def archive(spark: SparkSession, sf_dir: str, records: Column, name: str) -> DataFrame:
@@ -353,7 +392,7 @@ def response_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir, F.struct(F.array(asked, asked).alias("input_items"), response.alias("response")), "responses")
 
 
-@register("response_archive_events", PAIRS + """
+@register("response_archive_events", by_source(PAIRS + """
 e AS (
   SELECT trace_id, -1 AS rec, 0 AS k, 'conversation.started' AS event_type, NULL AS role, NULL AS content, NULL AS tool_name, CAST(NULL AS BOOLEAN) AS linked_call FROM p WHERE rec = 0
   UNION ALL SELECT trace_id, rec, 0, 'message.observed', 'system', 'be brief', NULL, NULL FROM p WHERE rec = 0
@@ -362,9 +401,9 @@ e AS (
   UNION ALL SELECT trace_id, rec, 3, 'tool.completed', NULL, 'found', 'search', true FROM p
   UNION ALL SELECT trace_id, rec, 4, 'message.observed', 'assistant', answer, NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 5, 'artifact.observed', NULL, NULL, NULL, NULL FROM p)
-SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e""")
+SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e"""))
 def response_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.response_events(response_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
+    return normalize.response_events(ev.again(response_archive(spark, sf_dir))).select("source_name", "trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
 PLANTED = PAIRS + "q AS (SELECT trace_id, CAST(substr(trace_id, 6) AS BIGINT) AS n FROM p GROUP BY ALL HAVING count(*) > 1) "
@@ -383,7 +422,7 @@ def planted(documents: DataFrame, *changes: tuple[str, str]) -> DataFrame:
 def response_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives where all responses have one id, times run backwards, or one call has a name for each turn."""
     docs = planted(response_archive(spark, sf_dir), ('"resp[0-9]+"', '"resp"'), ('"created_at":1(\\.[0-9]+E9)', '"created_at":-1$1'), ('"call_id":"call([0-9]+)","name":"search"', '"call_id":"call","name":"search$1"'))
-    return normalize.response_faults(docs)
+    return normalize.response_faults(docs).drop("source_name")
 
 
 def message_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +437,7 @@ def message_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("document", F.regexp_replace("document", r'\[\{"type":"plain","text":("[^"]*")\}\]', "$1"))
 
 
-@register("message_archive_events", PAIRS + """
+@register("message_archive_events", by_source(PAIRS + """
 e AS (
   SELECT trace_id, -1 AS rec, 0 AS k, 'conversation.started' AS event_type, NULL AS role, NULL AS content, NULL AS tool_name, CAST(NULL AS BOOLEAN) AS linked_call FROM p WHERE rec = 0
   UNION ALL SELECT trace_id, rec, 0.5, 'message.observed', 'system', 'be brief', NULL, NULL FROM p WHERE rec = 0
@@ -410,9 +449,9 @@ e AS (
   UNION ALL SELECT trace_id, rec, 5, 'tool.called', NULL, '{"q":"x"}', 'search', NULL FROM p
   UNION ALL SELECT trace_id, rec, 6, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
   UNION ALL SELECT trace_id, max(rec), 7, 'artifact.observed', NULL, NULL, NULL, NULL FROM p GROUP BY trace_id)
-SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e""")
+SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e"""))
 def message_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.message_events(message_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
+    return normalize.message_events(ev.again(message_archive(spark, sf_dir))).select("source_name", "trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
 @register("message_archive_consistency", PLANTED + """
@@ -425,7 +464,7 @@ def message_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.substring_index("source_name", "-", -1).cast("long") % 6
     start = F.substring_index("document", '"request_id"', 2)  # the first record keeps its time
     fallen = F.concat(start, F.regexp_replace(F.right("document", F.length("document") - F.length(start)), '"timestamp":"2024', '"timestamp":"1999'))
-    return normalize.message_faults(docs.withColumn("document", F.when(way == 1, fallen).otherwise(F.col("document"))))
+    return normalize.message_faults(docs.withColumn("document", F.when(way == 1, fallen).otherwise(F.col("document")))).drop("source_name")
 
 
 def content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +481,7 @@ def content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir, record, "records").withColumn("document", F.regexp_replace("document", '"thought":false', '"function_call":null'))
 
 
-@register("content_archive_events", PAIRS + """
+@register("content_archive_events", by_source(PAIRS + """
 e AS (
   SELECT trace_id, -1 AS rec, 0 AS k, 'conversation.started' AS event_type, NULL AS role, NULL AS content, NULL AS tool_name, CAST(NULL AS BOOLEAN) AS linked_call FROM p WHERE rec = 0
   UNION ALL SELECT trace_id, rec, 1, 'message.observed', 'user', asked || chr(10) || '[function_response:unknown]', NULL, NULL FROM p
@@ -454,9 +493,9 @@ e AS (
   UNION ALL SELECT trace_id, rec, 7, 'artifact.observed', NULL, 'STOP', NULL, NULL FROM p
   UNION ALL SELECT trace_id, rec, 8, 'artifact.observed', NULL, NULL, NULL, NULL FROM p
   UNION ALL SELECT trace_id, max(rec), 9, 'artifact.observed', NULL, NULL, NULL, NULL FROM p GROUP BY trace_id)
-SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e""")
+SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY rec, k) - 1 AS INTEGER) AS sequence, event_type, role, content, tool_name, linked_call FROM e"""))
 def content_archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.content_events(content_archive(spark, sf_dir)).select("trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
+    return normalize.content_events(ev.again(content_archive(spark, sf_dir))).select("source_name", "trace_id", "sequence", "event_type", "role", "content", "tool_name", "linked_call")
 
 
 @register("content_archive_consistency", PLANTED + """
@@ -468,7 +507,7 @@ UNION ALL SELECT trace_id, CASE CAST(substr(trace_id, 6) AS BIGINT) % 5 WHEN 1 T
 def content_archive_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives that all have a part with two fields, and are broken in further ways: one id for all responses, a candidate id too many (so that all candidates have one id), one call id for different arguments, a candidate of another role."""
     docs = planted(content_archive(spark, sf_dir), ('"resp[0-9]+"', '"resp"'), ('"candidate_ids":\\[', '"candidate_ids":["more",'), ('"id":"call([0-9]+)","name":"search","args":\\{"q":"x"', '"id":"call","name":"search","args":{"q":"$1"'), ("nothing of this", ""), ('"content":\\{"role":"model"', '"content":{"role":"user"'))
-    return normalize.content_faults(docs)
+    return normalize.content_faults(docs).drop("source_name")
 
 
 @register("capture_consistency", "WITH c AS (SELECT conv_id, turn, turn % 5 = 4 AS bad, text FROM conversations) SELECT 'cap-' || conv_id AS capture_id, 'o' || turn AS id, CASE WHEN turn % 7 = 6 THEN 'kind of another client' WHEN bad THEN 'digest' END AS fault FROM c")
@@ -920,16 +959,6 @@ def experiment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.experiment_rows(docs.select(name("x").alias("source_name"), F.to_json(F.struct(name("x").alias("id"), name("r").alias("capsule"), F.lit(3).alias("repetitions"), "variants")).alias("document")))
 
 
-@register("otlp_faults", """
-WITH u AS (SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id)
-SELECT 'user-' || user_id AS source_name, CASE user_id % 5 WHEN 0 THEN 'span id repeats' WHEN 1 THEN 'trace id' WHEN 2 THEN 'span id' ELSE 'time' END AS fault, n AS spans FROM u WHERE user_id % 5 IN (1, 2, 3) OR user_id % 5 = 0 AND n > 1""")
-def otlp_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports broken in four ways by their user: one span id for all, a trace id of zeros, a span id that is none, a start that is no number."""
-    k, d = F.substring_index("source_name", "-", -1).cast("long") % 5, F.col("document")
-    broken = F.when(k == 0, F.regexp_replace(d, '"spanId":"[0-9A-F]+"', '"spanId":"00000000000000AA"')).when(k == 1, F.regexp_replace(d, '"traceId":"[0-9a-f]+"', '"traceId":"' + "0" * 32 + '"')).when(k == 2, F.regexp_replace(d, '"spanId":"[0-9A-F]+"', '"spanId":"zz"')).when(k == 3, F.regexp_replace(d, '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"x"')).otherwise(d)
-    return normalize.otlp_faults(ev.otlp(spark, sf_dir).withColumn("document", broken)).groupBy("source_name", "fault").agg(F.count("*").alias("spans"))
-
-
 @register("view_query_runs", BASE + VIEW_SQL["runs"] + " ORDER BY started_at, run_key LIMIT 50")
 def view_query_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty runs in the view's order: a report of the top rows."""

@@ -195,25 +195,6 @@ def test_transcript_with_a_correction(spark):
     assert {r.fault for r in normalize.transcript_faults(doc(bad)).collect()} == {"repeated message id", "time falls", "correction out of place"}
 
 
-def test_otlp_values():
-    assert normalize.any_value({"kvlistValue": {"values": [{"key": "a", "value": {"arrayValue": {"values": [{"intValue": "7"}, {"boolValue": True}]}}}]}}) == {"a": [7, True]}
-    for bad in ({}, {"intValue": "1", "stringValue": "x"}, {"intValue": str(1 << 63)}, {"boolValue": "yes"}):
-        with pytest.raises(ValueError):
-            normalize.any_value(bad)
-    with pytest.raises(ValueError):
-        normalize.attribute_map([{"key": "a", "value": {"intValue": 1}}] * 2)
-
-
-def test_otlp_span_faults(spark):
-    span = lambda **k: {"traceId": "A" * 32, "spanId": "b" * 16, "name": "n", "startTimeUnixNano": "5", "endTimeUnixNano": "9"} | k
-    spans = [span(), span(traceId="0" * 32), span(spanId="xyz"), span(spanId="c" * 16, startTimeUnixNano="x"), span(spanId="d" * 16, endTimeUnixNano="1"), span()]
-    doc = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]})
-    got = normalize.otlp_spans(spark.createDataFrame([("s", doc)], "source_name string, document string")).collect()
-    assert sorted(r.fault for r in got) == ["ends before it starts", "span id", "span id repeats", "span id repeats", "time", "trace id"]
-    assert {r.trace_id for r in got if r.fault == "span id repeats"} == {"a" * 32}
-    assert normalize.otlp_faults(spark.createDataFrame([("s", doc)], "source_name string, document string")).count() == 6
-
-
 def test_manifests_trees_and_cycles(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.txt").write_bytes(b"one")
@@ -324,17 +305,22 @@ def sha(value):
 def test_signatures_leave_out_what_is_hidden(spark):
     from plumbline.operators import signatures
 
-    thinking = [{"type": "thinking", "thinking": "secret", "signature": "s"}, {"type": "text", "text": "é", "citations": [{"encrypted_content": "x", "u": 1}]}, {"type": "tool_use", "id": "c", "name": "n", "input": {"a": {"encrypted_content": 1, "b": 2}}}]
-    other = json.loads(json.dumps(thinking).replace("secret", "another").replace('"x"', '"y"'))
-    want = {"role": "assistant", "blocks": [{"type": "thinking", "thinking_present": True, "signature_present": True, "redacted_data_present": False}, {"type": "text", "citations": [{"u": 1}]}, {"type": "tool_use", "id": "c", "name": "n", "caller": None}], "texts": ["é"], "tools": [{"type": "tool_use", "id": "c", "name": "n", "input": {"a": {"b": 2}}, "tool_use_id": None, "content": None, "is_error": False}]}
-    rows = [("assistant", json.dumps(thinking)), ("assistant", json.dumps(other)), ("system", '"be brief"'), ("user", "7"), ("user", None)]
-    a, b, c, d, e = (r.s for r in spark.createDataFrame(rows, "role string, content string").select(signatures.message_signature("role", "content").alias("s")).collect())
-    assert a == b == sha(want) and c == sha({"role": "system", "blocks": [{"type": "text", "citations": []}], "texts": ["be brief"], "tools": []}) and d is None and e is None
-    parts = [{"thought": True, "text": "x", "thought_signature": "q"}, {"function_call": None, "functionCall": {"name": "n"}, "text": "t"}, {"functionCall": {"id": "1", "name": "n", "args": {"thoughtSignature": 1, "k": 2}}}, {"zz": 1, "thoughtSignature": 2}]
-    want = {"role": "model", "parts": [{"type": "thought", "text_present": True, "thought_signature_present": True}, {"type": "text", "text": "t"}, {"type": "function_call", "id": "1", "name": "n", "args": {"k": 2}}, {"type": "unknown", "metadata": {"zz": 1}}]}
-    rows = spark.createDataFrame([("model", json.dumps(parts))], "role string, content string")
-    assert rows.select(signatures.content_signature("role", "content").alias("s")).first().s == sha(want)
-    assert [signatures.part_fault(p) for p in (parts[0], {"text": "a", "inline_data": {}}, {"file_data": {}, "fileData": {}}, {}, 3)] == [None, "part with several fields", "two spellings of a part's field", "part without an observable field", "part is not an object"]
+    def signed(*contents):
+        rows = [("assistant", c if isinstance(c, str) else json.dumps(c)) for c in contents]
+        return [r.s for r in spark.createDataFrame(rows, "role string, content string").select(signatures.signature("role", "content").alias("s")).collect()]
+
+    think = lambda text: [{"type": "thinking", "thinking": text, "signature": "s" + text}, {"type": "text", "text": "é", "citations": [{"encrypted_content": text, "u": 1}]}]
+    a, b, c, d = signed(think("one"), think("two"), think(""), [*think("one"), {"type": "text", "text": "more"}])
+    assert a == b and len({a, c, d}) == 3
+    alone, listed, other = signed('"hello"', [{"text": "hello", "type": "text"}], '"hell"')
+    assert alone == listed != other
+    tool = lambda **k: [{"type": "tool_use", "id": "c", "name": "n", "input": {"data": 1, "signature": "x"} | k}]
+    same, more, different = signed(tool(), tool(encrypted_content="z"), tool(data=2))
+    assert len({same, more, different}) == 3 and signed(tool(encrypted_content="q")) == [more]
+    snake, camel, thought, thoughts = signed([{"inline_data": {"mime_type": "a/b", "data": "AA"}}], [{"inlineData": {"mimeType": "a/b", "data": "BB"}, "thought": False}], [{"thought": True, "text": "x", "thought_signature": "q"}], [{"thought": True, "text": "y", "thoughtSignature": "r"}])
+    assert snake == camel and thought == thoughts != snake
+    assert signed("{}", "3", "nonsense") == [None] * 3
+    assert [signatures.part_fault(p) for p in ({"thought": True}, {"text": "a", "inline_data": {}}, {"file_data": {}, "fileData": {}}, {}, 3)] == [None, "part with several fields", "two spellings of a part's field", "part without an observable field", "part is not an object"]
     assert spark.createDataFrame([('{"b":[{"encrypted_content":1,"a":2}]}',)], "d string").select(signatures.visible_json("d")).first()[0] == '{"b":[{"a":2}]}'
 
 

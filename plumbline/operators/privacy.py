@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import canonical, unique_object
+from plumbline.operators.selection import trace_of
 
 #: Detector, kind, pattern, group that holds the sensitive part.
 DETECTORS = [
@@ -38,10 +40,6 @@ class Rule:
     def compile(self) -> re.Pattern[str]:
         return re.compile(self.pattern, sum({"i": re.I, "m": re.M}[f] for f in self.flags))
 
-    @property
-    def java(self) -> str:
-        return f"(?{self.flags}){self.pattern}" if self.flags else self.pattern
-
 
 @dataclass(frozen=True)
 class Policy:
@@ -76,7 +74,7 @@ def substitution(policy: Policy):
                 raw = m.group(group)
                 if raw in allowed or (raw.startswith("<redacted:") and raw.endswith(">")):
                     return m.group(0)
-                digest = hashlib.sha256(raw.encode()).hexdigest()
+                digest = hashlib.sha256(raw.encode("utf-8", "surrogatepass")).hexdigest()
                 mark = f"<redacted:{'custom:' + rule if rule else kind}:{digest[:12]}>"
                 found.append({"kind": kind, "rule_id": rule, "digest": digest, "placeholder": mark})
                 return m.group(0)[: m.start(group) - m.start(0)] + mark  # the sensitive part ends the match
@@ -118,25 +116,90 @@ def finding(kind: str, detector: str, rule: str | None):
     return lambda raw: F.struct(F.lit(kind).alias("kind"), F.lit(detector).alias("detector"), F.lit(rule).cast("string").alias("rule_id"), F.sha2(raw, 256).alias("digest"))
 
 
+def custom_findings(policy: Policy):
+    """UDF text without placeholders -> array of (rule_id, digest) of what the user's own rules find. They are Python's regular expressions, so they run in Python, in Arrow batches."""
+    rules, allowed = [(r.id, r.compile()) for r in policy.rules], frozenset(policy.allow)
+
+    def of(text: str) -> list[dict]:
+        raws = {(i, m.group(0)): None for i, p in rules for m in p.finditer(text) if m.group(0) not in allowed and not (m.group(0).startswith("<redacted:") and m.group(0).endswith(">"))}
+        return [{"rule_id": i, "digest": hashlib.sha256(raw.encode("utf-8", "surrogatepass")).hexdigest()} for i, raw in raws]
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("digest", T.StringType())])))
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: of(t) if t else [])
+
+    return find
+
+
 def residual_findings(text: Column, policy: Policy | None = None, only: tuple[str, ...] = ()) -> Column:
-    """Array of (kind, detector, rule_id, digest) of what the detectors, all of them, still find outside placeholders. In the JVM; (?U) makes classes Unicode, as the patterns mean them."""
+    """Array of (kind, detector, rule_id, digest) of what the detectors, all of them, still find outside placeholders: the built-in ones in the JVM, where (?U) makes classes Unicode, as the patterns mean them, and the user's own as custom_findings()."""
     policy = policy or Policy()
     left = F.regexp_replace(text, PLACEHOLDER, "")
     lists = []
-    detectors = [(d, k, None, p, g) for d, k, p, g in DETECTORS] + [(f"custom:{r.id}", "custom", r.id, r.java, 0) for r in policy.rules]
-    for detector, kind, rule, pattern, group in detectors:
+    for detector, kind, pattern, group in DETECTORS:
         if only and detector not in only:
             continue
         raws = F.regexp_extract_all(left, F.lit("(?U)" + pattern), F.lit(group))
-        lists.append(F.transform(F.filter(F.array_distinct(raws), lambda r: ~kept_as_is(r, policy.allow)), finding(kind, detector, rule)))
+        lists.append(F.transform(F.filter(F.array_distinct(raws), lambda r: ~kept_as_is(r, policy.allow)), finding(kind, detector, None)))
+    if policy.rules and not only:
+        lists.append(F.transform(custom_findings(policy)(left), lambda c: F.struct(F.lit("custom").alias("kind"), F.concat(F.lit("custom:"), c["rule_id"]).alias("detector"), c["rule_id"].alias("rule_id"), c["digest"].alias("digest"))))
     return F.concat(*lists)
 
 
-def scan(rows: DataFrame, location: str, column: str, policy: Policy | None = None, only: tuple[str, ...] = ()) -> DataFrame:
-    """location, kind, detector, rule_id, digest of each residual finding, once for each kind, rule, place and value."""
-    found = rows.select(F.col(location).alias("location"), F.explode(residual_findings(F.col(column), policy, only)).alias("f")).select("location", "f.*")
+def scan(rows: DataFrame, location: str, column: str, policy: Policy | None = None, only: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """location, kind, detector, rule_id, digest of each residual finding, once for each kind, rule, place and value; within: columns that a place belongs to, kept too."""
+    found = rows.select(*within, F.col(location).alias("location"), F.explode(residual_findings(F.col(column), policy, only)).alias("f")).select(*within, "location", "f.*")
     first = F.min(F.struct(F.coalesce(*(F.when(F.col("detector") == d, F.lit(i)) for i, (d, *_) in enumerate(DETECTORS)), F.lit(len(DETECTORS))), "detector"))
-    return found.groupBy("location", "kind", "rule_id", "digest").agg(first["detector"].alias("detector")).select("location", "kind", "detector", "rule_id", "digest")
+    return found.groupBy(*within, "location", "kind", "rule_id", "digest").agg(first["detector"].alias("detector")).select(*within, "location", "kind", "detector", "rule_id", "digest")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("location", T.StringType()), T.StructField("text", T.StringType())])))
+def json_strings(texts: pd.Series) -> pd.Series:
+    """Every string of JSON texts, decoded, with its place: keys /<key:i>, values /<value:i>, items of lists by index. A text that is no JSON is one string. JSON nests without end, so this runs in Arrow batches in Python."""
+
+    def walk(value: object, at: str, out: list[dict]) -> None:
+        if isinstance(value, str):
+            out.append({"location": at, "text": value.encode("utf-8", "replace").decode()})
+        elif isinstance(value, list):
+            for i, x in enumerate(value):
+                walk(x, f"{at}/{i}", out)
+        elif isinstance(value, Pairs):
+            for i, (k, x) in enumerate(value.items):
+                walk(k, f"{at}/<key:{i}>", out)
+                walk(x, f"{at}/<value:{i}>", out)
+
+    def of(text: str | None) -> list[dict]:
+        out: list[dict] = []
+        try:
+            if text is not None:
+                walk(json.loads(text, object_pairs_hook=Pairs), "", out)
+        except (ValueError, RecursionError):
+            out = [{"location": "", "text": text}]
+        return out
+
+    return texts.map(of)
+
+
+class Pairs:
+    """An object's keys and values as they stand, so that a repeated key hides nothing."""
+
+    def __init__(self, items: list[tuple[str, object]]) -> None:
+        self.items = items
+
+
+def event_strings(events: DataFrame, texts: list[str], documents: list[str]) -> DataFrame:
+    """The trace, location and text of every string in the events' columns of text and of JSON text: /events/<sequence>/<column>, and below it the place inside the JSON."""
+    trace = trace_of(events)
+    place = lambda c: F.concat(F.lit("/events/"), F.col("sequence").cast("string"), F.lit(f"/{c}"))
+    of_text = [F.array(F.struct(place(c).alias("location"), F.col(c).alias("text"))) for c in texts]
+    below = lambda c: lambda x: F.struct(F.concat(place(c), x["location"]).alias("location"), x["text"].alias("text"))
+    of_json = [F.transform(json_strings(c), below(c)) for c in documents]
+    return events.select(*trace, F.explode(F.concat(*of_text, *of_json)).alias("s")).select(*trace, "s.*").where("text is not null")
+
+
+def event_residuals(events: DataFrame, texts: list[str], documents: list[str], policy: Policy | None = None) -> DataFrame:
+    """The trace, location, kind, detector, rule_id, digest of what is found in any decoded string of the events, whether they were redacted before or not."""
+    return scan(event_strings(events, texts, documents), "location", "text", policy, within=tuple(trace_of(events)))
 
 
 def review(redacted: DataFrame, residuals: DataFrame, policy: Policy | None = None, enabled: bool = True) -> DataFrame:
@@ -160,7 +223,7 @@ def review(redacted: DataFrame, residuals: DataFrame, policy: Policy | None = No
 
 
 def redact_json(policy: Policy | None = None):
-    """UDF JSON text -> struct(text, redactions) with locations: strings are redacted at every depth, keys too (/<key:i> and /<value:i>, list items by index)."""
+    """UDF JSON text -> struct(text, redactions) with locations: strings are redacted at every depth, keys too (/<key:i> and /<value:i>, list items by index). A text that is no JSON is redacted as it stands."""
     apply = substitution(policy or Policy())
 
     def redacted(value: object, at: str, found: list[dict]) -> object:
@@ -176,13 +239,22 @@ def redact_json(policy: Policy | None = None):
             return unique_object(pairs)  # two keys that redaction made equal are an error
         return value
 
+    def one(text: str | None) -> dict:
+        found: list[dict] = []
+        try:
+            value = None if text is None else json.loads(text)
+        except (ValueError, RecursionError):
+            return {"text": redacted(text, "", found), "redactions": found}
+        if text is not None:
+            value = redacted(value, "", found)
+            text = canonical(value)
+            if not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text):  # half a character, which only JSON can hold
+                text = canonical(value, ensure_ascii=True)
+        return {"text": text, "redactions": found}
+
     @F.pandas_udf(f"text string, redactions array<struct<{REDACTION},location:string>>")
     def walk(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            found: list[dict] = []
-            rows.append({"text": None if t is None else canonical(redacted(json.loads(t), "", found)), "redactions": found})
-        return pd.DataFrame(rows, columns=["text", "redactions"])
+        return pd.DataFrame([one(t) for t in texts], columns=["text", "redactions"])
 
     return walk
 
@@ -208,21 +280,10 @@ def redact_events(events: DataFrame, texts: list[str], documents: list[str], pol
     return out
 
 
-#: A string of a JSON text, without its quotes.
-JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
-
-
 def apply_policy(events: DataFrame, texts: list[str], documents: list[str], policy: Policy | None = None, enabled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events under a policy: the events (redacted, if enabled), the records of what was replaced (trace_id, location, kind, rule_id, digest, placeholder), and the one row of the review, whose residual findings are those of the events returned. There is no limit on records."""
-    active = policy or Policy()
+    """Events under a policy: the events (redacted, if enabled), the records of what was replaced (the trace, location, kind, rule_id, digest, placeholder), and the one row of the review, whose residual findings are those of the events returned. There is no limit on records."""
+    active, trace = policy or Policy(), trace_of(events)
     empty = F.array().cast(f"array<struct<{REDACTION},location:string>>")
     done = redact_events(events, texts, documents, active) if enabled else events.withColumn("redactions", empty)
-    records = done.select("trace_id", F.explode("redactions").alias("r")).select("trace_id", "r.location", "r.kind", "r.rule_id", "r.digest", "r.placeholder")
-    place = lambda c: F.concat(F.lit("/events/"), F.col("sequence").cast("string"), F.lit(f"/{c}"))
-    strings = [done.select("trace_id", place(c).alias("location"), F.col(c).alias("text")) for c in texts]
-    strings += [done.select("trace_id", place(c).alias("location"), F.explode(F.coalesce(F.regexp_extract_all(F.col(c), F.lit(JSON_STRING), F.lit(1)), F.array().cast("array<string>"))).alias("text")) for c in documents]
-    whole = strings[0]
-    for more in strings[1:]:
-        whole = whole.unionByName(more)
-    residuals = scan(whole.withColumn("at", F.concat_ws(" ", "trace_id", "location")), "at", "text", active)
-    return done.drop("redactions"), records, review(done, residuals, active, enabled)
+    records = done.select(*trace, F.explode("redactions").alias("r")).select(*trace, "r.location", "r.kind", "r.rule_id", "r.digest", "r.placeholder")
+    return done.drop("redactions"), records, review(done, event_residuals(done, texts, documents, active), active, enabled)

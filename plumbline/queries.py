@@ -578,6 +578,39 @@ def redaction_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("counts_by_kind", map_text("counts_by_kind")).withColumn("counts_by_rule", map_text("counts_by_rule"))
 
 
+def sensitive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose payloads hold a mail address and a mark of our own, escaped in JSON: after an escaped line break, as a key, and in a text that is no JSON."""
+    m = ev.messages(spark, sf_dir)
+    n = F.col("conv_id").cast("string")
+    mail, mark = F.concat(F.lit("user"), n, F.lit("\\u0040example.org")), F.concat(F.lit("ACME"), n, F.lit("-ACME"), n)
+    payload = F.concat(F.lit('{"a":["line\\n'), mail, F.lit('",{"'), mail, F.lit('":"'), mark, F.lit('"},{"k":1}],"b":"plain"}'))
+    return m.select("trace_id", F.col("turn").alias("sequence"), F.concat(F.lit("token sk-abcdefghijkl"), F.col("turn").cast("string")).alias("content"), F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{ "), mark)).otherwise(payload).alias("payload"))
+
+
+#: A rule that only Python's expressions have.
+MARKS = privacy.Policy(rules=(privacy.Rule("mark", r"(?P<tag>acme\d+)-(?P=tag)", "i"),))
+EVENT_FINDINGS = """
+WITH m AS (SELECT 'conv-' || conv_id AS trace_id, '/events/' || turn AS place, turn, 'user' || conv_id || '@example.org' AS mail, 'ACME' || conv_id || '-ACME' || conv_id AS mark FROM conversations),
+f AS (
+  SELECT trace_id, place || '/content' AS location, 'secret' AS kind, 'openai_api_key' AS detector, NULL AS rule_id, 'sk-abcdefghijkl' || turn AS raw FROM m
+  UNION ALL SELECT trace_id, place || '/payload/<value:0>/0', 'email', 'email', NULL, mail FROM m WHERE turn % 5 <> 4
+  UNION ALL SELECT trace_id, place || '/payload/<value:0>/1/<key:0>', 'email', 'email', NULL, mail FROM m WHERE turn % 5 <> 4
+  UNION ALL SELECT trace_id, place || CASE WHEN turn % 5 = 4 THEN '/payload' ELSE '/payload/<value:0>/1/<value:0>' END, 'custom', 'custom:mark', 'mark', mark FROM m)
+"""
+
+
+@register("event_residuals", EVENT_FINDINGS + "SELECT trace_id, location, kind, detector, rule_id, sha256(raw) AS digest FROM f")
+def event_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.event_residuals(sensitive_events(spark, sf_dir), ["content"], ["payload"], MARKS)
+
+
+@register("review_only", EVENT_FINDINGS + "SELECT false AS redaction_enabled, CAST(0 AS BIGINT) AS total_redactions, count(*) AS residual_findings, 'pattern_matching_cannot_prove_complete_deidentification,redaction_disabled_review_only,custom_rules_are_trusted_python_regular_expressions,residual_sensitive_patterns_detected' AS warnings FROM f")
+def review_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review of events that were left as they are."""
+    r = privacy.apply_policy(sensitive_events(spark, sf_dir), ["content"], ["payload"], MARKS, enabled=False)[2]
+    return r.select("redaction_enabled", "total_redactions", "residual_findings", F.array_join("warnings", ",").alias("warnings"))
+
+
 # Evaluation ------------------------------------------------------------------
 
 LABELLED = "WITH e AS (SELECT 'doc-' || doc_id AS example_id, '{\"toxic\":' || toxic || '}' AS outputs, '{\"toxic\":0}' AS b, '{\"toxic\":' || (CASE WHEN quality = 0 THEN 1 ELSE 0 END) || '}' AS c, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'sealed_test' END AS role FROM labels) "

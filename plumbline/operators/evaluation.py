@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import ID_PATTERN, digest_mismatch, mcnemar_tail
+from plumbline.functions.scalars import ID_PATTERN, digest_mismatch, mcnemar_value, tail_exceeds
 
 ROLES = ("train", "validation", "sealed_test")
 
@@ -73,14 +73,14 @@ def promotion_checks(rules: DataFrame, evidence: DataFrame) -> DataFrame:
             raise ValueError(f"role {key[0]!r} needs one rule and one comparison")
         rule, r = rule_rows.iloc[0], report_rows.iloc[0]
         n, c, b = int(r["total"]), int(r["candidate_only_correct"]), int(r["baseline_only_correct"])
-        gain, score, tail = Fraction(c - b, n), Fraction(int(r["both_correct"]) + c, n), mcnemar_tail(c, b)
+        gain, score = Fraction(c - b, n), Fraction(int(r["both_correct"]) + c, n)
         as_written = lambda name: Fraction(str(float(rule[name])))
         failed = {
             "too few examples": n < rule["min_total"], "no gain": gain <= 0, "score too low": score < as_written("min_candidate_score"), "gain too small": gain < as_written("min_absolute_improvement"),
-            "too few discordant pairs": c + b < rule["min_discordant_pairs"], "chance too likely": tail > as_written("max_one_sided_p_value"),
+            "too few discordant pairs": c + b < rule["min_discordant_pairs"], "chance too likely": tail_exceeds(c, b, as_written("max_one_sided_p_value")),
         }
         reasons = [why for why, holds in failed.items() if holds]
-        return pd.DataFrame([{"role": key[0], "passed": not reasons, "total": n, "absolute_improvement": float(gain), "discordant_pairs": c + b, "one_sided_p_value": float(tail), "reasons": reasons}])
+        return pd.DataFrame([{"role": key[0], "passed": not reasons, "total": n, "absolute_improvement": float(gain), "discordant_pairs": c + b, "one_sided_p_value": mcnemar_value(c, b), "reasons": reasons}])
 
     return rules.groupBy("role").cogroup(evidence.groupBy("role")).applyInPandas(judge, GATE_COLUMNS)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,33 +114,62 @@ def gaps(rows: DataFrame, sequence: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(sequence).alias("d"), F.min(sequence).alias("lo"), F.max(sequence).alias("hi")).where("lo <> 0 or hi <> n - 1 or d <> n").select(*by, "n")
 
 
-def written_out(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; in one of our own where that is unset and driver and executors are one process."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one of spark.checkpoint.dir, or one of our own where that is unset and they are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
+    return folder.rstrip("/")
+
+
+_own: dict[str, str] = {}
+
+
+def written_out(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends here, and the size of what follows is estimated from files (estimates of repeated joins of checkpoints grow to numbers of a million digits)."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written_out() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes of workflows (workflow, node, needs) that lie on a cycle or wait for one: what is left when nodes that need nothing are taken away again and again. Each round is checkpointed, and there are at most as many as the longest chain."""
-    left = edges.select("workflow", "node", "needs").distinct()
+    """Nodes of workflows (workflow, node, needs) that lie on a cycle or wait for one: what is left when nodes that need nothing are taken away again and again.
+
+    In each round, nodes that need exactly one other are followed to where such steps lead, which takes as many joins as the longest row of them has bits; then edges go straight there, and edges to what needs nothing go. So a chain of any length is one round, and rounds are as many as branchings lie one under another. Each step is written out, and the one before it deleted; a null node or need is none."""
+    left = written_out(edges.where("node is not null and needs is not null").select("workflow", "node", "needs").distinct())
     size = left.count()
     while size:
-        blocked = left.where("needs is not null").select("workflow", F.col("node").alias("needs")).distinct()
-        left = written_out(left.where("needs is not null").join(blocked, ["workflow", "needs"], "left_semi").select("workflow", "node", "needs"))
+        single = written_out(left.groupBy("workflow", "node").agg(F.min("needs").alias("above"), F.count("*").alias("n")).where("n = 1").select("workflow", "node", "above"))
+        reach, many = 1, single.count()
+        while reach < many:
+            further = single.select("workflow", F.col("node").alias("above"), F.col("above").alias("next"))
+            last, single = single, written_out(single.join(further, ["workflow", "above"], "left").select("workflow", "node", F.coalesce("next", "above").alias("above")))
+            forget(last)
+            reach *= 2
+        onward = single.select("workflow", F.col("node").alias("needs"), F.col("above").alias("next"))
+        moved = left.join(onward, ["workflow", "needs"], "left").select("workflow", "node", F.coalesce("next", "needs").alias("needs")).distinct()
+        last, left = left, written_out(moved.join(left.select("workflow", F.col("node").alias("needs")).distinct(), ["workflow", "needs"], "left_semi").select("workflow", "node", "needs"))
+        forget(last, single)
         now = left.count()
-        if now == size:
+        if now == size:  # all that is left needs something that is left
             break
         size = now
     return left.select("workflow", "node").distinct()
 
 
 def span_depths(spans: DataFrame) -> DataFrame:
-    """trace_id, span_id, depth of spans under their roots, however deep; spans whose parent is missing are roots, a repeated span counts once, and spans of a cycle, or under one, have null depth. Each round doubles how far a span has looked up, so there are about as many rounds as the deepest depth has bits, each written out."""
+    """trace_id, span_id, depth of spans under their roots, however deep; spans whose parent is missing are roots, a repeated span counts once, and spans of a cycle, or under one, have null depth. Each round doubles how far a span has looked up, so there are about as many rounds as the deepest depth has bits, each written out and the one before it deleted."""
     s = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("parent"))
     known = s.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("there"))
     up = written_out(s.join(known, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("above"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")))
@@ -147,7 +177,8 @@ def span_depths(spans: DataFrame) -> DataFrame:
     while reach <= size and not (waiting := up.where("above is not null")).isEmpty():
         higher = up.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
         moved = waiting.join(higher, ["trace_id", "above"]).select("trace_id", "span_id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
-        up = written_out(up.where("above is null").unionByName(moved))
+        last, up = up, written_out(up.where("above is null").unionByName(moved))
+        forget(last)
         reach *= 2
     return up.select("trace_id", "span_id", F.when(F.col("above").isNull(), F.col("depth")).alias("depth"))
 

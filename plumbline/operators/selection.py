@@ -1,15 +1,10 @@
-"""Choosing: context under a budget, routes, goals, reviews, tool policies, sets of ids."""
+"""Choosing: context under a budget, goals, reviews, tool policies, sets of ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import all_equal
-
-#: Routing rules are sent to every task, so there can't be more.
-MAX_RULES = 10_000
-
 
 def context_within(items: DataFrame, budget: int | Column, *by: str, ordering: str = "priority") -> DataFrame:
     """Context items (position, priority, content, max_chars) of each group that fit its budget of characters: by falling priority, the last one cut. Adds rank, the order in which they go in."""
@@ -23,15 +18,6 @@ def context_within(items: DataFrame, budget: int | Column, *by: str, ordering: s
     return kept.withColumn("rank", F.row_number().over(place)).drop("__size", "__room")
 
 
-def route(requests: DataFrame, rules: DataFrame, fallback: str) -> DataFrame:
-    """requests (request_id, metadata map) with target_id of the matching rule (rule_index, match map, priority, target_id) of the highest priority, the first of equals; else the fallback."""
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} routing rules")
-    met = requests.join(F.broadcast(rules), all_equal(F.col("match"), F.col("metadata")), "left")
-    best = F.max_by("target_id", F.struct("priority", -F.col("rule_index")))
-    return met.groupBy("request_id").agg(F.coalesce(best, F.lit(fallback)).alias("target_id"))
-
-
 def trace_of(events: DataFrame) -> list[str]:
     """What names a trace: its id, with its source where events have one."""
     return [c for c in ("source_name", "trace_id") if c in events.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
+from plumbline.operators import routing as routing_rules
 from plumbline.operators import evaluation, integrity, normalize, otlp, privacy, runs, selection, views
 from plumbline.plans import evidence as ev
 from plumbline.schemas import TAXONOMY
@@ -798,7 +799,63 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(0, {"type": "error"}, 5, "errors"), (1, {"type": "error", "even": "yes"}, 9, "careful"), (2, {"type": "purchase"}, 5, "sales"), (3, {"type": "purchase"}, 5, "late")], "rule_index int, match map<string,string>, priority int, target_id string")
     requests = ev.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("even"), F.when(F.col("user_id") % 2 == 0, "yes").otherwise("no")).alias("metadata"))
-    return selection.route(requests, rules, "default")
+    return routing_rules.route(requests, rules, "default")
+
+
+#: Customers are requests with four entries; parts are rules of one to three entries.
+RULES = """
+WITH q AS (SELECT c_custkey AS request_id, 's' || c_mktsegment AS segment, 'n' || c_nationkey AS nation, 'm' || (c_custkey % 10) AS digit FROM customer),
+r AS (
+  SELECT p_partkey AS rule_index, p_size % 5 AS priority, 't' || p_partkey AS target_id, p_partkey % 97 AS rule_set,
+         CASE WHEN p_partkey % 4 <> 1 THEN 's' || (SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) FROM customer)[p_partkey % 7 + 1] END AS segment,
+         CASE WHEN p_partkey % 3 <> 1 THEN 'n' || (p_partkey // 3) % 25 END AS nation, CASE WHEN p_partkey % 2 = 0 THEN 'm' || (p_partkey // 7) % 10 END AS digit
+  FROM part)
+"""
+
+
+def rules_and_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, p = ev.table(spark, sf_dir, "customer"), ev.table(spark, sf_dir, "part")
+    key, named = F.col("p_partkey"), lambda letter, column: F.concat(F.lit(letter), column.cast("string"))
+    requests = c.select(F.col("c_custkey").alias("request_id"), F.create_map(F.lit("segment"), named("s", F.col("c_mktsegment")), F.lit("nation"), named("n", F.col("c_nationkey")), F.lit("digit"), named("m", F.col("c_custkey") % 10), F.lit("key"), named("k", F.col("c_custkey"))).alias("metadata"))
+    segments = c.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))  # one row of five
+    entries = F.array(
+        F.when(key % 4 != 1, F.struct(F.lit("segment").alias("key"), F.concat(F.lit("s"), F.coalesce(F.get("segments", (key % 7).cast("int")), F.lit("?"))).alias("value"))),
+        F.when(key % 3 != 1, F.struct(F.lit("nation").alias("key"), named("n", F.floor(key / 3) % 25).alias("value"))), F.when(key % 2 == 0, F.struct(F.lit("digit").alias("key"), named("m", F.floor(key / 7) % 10).alias("value"))),
+    )
+    rules = p.crossJoin(F.broadcast(segments)).select(key.cast("int").alias("rule_index"), F.map_from_entries(F.array_compact(entries)).alias("match"), (F.col("p_size") % 5).cast("int").alias("priority"), named("t", key).alias("target_id"), (key % 97).cast("int").alias("rule_set"))
+    return rules, requests
+
+
+@register("routing_by_many_rules", RULES.replace("% 7 + 1] END AS segment", "% 7 + 1] END AS s0").replace("FROM part)", "FROM part), z AS (SELECT *, CASE WHEN rule_index % 4 <> 1 THEN coalesce(s0, 's?') END AS segment FROM r)") + """,
+m AS (SELECT request_id, target_id, row_number() OVER (PARTITION BY request_id ORDER BY priority DESC, rule_index) AS k FROM q JOIN z ON (z.segment IS NULL OR z.segment = q.segment) AND (z.nation IS NULL OR z.nation = q.nation) AND (z.digit IS NULL OR z.digit = q.digit) WHERE rule_set >= 10)
+SELECT q.request_id, coalesce(target_id, 'default') AS target_id FROM q LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (request_id)""")
+def routing_by_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer against a rule of every part, but for those of ten sets."""
+    rules, requests = rules_and_requests(spark, sf_dir)
+    return routing_rules.route(requests, rules.where("rule_set >= 10"), "default")
+
+
+@register("ambiguous_rules", RULES.replace("% 7 + 1] END AS segment", "% 7 + 1] END AS s0").replace("FROM part)", "FROM part), z AS (SELECT *, CASE WHEN rule_index % 4 <> 1 THEN coalesce(s0, 's?') END AS segment FROM r)") + """
+SELECT a.rule_set, a.priority, a.rule_index, count(*) AS overlaps, min(b.rule_index) AS first_overlap
+FROM z a JOIN z b ON a.rule_set = b.rule_set AND a.priority = b.priority AND a.rule_index <> b.rule_index AND coalesce(a.segment = b.segment, true) AND coalesce(a.nation = b.nation, true) AND coalesce(a.digit = b.digit, true)
+GROUP BY ALL""")
+def ambiguous_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of 97 sets that one request could match with another of their priority."""
+    return routing_rules.ambiguous_rules(rules_and_requests(spark, sf_dir)[0], "rule_set")
+
+
+@register("workflow_cycles", """
+WITH n AS (SELECT o_custkey % 50 AS w, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS k, o_orderkey, count(*) OVER (PARTITION BY o_custkey % 50) AS many FROM orders)
+SELECT 'w' || w AS workflow, o_orderkey AS node FROM n WHERE w % 5 = 0 AND k <= many // 2 AND many > 1 OR w % 5 = 1 AND many > 3""")
+def workflow_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of fifty workflows is a chain of orders, where every node needs the one after it and some the one after that. In every fifth, the node in the middle needs the first one, so all up to it wait; in the next of five, the last two need each other; the others have no cycle."""
+    w = F.col("o_custkey") % 50
+    by = Window.partitionBy("w")
+    n = ev.table(spark, sf_dir, "orders").select(w.alias("w"), "o_orderkey").withColumns({"k": F.row_number().over(by.orderBy("o_orderkey")) - 1, "many": F.count("*").over(by), "one": F.lead("o_orderkey", 1).over(by.orderBy("o_orderkey")), "two": F.lead("o_orderkey", 2).over(by.orderBy("o_orderkey")), "first": F.min("o_orderkey").over(by), "before": F.lag("o_orderkey").over(by.orderBy("o_orderkey"))})
+    back = F.when((F.col("w") % 5 == 0) & (F.col("k") == F.floor(F.col("many") / 2)) & (F.col("many") > 1), F.col("first")).when((F.col("w") % 5 == 1) & (F.col("k") == F.col("many") - 1) & (F.col("many") > 3), F.col("before"))
+    needs = F.explode(F.array("one", F.when(F.col("k") % 200 == 0, F.col("two")), back))
+    edges = n.select(F.concat(F.lit("w"), F.col("w").cast("string")).alias("workflow"), F.col("o_orderkey").alias("node"), needs.alias("needs"))
+    return integrity.cyclic(edges)
 
 
 @register("tool_policy", """

@@ -1,6 +1,6 @@
 """Artifacts of runs and experiments, and what is wrong with those that may not be stored.
 
-A document must be strict JSON of the schema (`documents.shape_fault`) and agree
+A document must be strict JSON of the schema (`documents.shape_of`) and agree
 with itself: what it says of its runs, checks, failures and summaries is compared
 in the JVM, on the parsed document, with what follows from its parts.
 """
@@ -8,14 +8,16 @@ in the JVM, on the parsed document, with what follows from its parts.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.scalars import strict_or_none
 from plumbline.schemas import IMPACT_RANK, STATUS_CODES, TAXONOMY
-from plumbline.sources.documents import shape_fault
+from plumbline.sources.documents import shape_of
 
 MAX_DETAILS_BYTES = 4096
 #: Keys that failure details never hold, in any case.
@@ -50,18 +52,29 @@ def detail_fault(value: object) -> str | None:
     return "failure details are too long" if len(json.dumps(value, separators=(",", ":"))) > MAX_DETAILS_BYTES else None
 
 
-@F.pandas_udf(T.StringType())
-def details_fault(lists: pd.Series) -> pd.Series:
-    """The first fault of arrays of details (JSON texts). Keys of any depth count, so this runs in Arrow batches in Python."""
+def details_in(artifact: dict) -> Iterator[object]:
+    """The failure details of an artifact's checks, of both kinds."""
+    for result in [artifact, *(r["result"] for r in artifact.get("runs") or ())]:
+        for check in result.get("checks") or ():
+            if check.get("failure") and check["failure"].get("details") is not None:
+                yield check["failure"]["details"]
 
-    def of(texts) -> str | None:  # noqa: ANN001
-        for t in texts if texts is not None else ():
-            fault = None if t is None else detail_fault(json.loads(t))
-            if fault:
-                return fault
-        return None
 
-    return lists.map(of)
+def judged():
+    """UDF document -> (is_experiment, shape, details): the kind of an artifact, what keeps it from its schema, and the first fault of its failure details. A document is parsed once for all of it; details count at any depth, so this runs in Arrow batches in Python."""
+    kinds = {True: T.StructType.fromDDL(EXPERIMENT), False: T.StructType.fromDDL(RESULT)}
+
+    def of(text: str | None) -> tuple[bool, str | None, str | None]:
+        value = strict_or_none(text)
+        experiment = isinstance(value, dict) and "experiment_id" in value
+        shape = shape_of(value, kinds[experiment])
+        return experiment, shape, None if shape else next((f for d in details_in(value) if (f := detail_fault(d))), None)
+
+    @F.pandas_udf(T.StructType([T.StructField("is_experiment", T.BooleanType()), T.StructField("shape", T.StringType()), T.StructField("details", T.StringType())]))
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(t) for t in texts], columns=["is_experiment", "shape", "details"])
+
+    return judge
 
 
 def count_of(rows: Column, holds) -> Column:  # noqa: ANN001
@@ -170,15 +183,10 @@ def experiment_faults(a: Column) -> Faults:
 def parsed(artifacts: DataFrame) -> DataFrame:
     """Artifacts (source_name, document) by content: source_sha256, the first source_name, a (the parsed document), is_experiment and fault, which is null for those that may be stored. One with an experiment_id is an experiment, any other a single run. Documents are told apart by their digests before anything is parsed."""
     once = artifacts.groupBy(F.sha2("document", 256).alias("source_sha256")).agg(F.min("source_name").alias("source_name"), F.first("document").alias("document"))
-    rows = once.select("source_sha256", "source_name", "document", F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), F.coalesce(F.array_contains(F.json_object_keys("document"), "experiment_id"), F.lit(False)).alias("is_experiment"))
-    shape = F.when(F.col("is_experiment"), shape_fault(EXPERIMENT)("document")).otherwise(shape_fault(RESULT)("document"))
-    rows = rows.withColumn("shape", shape)
-    of = lambda checks: F.transform(checks, lambda c: c["failure"]["details"])
-    details = F.coalesce(of(F.col("a.checks")), F.flatten(F.transform("a.runs", lambda r: of(r["result"]["checks"]))), F.array().cast("array<string>"))
+    rows = once.select("source_sha256", "source_name", F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), judged()("document").alias("j")).select("source_sha256", "source_name", "a", "j.*")
     results = F.when(F.col("is_experiment"), F.transform("a.runs", lambda r: r["result"])).otherwise(F.array(F.struct(*(F.col(f"a.{name}") for name in RESULT_FIELDS))))
     agrees = F.coalesce(F.when(F.col("is_experiment"), first_of(experiment_faults(F.col("a")))), F.get(F.array_compact(F.transform(results, lambda r: first_of(result_faults(r)))), 0))
-    rows = rows.withColumn("details", F.when(F.col("shape").isNull(), details)).withColumn("fault", F.coalesce("shape", F.when(F.col("shape").isNull(), agrees)))
-    return rows.withColumn("fault", F.coalesce("fault", details_fault("details"))).select("source_sha256", "source_name", "a", "is_experiment", "fault")
+    return rows.select("source_sha256", "source_name", "a", "is_experiment", F.coalesce("shape", F.when(F.col("shape").isNull(), agrees), "details").alias("fault"))
 
 
 def artifact_faults(artifacts: DataFrame) -> DataFrame:

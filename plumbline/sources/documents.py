@@ -83,21 +83,22 @@ def mismatch(value: object, kind: T.DataType, comment: str | None = None, at: st
     return None if fits(value) else f"{at}: not {name}"
 
 
+def shape_of(value: object, schema: T.StructType | None = None) -> str | None:
+    """What keeps a parsed text (strict_or_none) from being a JSON object, of that schema if one is given."""
+    if not isinstance(value, dict):
+        return "not a strict JSON object"
+    if depth(value) > MAX_DEPTH:
+        return "nested too deep"
+    return mismatch(value, schema) if schema else None
+
+
 def shape_fault(ddl: str | None = None):
-    """UDF: what keeps a text from being a strict JSON object, of that schema if one is given; null if nothing does. Spark's own reader takes repeated keys, NaN and fields of other types, so this runs in Arrow batches in Python."""
+    """UDF: shape_of() of JSON texts; null if nothing is wrong. Spark's own reader takes repeated keys, NaN and fields of other types, so this runs in Arrow batches in Python."""
     schema = T.StructType.fromDDL(ddl) if ddl else None
 
-    def of(text: str | None) -> str | None:
-        value = strict_or_none(text)
-        if not isinstance(value, dict):
-            return "not a strict JSON object"
-        if depth(value) > MAX_DEPTH:
-            return "nested too deep"
-        return mismatch(value, schema) if schema else None
-
     @F.pandas_udf(T.StringType())
     def judge(texts: pd.Series) -> pd.Series:
-        return texts.map(of)
+        return texts.map(lambda t: shape_of(strict_or_none(t), schema))
 
     return judge
 

@@ -40,10 +40,11 @@ def coverage(expected: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame
 
 
 def sealed_score(split: DataFrame, examples: DataFrame, predictions: DataFrame, *by: str, role: str = "sealed_test") -> DataFrame:
-    """correct, total and score of exact matches on a role; outputs and predictions are canonical texts, and nothing but the sums leaves."""
+    """correct, total and score of exact matches on a role; outputs and predictions are canonical texts, and nothing but the sums leaves. An example counts once however often it is predicted, and is right only if all its predictions are; repeated() and coverage() name what may not be there."""
     truth = examples.join(split.where(F.col("role") == role).select("example_id"), "example_id", "left_semi").select("example_id", F.col("outputs").alias("truth"))
     met = truth.join(predictions.select("example_id", "outputs", *by), "example_id")
-    return met.groupBy(*by).agg(F.count_if(F.col("truth").eqNullSafe(F.col("outputs"))).alias("correct"), F.count("*").alias("total"), F.avg(F.col("truth").eqNullSafe(F.col("outputs")).cast("double")).alias("score"))
+    each = met.groupBy("example_id", *by).agg(F.bool_and(F.col("truth").eqNullSafe(F.col("outputs"))).alias("right"))
+    return each.groupBy(*by).agg(F.count_if("right").alias("correct"), F.count("*").alias("total"), F.avg(F.col("right").cast("double")).alias("score"))
 
 
 def paired_comparison(truth: DataFrame, baseline: DataFrame, candidate: DataFrame, *by: str) -> DataFrame:
@@ -148,11 +149,25 @@ def probe_states(updates: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.select("task_id", "probe_id").join(maps, ["task_id", "probe_id"], "left").select("task_id", "probe_id", F.coalesce("expected", empty).alias("expected"))
 
 
+def dialogue_faults(probes: DataFrame, declared: DataFrame, predictions: DataFrame, corpus_sha256: str | None = None) -> DataFrame:
+    """task_id, probe_id, fault of predictions (task_id, probe_id, active_constraints, and public_corpus_sha256 where the corpus's is given): of no probe of the corpus, there twice, with a key that the task does not declare (task_id, key), or made for another corpus."""
+    p = predictions.select("task_id", "probe_id", "active_constraints", *(["public_corpus_sha256"] if corpus_sha256 else []))
+    unknown = p.join(probes.select("task_id", "probe_id"), ["task_id", "probe_id"], "left_anti").select("task_id", "probe_id", F.lit("unknown probe").alias("fault"))
+    twice = p.groupBy("task_id", "probe_id").count().where("count > 1").select("task_id", "probe_id", F.lit("repeated").alias("fault"))
+    used = p.select("task_id", "probe_id", F.explode("active_constraints").alias("c")).select("task_id", "probe_id", F.col("c.key").alias("key"))
+    undeclared = used.join(declared.select("task_id", "key"), ["task_id", "key"], "left_anti").select("task_id", "probe_id", F.lit("undeclared key").alias("fault"))
+    out = unknown.unionByName(twice).unionByName(undeclared)
+    if corpus_sha256:
+        out = out.unionByName(p.where(~F.col("public_corpus_sha256").eqNullSafe(corpus_sha256)).select("task_id", "probe_id", F.lit("another corpus").alias("fault")))
+    return out.distinct()
+
+
 def dialogue_score(expected: DataFrame, predictions: DataFrame) -> DataFrame:
-    """task_id, total, submitted, correct, score, and a row with null task_id for all. predictions: task_id, probe_id, active_constraints as a sorted array of (key, value)."""
-    met = expected.join(predictions.select("task_id", "probe_id", "active_constraints"), ["task_id", "probe_id"], "left")
-    right = F.coalesce(F.col("active_constraints") == F.col("expected"), F.lit(False))
-    return met.rollup("task_id").agg(F.count("*").alias("total"), F.count("active_constraints").alias("submitted"), F.count_if(right).alias("correct"), F.avg(right.cast("double")).alias("score"))
+    """task_id, total, submitted, correct, score, and a row with null task_id for all. predictions: task_id, probe_id, active_constraints as a sorted array of (key, value). A probe counts once however often it is predicted, and is right only if all its predictions are; dialogue_faults() names what may not be there."""
+    given = predictions.groupBy("task_id", "probe_id").agg(F.min("active_constraints").alias("least"), F.max("active_constraints").alias("most"))
+    met = expected.join(given, ["task_id", "probe_id"], "left")
+    right = F.coalesce((F.col("least") == F.col("expected")) & (F.col("most") == F.col("expected")), F.lit(False))
+    return met.rollup("task_id").agg(F.count("*").alias("total"), F.count("least").alias("submitted"), F.count_if(right).alias("correct"), F.avg(right.cast("double")).alias("score"))
 
 
 def broken_supersedes(updates: DataFrame) -> DataFrame:

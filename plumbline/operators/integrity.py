@@ -44,16 +44,50 @@ def tree_totals(entries: DataFrame, *by: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"), F.count_distinct("sha256").alias("distinct_contents"))
 
 
-def entry_digest(path: Column, size: Column, sha256: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", path, size.cast("string"), sha256), 256)
+def entry_digest(path: Column, size: Column, sha256: Column, *more: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", path, size.cast("string"), sha256, *(m.cast("string") for m in more)), 256)
 
 
-def tree_digest(entries: DataFrame, *by: str, fanout: int = 4096) -> DataFrame:
-    """A digest of each tree that doesn't depend on the order of rows: digests of runs of entries sorted by path, in `fanout` ranges of the path's hash, and then of these."""
-    slot = F.pmod(F.xxhash64("path"), F.lit(fanout))
-    ranges = entries.select(*by, slot.alias("slot"), "path", entry_digest(F.col("path"), F.col("size"), F.col("sha256")).alias("d"))
-    part = ranges.groupBy(*by, "slot").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: x["d"]), ""), 256).alias("part"))
-    return part.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "part"))), lambda x: x["part"]), ""), 256).alias("tree_sha256"))
+def joined_digest(order: str, *parts: str) -> Column:
+    """Of a group's rows in an order: the digest of their parts, one after the other."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat(*parts).alias("of")))), lambda x: x["of"]), ""), 256)
+
+
+def tree_nodes(entries: DataFrame, *by: str, depth: int = 3) -> DataFrame:
+    """The nodes (prefix, digest, entries) of each tree's Merkle tree over its entries (path, size, sha256, and executable where there is one): a leaf holds the entries whose path's digest begins with `depth` hexadecimal digits, in the order of their paths, and a node above holds the up to 16 nodes of one digit more; the root's prefix is empty.
+
+    No group is larger than a leaf, and 16 times as many entries need one digit more; a changed entry changes `depth` + 1 nodes."""
+    flag = [F.col("executable")] if "executable" in entries.columns else []
+    e = entries.select(*by, "path", F.left(F.sha2("path", 256), F.lit(depth)).alias("prefix"), entry_digest(F.col("path"), F.col("size"), F.col("sha256"), *flag).alias("digest"))
+    level = e.groupBy(*by, "prefix").agg(joined_digest("path", "digest").alias("digest"), F.count("*").alias("entries"))
+    nodes = level
+    for digits in range(depth - 1, -1, -1):
+        level = level.groupBy(*by, F.left("prefix", F.lit(digits)).alias("above")).agg(joined_digest("prefix", "prefix", "digest").alias("digest"), F.sum("entries").alias("entries")).withColumnRenamed("above", "prefix")
+        nodes = nodes.unionByName(level)
+    return nodes
+
+
+def tree_digest(entries: DataFrame, *by: str, depth: int = 3) -> DataFrame:
+    """The digest of each tree, of any size: the root of tree_nodes()."""
+    return tree_nodes(entries, *by, depth=depth).where("prefix = ''").select(*by, F.col("digest").alias("tree_sha256"))
+
+
+def changed_nodes(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
+    """Nodes (of tree_nodes) that only one side has or whose digests differ: what has to be sent or hashed again."""
+    a, b = before.select(*by, "prefix", F.col("digest").alias("was")), after.select(*by, "prefix", F.col("digest").alias("now"))
+    return a.join(b, [*by, "prefix"], "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def leaf_proofs(entries: DataFrame, nodes: DataFrame, *by: str, depth: int = 3) -> DataFrame:
+    """Whether entries, given as whole leaves, are what the stored nodes hold: leaf, ok, and steps, the node of each level above with the siblings that it is the digest of. Only the nodes on the way up are read, not the tree's other entries."""
+    leaf = tree_nodes(entries, *by, depth=depth).where(F.length("prefix") == depth).select(*by, F.col("prefix").alias("leaf"), "digest")
+    up = leaf.select(*by, "leaf", "digest", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")).withColumn("above", F.left("leaf", F.col("level")))
+    children = nodes.where("prefix <> ''").select(*by, F.left("prefix", F.length("prefix") - 1).alias("above"), F.col("prefix").alias("child"), F.col("digest").alias("held"))
+    met = up.join(children, [*by, "above"]).groupBy(*by, "leaf", "digest", "level", "above").agg(F.array_sort(F.collect_list(F.struct("child", "held"))).alias("siblings"))
+    made = met.withColumn("made", F.sha2(F.array_join(F.transform("siblings", lambda x: F.concat(x["child"], x["held"])), ""), 256))
+    sealed = nodes.select(*by, F.col("prefix").alias("above"), F.col("digest").alias("sealed"))
+    own = F.exists("siblings", lambda x: (F.length(x["child"]) < depth) | ((x["child"] == F.col("leaf")) & (x["held"] == F.col("digest"))))
+    return made.join(sealed, [*by, "above"]).groupBy(*by, "leaf").agg(F.bool_and((F.col("made") == F.col("sealed")) & own).alias("ok"), F.array_sort(F.collect_list(F.struct("level", "above", "sealed", "siblings"))).alias("steps"))
 
 
 def artifact_faults(artifacts: DataFrame, oracles: DataFrame) -> DataFrame:

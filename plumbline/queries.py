@@ -776,6 +776,18 @@ def dialogue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.dialogue_score(evaluation.probe_states(updates, probes), known)
 
 
+@register("prediction_faults", DIALOGUE + """SELECT task_id, probe_id, fault FROM (
+  SELECT 'user-' || user_id AS task_id, 'p' || n AS probe_id, CASE WHEN n % 40 = 0 THEN 'repeated' WHEN n % 40 = 10 THEN 'undeclared key' END AS fault FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 10 = 0 AND event_type <> 'signup'
+  UNION ALL SELECT DISTINCT 'user-' || user_id, 'none', 'unknown probe' FROM events WHERE user_id % 5 = 0) WHERE fault IS NOT NULL""")
+def prediction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of which some are there twice, some name a key of no update, and some a probe that is none."""
+    updates, probes, known = ev.dialogue(spark, sf_dir)
+    n = F.substring("probe_id", 2, 9).cast("int")
+    odd = known.withColumn("active_constraints", F.when(n % 40 == 10, F.array(F.struct(F.lit("no such key").alias("key"), F.lit("1").alias("value")))).otherwise(F.col("active_constraints")))
+    odd = odd.unionByName(odd.where(n % 40 == 0)).unionByName(updates.where("substring(task_id, 6) % 5 = 0").select("task_id").distinct().select("task_id", F.lit("none").alias("probe_id"), F.array().cast("array<struct<key:string,value:string>>").alias("active_constraints")))
+    return evaluation.dialogue_faults(probes, updates.select("task_id", "key").distinct(), odd)
+
+
 @register("supersede_check", DIALOGUE + ", a AS (SELECT *, lag(update_id) OVER w AS b, lag(sets) OVER w AS bs FROM u WINDOW w AS (PARTITION BY task_id, key ORDER BY turn)) SELECT task_id, update_id FROM a WHERE b IS NOT NULL AND bs OR (NOT sets AND NOT coalesce(bs, false))")
 def supersede_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The updates name none that they supersede: each that follows an active one is at fault, and each revoke of nothing."""
@@ -915,9 +927,36 @@ def tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.tree_totals(ev.tree(spark, sf_dir), "tree")
 
 
-@register("tree_digest")
+def nodes_sql(html: str) -> str:
+    """The Merkle nodes of each tree of pages, whose contents are an expression."""
+    return f"""
+e AS (SELECT page_id % 7 AS tree, 'pages/' || page_id || '.html' AS path, sha256('pages/' || page_id || '.html')[:3] AS p3, sha256('pages/' || page_id || '.html' || chr(31) || strlen({html}) || chr(31) || sha256({html}) || chr(31) || (page_id % 3 = 0)) AS d FROM pages),
+l3 AS (SELECT tree, p3 AS prefix, sha256(string_agg(d, '' ORDER BY path)) AS digest, count(*) AS entries FROM e GROUP BY ALL),
+l2 AS (SELECT tree, prefix[:2] AS above, sha256(string_agg(prefix || digest, '' ORDER BY prefix)) AS digest, sum(entries) AS entries FROM l3 GROUP BY ALL),
+l1 AS (SELECT tree, above[:1] AS prefix, sha256(string_agg(above || digest, '' ORDER BY above)) AS digest, sum(entries) AS entries FROM l2 GROUP BY ALL),
+l0 AS (SELECT tree, '' AS prefix, sha256(string_agg(prefix || digest, '' ORDER BY prefix)) AS digest, sum(entries) AS entries FROM l1 GROUP BY ALL)"""
+
+
+def executable_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.tree(spark, sf_dir).withColumn("executable", F.col("page_id") % 3 == 0)
+
+
+@register("tree_digest", "WITH " + nodes_sql("html") + " SELECT tree, digest AS tree_sha256 FROM l0")
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.tree_digest(ev.tree(spark, sf_dir), "tree")
+    return integrity.tree_digest(executable_tree(spark, sf_dir), "tree")
+
+
+@register("tree_nodes", "WITH " + nodes_sql("html") + " SELECT tree, prefix, digest, CAST(entries AS BIGINT) AS entries FROM l3 UNION ALL SELECT tree, above, digest, entries FROM l2 UNION ALL SELECT tree, prefix, digest, entries FROM l1 UNION ALL SELECT tree, prefix, digest, entries FROM l0")
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.tree_nodes(executable_tree(spark, sf_dir), "tree")
+
+
+@register("tree_changes", "SELECT page_id % 7 AS tree, sha256('pages/' || page_id || '.html')[:k] AS prefix FROM pages, (SELECT unnest(range(4)) AS k) WHERE page_id < 7")
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that change with one page of each tree: its leaf and those above."""
+    t = executable_tree(spark, sf_dir)
+    changed = t.withColumn("sha256", F.when(F.col("page_id") < 7, F.sha2(F.lit("changed"), 256)).otherwise(F.col("sha256")))
+    return integrity.changed_nodes(integrity.tree_nodes(t, "tree"), integrity.tree_nodes(changed, "tree"), "tree").select("tree", "prefix")
 
 
 @register("artifact_oracles", "SELECT page_id AS artifact_id, concat_ws(',', CASE WHEN strlen(html) < 1000 THEN 'min_bytes' END, CASE WHEN strlen(html) > 4000 THEN 'max_bytes' END, CASE WHEN page_id % 5 = 0 THEN 'sha256' END) AS failed FROM pages")

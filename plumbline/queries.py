@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import routing as routing_rules
-from plumbline.operators import evaluation, integrity, normalize, otlp, privacy, runs, selection, views
+from plumbline.operators import binding, evaluation, integrity, normalize, otlp, privacy, runs, selection, views
 from plumbline.plans import evidence as ev
 from plumbline.schemas import TAXONOMY
 from plumbline.sources import artifacts as artifacts_of
@@ -708,6 +708,62 @@ def promotion_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.materialize(decided, documents).select("variant_id")
 
 
+def variant_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A variant document of each supplier, bound to the capsule of its nation; every fifth names another capsule, every seventh is no JSON. Keys stand in another order than the canonical one."""
+    n, s = ev.table(spark, sf_dir, "nation"), ev.table(spark, sf_dir, "supplier")
+    capsule = lambda key: F.concat(F.lit('{"id":"n'), key.cast("string"), F.lit('","goal":"g"}'))
+    canonical = lambda key: F.concat(F.lit('{"goal":"g","id":"n'), key.cast("string"), F.lit('"}'))
+    key = F.col("s_suppkey").cast("string")
+    base = F.when(F.col("s_suppkey") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(canonical(F.col("s_nationkey")), 256))
+    document = F.concat(F.lit('{"variant": {"tools":{},"id":"v'), key, F.lit('","env":{"K":"'), key, F.lit('"}}, "base_capsule_sha256":"'), base, F.lit('"'), F.when(F.col("s_suppkey") % 7 == 0, "").otherwise("}"))
+    return s.select(key.alias("source_name"), document.alias("document")), n.select(capsule(F.col("n_nationkey")).alias("document"))
+
+
+#: Variants of variant_documents() in canonical form.
+VARIANTS = """
+WITH v AS (SELECT s_suppkey AS k, '{"env":{"K":"' || s_suppkey || '"},"id":"v' || s_suppkey || '","tools":{}}' AS variant, CASE WHEN s_suppkey % 5 = 0 THEN sha256('other') ELSE sha256('{"goal":"g","id":"n' || s_nationkey || '"}') END AS base FROM supplier),
+x AS (SELECT k, base, sha256(variant) AS variant_sha256, sha256('{"base_capsule_sha256":"' || base || '","variant":' || variant || '}') AS document_sha256, k % 7 = 0 AS broken FROM v)
+"""
+
+
+@register("variant_binding", VARIANTS + """SELECT CAST(k AS VARCHAR) AS source_name, CASE WHEN NOT broken THEN 'v' || k END AS variant_id, CASE WHEN NOT broken THEN document_sha256 END AS document_sha256, CASE WHEN NOT broken THEN variant_sha256 END AS variant_sha256, CASE WHEN NOT broken THEN base END AS base_capsule_sha256,
+CASE WHEN broken THEN '' ELSE 'env,tools' END AS dimensions, CASE WHEN broken THEN 'no strict JSON' WHEN k % 5 = 0 THEN 'capsule is another or missing' END AS fault FROM x""")
+def variant_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.verify_variants(*variant_documents(spark, sf_dir)).withColumn("dimensions", F.array_join("dimensions", ","))
+
+
+@register("promotion_receipts", VARIANTS + """,
+p AS (SELECT *, '{"baseline_variant_id":"v1","baseline_variant_sha256":"' || (SELECT variant_sha256 FROM x WHERE k = 1) || '","candidate_variant_id":"v' || k || '","candidate_variant_sha256":"' || variant_sha256 || '","decision":"' || CASE WHEN k % 6 = 1 THEN 'reject' ELSE 'promote' END || '"}' AS decision FROM x),
+q AS (SELECT *, CASE WHEN k % 6 = 2 THEN sha256('none') ELSE sha256(decision) END AS d, CASE WHEN k % 6 = 3 THEN 'v0' ELSE 'v' || k END AS active, CASE WHEN k % 6 = 4 THEN 'v2' ELSE 'v1' END AS target FROM p)
+SELECT CAST(k AS VARCHAR) AS source_name, d AS promotion_decision_sha256, sha256('{"active_variant_id":"' || active || '","active_variant_sha256":"' || variant_sha256 || '","promotion_decision_sha256":"' || d || '","target_variant_id":"' || target || '","target_variant_sha256":"' || (SELECT variant_sha256 FROM x WHERE k = 1) || '"}') AS rollback_plan_sha256,
+       active AS active_variant_id, target AS previous_variant_id,
+       CASE k % 6 WHEN 2 THEN 'plan of no known decision' WHEN 1 THEN 'decision does not promote' WHEN 3 THEN 'active variant is not the candidate' WHEN 4 THEN 'target is not the baseline' ELSE CASE WHEN broken OR k % 5 = 0 THEN 'active variant is not verified' END END AS fault
+FROM q""")
+def promotion_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision and a rollback plan for each supplier's variant against the first one's, with a link broken at every step by turns."""
+    v = binding.verify_variants(*variant_documents(spark, sf_dir)).where("fault is null").select("variant_id", "variant_sha256")
+    s = ev.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    sha = lambda key: F.sha2(F.concat(F.lit('{"env":{"K":"'), key.cast("string"), F.lit('"},"id":"v'), key.cast("string"), F.lit('","tools":{}}')), 256)
+    named = lambda key: F.concat(F.lit("v"), key.cast("string"))
+    one = F.lit(1)
+    decision = F.to_json(F.struct(named(one).alias("baseline_variant_id"), sha(one).alias("baseline_variant_sha256"), named(k).alias("candidate_variant_id"), sha(k).alias("candidate_variant_sha256"), F.when(k % 6 == 1, "reject").otherwise("promote").alias("decision")))
+    digest = F.when(k % 6 == 2, F.sha2(F.lit("none"), 256)).otherwise(F.sha2(decision, 256))
+    plan = F.to_json(F.struct(digest.alias("promotion_decision_sha256"), F.when(k % 6 == 3, "v0").otherwise(named(k)).alias("active_variant_id"), sha(k).alias("active_variant_sha256"), F.when(k % 6 == 4, "v2").otherwise("v1").alias("target_variant_id"), sha(one).alias("target_variant_sha256")))
+    made = s.select(k.cast("string").alias("source_name"), F.concat(F.lit(" "), decision).alias("decision"), plan.alias("plan"))
+    return binding.promotion_receipts(made.select(F.col("decision").alias("document")), made.select("source_name", F.col("plan").alias("document")), v).drop("active_variant_sha256", "previous_variant_sha256")
+
+
+@register("memory_digest", BASE + ", z AS (" + VIEW_SQL["failure_taxonomy"] + """), y AS (SELECT failure_category, failure_code, occurrences, runs, capsules FROM z ORDER BY occurrences DESC, failure_category, failure_code LIMIT 5)
+SELECT 'failure_taxonomy' AS view, count(*) AS row_count, sha256('{"rows":[' || string_agg('{"capsules":' || capsules || ',"failure_category":"' || failure_category || '","failure_code":"' || failure_code || '","occurrences":' || occurrences || ',"runs":' || runs || '}', ',' ORDER BY occurrences DESC, failure_category, failure_code)
+       || '],"store_schema_version":"1","store_source_count":' || (SELECT count(DISTINCT o_orderkey % 16) FROM orders) || ',"view":"failure_taxonomy"}') AS memory_sha256 FROM y""")
+def memory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the taxonomy's first five rows, without its mean."""
+    tables = ev.store_tables(spark, sf_dir)
+    rows = views.query(tables, "failure_taxonomy", 5).select("failure_category", "failure_code", "occurrences", "runs", "capsules")
+    return binding.view_digest(rows, "failure_taxonomy", "1", tables["sources"])
+
+
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset for each language: labelled documents, their source and number as inputs, their label as an output."""
     d = ev.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(ev.table(spark, sf_dir, "labels"), "doc_id")

@@ -20,6 +20,10 @@ _own: dict[str, str] = {}
 _stored: dict[int, tuple[weakref.ref, str]] = {}
 
 
+#: The folders that store() has made and nothing has deleted, by application.
+_made: dict[str, set[str]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +45,7 @@ def store(df: DataFrame, name: str, *by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     _stored[id(out)] = (weakref.ref(out, lambda _, key=id(out): _stored.pop(key, None)), path)
     return out
 
@@ -74,3 +79,12 @@ def drop_stored(df: DataFrame) -> None:
     spark, root = df.sparkSession, _stored.pop(id(df), (None, None))[1]
     if root:
         remove(spark, root)
+        _made.get(spark.sparkContext.applicationId, set()).discard(root)
+
+
+def free(spark: SparkSession) -> int:
+    """Delete every table that store() made in this application and that is still there; returns how many. To be called when the operators' results have been read or written: they read these tables as long as they are lazy."""
+    folders = _made.pop(spark.sparkContext.applicationId, set())
+    for folder in folders:
+        remove(spark, folder)
+    return len(folders)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import routing as routing_rules
-from plumbline.operators import binding, evaluation, integrity, normalize, otlp, privacy, runs, selection, views
+from plumbline.operators import binding, evaluation, integrity, normalize, otlp, privacy, runs, selection, signatures, views
 from plumbline.plans import evidence as ev
 from plumbline.schemas import TAXONOMY
 from plumbline.sources import artifacts as artifacts_of
@@ -206,12 +207,31 @@ def artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUS = "CASE WHEN bool_or(coalesce(f.impact = 'infrastructure_error', false)) THEN 'error' WHEN bool_or(coalesce(c.status <> 'passed', false)) THEN 'failed' ELSE 'passed' END"
 
 
-@register("artifact_runs", BASE + f"SELECT r.run_id AS source_name, 'run' AS artifact_kind, 'capsule-' || r.run_id AS capsule_id, {STATUS} AS status, any_value(r.duration_seconds) AS duration_seconds, any_value(r.check_count) AS check_count FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_id")
+ARTIFACT_RUNS = BASE + f"SELECT r.run_id AS source_name, 'run' AS artifact_kind, 'capsule-' || r.run_id AS capsule_id, {STATUS} AS status, any_value(r.duration_seconds) AS duration_seconds, any_value(r.check_count) AS check_count FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_id"
+
+
+@register("artifact_runs", ARTIFACT_RUNS)
 def artifact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.normalize(artifacts(spark, sf_dir))
     return rows["runs"].select("source_name", F.lit("run").alias("artifact_kind"), "capsule_id", "status", "duration_seconds", "check_count")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{integrity.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("store_ingest", f"SELECT capsule_id, status, duration_seconds, check_count, 0 AS added_again FROM ({ARTIFACT_RUNS})")
+def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a new store that has taken in every order's artifact, and then all of them once more, which adds none."""
+    root = own_folder(spark, "store")
+    store.initialize(spark, root)
+    made = integrity.written_out(artifacts(spark, sf_dir))
+    store.ingest(made, root)
+    again = store.ingest(made.withColumn("source_name", F.concat(F.lit("again-"), F.col("source_name"))), root)
+    integrity.forget(made)
+    return store.load(spark, root)["runs"].select("capsule_id", "status", "duration_seconds", "check_count", F.lit(again).alias("added_again"))
+
+
 @register("artifact_failures", BASE + "SELECT r.run_id AS source_name, f.check_id, f.category, f.code, f.impact, f.causes_json FROM f JOIN r ON r.run_key = f.run_key")
 def artifact_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.normalize(artifacts(spark, sf_dir))
@@ -1150,6 +1170,30 @@ def view_query_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.query(ev.store_tables(spark, sf_dir), "runs", 50)
 
 
+@register("view_export", BASE + VIEW_SQL["runs"] + " ORDER BY started_at, run_key LIMIT 50")
+def view_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty runs as they stand in an exported file."""
+    path = own_folder(spark, "export")
+    views.export_parquet(ev.store_tables(spark, sf_dir), "runs", path, 50)
+    return spark.read.parquet(path)
+
+
+@register("trace_lines", MESSAGES + """SELECT '{"event_type":"' || event_type || '","sequence":' || sequence || ',"trace_id":"' || trace_id || '"}' AS value FROM n""")
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all transcripts as lines of JSON in a file."""
+    path = own_folder(spark, "trace")
+    store.write_trace_jsonl(normalize.transcript_events(ev.transcripts(spark, sf_dir)).select("trace_id", "sequence", "event_type"), path)
+    return spark.read.text(path)
+
+
+@register("hidden_keys", """SELECT doc_id, '{"a":[{"k":' || doc_id || '}],"text":"' || coalesce(lang, '') || '"}' AS visible FROM documents""")
+def hidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of each document's id and language without what is opaque at two depths."""
+    d = ev.table(spark, sf_dir, "documents")
+    json = F.concat(F.lit('{"thought_signature":"q","text":"'), F.coalesce("lang", F.lit("")), F.lit('","a":[{"encrypted_content":{"x":1},"k":'), F.col("doc_id").cast("string"), F.lit("}]}"))
+    return d.select("doc_id", signatures.visible_json(json).alias("visible"))
+
+
 @register("view_query_taxonomy", BASE + VIEW_SQL["failure_taxonomy"] + " ORDER BY occurrences DESC, failure_category, failure_code LIMIT 3")
 def view_query_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.query_with_info(ev.store_tables(spark, sf_dir), "failure_taxonomy", 3)[1]

@@ -785,12 +785,12 @@ def memory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset for each language: labelled documents, their source and number as inputs, their label as an output."""
+    """A dataset for each language and 10,000 numbers, as no dataset may have more examples: labelled documents, their source and number as inputs, their label as an output."""
     d = ev.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(ev.table(spark, sf_dir, "labels"), "doc_id")
-    return d.select(F.coalesce("lang", F.lit("-")).alias("dataset_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("example_id"), F.create_map(F.lit("source"), F.col("source"), F.lit("number"), F.col("doc_id").cast("string")).alias("inputs"), F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("outputs"))
+    return d.select(F.concat_ws("-", F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 10_000).cast("string")).alias("dataset_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("example_id"), F.create_map(F.lit("source"), F.col("source"), F.lit("number"), F.col("doc_id").cast("string")).alias("inputs"), F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("outputs"))
 
 
-DATASETS = "WITH e AS (SELECT coalesce(lang, '-') AS dataset_id, 'doc-' || doc_id AS example_id, source, CAST(doc_id AS VARCHAR) AS number, toxic FROM documents JOIN labels USING (doc_id)) "
+DATASETS = "WITH e AS (SELECT coalesce(lang, '-') || '-' || (doc_id // 10000) AS dataset_id, 'doc-' || doc_id AS example_id, source, CAST(doc_id AS VARCHAR) AS number, toxic FROM documents JOIN labels USING (doc_id)) "
 
 
 @register("dataset_signature", DATASETS + "SELECT count(*) AS examples, CAST(1 AS BIGINT) AS input_signatures, CAST(1 AS BIGINT) AS output_signatures, CAST(0 AS BIGINT) AS overlapping FROM e")
@@ -1097,20 +1097,22 @@ def mutated_oracles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("span_depths", """
-WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS n, user_id % 3 AS g FROM events)
+WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, user_id AS g FROM events)
 SELECT event_id, CAST(n % 150 AS BIGINT) AS depth FROM t""")
 def span_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of 150 spans, each under the one before it in time."""
+    """Chains of 150 spans of a user, each under the one before it in time."""
     order = Window.partitionBy("g").orderBy("ts", "event_id")
-    t = ev.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("g"))
+    t = ev.table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("g"))
     t = t.select("event_id", (F.row_number().over(order) - 1).alias("n"), F.lag("event_id").over(order).alias("before"), F.col("g").cast("string").alias("trace_id"))
     spans = t.select("trace_id", F.col("event_id").alias("span_id"), F.when(F.col("n") % 150 != 0, F.col("before")).alias("parent_span_id"))
     return integrity.span_depths(spans).select(F.col("span_id").alias("event_id"), "depth")
 
 
-@register("listing_digest", """SELECT page_id % 7 AS tree, count(*) AS entries, sha256('[' || string_agg('{"path":"pages/' || page_id || '.html","sha256":"' || sha256(html) || '","size":' || strlen(html) || '}', ',' ORDER BY 'pages/' || page_id || '.html') || ']') AS listing_sha256 FROM pages GROUP BY ALL""")
+@register("listing_digest", """SELECT page_id % 7 AS tree, page_id // 500000 AS part, count(*) AS entries, sha256('[' || string_agg('{"path":"pages/' || page_id || '.html","sha256":"' || sha256(html) || '","size":' || strlen(html) || '}', ',' ORDER BY 'pages/' || page_id || '.html') || ']') AS listing_sha256 FROM pages GROUP BY ALL""")
 def listing_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.listing_digest(ev.tree(spark, sf_dir), "tree")
+    """Listings of each tree and half a million pages, as none may have more than 100,000 entries."""
+    t = ev.tree(spark, sf_dir).withColumn("part", F.floor(F.col("page_id") / 500_000))
+    return integrity.listing_digest(t, "tree", "part")
 
 
 @register("manifest_totals", "WITH t AS (SELECT page_id % 7 AS tree, count(*) AS n FROM pages GROUP BY ALL) SELECT tree, 'total' AS fault FROM t WHERE tree % 2 = 0 UNION ALL SELECT tree, 'order' FROM t WHERE tree % 3 = 0 AND n > 1")

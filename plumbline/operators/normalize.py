@@ -56,7 +56,7 @@ def provenance(files: DataFrame, policy_id: str = "default") -> DataFrame:
 
 
 def transcript_faults(documents: DataFrame) -> DataFrame:
-    """source_name, trace_id, fault: repeated message ids, falling times, corrections that aren't a user's of an earlier assistant message."""
+    """source_name, trace_id, fault: document ids of two sources, repeated message ids, falling times, corrections that aren't a user's of an earlier assistant message."""
     m = parsed(documents, TRANSCRIPT).select("source_name", F.col("id").alias("trace_id"), F.posexplode("messages").alias("pos", "m")).select("source_name", "trace_id", "pos", "m.*")
     twice = m.groupBy("source_name", "trace_id", "id").count().where("count > 1").select("source_name", "trace_id", F.lit("repeated message id").alias("fault"))
     fell = m.withColumn("before", F.lag("timestamp").over(Window.partitionBy("source_name", "trace_id").orderBy("pos"))).where("timestamp < before").select("source_name", "trace_id", F.lit("time falls").alias("fault"))

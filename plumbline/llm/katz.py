@@ -111,7 +111,8 @@ def write_chunks(folder: str):
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
-            text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
+            # Trimmed first: a slice that was cast keeps offsets that do not begin at 0, of which Arrow's ascii_lower makes other texts.
+            text = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
             lists = pc.ascii_split_whitespace(text)
             sizes = np.where(np.asarray(pc.binary_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0).astype(np.int64)
             total = np.cumsum(sizes + 1)

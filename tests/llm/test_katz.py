@@ -116,6 +116,19 @@ def test_nulls_repeats_and_small_chunks(spark, monkeypatch):
     check(rows, katz.katz_scores(docs, F.col("doc_id") == 5).collect(), lambda i: i == 5)
 
 
+def test_slices_of_a_batch_without_nulls(spark, monkeypatch):
+    rows = [(i, f"W{i} b\tA{i % 3} {'c ' * (i % 4)}") for i in range(30)]
+    monkeypatch.setattr(katz, "CHUNK_ROWS", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(rows, katz.katz_scores(docs, F.col("doc_id") % 5 == 1).collect(), lambda i: i % 5 == 1)
+
+
+def test_a_batch_of_more_rows_than_a_chunk(spark):
+    rows = [(i, f"A{i % 50} b c{i % 7}") for i in range(katz.CHUNK_ROWS + 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(rows, katz.katz_scores(docs, F.col("doc_id") % 5 == 1).collect(), lambda i: i % 5 == 1)
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = katz.katz_scores(docs, F.lit(True)).first()

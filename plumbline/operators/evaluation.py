@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ID_PATTERN, digest_mismatch, mcnemar_value, tail_exceeds
+from plumbline.operators.integrity import chained_digest
 
 ROLES = ("train", "validation", "sealed_test")
 
@@ -104,19 +105,14 @@ def output_key_faults(outputs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("size(missing) > 0 or size(unexpected) > 0")
 
 
-MAX_EXAMPLES = 10_000
-
-
 def public_digest(examples: DataFrame, *by: str) -> DataFrame:
-    """The digest of each dataset (at most `MAX_EXAMPLES` examples: example_id, inputs map) that can be told without its labels: of the sorted names of the inputs and the examples by id, in canonical JSON."""
+    """by, examples, public_sha256: the digest of each dataset (example_id, inputs map) of any size that can be told without its labels: of the sorted names of the inputs and the examples by id, in canonical JSON. The format itself takes datasets of up to 10,000 examples."""
     quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
     entries = F.array_sort(F.transform(F.map_entries("inputs"), lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"]))))
     one = F.concat(F.lit('{"id":'), quoted(F.col("example_id")), F.lit(',"inputs":{'), F.array_join(entries, ","), F.lit("}}"))
     names = F.array_join(F.transform(F.array_sort(F.map_keys("inputs")), quoted), ",")
-    made = examples.groupBy(*by).agg(F.count("*").alias("examples"), F.min(names).alias("names"), F.array_sort(F.collect_list(F.struct("example_id", one.alias("json")))).alias("l"))
-    small = F.when(F.col("examples") > MAX_EXAMPLES, F.raise_error(F.lit("more examples than a dataset may have"))).otherwise(F.col("examples"))
-    body = F.concat(F.lit('{"examples":['), F.array_join(F.transform("l", lambda x: x["json"]), ","), F.lit('],"input_fields":['), F.col("names"), F.lit("]}"))
-    return made.select(*by, small.alias("examples"), F.sha2(body, 256).alias("public_sha256"))
+    tail = F.concat(F.lit('],"input_fields":['), names, F.lit("]}"))
+    return chained_digest(examples.select(*by, F.col("example_id").alias("key"), one.alias("line"), tail.alias("tail")), by, '{"examples":[', "examples", "public_sha256")
 
 
 def payloads(examples: DataFrame) -> DataFrame:

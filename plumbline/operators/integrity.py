@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,14 +220,88 @@ def span_depths(spans: DataFrame) -> DataFrame:
     return up.select("trace_id", "span_id", F.when(F.col("above").isNull(), F.col("depth")).alias("depth"))
 
 
-#: Entries whose listing one digest may cover: it is made of the whole listing, in order.
-MAX_LISTED = 100_000
+#: Characters of lines that one row of chained_digest's stream holds, about.
+BLOB = 1 << 18
+
+
+def lines_packed(groups: int):
+    """Function over sorted rows (by, key, line, tail) that packs a group's lines, with commas between, into rows of about `BLOB` characters: by, key (the first), number, entries, lines, tail (the smallest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, number = None, 0
+        group, first, entries, lines, size, tail = None, None, 0, [], 0, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*group, first, number, entries, ",".join(lines) if lines else None, tail), schema, strict=True)], names=[f"c{i}" for i in range(len(schema))])
+
+        for batch in batches:
+            types = batch.schema.types
+            schema = [*types[:groups], types[groups], pa.int64(), pa.int64(), pa.string(), pa.string()]
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if entries and (values[:groups] != group or size >= BLOB):
+                    yield row()
+                    number, entries, lines, size, tail = number + 1, 0, [], 0, None
+                if not entries:
+                    group, first = values[:groups], values[groups]
+                entries += 1
+                if values[-2] is not None:
+                    lines.append(values[-2])
+                    size += len(values[-2])
+                if values[-1] is not None and (tail is None or values[-1] < tail):
+                    tail = values[-1]
+        if entries:
+            yield row()
+
+    return run
+
+
+def lines_hashed(groups: int, head: str):
+    """Function over sorted rows of lines_packed() that gives by, entries, sha256 of each group; what is held is one row and the state of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, group, entries, hashed, tail = None, None, 0, None, None
+
+        def row() -> pa.RecordBatch:
+            if hashed is not None:
+                hashed.update((tail or "").encode())
+            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(group, types[:groups], strict=True)), pa.array([entries], pa.int64()), pa.array([hashed and hashed.hexdigest()], pa.string())], names=[f"c{i}" for i in range(groups + 2)])
+
+        for batch in batches:
+            types = batch.schema.types
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if values[:groups] != group:
+                    if entries:
+                        yield row()
+                    group, entries, hashed, tail = values[:groups], 0, None, None
+                more, lines, end = values[-3:]
+                entries += more
+                if lines is not None:
+                    if hashed is None:
+                        hashed = hashlib.sha256(head.encode())
+                    else:
+                        hashed.update(b",")
+                    hashed.update(lines.encode())
+                if end is not None and (tail is None or end < tail):
+                    tail = end
+        if entries:
+            yield row()
+
+    return run
+
+
+def chained_digest(rows: DataFrame, by: tuple[str, ...], head: str, count: str, digest: str) -> DataFrame:
+    """by, count, digest of rows (by, key, line, tail): of each group, whatever its size, the sha256 of head, its lines in the order of their keys with commas between, and its smallest tail; a null line counts but says nothing, a group of such alone has null.
+
+    Rows are sorted by ranges, in as many tasks as they need, and packed; one task of a group reads what is packed in order, as a sha256 goes through its bytes one after another."""
+    named = {f.name: f.dataType.simpleString() for f in rows.schema}
+    shape = lambda *more: ", ".join([*(f"`{c}` {named[c]}" for c in by), *more])
+    sorted_ = rows.select(*by, "key", "line", "tail").repartitionByRange(*by, "key").sortWithinPartitions(*by, "key", "line")
+    packed = sorted_.mapInArrow(lines_packed(len(by)), shape(f"key {named['key']}", "number long", "entries long", "lines string", "tail string"))
+    dealt = packed.repartition(*by).sortWithinPartitions(*by, "key", "number").drop("key", "number")
+    return dealt.mapInArrow(lines_hashed(len(by), head), shape(f"`{count}` long", f"`{digest}` string"))
 
 
 def listing_digest(entries: DataFrame, *by: str) -> DataFrame:
-    """sha256 of each listing (path, size, sha256, of at most `MAX_LISTED` entries), in canonical JSON by path; a larger one is an error, and tree_digest() the way."""
-    one = F.struct("path", F.concat(F.lit('{"path":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.lit(',"sha256":"'), F.col("sha256"), F.lit('","size":'), F.col("size").cast("string"), F.lit("}")).alias("json"))
-    counted = entries.groupBy(*by).agg(F.count("*").alias("n"))
-    small = counted.select(*by, F.when(F.col("n") > MAX_LISTED, F.raise_error(F.lit("too many entries for one listing"))).otherwise(F.col("n")).alias("entries"))
-    listed = entries.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("l"))
-    return small.join(listed, list(by)).select(*by, "entries", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["json"]), ","), F.lit("]")), 256).alias("listing_sha256"))
+    """by, entries, listing_sha256: sha256 of each listing (path, size, sha256) of any size, in canonical JSON by path. The format itself takes listings of up to 100,000 entries."""
+    json = F.concat(F.lit('{"path":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.lit(',"sha256":"'), F.col("sha256"), F.lit('","size":'), F.col("size").cast("string"), F.lit("}"))
+    return chained_digest(entries.select(*by, F.col("path").alias("key"), json.alias("line"), F.lit("]").alias("tail")), by, "[", "entries", "listing_sha256")

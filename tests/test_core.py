@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import evaluation, integrity, normalize, privacy, runs, selection, views
+from plumbline.queries import QUERIES
 from plumbline.schemas import TAXONOMY
 from plumbline.sources import documents, store
 from plumbline.streaming import rollback
@@ -378,3 +379,14 @@ def test_splits_predictions_and_dialogues_as_rows(spark):
     public = {r.turn: r.probe_ids for r in evaluation.public_corpus(updates, probes, turns).collect()}
     assert public == {0: None, 1: ["p"]}
     assert normalize.provenance(spark.createDataFrame([("a/b.json", bytearray(b"x"))], "path string, content binary")).first().source_sha256 == hashlib.sha256(b"x").hexdigest()
+
+
+def test_datasets_of_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(integrity, "BLOB", 5000)
+    n = 12_000
+    ids = spark.range(n).repartition(7).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("s\""), F.col("id") % 3).alias("source"), F.lit(1).alias("toxic"))
+    ids.drop("toxic").write.parquet(f"{tmp_path}/documents.parquet")
+    ids.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    lines = ",".join(json.dumps({"id": f"doc-{i}", "inputs": {"number": str(i), "source": f's"{i % 3}'}}, separators=(",", ":")) for i in sorted(range(n), key=lambda i: f"doc-{i}"))
+    want = hashlib.sha256(('{"examples":[' + lines + '],"input_fields":["number","source"]}').encode()).hexdigest()
+    assert [tuple(r) for r in QUERIES["dataset_public_digest"](spark, str(tmp_path)).collect()] == [("en", n, want)]

@@ -220,6 +220,17 @@ def span_depths(spans: DataFrame) -> DataFrame:
     return up.select("trace_id", "span_id", F.when(F.col("above").isNull(), F.col("depth")).alias("depth"))
 
 
+def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """rows with n, their place in their group (which no row lacks) from 0, as row_number() would count in the order (strict within a group). Rows are dealt by ranges of (group, order), so that a group is as many tasks as it needs; they are written out with their range, numbered in it, and the ranges before it added. The table is to be forgotten by the caller."""
+    ranged = written_out(rows.repartitionByRange(group, *order).withColumn("range_", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "range_").agg(F.count("*").alias("rows_"))  # a row for each range, and group in it
+    before = sizes.select(group, "range_", (F.sum("rows_").over(Window.partitionBy(group).orderBy("range_")) - F.col("rows_")).alias("before_"))
+    placed = ranged.withColumn("place_", F.row_number().over(Window.partitionBy(group, "range_").orderBy(*order)))
+    out = placed.join(F.broadcast(before), [group, "range_"]).withColumn("n", F.col("before_") + F.col("place_") - 1).drop("range_", "place_", "before_")
+    out._written_to = ranged._written_to
+    return out
+
+
 #: Characters of lines that one row of chained_digest's stream holds, about.
 BLOB = 1 << 18
 

@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
@@ -390,3 +391,25 @@ def test_datasets_of_any_size(spark, tmp_path, monkeypatch):
     lines = ",".join(json.dumps({"id": f"doc-{i}", "inputs": {"number": str(i), "source": f's"{i % 3}'}}, separators=(",", ":")) for i in sorted(range(n), key=lambda i: f"doc-{i}"))
     want = hashlib.sha256(('{"examples":[' + lines + '],"input_fields":["number","source"]}').encode()).hexdigest()
     assert [tuple(r) for r in QUERIES["dataset_public_digest"](spark, str(tmp_path)).collect()] == [("en", n, want)]
+
+
+def test_chains_go_through_all_users(spark, tmp_path):
+    events = [(i, 1000 - i // 2, None if i % 11 == 0 else i % 50) for i in range(2000)]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = {r.event_id: r.depth for r in QUERIES["span_depths"](spark, str(tmp_path)).collect()}, {}
+    for g in (0, 1, 2, None):
+        rows = sorted((ts, i) for i, ts, u in events if (u if u is None else u % 3) == g)
+        want |= {i: n % 150 for n, (_, i) in enumerate(rows)}
+    assert got == want
+
+
+def test_numbers_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 2).alias("g")).repartition(6)
+        n = integrity.numbered(rows, "g", F.col("v"))
+        both = n.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1).collect()
+        assert len(both) == 3000 and all(r.n == r.m for r in both)
+        assert spark.read.parquet(n._written_to).select("range_").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -413,3 +413,13 @@ def test_numbers_over_many_ranges(spark):
         assert spark.read.parquet(n._written_to).select("range_").distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_listings_of_any_size(spark, tmp_path):
+    n = 101_000
+    listed = spark.range(n).repartition(5).select(F.concat(F.lit("é/"), F.col("id")).alias("path"), F.col("id").alias("size"), F.lit("ab").alias("sha256"), F.lit(None).cast("int").alias("tree"))
+    lines = ",".join(f'{{"path":"é/{i}","sha256":"ab","size":{i}}}' for i in sorted(range(n), key=str))
+    assert [tuple(r) for r in integrity.listing_digest(listed, "tree").collect()] == [(None, n, hashlib.sha256(f"[{lines}]".encode()).hexdigest())]
+    far = [(k * 600_000, "x") for k in range(14)]
+    spark.createDataFrame(far, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.tree, r.entries) for r in QUERIES["listing_digest"](spark, str(tmp_path)).collect()} == {(t, 2) for t in range(7)}

@@ -16,10 +16,11 @@ frequent. A text begins after as many ends as its histories need.
 How it runs: documents become chunks of word numbers, written into the shared
 folder as blobs with a small table of their places. Order by order, a chunk sends
 its distinct n-grams, grouped by history, to the owners of ranges of history
-hashes, as sorted and packed 64-bit hashes of histories and 40-bit hashes of the
-words that follow. An owner adds up the training counts of its histories and
-stores them as a page of the model: histories, followers, counts, and for each
-history the counts of counts and the lower-order mass that its weight is made of.
+hashes, as sorted and packed 64-bit hashes of histories and the numbers of the
+words that follow, which the owners of words have given. An owner adds up the training counts of its histories and
+makes of them a page of the model: histories, followers, counts, and for each
+history the counts of counts and the lower-order mass that its weight is made of;
+pages are stored only for a model that is to be kept.
 It answers each chunk in the order it asked. When all orders are told, a chunk
 scores its tokens by recursion over the orders. Only a few counts of counts reach
 the driver. The pages of all orders are a `Model`, which can score other texts.
@@ -29,13 +30,13 @@ for the fold; texts of any length are read whole, and one with more tokens than
 chunk is a chunk of its own; repeated rows count and are scored each; without
 training rows every token is unknown with probability one; an empty table gives
 an empty result; other columns, whatever their names, are ignored. Different
-histories with one 64-bit hash, or two words after one history whose hashes agree
-in 40 bits, would share a count: expected below one pair for a billion histories,
-or for a history with a million followers.
+histories with one 64-bit hash would share their counts: expected below one pair
+for a billion histories.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, place_of, qualified, remove, shared_dir, store
@@ -60,10 +61,10 @@ FOLLOWER_BITS = 40
 CHUNKS = "chunk long, file string, start long, size long, n_words long, n_tokens long"
 CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 BLOB_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("n_words", pa.int32()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
-#: A chunk's histories in one owner's range: their hashes, how many followers each has, and of these the hashes, training counts and lower-order counts; above: the lower-order count of each history.
+#: A chunk's histories in one owner's range: their hashes, how many followers each has, and of these the numbers, training counts and lower-order counts; above: the lower-order count of each history.
 ASKED = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, lower binary, above binary"
 ASKED_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "lower", "above"))])
-#: A page of the model (chunk null), or an answer to a chunk: counts of its n-grams and histories as asked, and what the weights are made of where the chunk may need one.
+#: A page of the model (chunk null), or an answer to a chunk: counts of its n-grams and histories as asked, of words their numbers, and what the weights are made of where the chunk may need one.
 TOLD = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, above binary, kinds binary, low binary, totals array<long>"
 TOLD_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "above", "kinds", "low")), ("totals", pa.list_(pa.int64()))])
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -243,7 +244,10 @@ class Told:
             counts = np.concatenate([ints(a["counts"], a["n_grams"]) for a in rows])
             self.counts[n] = np.empty(len(counts), dtype=np.int64)
             if n == 1:
-                self.counts[1][np.argsort(g.hashes, kind="stable")] = counts
+                by_hash = np.argsort(g.hashes, kind="stable")
+                self.counts[1][by_hash] = counts
+                self.words = np.empty(len(counts), dtype=np.uint64)
+                self.words[by_hash] = np.concatenate([unpack(a["words"], a["n_grams"]) for a in rows])
                 continue
             self.counts[n][g.order] = counts
             above = np.concatenate([ints(a["above"], a["n_hist"]) for a in rows])
@@ -272,7 +276,7 @@ def ask(folder: str, n: int, parts: int):
                 out.append({"n": 1, "part": part, "chunk": c.number, "n_hist": 0, "n_grams": hi - lo, "hist": pack_sorted(keys[lo:hi]), "counts": pack(counts[lo:hi])})
             return out
         told = Told(c, answers)
-        words, counts, lower = (c.grams[1].hashes[g.word] >> np.uint64(64 - FOLLOWER_BITS))[g.order], g.counts[g.order], told.counts[n - 1][g.lower][g.order]
+        words, counts, lower = told.words[g.word][g.order], g.counts[g.order], told.counts[n - 1][g.lower][g.order]
         above = told.above[n - 1][g.lower][g.order][g.starts] if n > 2 else np.zeros(len(g.starts), dtype=np.int64)
         for part, lo, hi in cut(g.asked, parts):
             a, b = int(g.starts[lo]), int(g.starts[hi - 1] + g.sizes[hi - 1])
@@ -332,7 +336,7 @@ class Discounts:
 
 @dataclass
 class Page:
-    """An owner's histories and their followers with counts, keys sorted: the place of the history, then the follower's hash."""
+    """An owner's histories and their followers with counts, keys sorted: the place of the history, then the follower's number."""
 
     hist: np.ndarray
     keys: np.ndarray
@@ -402,13 +406,20 @@ def word_page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return names, total, [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), len(total)]
 
 
-def looked_up(names: np.ndarray, total: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def word_numbers(total: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """The numbers of an owner's words, frequent ones first, that no other owner gives; from 1, as 0 is any word that training has not."""
+    out = np.empty(len(total), dtype=np.uint64)
+    out[np.argsort(-total, kind="stable")] = np.arange(len(total), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + 1)
+    return out
+
+
+def looked_up(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
-    return np.where(names[at] == keys, total[at], 0) if len(names) else np.zeros(len(keys), dtype=np.int64)
+    return np.where(names[at] == keys, values[at], 0) if len(names) else np.zeros(len(keys), dtype=values.dtype)
 
 
-def owner(n: int, model: Discounts | None):
-    """Function of an owner of a range of histories: makes its page and answers every chunk; or, given a stored page, only answers."""
+def owner(n: int, parts: int, model: Discounts | None, keep: bool = True):
+    """Function of an owner of a range of histories: makes its page (of which it gives the totals alone if it need not keep it) and answers every chunk; or, given a stored page, only answers."""
 
     def told(part: int, rows: list[dict], stored: list[dict]) -> Iterator[dict]:
         shared = {"n": n, "part": part}
@@ -417,15 +428,17 @@ def owner(n: int, model: Discounts | None):
                 names, total = unpack_sorted(stored[0]["hist"], stored[0]["n_grams"]), ints(stored[0]["counts"], stored[0]["n_grams"])
             else:
                 names, total, totals = word_page(rows)
-                yield shared | {"chunk": None, "n_hist": 0, "n_grams": len(names), "hist": pack_sorted(names), "counts": pack(total), "totals": totals}
+                yield shared | {"chunk": None, "totals": totals} | ({"n_hist": 0, "n_grams": len(names), "hist": pack_sorted(names), "counts": pack(total)} if keep else {})
+            numbers = word_numbers(total, part, parts)
             for r in rows:
-                yield shared | {"chunk": r["chunk"], "n_hist": 0, "n_grams": r["n_grams"], "counts": pack(looked_up(names, total, unpack_sorted(r["hist"], r["n_grams"])))}
+                keys = unpack_sorted(r["hist"], r["n_grams"])
+                yield shared | {"chunk": r["chunk"], "n_hist": 0, "n_grams": r["n_grams"], "counts": pack(looked_up(names, total, keys)), "words": pack(looked_up(names, numbers, keys))}
             return
         if stored:
             page = Page.read(stored[0])
         else:
             page, totals = page_of(rows, n, model)
-            yield shared | page.row() | {"totals": totals}
+            yield shared | (page.row() if keep else {"chunk": None}) | {"totals": totals}
         for r in rows:
             yield shared | {"chunk": r["chunk"]} | page.answer(unpack_sorted(r["hist"], r["n_hist"]), ints(r["sizes"], r["n_hist"]), unpack(r["words"], r["n_grams"]), ints(r["counts"], r["n_grams"]))
 
@@ -493,7 +506,7 @@ class Model:
         answers: dict[int, DataFrame] = {}
         for n in self.pages:
             asked = questions(chunks, folder, n, self.parts[n], answers)
-            told = asked.groupBy("part").cogroup(dealt(self.pages[n], "part", self.parts[n]).groupBy("part")).applyInArrow(owner(n, self.known)[1], TOLD)
+            told = asked.groupBy("part").cogroup(dealt(self.pages[n], "part", self.parts[n]).groupBy("part")).applyInArrow(owner(n, self.parts[n], self.known)[1], TOLD)
             answers[n] = store(told.withColumn("page", F.lit(False)), f"told-{n}")
         return scored(chunks, folder, self.known, answers).select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
@@ -510,7 +523,7 @@ def told_to_chunks(answers: dict[int, DataFrame]) -> DataFrame:
     """The answers of all orders, without the pages."""
     out = None
     for a in answers.values():
-        rows = a.where("not page").select("n", "part", "chunk", "n_hist", "n_grams", "counts", "above", "kinds", "low")
+        rows = a.where("not page").select("n", "part", "chunk", "n_hist", "n_grams", "words", "counts", "above", "kinds", "low")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -537,24 +550,31 @@ def scored(chunks: DataFrame, folder: str, model: Discounts, answers: dict[int,
     return dealt(chunks, "chunk", many).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
 
 
-def learned(chunks: DataFrame, folder: str, order: int) -> tuple[Discounts, dict[int, DataFrame], dict[int, int]]:
-    """Discounts, stored pages and answers of each order, and the parts, of chunks."""
+def unused_shuffles(spark: SparkSession) -> None:
+    """Have Spark's context cleaner delete the shuffle files that no table refers to; it hears of them when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def learned(chunks: DataFrame, folder: str, order: int, keep: bool) -> tuple[Discounts, dict[int, DataFrame], dict[int, int]]:
+    """Discounts, stored answers of each order, with the pages if they are to be kept, and the parts, of chunks. What an order's questions took of the shuffle's disk is given back when it is told."""
     size = chunks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     parts = {n: parts_for(int((size.words if n == 1 else size.tokens) or 0)) for n in range(1, order + 1)}
     answers: dict[int, DataFrame] = {}
     totals = {n: [0] * (K + 3) for n in parts}
     for n in parts:
         model = Discounts(totals) if n > 1 else None
-        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, model)[0], TOLD).withColumn("page", F.col("chunk").isNull()), f"ngrams-{n}", "page")
+        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, parts[n], model, keep)[0], TOLD).withColumn("page", F.col("chunk").isNull()), f"ngrams-{n}", "page")
         sums = answers[n].where("page").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).first()
         totals[n] = [int(t or 0) for t in sums]
+        unused_shuffles(chunks.sparkSession)
     return Discounts(totals), answers, parts
 
 
 def train(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of all the texts of a table; its pages stay in the shared folder."""
     chunks, folder = chunks_of(docs, F.lit(False), id_col, text_col)
-    known, answers, parts = learned(chunks, folder, order)
+    known, answers, parts = learned(chunks, folder, order, keep=True)
     pages = {n: store(a.where("page").drop("page"), f"model-{n}") for n, a in answers.items()}
     for a in (*answers.values(), chunks):
         drop_stored(a)
@@ -565,7 +585,7 @@ def train(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
 def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with held_out teach nothing. Scores are stored; what they were made of goes."""
     chunks, folder = chunks_of(docs, held_out, id_col, text_col)
-    known, answers, _ = learned(chunks, folder, order)
+    known, answers, _ = learned(chunks, folder, order, keep=False)
     out = store(scored(chunks, folder, known, answers), "scores")
     for a in (*answers.values(), chunks):
         drop_stored(a)

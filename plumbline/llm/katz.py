@@ -17,8 +17,12 @@ How it runs: documents become chunks of word numbers, written into the shared
 folder as blobs with a small table of their places. Order by order, a chunk sends
 its distinct n-grams, grouped by history, to the owners of ranges of history
 hashes, as sorted and packed 64-bit hashes of histories and the numbers of the
-words that follow, which the owners of words have given. An owner adds up the training counts of its histories and
-makes of them a page of the model: histories, followers, counts, and for each
+words that follow, which the owners of words have given. An n-gram that no other
+chunk has asked for, held-out texts included, or that training has not, is told to be
+the chunk's own. As a history in the next order it needs no owner: what follows it is
+known without asking, and only the counts of counts of its n-grams are sent (for a
+model that is to be kept, all are asked). An owner adds up the training counts of its
+histories and makes of them a page of the model: histories, followers, counts, and for each
 history the counts of counts and the lower-order mass that its weight is made of;
 pages are stored only for a model that is to be kept.
 It answers each chunk in the order it asked. When all orders are told, a chunk
@@ -61,10 +65,10 @@ FOLLOWER_BITS = 40
 CHUNKS = "chunk long, file string, start long, size long, n_words long, n_tokens long"
 CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 BLOB_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("n_words", pa.int32()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
-#: A chunk's histories in one owner's range: their hashes, how many followers each has, and of these the numbers, training counts and lower-order counts; above: the lower-order count of each history.
-ASKED = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, lower binary, above binary"
-ASKED_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "lower", "above"))])
-#: A page of the model (chunk null), or an answer to a chunk: counts of its n-grams and histories as asked, of words their numbers, and what the weights are made of where the chunk may need one.
+#: A chunk's histories in one owner's range: their hashes, how many followers each has, and of these the numbers, training counts and lower-order counts; above: the lower-order count of each history. One row of a chunk has the totals of its own histories.
+ASKED = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, lower binary, above binary, totals array<long>"
+ASKED_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "lower", "above")), ("totals", pa.list_(pa.int64()))])
+#: A page of the model (chunk null), or an answer to a chunk: counts of its n-grams (0: its own count is all there is) and histories as asked, of words their numbers, and what the weights are made of where the chunk may need one.
 TOLD = "n int, part int, chunk long, n_hist long, n_grams long, hist binary, sizes binary, words binary, counts binary, above binary, kinds binary, low binary, totals array<long>"
 TOLD_ARROW = pa.schema([("n", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n_hist", pa.int64()), ("n_grams", pa.int64()), *((c, pa.binary()) for c in ("hist", "sizes", "words", "counts", "above", "kinds", "low")), ("totals", pa.list_(pa.int64()))])
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -177,8 +181,9 @@ class Grams:
         """hashes: of the order below."""
         starts = np.flatnonzero(np.append(True, self.history[1:] != self.history[:-1]))
         sizes = np.diff(np.append(starts, len(self.history)))
-        by_hash = np.argsort(hashes[self.history[starts]], kind="stable")
-        self.asked, self.sizes = hashes[self.history[starts]][by_hash], sizes[by_hash]
+        hashes = hashes[self.history[starts]]
+        by_hash = np.argsort(hashes)
+        self.asked, self.sizes = hashes[by_hash], sizes[by_hash]
         ends = np.cumsum(self.sizes)
         self.starts = ends - self.sizes
         self.order = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[by_hash] - self.starts, self.sizes)
@@ -200,7 +205,7 @@ class Chunk:
         self.away = np.repeat(self.held, self.doc_sizes)
         self.first = np.zeros(len(self.tokens), dtype=bool)
         self.first[np.cumsum(self.doc_sizes) - self.doc_sizes] = True
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
         self.grams = {1: Grams(None, np.arange(len(words)), None, hashes, np.bincount(self.tokens[~self.away], minlength=len(words)), self.tokens, 0)}
         for n in range(2, upto + 1):
             self.grams[n] = self.longer(self.grams[n - 1], len(words))
@@ -209,8 +214,13 @@ class Chunk:
         history = np.append(0, below.place[:-1])
         history[self.first] = below.pad
         code = np.append(history * n_words + self.tokens, below.pad * n_words)
-        codes, index, place = np.unique(code, return_index=True, return_inverse=True)
-        pad, place = int(place[-1]), place[:-1].astype(np.int32)
+        order = np.argsort(code)  # any of a code's entries may stand for it, so np.unique's slower stable order is not needed
+        code = code[order]
+        fresh = np.append(True, code[1:] != code[:-1])
+        codes, index = code[fresh], order[fresh]
+        place = np.empty(len(code), dtype=np.int32)
+        place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        pad, place = int(place[-1]), place[:-1]
         history, word = codes // n_words, codes % n_words
         lower = np.append(below.place, below.pad)[index]
         mixed = below.hashes[history]
@@ -231,31 +241,64 @@ def cut(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 
 
 class Told:
-    """What the owners have told a chunk: for each order the count of every n-gram and of its history, and the weights' parts where it may need them."""
+    """What a chunk knows when the owners have answered: for each order the count of every n-gram and of its history, and the weights' parts where it may need them."""
 
-    def __init__(self, chunk: Chunk, answers: list[dict]) -> None:
+    def __init__(self, chunk: Chunk, answers: list[dict], whole: bool = False) -> None:
+        """whole: its own histories were asked too. Answers may come without the weights' parts."""
         self.chunk = chunk
+        self.whole = whole
         self.counts: dict[int, np.ndarray] = {}
+        self.own: dict[int, np.ndarray] = {}  # n-grams of which no other chunk knows more
         self.above: dict[int, np.ndarray] = {}
-        self.weights: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.weights: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({a["n"] for a in answers}):
             rows = sorted((a for a in answers if a["n"] == n), key=lambda a: a["part"])
             g = chunk.grams[n]
             counts = np.concatenate([ints(a["counts"], a["n_grams"]) for a in rows])
-            self.counts[n] = np.empty(len(counts), dtype=np.int64)
             if n == 1:
                 by_hash = np.argsort(g.hashes, kind="stable")
-                self.counts[1][by_hash] = counts
+                self.take(1, by_hash, counts)
                 self.words = np.empty(len(counts), dtype=np.uint64)
                 self.words[by_hash] = np.concatenate([unpack(a["words"], a["n_grams"]) for a in rows])
                 continue
-            self.counts[n][g.order] = counts
-            above = np.concatenate([ints(a["above"], a["n_hist"]) for a in rows])
-            self.above[n] = np.empty(len(counts), dtype=np.int64)
+            asked = self.asked(n)
+            self.take(n, g.order[np.repeat(asked, g.sizes)], counts)
+            above = chunk.grams[n - 1].counts[g.history[g.order[g.starts]]]
+            above[asked] = np.concatenate([ints(a["above"], a["n_hist"]) for a in rows])
+            self.above[n] = np.empty(len(g.counts), dtype=np.int64)
             self.above[n][g.order] = np.repeat(above, g.sizes)
-            open_ = may_back_off(g.counts[g.order], g.starts)
-            kinds = np.concatenate([ints(a["kinds"], len(floats(a["low"])) * K) for a in rows]).reshape(-1, K)
-            self.weights[n] = (open_, kinds, np.concatenate([floats(a["low"]) for a in rows]))
+            if rows[0]["low"] is not None:
+                open_ = may_back_off(g.counts[g.order], g.starts)
+                kinds = np.concatenate([ints(a["kinds"], len(floats(a["low"])) * K) for a in rows]).reshape(-1, K)
+                self.weights[n] = (asked, open_, kinds, np.concatenate([floats(a["low"]) for a in rows]))
+
+    def take(self, n: int, grams: np.ndarray, counts: np.ndarray) -> None:
+        """counts: as told of these n-grams."""
+        mine = self.chunk.grams[n].counts
+        self.counts[n], self.own[n] = mine.copy(), np.ones(len(mine), dtype=bool)
+        self.counts[n][grams] = np.where(counts > 0, counts, mine[grams])
+        self.own[n][grams] = counts == 0
+
+    def asked(self, n: int) -> np.ndarray:
+        """Which histories, in the order of their hashes, are asked about. The padding always is: what it counts as an n-gram is not what its followers count."""
+        g = self.chunk.grams[n]
+        history = g.history[g.order[g.starts]]
+        return ~self.own[n - 1][history] | (history == self.chunk.grams[n - 1].pad) | self.whole
+
+    def weight(self, n: int, model: Discounts) -> np.ndarray:
+        """log10 of the backoff weight of each history, in the order asked, where it may be needed; else 0."""
+        g = self.chunk.grams[n]
+        asked, open_, told_kinds, told_low = self.weights[n]
+        mine = np.repeat(open_ & ~asked, g.sizes) & (g.counts[g.order] > 0)
+        grams = g.order[mine]
+        of, counts = np.repeat(np.cumsum(open_) - 1, g.sizes)[mine], g.counts[grams]
+        many, rare, lower = int(open_.sum()), counts <= K, g.lower[grams]
+        kinds = np.bincount(of[rare] * K + counts[rare] - 1, minlength=many * K).reshape(many, K)
+        low = np.bincount(of, model.seen(self.counts[n - 1][lower], self.above[n - 1][lower] if n > 2 else counts, n - 1), many).astype(float)  # of nothing, numpy gives whole numbers
+        kinds[asked[open_]], low[asked[open_]] = told_kinds, told_low
+        out = np.zeros(len(g.starts))
+        out[open_] = model.weight(n, self.above[n][g.order][g.starts][open_], kinds, low)
+        return out
 
 
 def may_back_off(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -263,8 +306,13 @@ def may_back_off(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(counts, starts) == 0 if len(starts) else np.zeros(0, dtype=bool)
 
 
-def ask(folder: str, n: int, parts: int):
-    """Function of a chunk (with the answers of the orders below) that asks for its n-grams."""
+def tally(counts: np.ndarray) -> list[int]:
+    """How many n-grams occur 1 to K + 1 times, all occurrences, and distinct n-grams."""
+    return [*np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(counts.sum()), len(counts)]
+
+
+def ask(folder: str, n: int, parts: int, whole: bool = False):
+    """Function of a chunk (with the answers of the orders below) that asks for its n-grams; whole: also for those of its own histories."""
 
     def rows(ref: dict, answers: list[dict]) -> list[dict]:
         c = Chunk(folder, ref, n)
@@ -275,12 +323,20 @@ def ask(folder: str, n: int, parts: int):
             for part, lo, hi in cut(keys, parts):
                 out.append({"n": 1, "part": part, "chunk": c.number, "n_hist": 0, "n_grams": hi - lo, "hist": pack_sorted(keys[lo:hi]), "counts": pack(counts[lo:hi])})
             return out
-        told = Told(c, answers)
-        words, counts, lower = told.words[g.word][g.order], g.counts[g.order], told.counts[n - 1][g.lower][g.order]
-        above = told.above[n - 1][g.lower][g.order][g.starts] if n > 2 else np.zeros(len(g.starts), dtype=np.int64)
-        for part, lo, hi in cut(g.asked, parts):
-            a, b = int(g.starts[lo]), int(g.starts[hi - 1] + g.sizes[hi - 1])
-            out.append({"n": n, "part": part, "chunk": c.number, "n_hist": hi - lo, "n_grams": b - a, "hist": pack_sorted(g.asked[lo:hi]), "sizes": pack(g.sizes[lo:hi]), "words": pack(words[a:b]), "counts": pack(counts[a:b]), "lower": pack(np.where(counts[a:b] > 0, lower[a:b], 0)), "above": pack(above[lo:hi])})
+        told = Told(c, answers, whole)
+        asked = told.asked(n)
+        entries = np.repeat(asked, g.sizes)
+        own = g.counts[g.order[~entries]]
+        totals: list[int] | None = tally(own[own > 0])
+        order, hashes, sizes = g.order[entries], g.asked[asked], g.sizes[asked]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        words, counts, lower = told.words[g.word[order]], g.counts[order], told.counts[n - 1][g.lower[order]]
+        above = told.above[n - 1][g.lower[order[starts]]] if n > 2 else np.zeros(len(starts), dtype=np.int64)
+        for part, lo, hi in cut(hashes, parts):  # never none: the padding is asked
+            a, b = int(starts[lo]), int(ends[hi - 1])
+            out.append({"n": n, "part": part, "chunk": c.number, "n_hist": hi - lo, "n_grams": b - a, "hist": pack_sorted(hashes[lo:hi]), "sizes": pack(sizes[lo:hi]), "words": pack(words[a:b]), "counts": pack(counts[a:b]), "lower": pack(np.where(counts[a:b] > 0, lower[a:b], 0)), "above": pack(above[lo:hi]), "totals": totals})
+            totals = None
         return out
 
     def run(key: tuple, refs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -344,17 +400,22 @@ class Page:
     above: np.ndarray
     kinds: np.ndarray
     low: np.ndarray
+    shared: np.ndarray  # n-grams that more than one chunk has asked for
 
-    def answer(self, hist: np.ndarray, sizes: np.ndarray, words: np.ndarray, asked: np.ndarray) -> dict:
-        """What a chunk is told that asked for followers of histories; asked: its own training counts."""
+    def find(self, hist: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of histories, which are there, places of their followers, which are there."""
         at = np.minimum(np.searchsorted(self.hist, hist), max(0, len(self.hist) - 1))
         known = self.hist[at] == hist if len(self.hist) else np.zeros(len(hist), dtype=bool)
         key = np.repeat(at.astype(np.uint64), sizes) << np.uint64(FOLLOWER_BITS) | words
         place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        there = (self.keys[place] == key) & np.repeat(known, sizes) if len(self.keys) else np.zeros(len(key), dtype=bool)
+        return at, known, place, (self.keys[place] == key) & np.repeat(known, sizes) if len(self.keys) else np.zeros(len(key), dtype=bool)
+
+    def answer(self, hist: np.ndarray, sizes: np.ndarray, words: np.ndarray, asked: np.ndarray) -> dict:
+        """What a chunk is told that asked for followers of histories; asked: its own training counts."""
+        at, known, place, there = self.find(hist, sizes, words)
         open_ = may_back_off(asked, np.cumsum(sizes) - sizes)
         of = lambda values: np.where(known.reshape(-1, *[1] * (values.ndim - 1)), values[at], 0) if len(values) else np.zeros((len(hist), *values.shape[1:]), values.dtype)
-        return {"n_hist": len(hist), "n_grams": len(key), "counts": pack(np.where(there, self.counts[place], 0) if len(self.counts) else np.zeros(len(key))), "above": pack(of(self.above)), "kinds": pack(of(self.kinds)[open_].reshape(-1)), "low": pack_floats(of(self.low)[open_])}
+        return {"n_hist": len(hist), "n_grams": len(words), "counts": pack(np.where(there & self.shared[place], self.counts[place], 0) if len(self.counts) else np.zeros(len(words))), "above": pack(of(self.above)), "kinds": pack(of(self.kinds)[open_].reshape(-1)), "low": pack_floats(of(self.low)[open_])}
 
     def row(self) -> dict:
         """The page as it is stored."""
@@ -365,17 +426,19 @@ class Page:
     def read(row: dict) -> Page:
         h, g = row["n_hist"], row["n_grams"]
         keys = np.repeat(np.arange(h, dtype=np.uint64), ints(row["sizes"], h)) << np.uint64(FOLLOWER_BITS) | unpack(row["words"], g)
-        return Page(unpack_sorted(row["hist"], h), keys, ints(row["counts"], g), ints(row["above"], h), ints(row["kinds"], h * K).reshape(-1, K), floats(row["low"]))
+        return Page(unpack_sorted(row["hist"], h), keys, ints(row["counts"], g), ints(row["above"], h), ints(row["kinds"], h * K).reshape(-1, K), floats(row["low"]), np.ones(g, dtype=bool))
 
 
 def page_of(rows: list[dict], n: int, model: Discounts) -> tuple[Page, list[int]]:
-    """The page of an owner's asked rows, of what occurs in training, and its counts of counts."""
-    hist, words, counts, lower, above = [], [], [], [], []
+    """The page of an owner's asked rows, of what occurs in training, and its counts of counts with those that came with the rows."""
+    hist, words, counts, lower, above, away = [], [], [], [], [], []
     for r in rows:
         c = ints(r["counts"], r["n_grams"])
         mine, sizes = c > 0, ints(r["sizes"], r["n_hist"])
-        hist.append(np.repeat(unpack_sorted(r["hist"], r["n_hist"]), sizes)[mine])
-        words.append(unpack(r["words"], r["n_grams"])[mine])
+        h, w = np.repeat(unpack_sorted(r["hist"], r["n_hist"]), sizes), unpack(r["words"], r["n_grams"])
+        away.append((h[~mine], w[~mine]))
+        hist.append(h[mine])
+        words.append(w[mine])
         counts.append(c[mine])
         lower.append(ints(r["lower"], r["n_grams"])[mine])
         above.append(np.repeat(ints(r["above"], r["n_hist"]), sizes)[mine])
@@ -384,8 +447,9 @@ def page_of(rows: list[dict], n: int, model: Discounts) -> tuple[Page, list[int]
     if len(names) >= 1 << 64 - FOLLOWER_BITS:
         raise ValueError("too many histories for one owner")
     key = at.astype(np.uint64) << np.uint64(FOLLOWER_BITS) | words
-    order = np.argsort(key, kind="stable")
-    fresh = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(key)  # chunks agree on lower and above
+    ordered = key[order]
+    fresh = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     total = np.add.reduceat(counts[order], fresh) if len(key) else counts
     one = order[fresh]
     of = at[one]
@@ -393,17 +457,20 @@ def page_of(rows: list[dict], n: int, model: Discounts) -> tuple[Page, list[int]
     rare = total <= K
     np.add.at(kinds, (of[rare], total[rare] - 1), 1)
     mass = model.seen(lower[one], above[one], n - 1)
-    page = Page(names, key[one], total, np.bincount(of, total, len(names)).astype(np.int64), kinds, np.bincount(of, mass, len(names)))
-    return page, [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), len(total)]
+    page = Page(names, ordered[fresh], total, np.bincount(of, total, len(names)).astype(np.int64), kinds, np.bincount(of, mass, len(names)), np.diff(np.append(fresh, len(key))) > 1)
+    for h, w in away:  # held-out texts ask too
+        *_, place, there = page.find(h, np.ones(len(h), dtype=np.int64), w)
+        page.shared[place[there]] = True
+    return page, np.sum([tally(total), *(r["totals"] for r in rows if r["totals"])], axis=0).tolist()
 
 
-def word_page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The distinct words of an owner and their training counts, and the counts of counts."""
+def word_page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The distinct words of an owner, their training counts, which more than one chunk has asked for, and the counts of counts."""
     keys, counts = np.concatenate([unpack_sorted(r["hist"], r["n_grams"]) for r in rows]), np.concatenate([ints(r["counts"], r["n_grams"]) for r in rows])
-    keys, counts = keys[counts > 0], counts[counts > 0]
     names, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, counts, len(names)).astype(np.int64)
-    return names, total, [*np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(total.sum()), len(total)]
+    total, chunks = np.bincount(at, counts, len(names)).astype(np.int64), np.bincount(at, minlength=len(names))
+    known = total > 0
+    return names[known], total[known], chunks[known] > 1, tally(total[known])
 
 
 def word_numbers(total: np.ndarray, part: int, parts: int) -> np.ndarray:
@@ -426,13 +493,14 @@ def owner(n: int, parts: int, model: Discounts | None, keep: bool = True):
         if n == 1:
             if stored:
                 names, total = unpack_sorted(stored[0]["hist"], stored[0]["n_grams"]), ints(stored[0]["counts"], stored[0]["n_grams"])
+                common = np.ones(len(names), dtype=bool)
             else:
-                names, total, totals = word_page(rows)
+                names, total, common, totals = word_page(rows)
                 yield shared | {"chunk": None, "totals": totals} | ({"n_hist": 0, "n_grams": len(names), "hist": pack_sorted(names), "counts": pack(total)} if keep else {})
             numbers = word_numbers(total, part, parts)
             for r in rows:
                 keys = unpack_sorted(r["hist"], r["n_grams"])
-                yield shared | {"chunk": r["chunk"], "n_hist": 0, "n_grams": r["n_grams"], "counts": pack(looked_up(names, total, keys)), "words": pack(looked_up(names, numbers, keys))}
+                yield shared | {"chunk": r["chunk"], "n_hist": 0, "n_grams": r["n_grams"], "counts": pack(looked_up(names, np.where(common, total, 0), keys)), "words": pack(looked_up(names, numbers, keys))}
             return
         if stored:
             page = Page.read(stored[0])
@@ -466,11 +534,8 @@ def score(folder: str, model: Discounts, upto: int):
         chance = np.log10(model.word(count))
         for n in range(2, upto + 1):
             g, joint, above = c.grams[n], told.counts[n], told.above[n]
-            open_, kinds, low = told.weights[n]
-            weight = np.zeros(len(g.starts))
-            weight[open_] = model.weight(n, above[g.order][g.starts][open_], kinds, low)
             spread = np.empty(len(joint))
-            spread[g.order] = np.repeat(weight, g.sizes)
+            spread[g.order] = np.repeat(told.weight(n, model), g.sizes)
             chance = np.where(joint > 0, np.log10(np.maximum(model.seen(joint, above, n), 1e-300)), spread + chance[g.lower])
         doc = np.repeat(np.arange(len(c.doc_sizes)), c.doc_sizes)
         per = lambda v: np.bincount(doc, v, len(c.doc_sizes))
@@ -519,11 +584,11 @@ def chunks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) ->
     return store(rows.mapInArrow(write_chunks(folder), CHUNKS), "chunk-places"), folder
 
 
-def told_to_chunks(answers: dict[int, DataFrame]) -> DataFrame:
-    """The answers of all orders, without the pages."""
+def told_to_chunks(answers: dict[int, DataFrame], weights: bool) -> DataFrame:
+    """The answers of all orders, without the pages; what weights are made of only for scores, as questions need none."""
     out = None
     for a in answers.values():
-        rows = a.where("not page").select("n", "part", "chunk", "n_hist", "n_grams", "words", "counts", "above", "kinds", "low")
+        rows = a.where("not page").select("n", "part", "chunk", "n_hist", "n_grams", "words", "counts", "above", *(F.col(c) if weights else F.lit(None).cast("binary").alias(c) for c in ("kinds", "low")))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -533,20 +598,20 @@ def dealt(rows: DataFrame, column: str, values: int) -> DataFrame:
     return rows.repartition(max(1, min(MOST_TASKS, values)), column)
 
 
-def questions(chunks: DataFrame, folder: str, n: int, parts: int, answers: dict[int, DataFrame]) -> DataFrame:
-    """What the chunks ask for in an order, given the answers of those below."""
+def questions(chunks: DataFrame, folder: str, n: int, parts: int, answers: dict[int, DataFrame], whole: bool = False) -> DataFrame:
+    """What the chunks ask for in an order, given the answers of those below; whole: also of their own histories."""
     many = chunks.count()
     by_chunk = dealt(chunks, "chunk", many)
     if n == 1:
         asked = by_chunk.mapInArrow(ask(folder, 1, parts), ASKED)
     else:
-        asked = by_chunk.groupBy("chunk").cogroup(dealt(told_to_chunks(answers), "chunk", many).groupBy("chunk")).applyInArrow(ask(folder, n, parts), ASKED)
+        asked = by_chunk.groupBy("chunk").cogroup(dealt(told_to_chunks(answers, False), "chunk", many).groupBy("chunk")).applyInArrow(ask(folder, n, parts, whole), ASKED)
     return dealt(asked, "part", parts)
 
 
 def scored(chunks: DataFrame, folder: str, model: Discounts, answers: dict[int, DataFrame]) -> DataFrame:
     many = chunks.count()
-    told = dealt(told_to_chunks(answers), "chunk", many)
+    told = dealt(told_to_chunks(answers, True), "chunk", many)
     return dealt(chunks, "chunk", many).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score(folder, model, max(answers)), SCORED)
 
 
@@ -564,7 +629,7 @@ def learned(chunks: DataFrame, folder: str, order: int, keep: bool) -> tuple[Dis
     totals = {n: [0] * (K + 3) for n in parts}
     for n in parts:
         model = Discounts(totals) if n > 1 else None
-        answers[n] = store(questions(chunks, folder, n, parts[n], answers).groupBy("part").applyInArrow(owner(n, parts[n], model, keep)[0], TOLD).withColumn("page", F.col("chunk").isNull()), f"ngrams-{n}", "page")
+        answers[n] = store(questions(chunks, folder, n, parts[n], answers, keep).groupBy("part").applyInArrow(owner(n, parts[n], model, keep)[0], TOLD).withColumn("page", F.col("chunk").isNull()), f"ngrams-{n}", "page")
         sums = answers[n].where("page").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(K + 3))).first()
         totals[n] = [int(t or 0) for t in sums]
         unused_shuffles(chunks.sparkSession)

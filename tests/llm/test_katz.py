@@ -129,6 +129,50 @@ def test_a_batch_of_more_rows_than_a_chunk(spark):
     check(rows, katz.katz_scores(docs, F.col("doc_id") % 5 == 1).collect(), lambda i: i % 5 == 1)
 
 
+def wide(seed):
+    """Texts of words of which most are in few texts, with copies, one-word and empty ones."""
+    rng = random.Random(seed)
+    text = lambda: " ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(rng.choice([0, 1, 5, 40])))
+    rows = [(i, text()) for i in range(90)]
+    return rows + [(i + 100, rows[i][1]) for i in range(0, 90, 9)]
+
+
+def test_questions_leave_out_what_only_their_chunk_knows(spark, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_ROWS", 8)
+    rows, held = wide(11), lambda i: i % 4 == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chunks, folder = katz.chunks_of(docs, F.col("doc_id") % 4 == 1, "doc_id", "text")
+    _, answers, parts = katz.learned(chunks, folder, 2, False)
+    asked = katz.questions(chunks, folder, 3, 1, answers).agg(F.sum("n_hist").alias("h"), F.sum("n_grams").alias("g"), F.sum(F.col("totals")[katz.K + 1]).alias("own")).first()
+    b, texts = Brute([t for i, t in rows if not held(i)], 3), dict(rows)
+    of_chunks = [katz.Chunk(folder, c.asDict(), 1).doc_ids for c in chunks.collect()]
+    trigrams = [{g for i in ids for g in b.grams(texts[i])} | {(END, END, END)} for ids in of_chunks]
+    holders = collections.Counter(h for grams in trigrams for h in {g[1:] for g in grams})
+    hist = grams = own = 0
+    for ids, every in zip(of_chunks, trigrams):
+        needed = {g[:2] for g in every if g[:2] == (END, END) or holders[g[:2]] > 1 and b.counts[2][g[:2]]}
+        hist, grams = hist + len(needed), grams + sum(g[:2] in needed for g in every)
+        inside = Brute([texts[i] for i in ids if not held(i)], 3)
+        own += sum(n for g, n in inside.counts[3].items() if g[:2] not in needed)
+    assert (asked.h, asked.g, asked.own) == (hist, grams, own) and own > 0
+    told = katz.told_to_chunks(answers, False).where("kinds IS NOT NULL OR low IS NOT NULL")
+    assert told.count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_where_chunks_know_most_of_their_own_histories(spark, monkeypatch, order):
+    monkeypatch.setattr(katz, "CHUNK_ROWS", 8)
+    monkeypatch.setattr(katz, "OWNER_ITEMS", 300)
+    rows = wide(12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(rows, katz.katz_scores(docs, F.col("doc_id") % 4 == 1, order=order).collect(), lambda i: i % 4 == 1, order)
+    model = katz.train(docs, order=order)
+    later = [(i, t) for i, t in wide(13)]
+    got = {r.doc_id: r.score for r in model.score(spark.createDataFrame(later, "doc_id long, text string")).collect()}
+    b = Brute([t for _, t in rows], order)
+    assert got == {i: pytest.approx(b.score(t), rel=1e-9) for i, t in later}
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = katz.katz_scores(docs, F.lit(True)).first()

@@ -250,7 +250,7 @@ def artifact_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = (
         F.when(way == 1, F.concat(F.lit("{broken"), d)).when(way == 2, swap(r"^\{", '{"capsule_id":"other",')).when(way == 3, swap(r'"duration_seconds":[0-9.E]+,"checks"', '"duration_seconds":NaN,"checks"'))
         .when(way == 4, swap(r'"status":"[a-z]+","started_at"', '"started_at"')).when(way == 5, swap(r"^\{", '{"note":1,')).when(way == 6, swap(r'"duration_seconds":[0-9.E]+,"checks"', '"duration_seconds":"1","checks"'))
-        .when(way == 7, swap(r'("started_at":"[^"]+)Z"', '$1"')).when(way == 8, swap(r'"finished_at":"[0-9]+', '"finished_at":"1901'))
+        .when(way == 7, swap(r'("started_at":"[^"]+)Z"', '$1"')).when(way == 8, swap(r'"finished_at":"[^"]+', '"finished_at":"1901-01-01T00:00:00Z'))
         .when(way == 9, swap(r'"status":"[a-z]+","started_at"', F.when(d.rlike('"status":"passed","started_at"'), '"status":"failed","started_at"').otherwise('"status":"passed","started_at"')))
         .when(way == 10, swap(r'"total":', '"total":1')).when(way == 11, swap(r'"details":\{[^}]*\}', '"details":{"deep":[{"StdOut":1}]}')).otherwise(d)
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,24 @@ def depth(value: object) -> int:
 
 
 MOMENT = re.compile(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d(\.\d+)?)?([Zz]|[+-]\d\d:?\d\d)")
+
+
+def is_moment(text: str) -> bool:
+    """Whether a text is a time with its zone, of a day that the calendar has."""
+    if MOMENT.fullmatch(text) is None:
+        return False
+    try:
+        datetime.fromisoformat(text.upper())
+    except ValueError:
+        return False
+    return True
+
+
 PLAIN: list[tuple[type[T.DataType] | tuple, str, object]] = [
     (T.BooleanType, "a boolean", lambda v: isinstance(v, bool)),
     (T.IntegralType, "a whole number", lambda v: isinstance(v, int) and not isinstance(v, bool)),
     (T.FractionalType, "a finite number", lambda v: isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v)),
-    (T.TimestampType, "a time with its zone", lambda v: isinstance(v, str) and MOMENT.fullmatch(v) is not None),
+    (T.TimestampType, "a time with its zone", lambda v: isinstance(v, str) and is_moment(v)),
     (T.StringType, "a text", lambda v: isinstance(v, str)),
 ]
 

@@ -288,6 +288,31 @@ def test_artifacts_that_may_not_be_stored(spark):
     assert {r.source_name: r.fault for r in artifact_faults(docs).collect()} == {n: f for n, (_, f) in cases.items() if f}
 
 
+@pytest.mark.parametrize("moment", ["1901-02-29T00:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01T25:00:00Z", "2024-04-31 10:00:00+02:00", "0000-01-01T00:00:00Z"])
+def test_a_time_that_no_calendar_has_is_a_fault(spark, moment):
+    from plumbline.sources.artifacts import artifact_faults
+
+    docs = spark.createDataFrame([("impossible", json.dumps(result(finished_at=moment))), ("leap", json.dumps(result(finished_at="2024-02-29T23:59:59.123456789z")))], "source_name string, document string")
+    assert [(r.source_name, r.fault) for r in artifact_faults(docs).collect()] == [("impossible", "/finished_at: not a time with its zone")]
+
+
+def test_artifacts_of_orders_on_leap_days_have_their_planted_faults(spark, tmp_path):
+    import duckdb
+
+    from plumbline.queries import ORACLE_SQL
+
+    rows = ", ".join(f"({k}, 1, 'F', 1001.0 + {k}, TIMESTAMP '1996-02-29 00:00:00', '1-URGENT')" for k in range(24))
+    lines = ", ".join(f"({k}, {k}, 1, 1, 1.0, 1.0, 0.0, 0.0, 'A', 'F', TIMESTAMP '1996-03-01 00:00:00')" for k in range(24))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE orders AS SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice, o_orderdate, o_orderpriority FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)")
+    con.execute(f"CREATE TABLE lineitem AS SELECT l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_linenumber::INTEGER AS l_linenumber, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM (VALUES {lines}) t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)")
+    con.execute("CREATE TABLE customer AS SELECT 1::BIGINT AS c_custkey, 'BUILDING' AS c_mktsegment")
+    for name in ("orders", "lineitem", "customer"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = {(r.source_name, r.fault) for r in QUERIES["artifact_faults"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(ORACLE_SQL["artifact_faults"]).fetchall()) and ("8", "run ends before it starts") in got
+
+
 def test_two_ingests_of_one_source_show_it_once(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     store.initialize(spark, root)

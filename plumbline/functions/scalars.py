@@ -106,9 +106,13 @@ def no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+#: Made once: json.loads makes a decoder for each text.
+STRICT = json.JSONDecoder(object_pairs_hook=unique_object, parse_constant=no_constant)
+
+
 def strict_json(text: str) -> object:
     """JSON without repeated keys, NaN or infinities."""
-    return json.loads(text, object_pairs_hook=unique_object, parse_constant=no_constant)
+    return STRICT.decode(text)
 
 
 def strict_or_none(text: str | None) -> object:

@@ -22,13 +22,18 @@ def failure_code(outcome: Column, exit_code: Column, errno: Column, complication
     )
 
 
-def classify(checks: DataFrame) -> DataFrame:
-    """Failed checks (outcome, exit_code, errno, complication, blocked_by) with their record: code, category, impact, retryability, summary, caused_by_check_id, causes."""
-    coded = checks.where(F.col("outcome").isNotNull()).withColumn("code", failure_code(F.col("outcome"), F.col("exit_code"), F.col("errno"), F.col("complication")))
+def classified(checks: DataFrame, how: str = "left") -> DataFrame:
+    """Checks (outcome, exit_code, errno, complication, blocked_by) with the record of those that failed beside them: code, category, impact, retryability, summary, caused_by_check_id, causes; code is null where there is none."""
+    coded = checks.withColumn("code", failure_code(F.col("outcome"), F.col("exit_code"), F.col("errno"), F.col("complication")))
     late = (F.col("outcome") == "timeout") & (F.col("code") != "timeout")
     summary = F.when(late & (F.col("code") == "output_capture"), "command timed out and output capture became unreliable").otherwise(F.col("summary"))
-    known = coded.join(F.broadcast(taxonomy(checks.sparkSession)), "code")  # twelve rows
-    return known.withColumn("summary", summary).withColumn("caused_by_check_id", F.when(F.col("code") == "skipped_after_failure", F.col("blocked_by"))).withColumn("causes", F.when(late, F.array(F.lit("timeout"))).otherwise(F.array().cast("array<string>")))
+    known = coded.join(F.broadcast(taxonomy(checks.sparkSession)), "code", how)  # twelve rows
+    return known.withColumn("summary", summary).withColumn("caused_by_check_id", F.when(F.col("code") == "skipped_after_failure", F.col("blocked_by"))).withColumn("causes", F.when(late, F.array(F.lit("timeout"))).when(F.col("code").isNotNull(), F.array().cast("array<string>")))
+
+
+def classify(checks: DataFrame) -> DataFrame:
+    """Failed checks with their record, as of classified()."""
+    return classified(checks.where(F.col("outcome").isNotNull()), "inner")
 
 
 def inconsistent_records(records: DataFrame) -> DataFrame:
@@ -65,6 +70,19 @@ def failure_summary(records: DataFrame) -> DataFrame:
     return runs.select("run_key", "total", "evaluation_failures", "infrastructure_errors", "not_evaluated", counts("category").alias("by_category"), counts("code").alias("by_code"), F.col("p.first.check_id").alias("primary_check_id"), F.col("p.code").alias("primary_code"))
 
 
+def summary_of(failures: Column) -> Column:
+    """failure_summary() of one run whose failures are an array of structs (check_index, check_id, category, code, impact); null if there are none."""
+    rank = lambda impact: F.coalesce(*(F.when(impact == k, F.lit(v)) for k, v in IMPACT_RANK.items()))
+    first = F.array_min(F.transform(failures, lambda f: F.struct(rank(f["impact"]).alias("rank"), f["check_index"], f["check_id"].alias("check_id"), f["code"].alias("code"))))
+    of = lambda impact: F.size(F.filter(failures, lambda f: f["impact"] == impact))
+
+    def counts(field: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(failures, lambda f: f[field])))
+        return F.map_from_entries(F.transform(names, lambda name: F.struct(name, F.size(F.filter(failures, lambda f: f[field] == name)))))
+
+    return F.when(F.size(failures) > 0, F.struct(F.size(failures).alias("total"), of("evaluation_failure").alias("evaluation_failures"), of("infrastructure_error").alias("infrastructure_errors"), of("not_evaluated").alias("not_evaluated"), counts("category").alias("by_category"), counts("code").alias("by_code"), first["check_id"].alias("primary_check_id"), first["code"].alias("primary_code")))
+
+
 def variant_summary(runs: DataFrame, *keys: str) -> DataFrame:
     """Per variant: runs, passed, failed, errors, pass_rate, mean_duration_seconds."""
     of = lambda status: F.count_if(F.col("status") == status)

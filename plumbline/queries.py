@@ -184,16 +184,16 @@ def experiment_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run artifact of each order, as JSON text."""
-    c = ev.outcomes(spark, sf_dir)
-    f = runs.classify(c)
-    failure = F.struct("category", "code", "impact", "retryability", "summary", F.struct(F.col("exit_code").alias("actual_exit_code")).alias("details"), "caused_by_check_id", "causes")
-    checks = c.join(f.select("check_key", failure.alias("failure")), "check_key", "left")
-    check = F.struct(F.col("check_id").alias("id"), F.array(F.lit("check")).alias("argv"), "cwd", "status", "exit_code", "duration_seconds", F.lit("").alias("stdout"), F.col("check_id").alias("stderr"), "stdout_truncated", "stderr_truncated", F.col("error_message").alias("error"), "failure")
-    made = checks.groupBy("run_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("check_index", check.alias("check")))), lambda x: x["check"]).alias("checks"))
-    summed = runs.failure_summary(f).select("run_key", F.struct("total", "evaluation_failures", "infrastructure_errors", "not_evaluated", "by_category", "by_code", "primary_check_id", "primary_code").alias("failure_summary"))
-    moment = lambda name: F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
-    r = ev.runs(spark, sf_dir).join(made, "run_key", "left").join(summed, "run_key", "left")
+    c = runs.classified(ev.outcomes(spark, sf_dir))
+    failed = F.col("code").isNotNull()
+    failure = F.when(failed, F.struct("category", "code", "impact", "retryability", "summary", F.struct(F.col("exit_code").alias("actual_exit_code")).alias("details"), "caused_by_check_id", "causes")).alias("failure")
+    check = F.struct(F.col("check_id").alias("id"), F.array(F.lit("check")).alias("argv"), "cwd", "status", "exit_code", "duration_seconds", F.lit("").alias("stdout"), F.col("check_id").alias("stderr"), "stdout_truncated", "stderr_truncated", F.col("error_message").alias("error"), failure)
+    made = c.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("check_index", check.alias("check")))).alias("made"))
+    failures = F.transform(F.filter("made", lambda x: x["check"]["failure"].isNotNull()), lambda x: F.struct(x["check_index"].alias("check_index"), x["check"]["id"].alias("check_id"), *(x["check"]["failure"][name].alias(name) for name in ("category", "code", "impact"))))
+    made = made.select("o_orderkey", F.transform("made", lambda x: x["check"]).alias("checks"), runs.summary_of(failures).alias("failure_summary"))
+    r = ev.orders(spark, sf_dir).join(made, "o_orderkey", "left")
     none = F.array().cast(made.schema["checks"].dataType)
+    moment = lambda name: F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
     doc = F.struct(F.concat(F.lit("capsule-"), F.col("run_id")).alias("capsule_id"), F.when(F.col("failure_summary.infrastructure_errors") > 0, "error").when(F.col("failure_summary").isNotNull(), "failed").otherwise("passed").alias("status"), moment("started_at"), moment("finished_at"), "duration_seconds", F.coalesce("checks", none).alias("checks"), "failure_summary")
     return r.select(F.col("run_id").alias("source_name"), F.to_json(doc).alias("document"))
 

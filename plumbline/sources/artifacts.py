@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import strict_or_none
 from plumbline.schemas import IMPACT_RANK, STATUS_CODES, TAXONOMY
-from plumbline.sources.documents import shape_of
+from plumbline.sources.documents import check_of, shape_of
 
 MAX_DETAILS_BYTES = 4096
 #: Keys that failure details never hold, in any case.
 FORBIDDEN_DETAILS = ("stdout", "stderr", "output_text", "raw_output")
+COMPACT = json.JSONEncoder(separators=(",", ":"))
 RUN_STATUSES = ("passed", "failed", "error")
 
 FAILURE = "struct<schema_version:string,category:string not null,code:string not null,impact:string not null,retryability:string not null,summary:string not null,details:string comment 'object',caused_by_check_id:string,causes:array<string>>"
@@ -40,6 +41,8 @@ Faults = list[tuple[str, Column]]
 
 def detail_fault(value: object) -> str | None:
     """What keeps failure details from being kept: a forbidden key at any depth, or too many bytes."""
+    if not value:
+        return None
     todo = [value]
     while todo:
         v = todo.pop()
@@ -49,7 +52,7 @@ def detail_fault(value: object) -> str | None:
             todo += v.values()
         elif isinstance(v, list):
             todo += v
-    return "failure details are too long" if len(json.dumps(value, separators=(",", ":"))) > MAX_DETAILS_BYTES else None
+    return "failure details are too long" if len(COMPACT.encode(value)) > MAX_DETAILS_BYTES else None
 
 
 def details_in(artifact: dict) -> Iterator[object]:
@@ -62,12 +65,12 @@ def details_in(artifact: dict) -> Iterator[object]:
 
 def judged():
     """UDF document -> (is_experiment, shape, details): the kind of an artifact, what keeps it from its schema, and the first fault of its failure details. A document is parsed once for all of it; details count at any depth, so this runs in Arrow batches in Python."""
-    kinds = {True: T.StructType.fromDDL(EXPERIMENT), False: T.StructType.fromDDL(RESULT)}
+    checks = {True: check_of(T.StructType.fromDDL(EXPERIMENT)), False: check_of(T.StructType.fromDDL(RESULT))}
 
     def of(text: str | None) -> tuple[bool, str | None, str | None]:
         value = strict_or_none(text)
         experiment = isinstance(value, dict) and "experiment_id" in value
-        shape = shape_of(value, kinds[experiment])
+        shape = shape_of(text, value, checks[experiment])
         return experiment, shape, None if shape else next((f for d in details_in(value) if (f := detail_fault(d))), None)
 
     @F.pandas_udf(T.StructType([T.StructField("is_experiment", T.BooleanType()), T.StructField("shape", T.StringType()), T.StructField("details", T.StringType())]))
@@ -186,7 +189,9 @@ def parsed(artifacts: DataFrame) -> DataFrame:
     rows = once.select("source_sha256", "source_name", F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), judged()("document").alias("j")).select("source_sha256", "source_name", "a", "j.*")
     results = F.when(F.col("is_experiment"), F.transform("a.runs", lambda r: r["result"])).otherwise(F.array(F.struct(*(F.col(f"a.{name}") for name in RESULT_FIELDS))))
     agrees = F.coalesce(F.when(F.col("is_experiment"), first_of(experiment_faults(F.col("a")))), F.get(F.array_compact(F.transform(results, lambda r: first_of(result_faults(r)))), 0))
-    return rows.select("source_sha256", "source_name", "a", "is_experiment", F.coalesce("shape", F.when(F.col("shape").isNull(), agrees), "details").alias("fault"))
+    fault = F.coalesce("shape", F.when(F.col("shape").isNull(), agrees), "details")
+    # From an explode, as what filters by the fault would else be pushed below the parsing, and have each document parsed again for each field that it compares.
+    return rows.select("source_sha256", "source_name", "a", "is_experiment", F.explode(F.array(fault)).alias("fault"))
 
 
 def artifact_faults(artifacts: DataFrame) -> DataFrame:

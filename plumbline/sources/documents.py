@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
@@ -64,55 +65,102 @@ def is_moment(text: str) -> bool:
 PLAIN: list[tuple[type[T.DataType] | tuple, str, object]] = [
     (T.BooleanType, "a boolean", lambda v: isinstance(v, bool)),
     (T.IntegralType, "a whole number", lambda v: isinstance(v, int) and not isinstance(v, bool)),
-    (T.FractionalType, "a finite number", lambda v: isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v)),
+    (T.FractionalType, "a finite number", lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)),
     (T.TimestampType, "a time with its zone", lambda v: isinstance(v, str) and is_moment(v)),
     (T.StringType, "a text", lambda v: isinstance(v, str)),
 ]
 
 
-def mismatch(value: object, kind: T.DataType, comment: str | None = None, at: str = "") -> str | None:
-    """Where a JSON value first departs from a schema, or null. Fields that are not null are needed; a text field with the comment json holds any value, with object an object."""
-    if comment in ("json", "object"):
-        return None if comment == "json" or isinstance(value, dict) else f"{at or '/'}: not an object"
-    if isinstance(kind, T.StructType):
+#: What Python's own type says enough of.
+SURE: dict[type[T.DataType], type] = {T.StringType: str, T.BooleanType: bool, T.IntegerType: int, T.LongType: int}
+Check = Callable[[object], str | None]
+
+
+def plain(name: str, fits: Callable[[object], bool]) -> Check:
+    fault = f": not {name}"
+    return lambda v: None if fits(v) else fault
+
+
+def struct_check(kind: T.StructType) -> Check:
+    names = frozenset(kind.names)
+    fields = [(f.name, f.nullable, SURE.get(type(f.dataType)) if not f.metadata.get("comment") else None, check_of(f.dataType, f.metadata.get("comment"))) for f in kind]
+
+    def check(value: object) -> str | None:
         if not isinstance(value, dict):
-            return f"{at or '/'}: not an object"
-        unknown = sorted(value.keys() - set(kind.names))
-        if unknown:
-            return f"{at}/{unknown[0]}: unknown field"
-        for f in kind:
-            if value.get(f.name) is None:
-                if not f.nullable:
-                    return f"{at}/{f.name}: missing"
-            elif fault := mismatch(value[f.name], f.dataType, f.metadata.get("comment"), f"{at}/{f.name}"):
-                return fault
+            return ": not an object"
+        if not value.keys() <= names:
+            return f"/{min(value.keys() - names)}: unknown field"
+        for name, nullable, sure, fits in fields:
+            v = value.get(name)
+            if type(v) is sure:
+                continue
+            if v is None:
+                if not nullable:
+                    return f"/{name}: missing"
+            elif fault := fits(v):
+                return f"/{name}{fault}"
         return None
-    if isinstance(kind, T.ArrayType | T.MapType):
-        items = enumerate(value) if isinstance(kind, T.ArrayType) and isinstance(value, list) else value.items() if isinstance(kind, T.MapType) and isinstance(value, dict) else None
-        if items is None:
-            return f"{at or '/'}: not {'an array' if isinstance(kind, T.ArrayType) else 'an object'}"
-        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
-        return next((fault for k, v in items if (fault := mismatch(v, inner, None, f"{at}/{k}"))), None)
-    name, fits = next((n, f) for t, n, f in PLAIN if isinstance(kind, t))
-    return None if fits(value) else f"{at}: not {name}"
-
-
-def shape_of(value: object, schema: T.StructType | None = None) -> str | None:
-    """What keeps a parsed text (strict_or_none) from being a JSON object, of that schema if one is given."""
+
+    return check
+
+
+def array_check(kind: T.ArrayType) -> Check:
+    fits = check_of(kind.elementType)
+
+    def check(value: object) -> str | None:
+        if not isinstance(value, list):
+            return ": not an array"
+        for k, v in enumerate(value):
+            if fault := fits(v):
+                return f"/{k}{fault}"
+        return None
+
+    return check
+
+
+def map_check(kind: T.MapType) -> Check:
+    fits = check_of(kind.valueType)
+
+    def check(value: object) -> str | None:
+        if not isinstance(value, dict):
+            return ": not an object"
+        for k, v in value.items():
+            if fault := fits(v):
+                return f"/{k}{fault}"
+        return None
+
+    return check
+
+
+def check_of(kind: T.DataType, comment: str | None = None) -> Check:
+    """What tells the place, from the value on, where a JSON value first departs from a schema, or null. It is made once for all values. Fields that are not null are needed; a text field with the comment json holds any value, with object an object."""
+    if comment == "json":
+        return lambda v: None
+    if comment == "object":
+        return plain("an object", lambda v: isinstance(v, dict))
+    for composite, made in ((T.StructType, struct_check), (T.ArrayType, array_check), (T.MapType, map_check)):
+        if isinstance(kind, composite):
+            return made(kind)
+    return plain(*next((n, f) for t, n, f in PLAIN if isinstance(kind, t)))
+
+
+def shape_of(text: str | None, value: object, check: Check | None = None) -> str | None:
+    """What keeps a text, parsed by strict_or_none, from being a JSON object, and one that passes the check if one is given."""
     if not isinstance(value, dict):
         return "not a strict JSON object"
-    if depth(value) > MAX_DEPTH:
+    if text.count("{") + text.count("[") >= MAX_DEPTH and depth(value) > MAX_DEPTH:
         return "nested too deep"
-    return mismatch(value, schema) if schema else None
+    fault = check(value) if check else None
+    return f"/{fault}" if fault and fault[0] == ":" else fault
 
 
 def shape_fault(ddl: str | None = None):
     """UDF: shape_of() of JSON texts; null if nothing is wrong. Spark's own reader takes repeated keys, NaN and fields of other types, so this runs in Arrow batches in Python."""
-    schema = T.StructType.fromDDL(ddl) if ddl else None
+    check = check_of(T.StructType.fromDDL(ddl)) if ddl else None
 
     @F.pandas_udf(T.StringType())
     def judge(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shape_of(strict_or_none(t), schema))
+        return texts.map(lambda t: shape_of(t, strict_or_none(t), check))
 
     return judge
 

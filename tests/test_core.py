@@ -448,3 +448,37 @@ def test_listings_of_any_size(spark, tmp_path):
     far = [(k * 600_000, "x") for k in range(14)]
     spark.createDataFrame(far, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {(r.tree, r.entries) for r in QUERIES["listing_digest"](spark, str(tmp_path)).collect()} == {(t, 2) for t in range(7)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["runs", "checks", "failure_records"])
+def test_a_document_is_parsed_once(spark, name):
+    rows = store.normalize(spark.createDataFrame([("a", json.dumps(result()))], "source_name string, document string"))[name]
+    plan = plan_of(rows.drop("details_json"))
+    assert plan.count("ArrowEvalPython [judge(") == 1 and plan.count("from_json(") == 1
+
+
+def test_artifacts_of_orders_are_dealt_out_by_their_number_only(spark, sf):
+    from plumbline.queries import artifacts
+
+    plan = plan_of(artifacts(spark, sf))
+    assert plan.count("FileScan parquet") == 2 and "hashpartitioning(run_key" not in plan and "hashpartitioning(check_key" not in plan
+
+
+def test_summary_of_an_array_of_failures(spark):
+    rows = [("r", k, f"c{k}", t[1], t[0], t[2]) for k, t in enumerate(TAXONOMY[i] for i in (1, 0, 5, 3, 0, 11))]
+    f = spark.createDataFrame(rows, "run_key string, check_index int, check_id string, category string, code string, impact string")
+    want = runs.failure_summary(f).drop("run_key").first().asDict()
+    got = f.agg(F.collect_list(F.struct("check_index", "check_id", "category", "code", "impact")).alias("f")).select(runs.summary_of(F.col("f")).alias("s")).first().s.asDict()
+    assert got == want and (got["primary_check_id"], got["total"]) == ("c2", 6)
+    assert f.where("false").agg(F.collect_list(F.struct("check_index", "check_id", "category", "code", "impact")).alias("f")).select(runs.summary_of(F.col("f")).alias("s")).first().s is None
+
+
+@pytest.mark.parametrize("brackets", [126, 127, 128])
+def test_depth_counts_what_lies_innermost(spark, brackets):
+    rows = spark.createDataFrame([("a", '{"x":' + "[" * brackets + "1" + "]" * brackets + "}")], "source_name string, document string")
+    fault = rows.select(documents.shape_fault()("document")).first()[0]
+    assert fault == (None if brackets + 2 <= documents.MAX_DEPTH else "nested too deep")

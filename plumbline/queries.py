@@ -234,8 +234,7 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("artifact_failures", BASE + "SELECT r.run_id AS source_name, f.check_id, f.category, f.code, f.impact, f.causes_json FROM f JOIN r ON r.run_key = f.run_key")
 def artifact_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.normalize(artifacts(spark, sf_dir))
-    return rows["failure_records"].join(rows["checks"].select("check_key", "check_id"), "check_key").select("source_name", "check_id", "category", "code", "impact", "causes_json")
+    return store.normalize(artifacts(spark, sf_dir))["failure_records"].select("source_name", "check_id", "category", "code", "impact", "causes_json")
 
 
 @register("artifact_faults", BASE + f"""

@@ -49,7 +49,7 @@ def without_outputs(parsed: DataFrame) -> DataFrame:
 
 
 def tables_of(a: DataFrame) -> dict[str, DataFrame]:
-    """The rows of parsed artifacts: sources, runs, checks, failure_records, variant_summaries. Outputs are kept as lengths and digests only; rows also name their source_name."""
+    """The rows of parsed artifacts: sources, runs, checks, failure_records, variant_summaries. Outputs are kept as lengths and digests only; rows also name their source_name, failures their check_id."""
     sources = a.select("source_sha256", F.when(F.col("is_experiment"), "experiment").otherwise("run").alias("artifact_kind"), "source_name", F.col("a.schema_version").alias("artifact_schema_version"), F.current_timestamp().alias("ingested_at"))
     result = lambda r: F.struct(*(r[c].alias(c) for c in ("capsule_id", "status", "started_at", "finished_at", "duration_seconds", "checks"))).alias("result")
     alone = F.array(F.struct(F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("int").alias("repetition"), result(F.col("a"))))
@@ -64,7 +64,7 @@ def tables_of(a: DataFrame) -> dict[str, DataFrame]:
         "c.stdout_chars", "c.stderr_chars", "c.stdout_sha256", "c.stderr_sha256", "c.stdout_truncated", "c.stderr_truncated", F.col("c.error").alias("error_message"),
     )
     failures = c.where("c.failure is not null").select(
-        composite_key(F.col("check_key"), F.col("c.failure.code")).alias("failure_key"), "check_key", "run_key", "source_sha256", "source_name", "c.failure.category", "c.failure.code", "c.failure.impact", "c.failure.retryability", "c.failure.summary",
+        composite_key(F.col("check_key"), F.col("c.failure.code")).alias("failure_key"), "check_key", "run_key", "source_sha256", "source_name", F.col("c.id").alias("check_id"), "c.failure.category", "c.failure.code", "c.failure.impact", "c.failure.retryability", "c.failure.summary",
         canonical_json(F.coalesce("c.failure.details", F.lit("{}"))).alias("details_json"), "c.failure.caused_by_check_id", F.to_json(F.coalesce("c.failure.causes", F.array().cast("array<string>"))).alias("causes_json"),
     )
     s = a.where("is_experiment").select("source_sha256", F.col("a.experiment_id").alias("experiment_id"), F.col("a.capsule_id").alias("capsule_id"), F.explode("a.summaries").alias("s"))

@@ -183,10 +183,9 @@ def experiment_faults(a: Column) -> Faults:
     ]
 
 
-def parsed(artifacts: DataFrame) -> DataFrame:
-    """Artifacts (source_name, document) by content: source_sha256, the first source_name, a (the parsed document), is_experiment and fault, which is null for those that may be stored. One with an experiment_id is an experiment, any other a single run. Documents are told apart by their digests before anything is parsed."""
-    once = artifacts.groupBy(F.sha2("document", 256).alias("source_sha256")).agg(F.min("source_name").alias("source_name"), F.first("document").alias("document"))
-    rows = once.select("source_sha256", "source_name", F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), judged()("document").alias("j")).select("source_sha256", "source_name", "a", "j.*")
+def judgements(documents: DataFrame) -> DataFrame:
+    """Documents (source_sha256, source_name, document) with a (the parsed document), is_experiment and fault, which is null for those that may be stored. One with an experiment_id is an experiment, any other a single run."""
+    rows = documents.select("source_sha256", "source_name", F.from_json("document", f"struct<{ARTIFACT}>").alias("a"), judged()("document").alias("j")).select("source_sha256", "source_name", "a", "j.*")
     results = F.when(F.col("is_experiment"), F.transform("a.runs", lambda r: r["result"])).otherwise(F.array(F.struct(*(F.col(f"a.{name}") for name in RESULT_FIELDS))))
     agrees = F.coalesce(F.when(F.col("is_experiment"), first_of(experiment_faults(F.col("a")))), F.get(F.array_compact(F.transform(results, lambda r: first_of(result_faults(r)))), 0))
     fault = F.coalesce("shape", F.when(F.col("shape").isNull(), agrees), "details")
@@ -194,6 +193,12 @@ def parsed(artifacts: DataFrame) -> DataFrame:
     return rows.select("source_sha256", "source_name", "a", "is_experiment", F.explode(F.array(fault)).alias("fault"))
 
 
+def parsed(artifacts: DataFrame) -> DataFrame:
+    """The judgements of artifacts (source_name, document) by content: source_sha256 and the first source_name of each. Documents are told apart by their digests before anything is parsed."""
+    return judgements(artifacts.groupBy(F.sha2("document", 256).alias("source_sha256")).agg(F.min("source_name").alias("source_name"), F.first("document").alias("document")))
+
+
 def artifact_faults(artifacts: DataFrame) -> DataFrame:
-    """source_name, source_sha256, fault of the artifacts that may not be stored."""
-    return parsed(artifacts).where("fault is not null").select("source_name", "source_sha256", "fault")
+    """source_name, source_sha256, fault of the artifacts that may not be stored, each content once. Documents are judged where they lie, and told apart by their digests after that: only these, names and faults are dealt out."""
+    faults = judgements(artifacts.select(F.sha2("document", 256).alias("source_sha256"), "source_name", "document")).where("fault is not null")
+    return faults.groupBy("source_sha256").agg(F.min(F.struct("source_name", "fault")).alias("first")).select("first.source_name", "source_sha256", "first.fault")

@@ -482,3 +482,12 @@ def test_depth_counts_what_lies_innermost(spark, brackets):
     rows = spark.createDataFrame([("a", '{"x":' + "[" * brackets + "1" + "]" * brackets + "}")], "source_name string, document string")
     fault = rows.select(documents.shape_fault()("document")).first()[0]
     assert fault == (None if brackets + 2 <= documents.MAX_DEPTH else "nested too deep")
+
+
+def test_faults_do_not_deal_out_documents_and_name_a_content_once(spark):
+    from plumbline.sources.artifacts import artifact_faults
+
+    docs = spark.createDataFrame([(f"{n}{k}", d) for n, d in (("bad", "{"), ("good", json.dumps(result())), ("odd", "[]")) for k in (3, 1, 2)], "source_name string, document string")
+    faults = artifact_faults(docs)
+    assert "first(document" not in plan_of(faults)
+    assert {(r.source_name, r.source_sha256, r.fault) for r in faults.collect()} == {(n, hashlib.sha256(d).hexdigest(), "not a strict JSON object") for n, d in (("bad1", b"{"), ("odd1", b"[]"))} and faults.count() == 2

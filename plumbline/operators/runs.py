@@ -50,10 +50,10 @@ def forbidden_codes(checks: DataFrame) -> DataFrame:
     return checks.where(F.when(F.col("status") == "passed", F.col("code").isNotNull()).otherwise(F.col("code").isNull() | ~F.coalesce(allowed, F.lit(False))))
 
 
-def run_status(checks: DataFrame, runs: DataFrame) -> DataFrame:
-    """run_key, status of every run: error if a check has an infrastructure error, else failed if one did not pass, else passed, also without checks."""
-    folded = checks.groupBy("run_key").agg(F.bool_or(F.coalesce(F.col("impact") == "infrastructure_error", F.lit(False))).alias("infra"), F.bool_or(F.col("status") != "passed").alias("bad"))
-    return runs.select("run_key").join(folded, "run_key", "left").select("run_key", F.when(F.col("infra"), "error").when(F.col("bad"), "failed").otherwise("passed").alias("status"))
+def run_status(checks: DataFrame, runs: DataFrame, by: str = "run_key") -> DataFrame:
+    """run_key, status of every run: error if a check has an infrastructure error, else failed if one did not pass, else passed, also without checks. by: the column of both that tells runs apart."""
+    folded = checks.groupBy(F.col(by).alias("by")).agg(F.bool_or(F.coalesce(F.col("impact") == "infrastructure_error", F.lit(False))).alias("infra"), F.bool_or(F.col("status") != "passed").alias("bad"))
+    return runs.select("run_key", F.col(by).alias("by")).join(folded, "by", "left").select("run_key", F.when(F.col("infra"), "error").when(F.col("bad"), "failed").otherwise("passed").alias("status"))
 
 
 def failure_summary(records: DataFrame) -> DataFrame:

@@ -125,8 +125,7 @@ def status_code_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("run_status", BASE + "SELECT r.run_key, CASE WHEN bool_or(coalesce(f.impact = 'infrastructure_error', false)) THEN 'error' WHEN bool_or(coalesce(c.status <> 'passed', false)) THEN 'failed' ELSE 'passed' END AS status FROM r LEFT JOIN c ON c.run_key = r.run_key LEFT JOIN f ON f.check_key = c.check_key GROUP BY r.run_key")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ev.outcomes(spark, sf_dir)
-    return runs.run_status(c.join(ev.failure_records(c).select("check_key", "impact"), "check_key", "left"), ev.runs(spark, sf_dir))
+    return runs.run_status(runs.classified(ev.outcomes(spark, sf_dir)), ev.orders(spark, sf_dir), "o_orderkey")
 
 
 @register("failure_summary", BASE + """,

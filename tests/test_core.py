@@ -491,3 +491,13 @@ def test_faults_do_not_deal_out_documents_and_name_a_content_once(spark):
     faults = artifact_faults(docs)
     assert "first(document" not in plan_of(faults)
     assert {(r.source_name, r.source_sha256, r.fault) for r in faults.collect()} == {(n, hashlib.sha256(d).hexdigest(), "not a strict JSON object") for n, d in (("bad1", b"{"), ("odd1", b"[]"))} and faults.count() == 2
+
+
+def exchanged(df):
+    """The columns by which a plan deals rows out."""
+    return re.findall(r"hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan_of(df)))
+
+
+def test_status_of_runs_deals_lines_out_by_number_only(spark, sf):
+    plan = plan_of(QUERIES["run_status"](spark, sf))
+    assert "hashpartitioning(run_key" not in plan and "hashpartitioning(check_key" not in plan and "Window" not in plan

@@ -524,3 +524,7 @@ def test_taxonomy_counts_runs_and_capsules_once(spark):
 def test_taxonomy_deals_out_failures_and_runs_by_number_only(spark, sf):
     dealt = exchanged(QUERIES["view_failure_taxonomy"](spark, sf))
     assert not any(re.search("run_key|check_key", x) for x in dealt) and "Expand" not in plan_of(QUERIES["view_failure_taxonomy"](spark, sf))
+
+
+def test_first_rows_of_the_taxonomy_deal_out_failures_and_runs_by_number_only(spark, sf):
+    assert not any(re.search("run_key|check_key", x) for x in exchanged(QUERIES["view_query_taxonomy"](spark, sf)))

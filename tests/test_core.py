@@ -528,3 +528,7 @@ def test_taxonomy_deals_out_failures_and_runs_by_number_only(spark, sf):
 
 def test_first_rows_of_the_taxonomy_deal_out_failures_and_runs_by_number_only(spark, sf):
     assert not any(re.search("run_key|check_key", x) for x in exchanged(QUERIES["view_query_taxonomy"](spark, sf)))
+
+
+def test_digest_of_the_taxonomy_deals_out_failures_and_runs_by_number_only(spark, sf):
+    assert not any(re.search("run_key|check_key", x) for x in exchanged(QUERIES["memory_digest"](spark, sf)))

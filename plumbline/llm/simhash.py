@@ -11,8 +11,8 @@ distributed search for connected components (hooking and shortcutting; every
 round is written to the shared folder).
 
 A key that more than `CHUNK` nodes share is not skipped: its nodes are split into
-chunks and every two chunks meet in a group of their own, so memory stays
-bounded and no link is lost. A group gives each node one link to a node in its
+chunks; each chunk meets itself, and every two chunks meet, in groups of their own,
+so memory stays bounded and no link is lost. A group gives each node one link to a node in its
 cluster, not all its pairs. Where links are also held against a similarity, those
 that pass are joined first; then all other pairs of a cluster of close nodes whose
 ends are still apart are held against it, so none hangs on which links were given.
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, numbered, store
 
 SEED, CHUNK, FLUSH = 42, 2048, 200_000
+#: Pairs whose bits are counted at once, by 8 bytes; keys of fewer rows than SMALL are compared together.
+TILE, SMALL = 1 << 17, 32
 #: Nodes of a chunk whose sets of shingles meet those of another chunk.
 MEET = 512
 #: Texts of at most so many shingles are also found by a shingle they share.
@@ -145,26 +147,66 @@ def block_keys(bits: int, blocks: int, agree: int):
     return run
 
 
-def linked(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: each node and the least node of its cluster among the rows with its key."""
-    n = len(keys)
-    first = np.searchsorted(keys, keys, side="left")
-    size = np.searchsorted(keys, keys, side="right") - first
-    label = np.arange(n)
-    found: list[np.ndarray] = []
-    for step in range(1, int(size.max(initial=1))):
-        low = np.flatnonzero(first + size > np.arange(n) + step)
+def tiles(prints: np.ndarray, low: np.ndarray, high: np.ndarray | None, max_bits: int) -> Iterator[np.ndarray]:
+    """Pairs of rows with at most max_bits differing bits in their first 192, and some that differ in more: each of low with each of high, or all pairs of low. Bits are counted for a tile of pairs at a time, word by word, in bytes (so of three words at most: four could sum up to 256), and no row is gathered for a pair."""
+    words = range(min(3, prints.shape[1]))
+    left = [np.ascontiguousarray(prints[low, w]) for w in words]
+    right = left if high is None else [np.ascontiguousarray(prints[high, w]) for w in words]
+    wide = len(right[0])
+    tall = max(1, min(len(low), TILE // wide))
+    held = [np.empty(tall * wide, dtype=kind) for kind in (np.uint64, np.uint8, np.uint8)]
+    for top in range(0, len(low), tall):
+        end, start = min(top + tall, len(low)), top if high is None else 0
+        differ, bits, more = (x[: (end - top) * (wide - start)].reshape(end - top, -1) for x in held)
+        for w in words:
+            np.bitwise_xor(left[w][top:end, None], right[w][None, start:], out=differ)
+            np.bitwise_count(differ, out=more if w else bits)
+            if w:
+                np.add(bits, more, out=bits)
+        a, b = np.nonzero(bits <= max_bits)
+        a, b = a + top, b + start
+        if high is None:
+            a, b = a[b > a], b[b > a]
+        yield np.stack([low[a], (low if high is None else high)[b]])
+
+
+def near(keys: np.ndarray, sides: np.ndarray, prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key with at most max_bits differing bits, and these, for rows sorted by key and side. Of a key of `SMALL` rows or more that has both sides only pairs across them: those of one side meet elsewhere."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, dtype=np.int64)
+    sizes = np.diff(edges)
+
+    def close(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count(prints[pairs[0]] ^ prints[pairs[1]]).sum(axis=1).astype(np.int64)
+        return pairs[:, bits <= max_bits], bits[bits <= max_bits]
+
+    few = np.repeat(sizes < SMALL, sizes)
+    last = np.repeat(edges[1:], sizes)
+    for step in range(1, SMALL - 1):
+        low = np.flatnonzero(few & (last > np.arange(len(keys)) + step))
         if not len(low):
             break
-        close = np.bitwise_count(prints[low] ^ prints[low + step]).sum(axis=1) <= max_bits
-        if close.any():
-            found.append(np.stack([low[close], low[close] + step]))
+        yield close(np.stack([low, low + step]))
+    for k in np.flatnonzero(sizes >= SMALL).tolist():
+        rows = np.arange(edges[k], edges[k + 1])
+        other = sides[rows] != 0
+        across = other.any() and not other.all()
+        for pairs in tiles(prints, rows[~other] if across else rows, rows[other] if across else None, max_bits):
+            if pairs.shape[1]:
+                yield close(pairs)
+
+
+def linked(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key and side: each node and the least node of its cluster among the rows with its key."""
+    label = np.arange(len(keys))
+    found: list[np.ndarray] = []
+    for pairs, _ in near(keys, sides, prints, max_bits):
+        found.append(pairs)
         if sum(f.shape[1] for f in found) > 2_000_000:
             label = settle(label, np.concatenate(found, axis=1))
             found = []
     if found:
         label = settle(label, np.concatenate(found, axis=1))
-    moved = np.flatnonzero(label != np.arange(n))
+    moved = np.flatnonzero(label != np.arange(len(keys)))
     return nodes[moved], nodes[label[moved]]
 
 
@@ -185,25 +227,24 @@ def forest(n: int, pairs: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def spanning(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: pairs of nodes of one key with at most max_bits differing bits that connect what all such pairs connect."""
-    n = len(keys)
-    first = np.searchsorted(keys, keys, side="left")
-    size = np.searchsorted(keys, keys, side="right") - first
-    pairs, bits = np.empty((2, 0), dtype=np.int64), np.empty(0, dtype=np.int64)
-    held = [(pairs, bits)]
-    for step in range(1, int(size.max(initial=1))):
-        low = np.flatnonzero(first + size > np.arange(n) + step)
-        apart = np.bitwise_count(prints[low] ^ prints[low + step]).sum(axis=1).astype(np.int64)
-        close = apart <= max_bits
-        held.append((np.stack([low[close], low[close] + step]), apart[close]))
-        if sum(len(b) for _, b in held) > 2_000_000:
-            pairs, bits = np.concatenate([p for p, _ in held], axis=1), np.concatenate([b for _, b in held])
-            kept = forest(n, pairs, bits)
-            held = [(pairs[:, kept], bits[kept])]
-    pairs, bits = np.concatenate([p for p, _ in held], axis=1), np.concatenate([b for _, b in held])
-    kept = forest(n, pairs, bits)
-    return nodes[pairs[0, kept]], nodes[pairs[1, kept]]
+def spanning(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key and side: pairs of nodes of one key with at most max_bits differing bits that connect what all such pairs that meet here connect."""
+    held = [(np.empty((2, 0), dtype=np.int64), np.empty(0, dtype=np.int64))]
+    many = 0
+
+    def kept() -> tuple[np.ndarray, np.ndarray]:
+        pairs, bits = np.concatenate([p for p, _ in held], axis=1), np.concatenate([b for _, b in held])
+        chosen = forest(len(keys), pairs, bits)
+        return pairs[:, chosen], bits[chosen]
+
+    for pairs, bits in near(keys, sides, prints, max_bits):
+        held.append((pairs, bits))
+        many += len(bits)
+        if many > 2_000_000:
+            held = [kept()]
+            many = len(held[0][1])
+    pairs, _ = kept()
+    return nodes[pairs[0]], nodes[pairs[1]]
 
 
 def settle(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -220,21 +261,21 @@ def settle(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def compare(max_bits: int, find=linked):
-    """Function over rows sorted by key: links inside each key. A key has a bounded number of rows."""
+    """Function over rows (key, side, node, fingerprint) sorted by key and side: links inside each key. A key has a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> pa.RecordBatch:
-            keys, nodes, prints = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            a, b = find(keys, nodes, prints, max_bits)
+            keys, sides, nodes, prints = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            a, b = find(keys, sides, nodes, prints, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.asarray(batch.column(0))
-            new = (keys, np.asarray(batch.column(1)), packed(batch.column(2)))
+            new = (keys, np.asarray(batch.column(1)), np.asarray(batch.column(2)), packed(batch.column(3)))
             rows += len(keys)
             if rows < FLUSH or keys[0] == keys[-1]:
                 held.append(new)
@@ -256,9 +297,9 @@ def close_links(nodes: DataFrame, bits: int, max_bits: int, blocks: int, agree:
     used += [keyed, hot]
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
-    cold = keyed.join(hot, "key", "left_anti").select("key", "node", "fingerprint")
-    split = keyed.join(hot, "key").withColumn("chunk", chunk).select("key", F.explode(every).alias("pair"), "node", "fingerprint").select(F.xxhash64("key", "pair.i", "pair.j").alias("key"), "node", "fingerprint")
-    dealt = cold.unionByName(split).repartition("key").sortWithinPartitions("key", "node")
+    cold = keyed.join(hot, "key", "left_anti").select("key", F.lit(0).alias("side"), "node", "fingerprint")
+    split = keyed.join(hot, "key").withColumn("chunk", chunk).select("key", "chunk", F.explode(every).alias("pair"), "node", "fingerprint").select(F.xxhash64("key", "pair.i", "pair.j").alias("key"), (F.col("chunk") > F.col("pair.i")).cast("int").alias("side"), "node", "fingerprint")
+    dealt = cold.unionByName(split).repartition("key").sortWithinPartitions("key", "side", "node")
     return dealt.mapInArrow(compare(max_bits, find), "a long, b long").distinct()
 
 

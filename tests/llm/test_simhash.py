@@ -183,3 +183,58 @@ def test_recall_of_short_texts_repeats_and_pairs_at_the_threshold(spark):
     gone = [i for i in range(0, len(texts), 2) if i in kept and i + 1 not in kept]
     assert len([i for i in gone if i < 300]) == 150 and len([i for i in gone if 300 <= i < 600]) == 150
     assert len([i for i in gone if i >= 600]) >= 297
+
+
+def test_near_pairs_are_those_of_brute_force_and_only_across_sides():
+    import numpy as np
+
+    from plumbline.llm import simhash
+
+    r = np.random.default_rng(3)
+    for lanes, max_bits in ((1, 2), (1, 20), (2, 40), (4, 64), (4, 100)):
+        sizes = [1, 2, 5, simhash.SMALL - 1, simhash.SMALL, 70, 300, 1100]
+        keys, n = np.repeat(np.arange(len(sizes)), sizes), sum(sizes)
+        prints = r.integers(0, 1 << 64, (n, lanes), dtype=np.uint64)
+        for _ in range(2 * n):  # near ones, also by chains, and opposites: all bits differ
+            a = int(r.integers(n))
+            b = int(r.choice(np.flatnonzero(keys == keys[a])))
+            prints[b] = prints[a]
+            for bit in r.integers(0, 64 * lanes, int(r.integers(0, 2 * max_bits))):
+                prints[b, bit // 64] ^= np.uint64(1 << int(bit) % 64)
+        prints[-1] = ~prints[-2]
+        sides = np.zeros(n, dtype=np.int32)
+        sides[-400:] = 1  # of the last key
+        i, j = np.triu_indices(n, 1)
+        same = keys[i] == keys[j]
+        i, j = i[same], j[same]
+        bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1)
+        near = bits <= max_bits
+        for side in (sides, 0 * sides, 0 * sides + 1):
+            meet = near & ((keys[i] != len(sizes) - 1) | (side[i] != side[j]) | (side.min() == side.max()))
+            got = [(p, b) for p, b in simhash.near(keys, side, prints, max_bits)]
+            pairs = sorted((*map(int, p[:, k]), int(b[k])) for p, b in got for k in range(len(b)))
+            assert pairs == sorted(zip(i[meet].tolist(), j[meet].tolist(), bits[meet].tolist()))
+            want = simhash.settle(np.arange(n), np.stack([i[meet], j[meet]]))
+            for find in (simhash.spanning, simhash.linked):
+                a, b = find(keys, side, np.arange(n), prints, max_bits)
+                assert (simhash.settle(np.arange(n), np.stack([a, b])) == want).all()
+    assert [x for x in simhash.near(np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, 4), np.uint64), 64)] == []
+
+
+def test_chunks_of_a_hot_key_connect_all_that_it_connects(spark, monkeypatch):
+    import numpy as np
+
+    from plumbline.llm import simhash
+
+    monkeypatch.setattr(simhash, "CHUNK", 40)
+    r = np.random.default_rng(5)
+    prints = r.integers(0, 1 << 64, (300, 1), dtype=np.uint64) >> np.uint64(16)  # the first block is the same for all
+    for k in range(1, 300, 2):
+        prints[k] = prints[k - 1] ^ np.uint64(1 << int(r.integers(40)))
+    nodes = spark.createDataFrame([(k, f"{int(p):016x}") for k, p in enumerate(prints[:, 0])], "node long, fingerprint string")
+    for find in (simhash.linked, simhash.spanning):
+        links = simhash.close_links(nodes, 64, 2, 4, 1, [], find).collect()
+        label = simhash.settle(np.arange(300), np.array([(x.a, x.b) for x in links]).T)
+        i, j = np.triu_indices(300, 1)
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= 2
+        assert (label == simhash.settle(np.arange(300), np.stack([i[near], j[near]]))).all()

@@ -532,3 +532,9 @@ def test_first_rows_of_the_taxonomy_deal_out_failures_and_runs_by_number_only(sp
 
 def test_digest_of_the_taxonomy_deals_out_failures_and_runs_by_number_only(spark, sf):
     assert not any(re.search("run_key|check_key", x) for x in exchanged(QUERIES["memory_digest"](spark, sf)))
+
+
+def test_runs_of_artifacts_are_parsed_once_and_not_dealt_out_by_run_digests(spark, sf):
+    plan = plan_of(QUERIES["artifact_runs"](spark, sf))
+    assert plan.count("ArrowEvalPython [judge(") == 1 and plan.count("from_json(") == 1
+    assert "hashpartitioning(run_key" not in plan and "hashpartitioning(check_key" not in plan
